@@ -33,11 +33,11 @@ from pyspark.sql.window import Window
 from .common import new_path, prepare, shuffle_partitions, text_or_empty
 
 BLOCK_SCHEMA = "shard int, block int, first bigint, n_ids bigint, bits int, doc_ids array<bigint>, ends array<bigint>, payload binary"
-#: Entries of a worker's piece cache; it is emptied when full.
-CACHE_PIECES = 400_000
-#: A piece ends where every byte-level pre-tokenizer of this family ends one: in front of white space, or between
-#: a letter or digit and one of ".,!?". Encoding pieces one by one gives the ids of the whole text.
-PIECE = re.compile(r"[ \n\t\r]*[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?])|[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
+#: Entries of a worker's piece cache; when it is full, pieces met in one batch alone are dropped.
+CACHE_PIECES = 900_000
+#: A text is cut where every byte-level pre-tokenizer of this family cuts it: in front of a word's one space, around other
+#: white space, and between a letter or digit and one of ".,!?". Encoding pieces one by one gives the ids of the whole text.
+PIECE = re.compile(r" ?[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?])| ?[^ \n\t\r]+|[ \n\t\r]+(?=[ \n\t\r][^ \n\t\r])|[\n\t\r](?=[^ \n\t\r])|[ \n\t\r]+")
 #: Texts with other white space than " \n\t\r" are encoded whole.
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -68,6 +68,19 @@ def unpack(payload: bytes, bits: int, start: int, stop: int) -> np.ndarray:
     return ((words >> (at & 7).astype(np.uint64)) & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
+class _Numbers(dict):
+    """Numbers pieces as they are met; ``new`` has those that still need their ids."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level tokenizer; equal pieces of text are encoded once per worker."""
 
@@ -84,15 +97,14 @@ class PieceEncoder:
         self.library = Tokenizer.from_str(definition)
         parts = json.loads(definition)
         step = parts.get("pre_tokenizer") or {}
+        self.special = [t["content"] for t in parts.get("added_tokens", [])]
         self.by_piece = parts.get("normalizer") is None and step.get("type") == "ByteLevel" and step.get("use_regex", True) and not step.get("add_prefix_space") and all(not (t["lstrip"] or t["rstrip"]) and not re.search(r"[\s.,!?]", t["content"]) for t in parts.get("added_tokens", []))
+        self.spaced = np.zeros(self.library.get_vocab_size() + 1, dtype=bool)  # ids that begin with a space
+        for token, i in self.library.get_vocab().items():
+            self.spaced[i] = token.startswith("Ġ")
+        self.line = np.array(self._one("\n"), dtype=np.uint32)
         self.clear()
 
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, dtype=np.uint32)
-        self.ends = np.zeros(1 << 18, dtype=np.int64)
-        self.used = 0
-
     @classmethod
     def of(cls, definition: str) -> PieceEncoder:
         key = zlib.crc32(definition.encode())
@@ -100,32 +112,86 @@ class PieceEncoder:
             cls.held[key] = cls(definition)
         return cls.held[key]
 
-    def _add(self, pieces: list[str]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(sizes.sum()))
-        have = len(self.number)
-        while self.used + len(flat) > len(self.ids):
+    def clear(self) -> None:
+        self.number = _Numbers()
+        self.ids = np.zeros(1 << 20, dtype=np.uint32)
+        self.begin, self.size, self.met = (np.zeros(1 << 18, dtype=np.int32) for _ in range(3))  # met: in another batch
+        self.used = 0
+
+    def _forget(self) -> None:
+        """Drop the pieces met in one batch alone."""
+        n = len(self.number)
+        keep = np.flatnonzero(self.met[:n])
+        begin, size, ids, pieces = self.begin[keep], self.size[keep], self.ids, list(self.number)
+        self.clear()
+        self.number.update(zip([pieces[k] for k in keep.tolist()], range(len(keep)), strict=True))
+        ends = np.cumsum(size)
+        self._room(len(keep), int(size.sum()))
+        self._put(np.arange(len(keep)), size, ids[np.repeat(begin - ends + size, size) + np.arange(int(size.sum()))])
+
+    def _one(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _room(self, pieces: int, ids: int) -> None:
+        while self.used + ids > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while have + len(got) + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.ends[have + 1 : have + len(got) + 1] = self.used + np.cumsum(sizes)
-        self.used += len(flat)
-        self.number.update(zip(pieces, range(have, have + len(got)), strict=True))
+        while pieces > len(self.begin):
+            self.begin, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size, self.met))
+
+    def _put(self, codes: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Keep the ids of pieces, one piece's after the other's."""
+        self._room(0, len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.size[codes] = sizes
+        self.begin[codes] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+
+    def _encode_new(self, pieces: list[str]) -> None:
+        """Pieces with a space in front are encoded as one text, and so are those without, a line each: neither
+        changes a piece's ids, and the ids tell where a piece begins. What is neither is encoded alone."""
+        first = len(self.number) - len(pieces)
+        self._room(len(self.number), 0)
+        alone = {i for i, p in enumerate(pieces) if p[-1] in " \n\t\r"}
+        joined = "\n".join(pieces)
+        if any(x in joined for x in self.special):
+            alone |= {i for i, p in enumerate(pieces) if any(x in p for x in self.special)}
+        for spaced in (True, False):
+            at = [i for i, p in enumerate(pieces) if (p[0] == " ") == spaced and i not in alone]
+            if not at:
+                continue
+            ids = np.array(self._one(("" if spaced else "\n").join([pieces[i] for i in at])), dtype=np.uint32)
+            if spaced:
+                begin = np.flatnonzero(self.spaced[ids])
+                sure = len(begin) == len(at) and begin[0] == 0
+                sizes = np.diff(np.append(begin, len(ids)))
+            else:
+                cut = np.flatnonzero(ids == self.line[0])
+                sure = len(self.line) == 1 and len(cut) == len(at) - 1
+                sizes = np.diff(np.concatenate([[-1], cut, [len(ids)]])) - 1
+                ids = ids[ids != self.line[0]]
+            if sure:
+                self._put(first + np.array(at), sizes, ids)
+            else:
+                alone |= set(at)
+        for i in sorted(alone):
+            ids = np.array(self._one(pieces[i]), dtype=np.uint32)
+            self._put(np.array([first + i]), np.array([len(ids)]), ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.number) > CACHE_PIECES:
+            self._forget()
         odd = {i for i, x in enumerate(texts) if OTHER_SPACE.search(x)}
         pieces = [[] if i in odd else PIECE.findall(x) for i, x in enumerate(texts)]
         flat = list(chain.from_iterable(pieces))
-        if len(self.number) > CACHE_PIECES:
-            self.clear()
-        if new := list(dict.fromkeys(x for x in flat if x not in self.number)):
-            self._add(new)
+        before = len(self.number)
         codes = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        begin, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+        if new := self.number.new:
+            self.number.new = []
+            self._encode_new(new)
+        self.met[codes[codes < before]] = 1
+        begin, sizes = self.begin[codes], self.size[codes]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(begin - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, pieces)])]
@@ -155,8 +221,8 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int,
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     held.append(np.append(ids, np.uint32(end_id)))
                     names.append(doc_id)
