@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ def as_vector(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row; a lambda over elements would compute it for each of them."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -25,8 +32,7 @@ def norm(v: str | Column) -> Column:
 def unit(v: str | Column) -> Column:
     """L2-normalised; a zero vector gives nulls and no error."""
     v = F.col(v) if isinstance(v, str) else v
-    n = norm(v)
-    return F.transform(v, lambda x: F.try_divide(x, n))
+    return bound(norm(v), lambda n: F.transform(v, lambda x: F.try_divide(x, n)))
 
 
 def cosine_distance(a: str | Column, b: str | Column) -> Column:
@@ -45,8 +51,7 @@ def euclidean(a: str | Column, b: str | Column) -> Column:
 def shares(v: str | Column, eps: float = 1e-6) -> Column:
     """Non-negative entries as a distribution, smoothed."""
     v = F.col(v) if isinstance(v, str) else v
-    s = total(F.transform(v, lambda x: x + eps))
-    return F.transform(v, lambda x: (x + eps) / s)
+    return bound(total(F.transform(v, lambda x: x + eps)), lambda s: F.transform(v, lambda x: (x + eps) / s))
 
 
 def kl(p: str | Column, q: str | Column) -> Column:

@@ -1,6 +1,9 @@
 """Order statistics, conformal thresholds and run decisions over (series, run, tick, score) rows.
 
 A null score is no score. All decisions are strictly above the threshold.
+
+Ranks come from counts: rows are first summed up to distinct values of a group, values are dealt into ranges by approximate
+quantiles, and only the ranges' totals are added up along the group. So no group is sorted in one task, however large it is.
 """
 
 from __future__ import annotations
@@ -9,42 +12,72 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Ranges of values that a group is dealt into.
+RANGES = 200
+
 
-def _ranked(rows: DataFrame, keys: list[str], value: str, ties: list[str] = ()) -> DataFrame:
+def ranks(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """keys, value, _n (rows of the value), _lo and _hi (first and last rank), _of (rows of the group), and ``sums`` by value."""
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"), *(c.alias(k) for k, c in (sums or {}).items()))
+    at = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
+    bounds = counted.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), at, F.lit(10_000)))).alias("_bounds"))
+    dealt = counted.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")  # one row
+    totals = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
     w = Window.partitionBy(*keys)
-    return rows.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w.orderBy(value, *ties))).withColumn("_of", F.count("*").over(w))
+    totals = totals.withColumn("_before", F.sum("_sum").over(w.orderBy("_range")) - F.col("_sum")).withColumn("_of", F.sum("_sum").over(w)).drop("_sum")
+    names = {k: f"_k{i}" for i, k in enumerate([*keys, "_range"])}
+    same = [F.col(k).eqNullSafe(F.col(f"t.{v}")) for k, v in names.items()]
+    joined = dealt.join(totals.select(*(F.col(k).alias(v) for k, v in names.items()), "_before", "_of").alias("t"), same).drop(*names.values())
+    hi = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(value))
+    return joined.withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col("_n") + 1).drop("_before", "_range")
+
+
+def _at(ranked: DataFrame, rank: Column) -> DataFrame:
+    return ranked.withColumn("_rank", rank).where((F.col("_lo") <= F.col("_rank")) & (F.col("_rank") <= F.col("_hi")))
 
 
 def order_stat(rows: DataFrame, keys: list[str], q: float, value: str = "score", name: str = "q_run") -> DataFrame:
     """The ceil(q n)-th smallest value of a group, between the first and the last."""
     at = F.least(F.greatest(F.ceil(F.lit(q) * F.col("_of")), F.lit(1)), F.col("_of"))
-    return _ranked(rows, keys, value).where(F.col("_n") == at).select(*keys, F.col(value).alias(name))
+    return _at(ranks(rows, keys, value), at).select(*keys, F.col(value).alias(name))
 
 
 def quantile_higher(rows: DataFrame, keys: list[str], q: float, value: str = "score", name: str = "q_run") -> DataFrame:
     """The value at place ceil(q (n - 1)), counted from 0."""
-    return _ranked(rows, keys, value).where(F.col("_n") == F.ceil(F.lit(q) * (F.col("_of") - 1)) + 1).select(*keys, F.col(value).alias(name))
+    return _at(ranks(rows, keys, value), F.ceil(F.lit(q) * (F.col("_of") - 1)) + 1).select(*keys, F.col(value).alias(name))
+
+
+def quantile_linear(rows: DataFrame, keys: list[str], q: float, value: str = "score", name: str = "q_run") -> DataFrame:
+    """The value at place q (n - 1), counted from 0, between two neighbours in proportion."""
+    place = F.lit(q) * (F.col("_of") - 1)
+    found = ranks(rows, keys, value).withColumn("_p", place)
+    low, high = F.floor("_p") + 1, F.ceil("_p") + 1
+    pick = lambda r: F.max(F.when((F.col("_lo") <= r) & (r <= F.col("_hi")), F.col(value)))
+    both = found.groupBy(*keys).agg(pick(low).alias("_a"), pick(high).alias("_b"), F.first("_p").alias("_p"))
+    return both.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).alias(name))
 
 
 def conformal_tau(rows: DataFrame, keys: list[str], alpha: float, value: str = "score", beyond: str = "infinite") -> DataFrame:
     """keys, tau, n, overflow: the value of rank ceil((n + 1)(1 - alpha)). Where n is too small for that rank, tau is
     infinite (``beyond`` = infinite) or the largest value (capped); overflow tells."""
-    rank = F.ceil((F.col("_of") + 1) * (1 - F.lit(alpha)))
-    ranked = _ranked(rows, keys, value).withColumn("_rank", rank)
-    picked = ranked.where(F.col("_n") == F.least(F.col("_rank"), F.col("_of")))
-    high = F.col("_rank") > F.col("_of")
+    wanted = F.ceil((F.col("_of") + 1) * (1 - F.lit(alpha)))
+    picked = _at(ranks(rows, keys, value), F.least(wanted, F.col("_of")))
+    high = wanted > F.col("_of")
     tau = F.when(high, float("inf")).otherwise(F.col(value)) if beyond == "infinite" else F.col(value)
     return picked.select(*keys, tau.alias("tau"), F.col("_of").cast("bigint").alias("n"), high.alias("overflow"))
 
 
-def loo_conformal(rows: DataFrame, keys: list[str], q: float, value: str = "score", ties: str = "tick") -> DataFrame:
-    """For each row the capped conformal threshold of its group without the row: with one sort, the value at rank
-    k = min(ceil(n q), n - 1) if the row lies above it, else the next one."""
-    w = Window.partitionBy(*keys)
-    ranked = _ranked(rows, keys, value, [ties]).withColumn("_k", F.least(F.ceil(F.col("_of") * F.lit(q)), F.col("_of") - 1))
-    at = F.max(F.when(F.col("_n") == F.col("_k"), F.col(value))).over(w)
-    after = F.max(F.when(F.col("_n") == F.col("_k") + 1, F.col(value))).over(w)
-    return ranked.withColumn("tau_loo", F.when(F.col("_n") > F.col("_k"), at).otherwise(after)).drop("_n", "_of", "_k")
+def loo_conformal(rows: DataFrame, keys: list[str], q: float, value: str = "score") -> DataFrame:
+    """Adds tau_loo: the capped conformal threshold of the row's group without the row. One ranking serves all rows: it is the
+    value at rank k = min(ceil(n q), n - 1) if the row lies above it, else the next one. Null for a row alone in its group."""
+    k = F.least(F.ceil(F.col("_of") * F.lit(q)), F.col("_of") - 1)
+    ranked = ranks(rows, keys, value).withColumn("_k", k)
+    pick = lambda r: F.max(F.when((F.col("_lo") <= r) & (r <= F.col("_hi")), F.col(value)))
+    both = ranked.groupBy(*keys).agg(pick(F.col("_k")).alias("_at"), pick(F.col("_k") + 1).alias("_next"), F.first("_k").alias("_k"))
+    above = ranked.where(F.col("_lo") > F.col("_k")).groupBy(*keys).agg(F.min(value).alias("_first_above"))
+    both = both.join(above, keys, "left")
+    tau = F.when(F.col(value) >= F.col("_first_above"), F.col("_at")).otherwise(F.col("_next"))
+    return rows.where(F.col(value).isNotNull()).join(both, keys).withColumn("tau_loo", tau).drop("_at", "_next", "_k", "_first_above")
 
 
 def run_decision(rows: DataFrame, keys: list[str], tau: Column, q_run: Column) -> DataFrame:

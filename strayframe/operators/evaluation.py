@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .conformal import ranks
+
 
 def auroc(rows: DataFrame, keys: list[str], score: str = "score", positive: str = "positive") -> DataFrame:
-    """Mann-Whitney with ties as halves, from mid-ranks. Null without both classes."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    tied = Window.partitionBy(*keys, score)
-    ranked = rows.where(F.col(score).isNotNull()).withColumn("_r", F.rank().over(w.orderBy(score)) + (F.count("*").over(tied) - 1) / 2)
-    n1, n = F.sum(F.col(positive).cast("bigint")), F.count("*")
-    area = F.try_divide(F.sum(F.when(F.col(positive), F.col("_r"))) - n1 * (n1 + 1) / 2, n1 * (n - n1))
+    """Mann-Whitney with ties as halves, from mid-ranks of distinct scores. Null without both classes."""
+    ranked = ranks(rows, keys, score, {"_p": F.sum(F.col(positive).cast("bigint"))})
+    n1, n = F.sum("_p"), F.sum("_n")
+    area = F.try_divide(F.sum(F.col("_p") * (F.col("_lo") + F.col("_hi")) / 2) - n1 * (n1 + 1) / 2, n1 * (n - n1))
     return ranked.groupBy(*keys).agg(area.alias("auroc"), n1.alias("n_pos"), (n - n1).alias("n_neg"))
 
 

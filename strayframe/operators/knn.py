@@ -53,9 +53,10 @@ def nearest(query: DataFrame, pool: DataFrame, k: int, distance: Distance, *, ap
 def nearest_blocked(query: DataFrame, pool: DataFrame, k: int, *, apart: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The same rows as :func:`nearest` with cosine distance of unit vectors, by blocks of matrix products."""
     blocks = max(1, -(-pool.count() // block_rows))
-    left = query.select("run", "tick", "id", "v").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-query.count() // block_rows)))))
+    n_chunks = max(1, -(-query.count() // block_rows))
+    left = query.select("run", "tick", "id", "v").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    chunks = left.select("chunk").distinct()
+    chunks = query.sparkSession.range(n_chunks).withColumnRenamed("id", "chunk")
     right = pool.withColumn("block", F.pmod(F.xxhash64("r_id"), F.lit(blocks)).cast("int")).join(F.broadcast(chunks))  # a chunk is a number
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
