@@ -14,7 +14,8 @@ from . import knn
 
 def distinct_entries(frames: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Adds entry (the id of the entry's first frame) and copies (frames of the entry). Without a tolerance entries are equal
-    vectors. With one, a frame joins the first entry within it in every component, by id: a sequential rule, so it runs as one group."""
+    vectors. With one, a frame joins the first entry within it in every component, by id: a sequential rule, which runs apart for
+    each island of occupied cells of the first component, as what one cell has can touch the next cell only."""
     if tolerance == 0:
         w = Window.partitionBy("v")
         return frames.withColumn("entry", F.min("id").over(w)).withColumn("copies", F.count("*").over(w))
@@ -35,8 +36,11 @@ def distinct_entries(frames: DataFrame, tolerance: float = 0.0) -> DataFrame:
         return pdf
 
     kinds = ", ".join(f"{c} {t}" for c, t in frames.dtypes)
-    # entries within a tolerance differ by less than one cell in the first component, so cells need not be compared further than that
-    return frames.groupBy(F.lit(0).alias("_all")).applyInPandas(lambda p: lead(p.drop(columns="_all", errors="ignore")), f"{kinds}, entry bigint, copies bigint")
+    placed = frames.withColumn("_cell", F.floor(F.col("v")[0] / tolerance))
+    cells = placed.select("_cell").distinct()  # as many as the component's range has cells
+    order = Window.partitionBy(F.lit(0)).orderBy("_cell")
+    cells = cells.withColumn("_new", F.coalesce((F.col("_cell") - F.lag("_cell").over(order) > 1).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(order)).drop("_new")
+    return placed.join(cells, "_cell").drop("_cell").groupBy("_island").applyInPandas(lambda p: lead(p.drop(columns="_island")), f"{kinds}, entry bigint, copies bigint")
 
 
 def entry_scores(nominal: DataFrame, k: int, *, floor: float = 0.05, plain: bool = False) -> DataFrame:
