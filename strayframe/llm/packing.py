@@ -38,7 +38,7 @@ CACHE_PIECES = 900_000
 #: A text is cut where every byte-level pre-tokenizer of this family cuts it: in front of a word's one space, around other
 #: white space, and between a letter or digit and one of ".,!?". Encoding pieces one by one gives the ids of the whole text.
 PIECE = re.compile(r" ?[0-9A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,!?])| ?[^ \n\t\r]+|[ \n\t\r]+(?=[ \n\t\r][^ \n\t\r])|[\n\t\r](?=[^ \n\t\r])|[ \n\t\r]+")
-#: Texts with other white space than " \n\t\r" are encoded whole.
+#: Texts with other white space than " \n\t\r", or with a special token's string, are encoded whole.
 OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
@@ -152,9 +152,6 @@ class PieceEncoder:
         first = len(self.number) - len(pieces)
         self._room(len(self.number), 0)
         alone = {i for i, p in enumerate(pieces) if p[-1] in " \n\t\r"}
-        joined = "\n".join(pieces)
-        if any(x in joined for x in self.special):
-            alone |= {i for i, p in enumerate(pieces) if any(x in p for x in self.special)}
         for spaced in (True, False):
             at = [i for i, p in enumerate(pieces) if (p[0] == " ") == spaced and i not in alone]
             if not at:
@@ -182,7 +179,7 @@ class PieceEncoder:
             return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.number) > CACHE_PIECES:
             self._forget()
-        odd = {i for i, x in enumerate(texts) if OTHER_SPACE.search(x)}
+        odd = {i for i, x in enumerate(texts) if OTHER_SPACE.search(x) or any(t in x for t in self.special)}
         pieces = [[] if i in odd else PIECE.findall(x) for i, x in enumerate(texts)]
         flat = list(chain.from_iterable(pieces))
         before = len(self.number)
