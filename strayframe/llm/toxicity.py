@@ -80,14 +80,16 @@ class Network:
         at = np.repeat(starts - np.cumsum(np.concatenate([[0], sizes[:-1]])), sizes) + np.arange(int(sizes.sum()))
         got = np.zeros((n + pad, self.tables.shape[1]), dtype=np.float32)
         got[at] = table.lookup(documents)
+        parts = np.stack([starts, starts + sizes + 1], axis=1).ravel()  # a document's words and one empty place
         pooled, column = [], 0
         for w in WIDTHS:
             out = got[:n, column : column + FILTERS].copy()
             for j in range(1, w):
                 out += got[j : n + j, column + j * FILTERS : column + (j + 1) * FILTERS]
             column += w * FILTERS
-            pooled.append(np.maximum.reduceat(out, starts, axis=0))
-        return sigmoid(np.maximum(np.concatenate(pooled, axis=1) + self.offsets, 0) @ self.weights + self.bias)
+            pooled.append(np.maximum.reduceat(out, parts, axis=0)[::2])
+        hidden = np.maximum(np.concatenate(pooled, axis=1) + self.offsets, 0)
+        return sigmoid((hidden * self.weights).sum(axis=1) + self.bias)  # each row for itself: equal texts, equal scores
 
 
 def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5) -> Network | float:
@@ -137,7 +139,7 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5) -> Netw
             ends = np.append(starts[1:], n)
             for w in WIDTHS:
                 out = sum(x[j : n + j] @ kernels[w][j] for j in range(w))
-                best = np.array([a + out[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
+                best = np.array([a + out[a : b - pad + 1].argmax(axis=0) for a, b in zip(starts, ends, strict=True)])
                 places.append(best)
                 pooled.append(np.take_along_axis(out, best, axis=0))
             before = np.concatenate(pooled, axis=1) + offsets
