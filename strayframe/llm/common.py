@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -61,7 +62,18 @@ def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and have Spark drop the shuffle files of finished plans now;
+    they would stay until the driver's heap happens to fill."""
+    for table in tables:
+        remove(spark, table._stored_at)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def text_or_empty() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import remove, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -18,17 +18,29 @@ def _stars(edges: DataFrame) -> DataFrame:
     return linked.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
+def _tidy(edges: DataFrame) -> DataFrame:
+    return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node that has an edge with the smallest node of its component. edges: (u, v) of any one
     ordered type. Rounds grow with the logarithm of the longest path; each is written to the shared folder."""
-    tidy = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     state = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    now = stored(tidy, "edges")
+    now = stored(_stars(_tidy(edges)), "edges")
     before = state(now)
     while True:
-        now = stored(_stars(now), "edges")
+        last, now = now, stored(_stars(now), "edges")
         after = state(now)
+        remove(now.sparkSession, last._stored_at)
         if after == before:
             break
         before = after
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def labels(edges: DataFrame) -> DataFrame:
+    """(node, root): what two rounds know of the components. Nodes of one root are in one component; a component of long paths
+    may still have several roots."""
+    now = _stars(stored(_stars(_tidy(edges)), "edges"))
+    known = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")))
+    return known.groupBy("node").agg(F.min("root").alias("root"))

@@ -2,15 +2,14 @@
 
 Documents with equal sets form a class first; classes are joined. Light sets (up to a size boundary) are joined by
 fixed-size subsets: a pair of sizes (a, b) needs an overlap of ``c`` shingles, both sides emit their subsets of just
-``c`` shingles, and two sets meet in a subset exactly if they link, so a subset's sets are linked to its smallest
-one and nothing needs to be verified. Heavy sets scan inverted lists: a set is listed under its rarest shingles, as
+``c`` shingles, and a set of each size meet in a subset exactly if they link, so nothing needs to be verified. Heavy sets scan inverted lists: a set is listed under its rarest shingles, as
 many as any partner must hit, and what meets in a list is verified. The boundary is the one of least cost over the
 sizes of all documents.
 
 The answer is the components, so within a list only pairs that are not connected yet need a look: a list's
-sets are first compared with one leader each, in rounds, and then every pair of the list that is still in two
+sets are first compared with two leaders, in rounds, and then every pair of the list that is still in two
 components. No link between two components is left out and no list is cut, yet a list of near copies costs its
-length and not its square.
+length and not its square. A list of up to three sets is done after the first round.
 
 Shingles are 64-bit hashes; two different ones are equal by chance once in 10^19 pairs.
 
@@ -33,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare, stored, text_or_empty
-from .graph import components
+from .common import prepare, release, stored, text_or_empty
+from .graph import components, labels
 
 #: The most frequent shingles, at most so many, come last in the order of rarity. The order decides speed alone.
 FREQUENT = 150_000
@@ -45,6 +44,7 @@ LIST_STEP = 6
 LIGHT_MOST = 24
 #: Candidates up to this number are sent to the scan by broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
+SIGNATURE = 512
 #: Rounds with leaders before all remaining pairs of a list are compared.
 LEADER_ROUNDS = 3
 
@@ -64,6 +64,11 @@ def shingle_set(text: str, n: int) -> np.ndarray:
     return np.unique(out)
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def overlap(a: int, b: int, t: Fraction) -> int:
     """The least intersection of sets of sizes a and b whose Jaccard similarity is t or more."""
     return ceil(Fraction(a + b) * t / (1 + t))
@@ -132,8 +137,8 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """Per row: doc_id, size, digest of the set, and ``rare``: its listed shingles, the rarest first; small sets come
-    whole."""
+    """Per row: doc_id, size, digest and signature of the set, and ``rare``: its listed shingles, the rarest first; small
+    sets come whole."""
     spark = docs.sparkSession
     ranked = frequent_shingles(docs, n)
     order = np.argsort(ranked)
@@ -142,11 +147,12 @@ def set_table(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, ranks = known.value
         for batch in batches:
-            sizes, digests, rare = [], [], []
+            sizes, digests, signs, rare = [], [], [], []
             for text in _texts(batch, 1):
                 s = shingle_set(text, n)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                signs.append(signature(s))
                 if len(s) and len(values):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
                     rank = np.where(values[at] == s, ranks[at] + 1, 0)
@@ -156,18 +162,19 @@ def set_table(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
                 rare.append(ordered if len(s) <= LIGHT_MOST else ordered[: listed(len(s), t)])
             ends = np.cumsum([0, *map(len, rare)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([*rare, np.zeros(0, np.uint64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "size", "digest", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int64())), lists], names=["doc_id", "size", "digest", "sign", "rare"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return stored(rows.mapInArrow(sets, "doc_id bigint, size bigint, digest binary, rare array<bigint>"), "sets")
+    return stored(rows.mapInArrow(sets, "doc_id bigint, size bigint, digest binary, sign array<bigint>, rare array<bigint>"), "sets")
 
 
 def light_links(classes: DataFrame, boundary: int, t: Fraction) -> DataFrame:
-    """(u, v) of light sets that meet in a subset: each with the smallest one there. All such pairs link."""
+    """(u, v) of light sets that meet in a subset from two sides. For sizes a < b all sets of size a there link to all of size b
+    (but not to each other), so each is given the smallest set of the other side; for a = b all link."""
 
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, owners = [], []
+            keys, owners, sides = [], [], []
             for digest, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for size in partner_sizes(len(rare), t):
                     if size <= boundary:
@@ -178,25 +185,44 @@ def light_links(classes: DataFrame, boundary: int, t: Fraction) -> DataFrame:
                         for chosen in combinations(sorted(rare), c):
                             keys.append(xxhash.xxh3_128_digest(np.array([a, b, *chosen], dtype=np.int64).tobytes()))
                             owners.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.binary())], names=["key", "u"])
+                            sides.append(0 if a == b else 1 if len(rare) == a else 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.binary()), pa.array(sides, pa.int32())], names=["key", "u", "side"])
 
-    probes = classes.where((F.col("size") > 0) & (F.col("size") <= boundary)).select("digest", "rare").mapInArrow(subsets, "key binary, u binary")
-    first = probes.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1").select("key", "v")
-    return probes.join(first.hint("merge"), "key").where("u <> v").select("u", "v").distinct()
+    probes = classes.where((F.col("size") > 0) & (F.col("size") <= boundary)).select("digest", "rare").mapInArrow(subsets, "key binary, u binary, side int")
+    least = [F.min(F.when(F.col("side") == k, F.col("u"))).alias(f"v{k}") for k in range(3)]
+    first = probes.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1 and (v0 is not null or v1 is not null and v2 is not null)").drop("n")
+    other = F.when(F.col("side") == 0, F.col("v0")).when(F.col("side") == 1, F.col("v2")).otherwise(F.col("v1"))
+    return probes.join(first.hint("merge"), "key").select("u", other.alias("v")).where("u <> v").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t: Fraction) -> DataFrame:
     """The pairs whose whole sets reach the similarity."""
+    wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct().join(classes.select("digest", "least").hint("merge"), "digest"), "wanted")
+    sets = _whole_sets(docs, wanted, n)
     left = sets.select(F.col("digest").alias("u"), F.col("shingles").alias("a")).hint("merge")
     right = sets.select(F.col("digest").alias("v"), F.col("shingles").alias("b")).hint("merge")
     both = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - both
-    return pairs.join(left, "u").join(right, "v").where(both * t.denominator >= union * t.numerator).select("u", "v")
+    out = stored(pairs.join(left, "u").join(right, "v").where(both * t.denominator >= union * t.numerator).select("u", "v"), "links")
+    release(docs.sparkSession, wanted, sets)
+    return out
+
 
+def _may_link(a: str, b: str, t: Fraction):
+    """Sizes and signatures that allow for the similarity; a and b: prefixes of the two sides' columns."""
+    size, other = F.col(f"{a}size"), F.col(f"{b}size")
+    fits = (size * t.denominator >= other * t.numerator) & (other * t.denominator >= size * t.numerator)
+    apart = F.aggregate(F.zip_with(f"{a}sign", f"{b}sign", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+    return fits & (apart * (t.denominator + t.numerator) <= (size + other) * (t.denominator - t.numerator))
 
-def _fits(a: str, b: str, t: Fraction):
-    """Sizes that can reach the similarity."""
-    return (F.col(a) * t.denominator >= F.col(b) * t.numerator) & (F.col(b) * t.denominator >= F.col(a) * t.numerator)
+
+def _led(placed: DataFrame, boundary: int, t: Fraction) -> DataFrame:
+    """(u, v): in each list, two sets of different components lead; the sets outside a leader's component that may link to it."""
+    first = F.struct("root", "size", "digest", "sign")
+    lead = placed.groupBy("s").agg(F.min(first).alias("a"), F.max(first).alias("b")).where("a.root <> b.root")
+    ends = lead.select("s", F.explode(F.array("a", "b")).alias("lead")).select("s", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("root", "size", "digest", "sign")))
+    pairs = placed.join(ends.hint("merge"), "s").where((F.col("root") != F.col("lead_root")) & (F.greatest("size", "lead_size") > boundary) & _may_link("", "lead_", t))
+    return pairs.select(F.greatest("digest", "lead_digest").alias("u"), F.least("digest", "lead_digest").alias("v")).distinct()
 
 
 def near_copies(docs: DataFrame, *, n: int = 4, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
@@ -204,68 +230,70 @@ def near_copies(docs: DataFrame, *, n: int = 4, similarity: Fraction = Fraction(
     t, spark = similarity, docs.sparkSession
     prepare(spark)
     table = set_table(docs, n, t)
-    classes = table.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("rare").alias("rare"))
+    classes = table.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("rare").alias("rare"))
     classes = stored(classes, "classes")
     sizes = {r[0]: r[1] for r in classes.where(F.col("size") <= 2 * LIGHT_MOST).groupBy("size").count().toLocalIterator()}
     boundary = boundary_of(sizes, t)
-    links = light_links(classes, boundary, t)
+    found = stored(light_links(classes, boundary, t), "links")
 
     cut = F.col("size") - F.ceil(F.col("size") * t.numerator / t.denominator) + 1
     reach = classes.where(F.col("size") * t.denominator > boundary * t.numerator)  # has partners above the boundary
     lists = reach.select("digest", "size", F.explode(F.slice("rare", 1, cut.cast("int"))).alias("s"))
-    shared = lists.groupBy("s").agg(F.count("*").alias("n"), F.max("size").alias("top")).where((F.col("n") > 1) & (F.col("top") > boundary)).select("s")
-    lists = stored(lists.join(shared.hint("merge"), "s"), "lists")
-
-    wanted = lists.select("digest").distinct()
-    sets = stored(_whole_sets(docs, table, wanted, n), "whole")
-
-    found = stored(links, "links")
-    done = None
+    shared = lists.groupBy("s").agg(F.count("*").alias("n"), F.max("size").alias("top")).where((F.col("n") > 1) & (F.col("top") > boundary)).select("s", "n")
+    lists = lists.select("digest", "s").join(shared.hint("merge"), "s").join(classes.select("digest", "size", "sign").hint("merge"), "digest")
+    lists = stored(lists, "lists")
+    release(spark)
+
+    done = stored(_led(lists.withColumn("root", F.col("digest")), boundary, t), "pairs")
+    long = stored(lists.where("n > 3"), "long")
+    release(spark, lists)
+    fresh, spent = done, []
     for _ in range(LEADER_ROUNDS):
-        placed = _placed(lists, found)
-        # in each list: the largest set of the component met first leads; those in its component are done
-        lead = placed.groupBy("s").agg(F.min(F.struct("root", "size", "digest")).alias("a"), F.max(F.struct("root", "size", "digest")).alias("b")).where("a.root <> b.root")
-        ends = lead.select("s", F.explode(F.array("a", "b")).alias("lead")).select("s", F.col("lead.root").alias("lead_root"), F.col("lead.size").alias("lead_size"), F.col("lead.digest").alias("lead"))
-        pairs = placed.join(ends.hint("merge"), "s").where((F.col("root") != F.col("lead_root")) & _fits("size", "lead_size", t) & (F.greatest("size", "lead_size") > boundary))
-        pairs = pairs.select(F.greatest("digest", "lead").alias("u"), F.least("digest", "lead").alias("v")).distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty():
+        links = verified(fresh, docs, classes, n, t)
+        found = stored(found.unionByName(links), "links")
+        if links.isEmpty():
             break
-        done = pairs if done is None else done.unionByName(pairs)
-        found = stored(found.unionByName(stored(verified(pairs, sets, t), "links")), "links")
-    placed = _placed(lists, found)
+        placed = _placed(long, found)
+        fresh = stored(_led(placed, boundary, t).join(done, ["u", "v"], "left_anti"), "pairs")
+        release(spark, placed, links)
+        spent.append(fresh)
+        done = done.unionByName(fresh)
+    else:
+        found = stored(found.unionByName(verified(fresh, docs, classes, n, t)), "links")
+    placed = _placed(long, found)
     split = placed.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
     rest = stored(placed.join(split.hint("merge"), "s"), "rest")
-    other = rest.select("s", F.col("digest").alias("v"), F.col("size").alias("v_size"), F.col("root").alias("v_root"))
-    pairs = rest.withColumnRenamed("digest", "u").join(other.hint("merge"), "s").where((F.col("u") > F.col("v")) & (F.col("root") != F.col("v_root")) & _fits("size", "v_size", t) & (F.greatest("size", "v_size") > boundary)).select("u", "v").distinct()
-    if done is not None:
-        pairs = pairs.join(done, ["u", "v"], "left_anti")
-    found = found.unionByName(verified(stored(pairs, "pairs"), sets, t))
+    other = rest.select("s", *(F.col(c).alias(f"v_{c}") for c in ("digest", "size", "sign", "root")))
+    pairs = rest.join(other.hint("merge"), "s").where((F.col("digest") > F.col("v_digest")) & (F.col("root") != F.col("v_root")) & (F.greatest("size", "v_size") > boundary) & _may_link("", "v_", t))
+    pairs = stored(pairs.select(F.col("digest").alias("u"), F.col("v_digest").alias("v")).distinct().join(done, ["u", "v"], "left_anti"), "pairs")
+    release(spark, placed, rest, long)
+    if not pairs.isEmpty():
+        found = stored(found.unionByName(verified(pairs, docs, classes, n, t)), "links")
 
     joined = components(found)
     named = classes.select("digest", "least").join(joined.withColumnRenamed("node", "digest").hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(smallest.hint("merge"), "root").select("digest", "component_id")
+    named = stored(named.join(smallest.hint("merge"), "root").select("digest", "component_id"), "named")
+    release(spark, classes, pairs, *spent)
     out = table.select("doc_id", "size", "digest").join(named.hint("merge"), "digest", "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists with each set's present component."""
-    roots = components(links).select(F.col("node").alias("digest"), "root")
+    """The lists with each set's component, as far as two rounds tell it."""
+    roots = labels(links).withColumnRenamed("node", "digest")
     return stored(lists.join(roots.hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "placed")
 
 
-def _whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(digest, shingles) of the wanted classes, one text of each made into its set again."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(digest, shingles) of the wanted classes (digest, least): a text of each made into its set again. A doc_id that stands
+    for several texts gives the sets of all of them, those not asked for fall out."""
     spark = docs.sparkSession
-    keepers = stored(table.join(wanted.hint("merge"), "digest").groupBy("digest").agg(F.min("doc_id").alias("keeper")), "keepers")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    ids = keepers.where("keeper is not null").select(F.col("keeper").alias("doc_id")).distinct()
-    small = keepers.count() <= BROADCAST_IDS
-    chosen = rows.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), "doc_id", "left_semi").unionByName(rows.where("doc_id is null"))
+    ids = wanted.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
+    chosen = rows.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    if not wanted.where("least is null").isEmpty():
+        chosen = chosen.unionByName(rows.where("doc_id is null"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,8 +303,7 @@ def _whole_sets(docs: DataFrame, table: DataFrame, wanted: DataFrame, n: int) ->
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], names=["digest", "shingles"])
 
-    made = chosen.select("text").mapInArrow(make, "digest binary, shingles array<bigint>")
-    return made.join(wanted, "digest", "left_semi").dropDuplicates(["digest"])
+    return stored(chosen.select("text").mapInArrow(make, "digest binary, shingles array<bigint>"), "whole")
 
 
 def one_of_each(docs: DataFrame, *, n: int = 5, similarity: Fraction = Fraction(8, 10)) -> DataFrame:
