@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,15 @@ from .common import text_or_empty
 TABLE_WORDS = 300_000
 
 
+def given_back() -> None:
+    """Return freed memory to the system: the driver's JVM needs it once a model is trained."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def fold_of(doc_id):
     """The fold of a document: crc32 of doc_id as text, mod 4 (null: fold 0)."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)), F.lit(0))

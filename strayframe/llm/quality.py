@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, text_or_empty
-from .learning import WordTable, fold_of, labelled, sigmoid
+from .learning import WordTable, fold_of, given_back, labelled, sigmoid
 
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 17
@@ -124,6 +124,12 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 3) -> Mode
     return Model((vectors @ (outputs[:, 1] - outputs[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
+def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Model | float:
+    out = train(labelled(docs, labels, "quality", sample_rows))
+    given_back()
+    return out
+
+
 _tables: dict[int, tuple[float, WordTable]] = {}
 
 
@@ -131,7 +137,7 @@ def quality(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROW
     """doc_id, held_out, score, predicted (score >= THRESHOLD)."""
     spark = docs.sparkSession
     prepare(spark)
-    model = spark.sparkContext.broadcast(train(labelled(docs, labels, "quality", sample_rows)))  # BUCKETS numbers
+    model = spark.sparkContext.broadcast(fitted(docs, labels, sample_rows))  # BUCKETS numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, text_or_empty
-from .learning import Adam, WordTable, average_precision_threshold, fold_of, labelled, sigmoid
+from .learning import Adam, WordTable, average_precision_threshold, fold_of, given_back, labelled, sigmoid
 
 SAMPLE_ROWS = 6000
 BUCKETS = 1 << 15
@@ -101,7 +101,7 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5) -> Netw
     table = WordTable(buckets)
     ids = []
     for r in sample:
-        ids.append(table.lookup([words_of(r[0])]).astype(np.int64))
+        ids.append(table.lookup([words_of(r[0])]))
         table.clear()
     aside = np.arange(len(sample)) % 4 == 3
     fit = np.flatnonzero(~aside)
@@ -131,10 +131,10 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5) -> Netw
         for lo in range(0, len(fit), batch):
             own = fit[lo : lo + batch]
             pad = max(WIDTHS)
-            flat = np.concatenate([np.concatenate([ids[i], np.zeros((pad, ids[i].shape[1]), np.int64)]) for i in own])
+            flat = np.concatenate([np.concatenate([ids[i], np.zeros((pad, ids[i].shape[1]), np.int32)]) for i in own])
             starts = np.cumsum([0, *(len(ids[i]) + pad for i in own[:-1])])
             n, pooled, places = len(flat), [], []
-            flat = np.concatenate([flat, np.zeros((pad, flat.shape[1]), np.int64)])
+            flat = np.concatenate([flat, np.zeros((pad, flat.shape[1]), np.int32)])
             x = embed[flat].sum(axis=1)
             ends = np.append(starts[1:], n)
             for w in WIDTHS:
@@ -174,6 +174,12 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5) -> Netw
     return net
 
 
+def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Network | float:
+    out = train(labelled(docs, labels, "toxic", sample_rows))
+    given_back()
+    return out
+
+
 _tables: dict[int, tuple[float, WordTable]] = {}
 
 
@@ -200,7 +206,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
     """doc_id, held_out, score, predicted (score >= THRESHOLD), threshold of the row's language, rejected (score >= that)."""
     spark = docs.sparkSession
     prepare(spark)
-    model = spark.sparkContext.broadcast(train(labelled(docs, labels, "toxic", sample_rows)))  # (BUCKETS + 1) x FILTERS x 6 floats
+    model = spark.sparkContext.broadcast(fitted(docs, labels, sample_rows))  # (BUCKETS + 1) x FILTERS x 6 floats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
@@ -218,7 +224,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMP
     """docs without the rows that the threshold of their language rejects; all columns stay as they are."""
     spark = docs.sparkSession
     prepare(spark)
-    model = spark.sparkContext.broadcast(train(labelled(docs, labels, "toxic", sample_rows)))
+    model = spark.sparkContext.broadcast(fitted(docs, labels, sample_rows))
     text, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else -1
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
