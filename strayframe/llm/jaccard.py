@@ -6,10 +6,10 @@ fixed-size subsets: a pair of sizes (a, b) needs an overlap of ``c`` shingles, b
 many as any partner must hit, and what meets in a list is verified. The boundary is the one of least cost over the
 sizes of all documents.
 
-The answer is the components, so within a list only pairs that are not connected yet need a look: a list's
-sets are first compared with two leaders, in rounds, and then every pair of the list that is still in two
-components. No link between two components is left out and no list is cut, yet a list of near copies costs its
-length and not its square. A list of up to three sets is done after the first round.
+In a list of up to SHORT sets all pairs of fitting sizes are looked at. The answer is the components, so within a longer
+list only pairs that are not connected yet need a look: its sets are first compared with two leaders, in rounds, and then
+every pair of the list that is still in two components. No link between two components is left out and no list is cut, yet
+a list of near copies costs its length and not its square.
 
 Shingles are 64-bit hashes; two different ones are equal by chance once in 10^19 pairs.
 
@@ -28,7 +28,7 @@ from math import ceil, comb, floor
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +45,8 @@ LIGHT_MOST = 24
 #: Candidates up to this number are sent to the scan by broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 SIGNATURE = 512
+#: Lists of up to so many sets are compared pair by pair.
+SHORT = 16
 #: Rounds with leaders before all remaining pairs of a list are compared.
 LEADER_ROUNDS = 3
 
@@ -175,7 +177,7 @@ def light_links(classes: DataFrame, boundary: int, t: Fraction) -> DataFrame:
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, owners, sides = [], [], []
-            for digest, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for number, rare in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for size in partner_sizes(len(rare), t):
                     if size <= boundary:
                         a, b = sorted((len(rare), size))
@@ -184,11 +186,11 @@ def light_links(classes: DataFrame, boundary: int, t: Fraction) -> DataFrame:
                             continue  # an equal set: the same class
                         for chosen in combinations(sorted(rare), c):
                             keys.append(xxhash.xxh3_128_digest(np.array([a, b, *chosen], dtype=np.int64).tobytes()))
-                            owners.append(digest)
+                            owners.append(number)
                             sides.append(0 if a == b else 1 if len(rare) == a else 2)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.binary()), pa.array(sides, pa.int32())], names=["key", "u", "side"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64()), pa.array(sides, pa.int32())], names=["key", "u", "side"])
 
-    probes = classes.where((F.col("size") > 0) & (F.col("size") <= boundary)).select("digest", "rare").mapInArrow(subsets, "key binary, u binary, side int")
+    probes = classes.where((F.col("size") > 0) & (F.col("size") <= boundary)).select("c", "rare").mapInArrow(subsets, "key binary, u bigint, side int")
     least = [F.min(F.when(F.col("side") == k, F.col("u"))).alias(f"v{k}") for k in range(3)]
     first = probes.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1 and (v0 is not null or v1 is not null and v2 is not null)").drop("n")
     other = F.when(F.col("side") == 0, F.col("v0")).when(F.col("side") == 1, F.col("v2")).otherwise(F.col("v1"))
@@ -196,33 +198,51 @@ def light_links(classes: DataFrame, boundary: int, t: Fraction) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs whose whole sets reach the similarity."""
-    wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("digest")).distinct().join(classes.select("digest", "least").hint("merge"), "digest"), "wanted")
+    """The pairs (u, v) of class numbers whose signatures, and then whole sets, reach the similarity."""
+    spark = docs.sparkSession
+    for side in ("u", "v"):
+        pairs = pairs.join(classes.select(F.col("c").alias(side), *(F.col(k).alias(f"{side}_{k}") for k in ("size", "sign", "digest"))).hint("merge"), side)
+    apart = F.aggregate(F.zip_with("u_sign", "v_sign", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+    alike = pairs.where(apart * (t.denominator + t.numerator) <= (F.col("u_size") + F.col("v_size")) * (t.denominator - t.numerator))
+    alike = stored(alike.select("u", "v", "u_digest", "v_digest"), "alike")
+    wanted = stored(alike.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "least").hint("merge"), "c"), "wanted")
     sets = _whole_sets(docs, wanted, n)
-    left = sets.select(F.col("digest").alias("u"), F.col("shingles").alias("a")).hint("merge")
-    right = sets.select(F.col("digest").alias("v"), F.col("shingles").alias("b")).hint("merge")
+    left = sets.select(F.col("digest").alias("u_digest"), F.col("shingles").alias("a")).hint("merge")
+    right = sets.select(F.col("digest").alias("v_digest"), F.col("shingles").alias("b")).hint("merge")
     both = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - both
-    out = stored(pairs.join(left, "u").join(right, "v").where(both * t.denominator >= union * t.numerator).select("u", "v"), "links")
-    release(docs.sparkSession, wanted, sets)
+    out = stored(alike.join(left, "u_digest").join(right, "v_digest").where(both * t.denominator >= union * t.numerator).select("u", "v"), "links")
+    release(spark, alike, wanted, sets)
     return out
 
 
-def _may_link(a: str, b: str, t: Fraction):
-    """Sizes and signatures that allow for the similarity; a and b: prefixes of the two sides' columns."""
-    size, other = F.col(f"{a}size"), F.col(f"{b}size")
-    fits = (size * t.denominator >= other * t.numerator) & (other * t.denominator >= size * t.numerator)
-    apart = F.aggregate(F.zip_with(f"{a}sign", f"{b}sign", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
-    return fits & (apart * (t.denominator + t.numerator) <= (size + other) * (t.denominator - t.numerator))
+def _fits(size: Column, other: Column, boundary: int, t: Fraction) -> Column:
+    """Sizes that allow for the similarity, one of them above the boundary."""
+    return (size * t.denominator >= other * t.numerator) & (other * t.denominator >= size * t.numerator) & (F.greatest(size, other) > boundary)
+
+
+def _all_pairs(short: DataFrame, boundary: int, t: Fraction) -> DataFrame:
+    """(u, v) with u > v of lists of up to SHORT sets."""
+    members = short.groupBy("s").agg(F.collect_list(F.struct("c", "size")).alias("m"))
+    pairs = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["c"] < x["c"]) & _fits(x["size"], y["size"], boundary, t)), lambda y: F.struct(x["c"].alias("u"), y["c"].alias("v"))))
+    return members.select(F.explode(F.flatten(pairs)).alias("p")).select("p.u", "p.v").distinct()
 
 
 def _led(placed: DataFrame, boundary: int, t: Fraction) -> DataFrame:
-    """(u, v): in each list, two sets of different components lead; the sets outside a leader's component that may link to it."""
-    first = F.struct("root", "size", "digest", "sign")
-    lead = placed.groupBy("s").agg(F.min(first).alias("a"), F.max(first).alias("b")).where("a.root <> b.root")
-    ends = lead.select("s", F.explode(F.array("a", "b")).alias("lead")).select("s", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("root", "size", "digest", "sign")))
-    pairs = placed.join(ends.hint("merge"), "s").where((F.col("root") != F.col("lead_root")) & (F.greatest("size", "lead_size") > boundary) & _may_link("", "lead_", t))
-    return pairs.select(F.greatest("digest", "lead_digest").alias("u"), F.least("digest", "lead_digest").alias("v")).distinct()
+    """(u, v): in each list, two sets of different components lead; the sets outside a leader's component whose size fits."""
+    lead = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *(f("root", F.struct("c", "size")).alias(k) for f, k in ((_of_least, "a"), (_of_most, "b")))).where("r0 <> r1")
+    ends = lead.select("s", F.explode(F.array(F.struct(F.col("r0").alias("root"), "a.c", "a.size"), F.struct(F.col("r1").alias("root"), "b.c", "b.size"))).alias("lead"))
+    ends = ends.select("s", *(F.col(f"lead.{k}").alias(f"lead_{k}") for k in ("root", "c", "size")))
+    pairs = placed.join(ends.hint("merge"), "s").where((F.col("root") != F.col("lead_root")) & _fits(F.col("size"), F.col("lead_size"), boundary, t))
+    return pairs.select(F.greatest("c", "lead_c").alias("u"), F.least("c", "lead_c").alias("v")).distinct()
+
+
+def _of_least(root: str, row: Column) -> Column:
+    return F.min(F.struct(root, row.alias("x")))["x"]
+
+
+def _of_most(root: str, row: Column) -> Column:
+    return F.max(F.struct(root, row.alias("x")))["x"]
 
 
 def near_copies(docs: DataFrame, *, n: int = 4, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
@@ -231,47 +251,46 @@ def near_copies(docs: DataFrame, *, n: int = 4, similarity: Fraction = Fraction(
     prepare(spark)
     table = set_table(docs, n, t)
     classes = table.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("rare").alias("rare"))
-    classes = stored(classes, "classes")
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
     sizes = {r[0]: r[1] for r in classes.where(F.col("size") <= 2 * LIGHT_MOST).groupBy("size").count().toLocalIterator()}
     boundary = boundary_of(sizes, t)
     found = stored(light_links(classes, boundary, t), "links")
 
     cut = F.col("size") - F.ceil(F.col("size") * t.numerator / t.denominator) + 1
     reach = classes.where(F.col("size") * t.denominator > boundary * t.numerator)  # has partners above the boundary
-    lists = reach.select("digest", "size", F.explode(F.slice("rare", 1, cut.cast("int"))).alias("s"))
-    shared = lists.groupBy("s").agg(F.count("*").alias("n"), F.max("size").alias("top")).where((F.col("n") > 1) & (F.col("top") > boundary)).select("s", "n")
-    lists = lists.select("digest", "s").join(shared.hint("merge"), "s").join(classes.select("digest", "size", "sign").hint("merge"), "digest")
-    lists = stored(lists, "lists")
+    lists = reach.select("c", F.col("size").cast("int").alias("size"), F.explode(F.slice("rare", 1, cut.cast("int"))).alias("s"))
+    shared = lists.groupBy("s").agg(F.count("*").cast("int").alias("n"), F.max("size").alias("top")).where((F.col("n") > 1) & (F.col("top") > boundary)).select("s", "n")
+    lists = stored(lists.join(shared.hint("merge"), "s"), "lists")
     release(spark)
 
-    done = stored(_led(lists.withColumn("root", F.col("digest")), boundary, t), "pairs")
-    long = stored(lists.where("n > 3"), "long")
-    release(spark, lists)
-    fresh, spent = done, []
-    for _ in range(LEADER_ROUNDS):
+    long = lists.where(F.col("n") > SHORT)
+    done = stored(_led(long.withColumn("root", F.col("c")), boundary, t), "pairs")
+    fresh = stored(_all_pairs(lists.where(F.col("n") <= SHORT), boundary, t).unionByName(done).distinct(), "pairs")
+    spent = []
+    for turn in range(LEADER_ROUNDS):
         links = verified(fresh, docs, classes, n, t)
         found = stored(found.unionByName(links), "links")
-        if links.isEmpty():
-            break
         placed = _placed(long, found)
         fresh = stored(_led(placed, boundary, t).join(done, ["u", "v"], "left_anti"), "pairs")
         release(spark, placed, links)
         spent.append(fresh)
+        if fresh.isEmpty():
+            break
         done = done.unionByName(fresh)
-    else:
-        found = stored(found.unionByName(verified(fresh, docs, classes, n, t)), "links")
+        if turn + 1 == LEADER_ROUNDS:
+            found = stored(found.unionByName(verified(fresh, docs, classes, n, t)), "links")
     placed = _placed(long, found)
     split = placed.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
     rest = stored(placed.join(split.hint("merge"), "s"), "rest")
-    other = rest.select("s", *(F.col(c).alias(f"v_{c}") for c in ("digest", "size", "sign", "root")))
-    pairs = rest.join(other.hint("merge"), "s").where((F.col("digest") > F.col("v_digest")) & (F.col("root") != F.col("v_root")) & (F.greatest("size", "v_size") > boundary) & _may_link("", "v_", t))
-    pairs = stored(pairs.select(F.col("digest").alias("u"), F.col("v_digest").alias("v")).distinct().join(done, ["u", "v"], "left_anti"), "pairs")
-    release(spark, placed, rest, long)
+    other = rest.select("s", *(F.col(k).alias(f"v_{k}") for k in ("c", "size", "root")))
+    pairs = rest.join(other.hint("merge"), "s").where((F.col("c") > F.col("v_c")) & (F.col("root") != F.col("v_root")) & _fits(F.col("size"), F.col("v_size"), boundary, t))
+    pairs = stored(pairs.select(F.col("c").alias("u"), F.col("v_c").alias("v")).distinct().join(done, ["u", "v"], "left_anti"), "pairs")
+    release(spark, placed, rest, lists)
     if not pairs.isEmpty():
         found = stored(found.unionByName(verified(pairs, docs, classes, n, t)), "links")
 
     joined = components(found)
-    named = classes.select("digest", "least").join(joined.withColumnRenamed("node", "digest").hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    named = classes.select("c", "digest", "least").join(joined.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(named.join(smallest.hint("merge"), "root").select("digest", "component_id"), "named")
     release(spark, classes, pairs, *spent)
@@ -281,12 +300,12 @@ def near_copies(docs: DataFrame, *, n: int = 4, similarity: Fraction = Fraction(
 
 def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
     """The lists with each set's component, as far as two rounds tell it."""
-    roots = labels(links).withColumnRenamed("node", "digest")
-    return stored(lists.join(roots.hint("merge"), "digest", "left").withColumn("root", F.coalesce("root", "digest")), "placed")
+    roots = labels(links).withColumnRenamed("node", "c")
+    return stored(lists.join(roots.hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c")), "placed")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(digest, shingles) of the wanted classes (digest, least): a text of each made into its set again. A doc_id that stands
+    """(digest, shingles) of the wanted classes (c, least): a text of each made into its set again. A doc_id that stands
     for several texts gives the sets of all of them, those not asked for fall out."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
