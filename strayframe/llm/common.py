@@ -56,12 +56,13 @@ def _remove_all() -> None:
             return
 
 
-def stored(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
+def stored(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again. A lost executor costs only
-    the tasks that were still running, and every later read sees the same rows."""
+    the tasks that were still running, and every later read sees the same rows. Compressed by zstd, whose buffers are on the
+    heap; those of lz4 and snappy are not and go unfreed until the heap is collected."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

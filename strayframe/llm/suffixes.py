@@ -204,7 +204,7 @@ def repeats(docs: DataFrame, *, least: int = 50) -> DataFrame:
     texts = rows.join(wanted.hint("shuffle_hash"), "dk")
     held = texts.select("dk", "doc_id", "text", "places").mapInArrow(contexts, SORTED)
     order = ["right", "left", "dk", "pos"]
-    ranged = stored(held, "suffixes", "lz4").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    ranged = stored(held, "suffixes").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     found = stored(ranged.select("dk", "doc_id", "pos", "right", "left").mapInArrow(_compare(least, True), FOUND), "matches")
     ends = found.where("edge").select("dk", "doc_id", "pos", "right", "left").repartition(1).sortWithinPartitions(*order).mapInArrow(_compare(least, False), FOUND)
     spans = found.where("not edge").unionByName(ends).select("dk", "doc_id", "start", "stop", "twin_id")
