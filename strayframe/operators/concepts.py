@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,29 +35,20 @@ def top_labels(detections: DataFrame, least: float, most: int) -> DataFrame:
     return one.withColumn("n", F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("score"), "box"))).where(F.col("n") <= most)
 
 
+def _iou(a: Column, b: Column) -> Column:
+    w = F.greatest(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.lit(0.0))
+    h = F.greatest(F.least(a["y1"], b["y1"]) - F.greatest(a["y0"], b["y0"]), F.lit(0.0))
+    of = lambda r: (r["x1"] - r["x0"]) * (r["y1"] - r["y0"])
+    return F.coalesce(F.try_divide(w * h, of(a) + of(b) - w * h), F.lit(0.0))
+
+
 def greedy_boxes(boxes: DataFrame, most_iou: float, most: int) -> DataFrame:
     """frame, concept, score, x0, y0, x1, y1: boxes by falling score, each kept unless it overlaps a kept one of the frame by more
     than ``most_iou`` or its concept is kept already; up to ``most`` a frame. What is kept depends on what was kept before, so
-    a frame is worked through in one go; a frame holds the boxes of one image."""
-    columns = ["frame", "concept", "score", "x0", "y0", "x1", "y1"]
-    types = dict(boxes.dtypes)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["score", "x0", "y0", "concept"], ascending=[False, True, True, True], kind="stable")[columns]
-        kept: list[tuple] = []
-        for r in rows.itertuples(index=False):
-            clear = all(r.concept != k.concept and _iou(r, k) <= most_iou for k in kept)
-            if clear:
-                kept.append(r)
-            if len(kept) == most:
-                break
-        return pd.DataFrame(kept, columns=columns)
-
-    return boxes.groupBy("frame").applyInPandas(pick, ", ".join(f"{c} {types[c]}" for c in columns))
-
-
-def _iou(a, b) -> float:
-    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - w * h)
+    a frame is a fold over its sorted boxes; a frame holds the boxes of one image."""
+    row = F.struct((-F.col("score")).alias("down"), "x0", "y0", "concept", "x1", "y1")
+    sorted_ = boxes.groupBy("frame").agg(F.array_sort(F.collect_list(row)).alias("b"))
+    none = F.slice("b", 1, 0)
+    clear = lambda kept, b: (F.size(kept) < most) & ~F.exists(kept, lambda k: (k["concept"] == b["concept"]) | (_iou(k, b) > most_iou))
+    kept = F.aggregate("b", none, lambda kept, b: F.when(clear(kept, b), F.concat(kept, F.array(b))).otherwise(kept))
+    return sorted_.select("frame", F.explode(kept).alias("k")).select("frame", "k.concept", (-F.col("k.down")).alias("score"), "k.x0", "k.y0", "k.x1", "k.y1")
