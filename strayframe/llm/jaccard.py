@@ -67,10 +67,25 @@ def shingle_set(text: str, n: int) -> np.ndarray:
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
-    odd = np.bincount((shingles % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    """Parities as 64-bit words; a power of two of bits, so that the two halves of a longer one XORed are a shorter one."""
+    bits = max(SIGNATURE, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else SIGNATURE
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def bits_apart(a: str, b: str) -> Column:
+    """Bits in which two signatures differ, the longer one being folded once; 0 if their lengths are further apart."""
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+    def folded(x: str, other: str) -> Column:
+        half = F.floor(F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), xor(F.slice(x, 1, half), F.slice(x, half + 1, half))).otherwise(F.col(x))
+
+    short = F.greatest(F.size(a), F.size(b)) <= 2 * F.least(F.size(a), F.size(b))
+    count = F.aggregate(xor(folded(a, b), folded(b, a)), F.lit(0), lambda k, x: k + F.bit_count(x))
+    return F.when(short, count).otherwise(0)
+
+
 def overlap(a: int, b: int, t: Fraction) -> int:
     """The least intersection of sets of sizes a and b whose Jaccard similarity is t or more."""
     return ceil(Fraction(a + b) * t / (1 + t))
@@ -202,8 +217,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t: F
     spark = docs.sparkSession
     for side in ("u", "v"):
         pairs = pairs.join(classes.select(F.col("c").alias(side), *(F.col(k).alias(f"{side}_{k}") for k in ("size", "sign", "digest"))).hint("merge"), side)
-    apart = F.aggregate(F.zip_with("u_sign", "v_sign", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
-    alike = pairs.where(apart * (t.denominator + t.numerator) <= (F.col("u_size") + F.col("v_size")) * (t.denominator - t.numerator))
+    alike = pairs.where(bits_apart("u_sign", "v_sign") * (t.denominator + t.numerator) <= (F.col("u_size") + F.col("v_size")) * (t.denominator - t.numerator))
     alike = stored(alike.select("u", "v", "u_digest", "v_digest"), "alike")
     wanted = stored(alike.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "least").hint("merge"), "c"), "wanted")
     sets = _whole_sets(docs, wanted, n)

@@ -54,13 +54,18 @@ def test_components_against_all_pairs(docs_of, n, t):
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in rows] == brute(texts, n, t)
 
 
-def test_signatures_never_differ_more_than_sets():
+def test_signatures_never_differ_more_than_sets(spark):
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 400)).astype(np.uint64))
-        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 62, rng.integers(0, 60)).astype(np.uint64)]))
-        apart = sum(int(x).bit_count() for x in (jaccard.signature(a) ^ jaccard.signature(b)).view(np.uint64))
-        assert apart <= len(np.setxor1d(a, b))
+    rows, want = [], []
+    for _ in range(300):
+        a = np.unique(rng.integers(0, 1 << 62, rng.choice([1, 20, 400, 510, 514, 1020, 1030, 3000])).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.choice([0.1, 0.9, 1])], rng.integers(0, 1 << 62, rng.integers(0, 60)).astype(np.uint64)]))
+        rows.append((jaccard.signature(a).tolist(), jaccard.signature(b).tolist()))
+        want.append(len(np.setxor1d(a, b)))
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<long>, b array<long>")
+    got = [r.d for r in df.select("k", jaccard.bits_apart("a", "b").alias("d")).orderBy("k").collect()]
+    assert all(d <= w for d, w in zip(got, want, strict=True))
+    assert sum(d > w / 3 for d, w in zip(got, want, strict=True)) > 150
 
 
 def test_one_of_each_keeps_the_first_and_all_wordless(docs_of):
