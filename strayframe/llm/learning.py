@@ -32,12 +32,23 @@ def fold_of(doc_id):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)), F.lit(0))
 
 
+def training_labels(labels: DataFrame, label: str, held_out: int = 2) -> DataFrame:
+    """doc_id, label, draw (hash of doc_id) of all labelled rows outside the held-out fold."""
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    return known.where(fold_of("doc_id") != held_out).withColumn("draw", F.xxhash64("doc_id"))
+
+
+def label_weights(labels: DataFrame, label: str, rows: int, held_out: int = 2) -> tuple[float, float]:
+    """What a row of :func:`labelled` with label 0 and with label 1 stands for: training labels behind each sampled one."""
+    many = dict(training_labels(labels, label, held_out).groupBy("label").count().collect())  # two rows
+    return tuple(max(1.0, many.get(value, 0) / max(1, rows // 2)) for value in (0, 1))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out: int = 2) -> list[tuple[str, int, str | None, int]]:
     """(text, label, lang, draw) of at most ``rows`` labelled rows outside the held-out fold, each label up to one half.
     The rows are those with the smallest hash of doc_id, so the sample is the same for any order of the input.
     lang serves thresholds alone."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    known = known.where(fold_of("doc_id") != held_out).withColumn("draw", F.xxhash64("doc_id"))
+    known = training_labels(labels, label, held_out)
     picked = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy("draw", "doc_id").limit(rows // 2)
@@ -96,13 +107,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def average_precision_threshold(scores: np.ndarray, truth: np.ndarray, default: float) -> float:
-    """The score above which F1 is best: the middle of the gap below the last accepted score."""
+def average_precision_threshold(scores: np.ndarray, truth: np.ndarray, default: float, weights: np.ndarray) -> float:
+    """The score above which F1 of the weighted rows is best: the middle of the gap below the last accepted score."""
     if not len(scores) or truth.sum() < 5 or truth.sum() == len(truth):
         return default
     order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + truth.sum())
+    s, hits = scores[order], np.cumsum((weights * truth)[order])
+    f1 = 2 * hits / (np.cumsum(weights[order]) + hits[-1])
     f1[:-1][s[:-1] == s[1:]] = -1  # a threshold cannot part equal scores
     best = int(np.argmax(f1))
     return float(s[best] / 2 + (s[best + 1] if best + 1 < len(s) else 0.0) / 2)

@@ -3,7 +3,8 @@
 A word's embedding is the sum of the hashed embeddings of the word and of its first four and five letters (inflected forms
 share those); filters of several widths run over the embeddings, each filter's maximum over the
 document is kept, and a logistic layer scores the maxima. Embeddings, filters and the output layer are trained by Adam on
-a bounded sample of labelled rows (SAMPLE_ROWS, half of each label where there are as many). One embedding dimension for
+a bounded sample of labelled rows (SAMPLE_ROWS, half of each label where there are as many); each row counts as many
+training labels as it stands for, so scores and thresholds refer to the labels' own rate at every size. One embedding dimension for
 words and one for each kind of beginning start from the label's shrunken log odds in the sample, the others at random. Thresholds are calibrated by language on
 a quarter of the sample that the fit has not seen; a language with few toxic rows there has the common threshold.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, text_or_empty
-from .learning import Adam, WordTable, average_precision_threshold, fold_of, given_back, labelled, sigmoid
+from .learning import Adam, WordTable, average_precision_threshold, fold_of, given_back, label_weights, labelled, sigmoid
 
 SAMPLE_ROWS = 6000
 BUCKETS = 1 << 15
@@ -92,11 +93,13 @@ class Network:
         return sigmoid((hidden * self.weights).sum(axis=1) + self.bias)  # each row for itself: equal texts, equal scores
 
 
-def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5) -> Network | float:
-    """Fit on the sample; without both labels, the share of ones."""
+def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5, weights_of: tuple[float, float] = (1.0, 1.0)) -> Network | float:
+    """Fit on the sample, whose rows of each label stand for ``weights_of`` rows; without both labels, the share of ones."""
     truth = np.array([r[1] for r in sample], dtype=np.float64)
     if not len(truth) or truth.min() == truth.max():
         return float(truth.mean()) if len(truth) else 0.0
+    stands = np.where(truth == 1, weights_of[1], weights_of[0])
+    stands /= stands.mean()
     rng = np.random.default_rng(seed)
     table = WordTable(buckets)
     ids = []
@@ -144,7 +147,7 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5) -> Netw
                 pooled.append(np.take_along_axis(out, best, axis=0))
             before = np.concatenate(pooled, axis=1) + offsets
             hidden = np.maximum(before, 0)
-            error = (sigmoid(hidden @ weights + bias[0]) - truth[own]) / len(own)
+            error = stands[own] * (sigmoid(hidden @ weights + bias[0]) - truth[own]) / len(own)
             back = error[:, None] * weights * (before > 0)
             d_embed = np.zeros_like(embed)
             for k, w in enumerate(WIDTHS):
@@ -167,15 +170,15 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5) -> Netw
     table = WordTable(net.of_words)
     scores = np.concatenate([net.scores([words_of(sample[i][0])], table) for i in rest]) if len(rest) else np.zeros(0)
     langs = np.array([str(sample[i][2]) for i in rest])
-    net.thresholds[None] = average_precision_threshold(scores, truth[rest], THRESHOLD)
+    net.thresholds[None] = average_precision_threshold(scores, truth[rest], THRESHOLD, stands[rest])
     for lang in {sample[i][2] for i in rest} - {None}:
         own = langs == str(lang)
-        net.thresholds[lang] = average_precision_threshold(scores[own], truth[rest][own], net.thresholds[None])
+        net.thresholds[lang] = average_precision_threshold(scores[own], truth[rest][own], net.thresholds[None], stands[rest][own])
     return net
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Network | float:
-    out = train(labelled(docs, labels, "toxic", sample_rows))
+    out = train(labelled(docs, labels, "toxic", sample_rows), weights_of=label_weights(labels, "toxic", sample_rows))
     given_back()
     return out
 

@@ -49,3 +49,12 @@ def test_the_filter_keeps_columns_and_clean_rows(spark, docs_of):
     kept = toxicity.without_toxic(docs, labels)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(range(60))
+
+
+def test_scores_refer_to_the_rate_of_all_labels_and_not_of_the_sample(spark, docs_of):
+    """Nine texts of ten are clean and nothing in them tells which: scores are near 0.1, also where the sample is half toxic."""
+    texts = [f"plain words {i % 7}" for i in range(2000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)], "doc_id long, toxic int")
+    for rows in (200, 4000):
+        scores = [r.score for r in toxicity.toxicity(docs_of(texts), labels, sample_rows=rows).collect()]
+        assert abs(np.mean(scores) - 0.1) < 0.06, rows
