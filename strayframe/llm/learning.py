@@ -107,13 +107,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def average_precision_threshold(scores: np.ndarray, truth: np.ndarray, default: float, weights: np.ndarray) -> float:
-    """The score above which F1 of the weighted rows is best: the middle of the gap below the last accepted score."""
-    if not len(scores) or truth.sum() < 5 or truth.sum() == len(truth):
+def best_threshold(low: np.ndarray, high: np.ndarray, positives: np.ndarray, counts: np.ndarray, weights: tuple[float, float], default: float) -> float:
+    """The score above which F1 is best, from bins of scores: the middle of the gap below the last accepted bin.
+    low, high: the least and the greatest score of each bin; positives, counts: its rows of label 1 and all of its rows;
+    weights: what a row of label 0 and one of label 1 stands for."""
+    if positives.sum() < 5 or positives.sum() == counts.sum():
         return default
-    order = np.argsort(-scores, kind="stable")
-    s, hits = scores[order], np.cumsum((weights * truth)[order])
-    f1 = 2 * hits / (np.cumsum(weights[order]) + hits[-1])
-    f1[:-1][s[:-1] == s[1:]] = -1  # a threshold cannot part equal scores
+    order = np.argsort(-low, kind="stable")
+    low, high, hits = low[order], high[order], np.cumsum(weights[1] * positives[order])
+    f1 = 2 * hits / (np.cumsum(weights[0] * (counts - positives)[order]) + hits + hits[-1])
     best = int(np.argmax(f1))
-    return float(s[best] / 2 + (s[best + 1] if best + 1 < len(s) else 0.0) / 2)
+    return float(low[best] / 2 + (high[best + 1] if best + 1 < len(low) else 0.0) / 2)

@@ -5,8 +5,9 @@ share those); filters of several widths run over the embeddings, each filter's m
 document is kept, and a logistic layer scores the maxima. Embeddings, filters and the output layer are trained by Adam on
 a bounded sample of labelled rows (SAMPLE_ROWS, half of each label where there are as many); each row counts as many
 training labels as it stands for, so scores and thresholds refer to the labels' own rate at every size. One embedding dimension for
-words and one for each kind of beginning start from the label's shrunken log odds in the sample, the others at random. Thresholds are calibrated by language on
-a quarter of the sample that the fit has not seen; a language with few toxic rows there has the common threshold.
+words and one for each kind of beginning start from the label's shrunken log odds in the sample, the others at random. A quarter
+of the sample is left out of the fit. Thresholds are calibrated by language on all labelled rows outside the held-out
+fold that the fit has not seen, counted by bins of scores; a language with fewer than 5 toxic rows there has the common one.
 
 Scoring is exact over whole texts: a filter over embeddings is a sum of one table row for each of its words, so
 scoring is table lookups and maxima.
@@ -20,15 +21,16 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import prepare, text_or_empty
-from .learning import Adam, WordTable, average_precision_threshold, fold_of, given_back, label_weights, labelled, sigmoid
+from .common import prepare, stored, text_or_empty
+from .learning import Adam, WordTable, best_threshold, fold_of, given_back, label_weights, labelled, sigmoid, training_labels
 
 SAMPLE_ROWS = 6000
 BUCKETS = 1 << 15
@@ -40,6 +42,8 @@ EPOCHS = 6
 #: A small sample is gone through more often, up to so many steps of BATCH rows.
 LEAST_STEPS, BATCH = 500, 64
 THRESHOLD = 0.3
+#: Bins of scores that thresholds are chosen between.
+BINS = 1024
 EDGES = "!?.,;:|()[]{}\"'`*_-…«»¡¿"
 
 
@@ -60,13 +64,14 @@ def buckets(words: list[str]) -> np.ndarray:
 
 @dataclass
 class Network:
-    """tables: what each place of each filter gets from a row of the embedding table (places x filters columns)."""
+    """tables: what each place of each filter gets from a row of the embedding table (places x filters columns).
+    seen: the draws of the rows that the fit has seen."""
 
     tables: np.ndarray
     offsets: np.ndarray
     weights: np.ndarray
     bias: float
-    thresholds: dict[str | None, float] = field(default_factory=dict)
+    seen: tuple[int, ...] = ()
 
     def of_words(self, words: list[str]) -> np.ndarray:
         return self.tables[buckets(words)].sum(axis=1)
@@ -165,16 +170,7 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5, weights
             steps["offsets"].step(back.sum(axis=0))
             steps["bias"].step(np.array([error.sum()]))
     single = embed.astype(np.float32)
-    net = Network(np.concatenate([single @ kernels[w][j].astype(np.float32) for w in WIDTHS for j in range(w)], axis=1), offsets.astype(np.float32), weights.astype(np.float32), float(bias[0]))
-    rest = np.flatnonzero(aside)
-    table = WordTable(net.of_words)
-    scores = np.concatenate([net.scores([words_of(sample[i][0])], table) for i in rest]) if len(rest) else np.zeros(0)
-    langs = np.array([str(sample[i][2]) for i in rest])
-    net.thresholds[None] = average_precision_threshold(scores, truth[rest], THRESHOLD, stands[rest])
-    for lang in {sample[i][2] for i in rest} - {None}:
-        own = langs == str(lang)
-        net.thresholds[lang] = average_precision_threshold(scores[own], truth[rest][own], net.thresholds[None], stands[rest][own])
-    return net
+    return Network(np.concatenate([single @ kernels[w][j].astype(np.float32) for w in WIDTHS for j in range(w)], axis=1), offsets.astype(np.float32), weights.astype(np.float32), float(bias[0]), tuple(sample[i][3] for i in fit))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Network | float:
@@ -205,37 +201,75 @@ def _score(net: Network | float, texts: list[str]) -> np.ndarray:
     return out
 
 
+def calibrated(scored: DataFrame, labels: DataFrame, net: Network | float) -> tuple[float, DataFrame]:
+    """(common threshold, a row (cut_lang, cut) for each language with labelled rows). scored: doc_id, lang, score of all rows.
+    Labelled rows that the fit has not seen are counted; each stands for its share of all labelled rows of its label."""
+    spark = scored.sparkSession
+    common, cuts = THRESHOLD, []
+    if not isinstance(net, float):
+        seen = spark.createDataFrame([(draw, True) for draw in net.seen], "draw bigint, seen boolean")
+        rows = scored.join(training_labels(labels, "toxic"), "doc_id").join(F.broadcast(seen), "draw", "left")  # SAMPLE_ROWS rows at most
+        bins = rows.groupBy("lang", "label", F.floor(F.col("score") * BINS).alias("bin")).agg(
+            F.count_if(F.col("seen").isNull()).alias("n"), F.count("*").alias("many"), F.min(F.when(F.col("seen").isNull(), F.col("score"))).alias("low"), F.max(F.when(F.col("seen").isNull(), F.col("score"))).alias("high")
+        ).collect()  # fmt: skip  # BINS rows a label and language at most
+        weights = tuple(sum(r.many for r in bins if r.label == value) / max(1, sum(r.n for r in bins if r.label == value)) for value in (0, 1))
+
+        def threshold(own: list, default: float) -> float:
+            by_bin: dict[int, list] = {}
+            for r in own:
+                at = by_bin.setdefault(r.bin, [r.low, r.high, 0, 0])
+                by_bin[r.bin] = [min(at[0], r.low), max(at[1], r.high), at[2] + r.label * r.n, at[3] + r.n]
+            return best_threshold(*np.array([*by_bin.values()], dtype=np.float64).reshape(-1, 4).T, weights, default)
+
+        bins = [r for r in bins if r.n]
+        common = threshold(bins, THRESHOLD)
+        by_lang: dict[str, list] = {}
+        for r in bins:
+            by_lang.setdefault(r.lang, []).append(r)
+        cuts = [(lang, threshold(own, common)) for lang, own in by_lang.items() if lang is not None]
+    return common, spark.createDataFrame(cuts, "cut_lang string, cut double")
+
+
+def _lang(docs: DataFrame):
+    return F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= THRESHOLD), threshold of the row's language, rejected (score >= that)."""
     spark = docs.sparkSession
     prepare(spark)
-    model = spark.sparkContext.broadcast(fitted(docs, labels, sample_rows))  # (BUCKETS + 1) x FILTERS x 6 floats
+    net = fitted(docs, labels, sample_rows)
+    model = spark.sparkContext.broadcast(net)  # (BUCKETS + 1) x FILTERS x 6 floats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
-        limits = {} if isinstance(net, float) else net.thresholds
         for batch in batches:
-            s = _score(net, batch.column(3).to_pylist())
-            cut = np.array([limits.get(x, limits.get(None, THRESHOLD)) for x in batch.column(2).to_pylist()], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32)), pa.array(cut), pa.array(s >= cut)], names=["doc_id", "held_out", "score", "predicted", "threshold", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_score(model.value, batch.column(3).to_pylist()), pa.float64())], names=["doc_id", "held_out", "lang", "score"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold_of("doc_id") == 2).alias("held_out"), (F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")).alias("lang"), text_or_empty().alias("text"))
-    return rows.mapInArrow(score, "doc_id bigint, held_out boolean, score double, predicted int, threshold double, rejected boolean")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold_of("doc_id") == 2).alias("held_out"), _lang(docs).alias("lang"), text_or_empty().alias("text"))
+    scored = stored(rows.mapInArrow(score, "doc_id bigint, held_out boolean, lang string, score double"), "scores")
+    common, cuts = calibrated(scored, labels, net)
+    found = scored.join(F.broadcast(cuts), F.col("lang") == F.col("cut_lang"), "left").withColumn("threshold", F.coalesce("cut", F.lit(common)))  # a row a language
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without the rows that the threshold of their language rejects; all columns stay as they are."""
+    """docs without the rows that the threshold of their language rejects; all columns stay as they are. Rows are stored
+    with their scores, so each is scored once."""
     spark = docs.sparkSession
     prepare(spark)
-    model = spark.sparkContext.broadcast(fitted(docs, labels, sample_rows))
-    text, lang = docs.columns.index("text"), docs.columns.index("lang") if "lang" in docs.columns else -1
+    net = fitted(docs, labels, sample_rows)
+    model = spark.sparkContext.broadcast(net)
+    text, name = docs.columns.index("text"), "score_of_text"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = model.value
-        limits = {} if isinstance(net, float) else net.thresholds
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _score(net, [x or "" for x in batch.column(text).to_pylist()])
-            names = batch.column(lang).to_pylist() if lang >= 0 else [None] * batch.num_rows
-            yield batch.filter(pa.array(s < np.array([limits.get(x, limits.get(None, THRESHOLD)) for x in names])))
-
-    return docs.mapInArrow(keep, docs.schema)
+            s = _score(model.value, [x or "" for x in batch.column(text).to_pylist()])
+            yield batch.append_column(name, pa.array(s, pa.float64()))
+
+    scored = stored(docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())])), "scored")
+    common, cuts = calibrated(scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), _lang(docs).alias("lang"), F.col(name).alias("score")), labels, net)
+    cuts = cuts.select(F.col("cut_lang").alias(f"{name}_lang"), F.col("cut").alias(f"{name}_cut"))
+    found = scored.join(F.broadcast(cuts), _lang(docs) == F.col(f"{name}_lang"), "left")  # a row a language
+    return found.where(F.col(name) < F.coalesce(F.col(f"{name}_cut"), F.lit(common))).drop(name, f"{name}_lang", f"{name}_cut")

@@ -58,3 +58,20 @@ def test_scores_refer_to_the_rate_of_all_labels_and_not_of_the_sample(spark, doc
     for rows in (200, 4000):
         scores = [r.score for r in toxicity.toxicity(docs_of(texts), labels, sample_rows=rows).collect()]
         assert abs(np.mean(scores) - 0.1) < 0.06, rows
+
+
+def test_a_rare_language_gets_its_threshold_from_all_labelled_rows(spark):
+    """xx has one row in twelve, so next to none in the sample; "mild" is toxic there and mostly clean in en."""
+    rows = []
+    for i in range(2400):
+        lang, toxic = ("xx", i % 24 == 0) if i % 12 == 0 else ("en", i % 4 == 1)
+        rows.append((i, ("mild tone" if lang == "xx" or i % 5 == 0 else "vile hate") if toxic else ("mild tone" if i % 3 == 2 else "good day"), lang, int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs, labels = df.drop("toxic"), df.select("doc_id", "toxic")
+    found = toxicity.toxicity(docs, labels, sample_rows=80).join(df, "doc_id").collect()
+    by = {}
+    for r in found:
+        by.setdefault((r.lang, r.text), set()).add((r.rejected, r.threshold))
+    assert {k: {x for x, _ in v} for k, v in by.items()} == {("en", "good day"): {False}, ("en", "mild tone"): {False}, ("en", "vile hate"): {True}, ("xx", "good day"): {False}, ("xx", "mild tone"): {True}}
+    kept = {r.doc_id for r in toxicity.without_toxic(docs, labels, sample_rows=80).collect()}
+    assert kept == {r.doc_id for r in found if not r.rejected}
