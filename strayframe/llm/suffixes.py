@@ -11,9 +11,12 @@ Suffixes and the words left of them are held as RIGHT and LEFT hashes of three b
 sampled suffix to either side. Neighbours across two ranges are compared in a last step over the ranges' ends. A passage
 that a third of all documents have is a run of equal suffixes, which ranges split anywhere.
 
-Every span is a real repeat. All words of a repeat of ``least`` words or more are found if its neighbour in suffix order is
-a copy of it; where some other suffix comes between, whose match reaches further right but less far left, up to LEFT words
-at the start of the repeat can be missed.
+Where other suffixes that match less far left come between a suffix and its copy, the neighbours do not show the repeat.
+So each window of ``least`` words belongs to the minimiser of its first WINDOW grams, and those windows of a suffix that the
+neighbours' matches do not cover but whose right part is no longer than the longest match to the right (no copy can
+match further) are hashed; equal hashes in two documents are repeats, too.
+
+Every span is a real repeat, and all words of a repeat of ``least`` words or more are found.
 
 Defined cases: null, empty and short texts have no spans. Rows with equal doc_id and text are one document (one set of
 spans); so copies under other ids are repeats. A null doc_id is reported as null. An empty table gives an empty result. Other
@@ -44,28 +47,29 @@ def word_hashes(text: str) -> np.ndarray:
     return np.array([one(w) for w in text.encode().lower().split()], dtype=np.uint64)
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, gram hashes) of the sampled suffixes."""
+def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, gram hashes, reach) of the sampled suffixes. reach: the least and the greatest distance (times WINDOW
+    and added) to the starts of the windows whose minimiser it is."""
     n = len(words) - GRAM + 1
     if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     gram = np.zeros(n, dtype=np.uint64)
     for k in range(GRAM):
         gram = (gram ^ words[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         gram ^= gram >> np.uint64(31)
     if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     best = np.lib.stride_tricks.sliding_window_view(gram, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1)
-    at = np.unique(best)
-    return at, gram[at]
+    at, first, many = np.unique(best, return_index=True, return_counts=True)  # best never falls
+    return at, gram[at], (at - first - many + 1) + WINDOW * (at - first)
 
 
-def _contexts(words: np.ndarray, at: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+def _contexts(words: np.ndarray, at: np.ndarray, longest: int) -> tuple[list[bytes], list[bytes]]:
     """The words right of each place, and those left of it with the nearest first, WIDTH bytes each; what the text lacks is left out."""
     low = words.view(np.uint8).reshape(-1, 8)[:, :WIDTH]
     flat, back = low.tobytes(), low[::-1].tobytes()
     n = len(words)
-    return [flat[a * WIDTH : (a + RIGHT) * WIDTH] for a in at.tolist()], [back[(n - a) * WIDTH : (n - a + LEFT) * WIDTH] for a in at.tolist()]
+    return [flat[a * WIDTH : (a + longest) * WIDTH] for a in at.tolist()], [back[(n - a) * WIDTH : (n - a + LEFT) * WIDTH] for a in at.tolist()]
 
 
 def _matrix(values: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,39 +90,51 @@ def _common(data: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -
 
 
 def _neighbours(rows: dict[str, list], least: int, first: int, last: int) -> list[np.ndarray]:
-    """(owner row, start, stop, twin row) of the matches of rows first to last - 1 with the nearest rows of another document."""
+    """(owner row, start, stop, twin row, window hash) of the matches of rows first to last - 1 with the nearest rows of
+    another document (hash 0), and of the windows that these leave open (twin row: the row itself)."""
     dk = np.array(rows["dk"], dtype=np.int64)
     n = len(dk)
     new = np.flatnonzero(np.concatenate([[True], dk[1:] != dk[:-1]]))
     run = np.searchsorted(new, np.arange(n), side="right") - 1
     before, after = new[run] - 1, np.append(new, n)[run + 1]
-    right, left = _matrix(rows["right"], RIGHT), _matrix(rows["left"], LEFT)
+    right, left = _matrix(rows["right"], max(RIGHT, least)), _matrix(rows["left"], LEFT)
     pos = np.array(rows["pos"], dtype=np.int64)
     own = np.arange(first, last)
-    out = []
+    out, distance = [], np.arange(WINDOW)
+    longest, covered = np.zeros(n, np.int64), np.zeros((last - first, WINDOW), bool)
     for other in (before, after):
         i = own[(other[own] >= 0) & (other[own] < n)]
         j = other[i]
         r, le = _common(*right, i, j), _common(*left, i, j)
         keep = (r >= GRAM) & (r + le >= least)
-        out.append(np.stack([i[keep], (pos[i] - le)[keep], (pos[i] + r)[keep], j[keep]]))
+        out.append(np.stack([i[keep], (pos[i] - le)[keep], (pos[i] + r)[keep], j[keep], np.zeros(int(keep.sum()), np.int64)]))
+        longest[i] = np.maximum(longest[i], r)
+        covered[i - first] |= (distance <= le[:, None]) & (distance >= least - r[:, None])
+    reach = np.array(rows["reach"], dtype=np.int64)[own]
+    open_ = ~covered & (distance >= (reach % WINDOW)[:, None]) & (distance <= (reach // WINDOW)[:, None]) & (distance >= least - longest[own][:, None])
+    k, back = np.nonzero(open_)
+    if len(k):
+        i = own[k]
+        one = xxhash.xxh3_64_intdigest
+        hashes = [one(left[0][a, :b][::-1].tobytes() + right[0][a, : least - b].tobytes()) | 1 for a, b in zip(i.tolist(), back.tolist(), strict=True)]
+        out.append(np.stack([i, pos[i] - back, pos[i] - back + least, i, np.array(hashes, dtype=np.uint64).view(np.int64)]))
     return out
 
 
-SORTED = "dk bigint, doc_id bigint, pos int, right binary, left binary"
-FOUND = "dk bigint, doc_id bigint, start bigint, stop bigint, twin_id bigint, edge boolean, shard int, pos int, right binary, left binary"
+SORTED = "dk bigint, doc_id bigint, pos int, reach int, right binary, left binary"
+FOUND = "dk bigint, doc_id bigint, start bigint, stop bigint, twin_id bigint, edge boolean, shard int, pos int, reach int, right binary, left binary, window bigint"
 
 
 def _emit(rows: dict[str, list], found: list[np.ndarray]) -> pa.RecordBatch:
-    own, start, stop, twin = np.concatenate(found, axis=1)
+    own, start, stop, twin, window = np.concatenate(found, axis=1)
     dk, ids = np.array(rows["dk"], dtype=np.int64), rows["doc_id"]
     n = len(own)
-    return pa.RecordBatch.from_arrays([pa.array(dk[own]), pa.array([ids[k] for k in own.tolist()], pa.int64()), pa.array(start), pa.array(stop), pa.array([ids[k] for k in twin.tolist()], pa.int64()), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in FOUND.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(dk[own]), pa.array([ids[k] for k in own.tolist()], pa.int64()), pa.array(start), pa.array(stop), pa.array([ids[k] for k in twin.tolist()], pa.int64()), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(window, mask=window == 0)], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 def _edges(rows: dict[str, list], picked: list[int], shard: int) -> pa.RecordBatch:
     n, take = len(picked), lambda c: [rows[c][k] for k in picked]
-    return pa.RecordBatch.from_arrays([pa.array(take("dk"), pa.int64()), pa.array(take("doc_id"), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.ones(n, bool)), pa.array([shard] * n, pa.int32()), pa.array(take("pos"), pa.int32()), pa.array(take("right"), pa.binary()), pa.array(take("left"), pa.binary())], names=[x.split()[0] for x in FOUND.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(take("dk"), pa.int64()), pa.array(take("doc_id"), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(np.ones(n, bool)), pa.array([shard] * n, pa.int32()), pa.array(take("pos"), pa.int32()), pa.array(take("reach"), pa.int32()), pa.array(take("right"), pa.binary()), pa.array(take("left"), pa.binary()), pa.nulls(n, pa.int64())], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 def _compare(least: int, with_edges: bool):
@@ -164,7 +180,7 @@ def _compare(least: int, with_edges: bool):
 
 def repeats(docs: DataFrame, *, least: int = 50) -> DataFrame:
     """(doc_id, start, stop, n_words, twin_id): the spans of words that another document has, too. twin_id: the smallest
-    doc_id met next to one of the span's suffixes."""
+    doc_id met next to one of the span's suffixes or with one of its windows."""
     spark = docs.sparkSession
     prepare(spark)
     if least < WINDOW + GRAM - 1:
@@ -177,37 +193,43 @@ def repeats(docs: DataFrame, *, least: int = 50) -> DataFrame:
                 part = batch.slice(lo, 128)
                 dks, keys, at = [], [], []
                 for dk, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    where, gram = minimisers(word_hashes(text))
+                    where, gram, reach = minimisers(word_hashes(text))
                     dks.append(np.full(len(where), dk, dtype=np.int64))
                     keys.append(gram.view(np.int64))
-                    at.append(where.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(dks)), pa.array(np.concatenate(at))], names=["key", "dk", "pos"])
+                    at.append(where * WINDOW * WINDOW + reach)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(dks)), pa.array(np.concatenate(at))], names=["key", "dk", "place"])
 
-    suffixes = rows.select("dk", "text").mapInArrow(sample, "key bigint, dk bigint, pos int")
+    suffixes = rows.select("dk", "text").mapInArrow(sample, "key bigint, dk bigint, place bigint")
     shared = suffixes.groupBy("key").agg(F.min("dk").alias("a"), F.max("dk").alias("b")).where("a <> b").select("key")
-    wanted = suffixes.join(shared.hint("merge"), "key").groupBy("dk").agg(F.collect_set("pos").alias("places"))  # a document's own places
+    wanted = suffixes.join(shared.hint("merge"), "key").groupBy("dk").agg(F.collect_set("place").alias("places"))  # a document's own places
     wanted = stored(wanted, "places")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                columns: list[list] = [[], [], [], [], []]
+                columns: list[list] = [[], [], [], [], [], []]
                 for dk, doc_id, text, places in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    at = np.sort(np.array(places, dtype=np.int64))
-                    right, left = _contexts(word_hashes(text), at)
-                    for c, v in zip(columns, ([dk] * len(at), [doc_id] * len(at), at.tolist(), right, left), strict=True):
+                    at, reach = np.divmod(np.sort(np.array(places, dtype=np.int64)), WINDOW * WINDOW)
+                    right, left = _contexts(word_hashes(text), at, max(RIGHT, least))
+                    for c, v in zip(columns, ([dk] * len(at), [doc_id] * len(at), at.tolist(), reach.tolist(), right, left), strict=True):
                         c += v
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in SORTED.split(", ")])
 
     texts = rows.join(wanted.hint("shuffle_hash"), "dk")
     held = texts.select("dk", "doc_id", "text", "places").mapInArrow(contexts, SORTED)
     order = ["right", "left", "dk", "pos"]
     ranged = stored(held, "suffixes").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    found = stored(ranged.select("dk", "doc_id", "pos", "right", "left").mapInArrow(_compare(least, True), FOUND), "matches")
-    ends = found.where("edge").select("dk", "doc_id", "pos", "right", "left").repartition(1).sortWithinPartitions(*order).mapInArrow(_compare(least, False), FOUND)
-    spans = found.where("not edge").unionByName(ends).select("dk", "doc_id", "start", "stop", "twin_id")
+    found = stored(ranged.select("dk", "doc_id", "pos", "reach", "right", "left").mapInArrow(_compare(least, True), FOUND), "matches")
+    ends = found.where("edge").select("dk", "doc_id", "pos", "reach", "right", "left").repartition(1).sortWithinPartitions(*order).mapInArrow(_compare(least, False), FOUND)
+    matched = stored(found.where("not edge").unionByName(ends).select("dk", "doc_id", "start", "stop", "twin_id", "window"), "matched")
+    windows = matched.where("window is not null").select("window", "dk", "doc_id", "start", "stop")
+    alike = windows.groupBy("window").agg(F.min(F.struct("doc_id", "dk")).alias("one"), F.min("dk").alias("a"), F.max("dk").alias("b")).where("a <> b").select("window", "one")
+    alike = stored(windows.join(alike, "window"), "windows")
+    second = alike.where("dk <> one.dk").groupBy("window").agg(F.min("doc_id").alias("next"))
+    alike = alike.join(second, "window").select("dk", "doc_id", "start", "stop", F.when(F.col("dk") == F.col("one.dk"), F.col("next")).otherwise(F.col("one.doc_id")).alias("twin_id"))
+    spans = matched.where("window is null").select("dk", "doc_id", "start", "stop", "twin_id").unionByName(alike)
     spans = spans.groupBy("dk", "doc_id", "start", "stop").agg(F.min("twin_id").alias("twin_id"))
     by_doc = Window.partitionBy("dk").orderBy("start", "stop")
     apart = F.coalesce(F.col("start") > F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))

@@ -189,3 +189,19 @@ def test_repeats_are_real_and_planted_ones_are_found(docs_of):
     assert got[60] == got[61] == got[62] == set(range(len(split[60])))
     assert not any(got[63:])
     assert suffixes.repeats(docs_of([])).collect() == []
+
+
+def test_repeats_are_found_behind_frequent_tails(docs_of):
+    """The one suffix of a passage of 50 words starts late, and many documents share the words from there on."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    while True:
+        passage = [word() for _ in range(50)]
+        at = suffixes.minimisers(suffixes.word_hashes(" ".join(passage)))[0]
+        if len(at) == 1 and at[0] >= 15:
+            break
+    tail = passage[at[0] :]
+    some = lambda n: [word() for _ in range(n)]
+    texts = [" ".join(some(60) + passage + some(60)) for _ in range(2)] + [" ".join(some(60) + tail + some(60)) for _ in range(150)]
+    found = {r.doc_id: r for r in suffixes.repeats(docs_of(texts)).collect()}
+    assert {i: (r.start, r.stop, r.twin_id) for i, r in found.items()} == {0: (60, 110, 1), 1: (60, 110, 0)}
