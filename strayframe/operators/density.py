@@ -45,7 +45,7 @@ def whitening(cov: np.ndarray) -> np.ndarray:
 
 def transformed(df: DataFrame, vector: str, matrix: np.ndarray, mean: np.ndarray | None = None) -> DataFrame:
     """vector -> matrix (vector - mean), as a projection of dot products."""
-    rows = F.array(*(F.array(*(F.lit(float(x)) for x in r)) for r in matrix))
+    rows = F.expr(f"array({', '.join('array(' + ', '.join(f'{float(x)!r}D' for x in r) + ')' for r in matrix)})")  # one call for D x D numbers
     moved = F.col(vector) if mean is None else F.zip_with(vector, F.array(*(F.lit(float(x)) for x in mean)), lambda x, m: x - m)
     return df.withColumn(vector, moved).withColumn(vector, F.transform(rows, lambda r: vec.dot(r, F.col(vector))))
 

@@ -90,6 +90,13 @@ def c02_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.mahalanobis(f.where("run > 5"), knn.pool_of(f, POOL), K).select("run", "tick", F.round("score", 4).alias("score"))
 
 
+@query()
+def c02_mahalanobis_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As c02_mahalanobis, whose SQL knows two components, on whole vectors."""
+    f = frames(spark, sf_dir)
+    return density.mahalanobis(f.where("run > 5"), knn.pool_of(f, POOL), K).select("run", "tick", F.round("score", 4).alias("score"))
+
+
 _MOMENTS = """
 long AS (SELECT unnest(range(1, 65)) AS i, unnest(v) AS x FROM frames WHERE run <= 5),
 m AS (SELECT list(m ORDER BY i) AS mu, list(CASE WHEN s < 1e-6 THEN 1.0 ELSE s END ORDER BY i) AS sigma FROM (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM long GROUP BY i))"""
@@ -165,8 +172,8 @@ def c07_kl_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c08_pca_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir, 16)
-    return density.pca_whitened(f.where("run > 5"), knn.pool_of(f, POOL), K, most=8)
+    f = frames(spark, sf_dir)
+    return density.pca_whitened(f.where("run > 5"), knn.pool_of(f, POOL), K)
 
 
 @query(f"""
@@ -204,7 +211,7 @@ def c11_topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def c12_ledoit_wolf_to_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each run's distance to the mean of the others under their shrunk covariance; one fit a run."""
-    return density.to_mean_apart(frames(spark, sf_dir, 8), POOL)
+    return density.to_mean_apart(frames(spark, sf_dir), POOL)
 
 
 @query(f"""
@@ -222,6 +229,14 @@ def g06_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.agg(F.count("*").alias("n")).withColumn("shrink", r6(F.lit(float(shrink))))
 
 
+@query()
+def g06_shrinkage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As g06_shrinkage, whose SQL knows four components, on whole vectors."""
+    pool = knn.pool_of(frames(spark, sf_dir), POOL)
+    _, _, shrink = density.shrinkage(pool)
+    return pool.agg(F.count("*").alias("n")).withColumn("shrink", r6(F.lit(float(shrink))))
+
+
 @query(f"""
 WITH {FRAMES}, long AS (SELECT id, unnest(range(1, 7)) AS i, unnest(v[1:6]) AS x FROM frames WHERE run <= 5)
 SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM long a JOIN long b USING (id) GROUP BY a.i, b.i
@@ -232,6 +247,14 @@ def g05_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "i int, j int, cov double").withColumn("cov", r6("cov"))
 
 
+@query()
+def g05_covariance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As g05_covariance, whose SQL knows six components, on whole vectors."""
+    _, cov, _ = density.covariance(knn.pool_of(frames(spark, sf_dir), POOL))
+    rows = [(i + 1, j + 1, float(x)) for i, r in enumerate(cov) for j, x in enumerate(r)]
+    return spark.createDataFrame(rows, "i int, j int, cov double").withColumn("cov", r6("cov"))
+
+
 @query(f"WITH {FRAMES}, {_pairs('unit', 'q.run <= 5 AND r.run <= 5', _COS)}, {_MEAN}")
 def c16_self_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference runs against the pool that holds them."""

@@ -107,3 +107,53 @@ def test_texts(spark):
     labels, score = text.judge(F.lit("x {broken y"))
     assert show(labels) == [] and show(score) is None
     assert show(text.seeds(F.lit("1-3,7"))) == [1, 2, 3, 7]
+
+
+def test_density_queries_follow_whole_vectors(spark):
+    """All 64 components count in the queries on covariances that have no SQL."""
+    from strayframe.plans import neighbours
+    from strayframe.sources.tables import frames
+
+    folder = "/root/testdata/sf0.001"
+    rows = frames(spark, folder).orderBy("id").collect()
+    x, run = np.array([r.v for r in rows], dtype=np.float64), np.array([r.run for r in rows])
+    pool, asked = x[run <= 5], x[run > 5]
+    assert x.shape[1] == 64
+    names = [(r.run, r.tick) for r in rows]
+
+    def near(q, p):
+        return np.sort(np.sqrt(((q[:, None] - p[None]) ** 2).sum(axis=2)), axis=1)[:, :5].mean(axis=1)
+
+    def scores(query):
+        found = {(r.run, r.tick): r.score for r in query(spark, folder).collect()}
+        return lambda own: np.array([found[n] for n, o in zip(names, own, strict=True) if o])
+
+    cov = np.cov(pool.T)
+    values, vectors = np.linalg.eigh(np.linalg.pinv(cov))
+    w = vectors * np.sqrt(np.clip(values, 0, None))
+    assert np.allclose(scores(neighbours.c02_mahalanobis_whole)(run > 5), near(asked @ w, pool @ w), atol=2e-4)
+    values, vectors = np.linalg.eigh(cov)
+    keep = min(64, len(pool) // 10, int((values > 1e-12).sum()))
+    w = vectors[:, ::-1][:, :keep] / np.sqrt(values[::-1][:keep])
+    assert np.allclose(scores(neighbours.c08_pca_whiten)(run > 5), near((asked - pool.mean(axis=0)) @ w, (pool - pool.mean(axis=0)) @ w), atol=1e-5)
+
+    def shrunk(p):
+        y = p - p.mean(axis=0)
+        n, d = y.shape
+        s = y.T @ y / n
+        mu = np.trace(s) / d
+        beta = (((y * y).sum(axis=1) ** 2).sum() / n - (s * s).sum()) / (d * n)
+        delta = ((s - mu * np.eye(d)) ** 2).sum() / d
+        part = min(beta, delta) / delta
+        return part, (1 - part) * s + part * mu * np.eye(d)
+
+    apart = scores(neighbours.c12_ledoit_wolf_to_mean)
+    found, expected = apart(run <= 5), np.zeros(int((run <= 5).sum()))
+    for r in range(6):
+        others = x[(run <= 5) & (run != r)]
+        y = x[run == r] - others.mean(axis=0)
+        expected[run[run <= 5] == r] = np.sqrt((y @ np.linalg.inv(shrunk(others)[1]) * y).sum(axis=1))
+    assert np.allclose(found, expected, atol=1e-5)
+    assert neighbours.g06_shrinkage_whole(spark, folder).first().shrink == pytest.approx(shrunk(pool)[0], abs=1e-6)
+    g05 = {(r.i, r.j): r["cov"] for r in neighbours.g05_covariance_whole(spark, folder).collect()}
+    assert len(g05) == 64 * 64 and np.allclose([g05[i + 1, j + 1] for i in range(64) for j in range(64)], cov.ravel(), atol=1e-6)
