@@ -11,7 +11,7 @@ Windows run over blocks and never over documents: blocks number at most MOST_BLO
 source with a third of all rows is a third of that. Texts are not shuffled.
 
 Defined cases: a null source is a source of its own. A null text has no tokens; a source without tokens gets no weight
-and no rows. A single source has weight 1. Repeated rows are drawn together. A null doc_id is drawn like any other. An
+and no rows, unless each document is to be drawn once at least (no budget), which then holds for all rows. A single source has weight 1. Repeated rows are drawn together. A null doc_id is drawn like any other. An
 empty table gives an empty result.
 """
 
@@ -86,12 +86,16 @@ def plan(docs: DataFrame, *, seed: int = 17, entropy_share: float | None = 0.98,
     size = max(BLOCK_TOKENS, total // MOST_BLOCKS)
     weights = stored(weights.withColumn("n_blocks", F.greatest(F.lit(LEAST_BLOCKS), F.ceil(F.col("tokens") / size)).cast("bigint")).withColumn("block_seed", F.lit(seed)), "weights")
     blocks = _in_blocks(rows, weights).groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
-    passes = blocks.join(weights.where("tokens > 0 and quota > 0"), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("quota") / F.col("tokens")))))
+    each_once = budget_share is None
+    whole = F.when(F.col("tokens") > 0, F.floor(F.coalesce("quota", F.lit(0)) / F.col("tokens"))).otherwise(0).cast("bigint")
+    passes = blocks.join(weights if each_once else weights.where("tokens > 0 and quota > 0"), "source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), whole)))
     passes = passes.withColumn("turn", _uniform(F.col("block_seed"), F.col("epoch"), F.col("source"), F.col("block")))
     order = Window.partitionBy("source", "epoch").orderBy("turn", "block")
     passes = passes.withColumn("before", F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("block_tokens"))
     left = F.col("quota") - F.col("epoch") * F.col("tokens")
-    drawn = passes.where((F.col("before") < left) & (left > 0)).withColumn("position", (F.col("epoch") * F.col("tokens") + F.col("before")) / F.col("quota"))
+    due = (F.col("before") < left) & (left > 0)
+    place = F.when(F.col("quota") > 0, (F.col("epoch") * F.col("tokens") + F.col("before")) / F.col("quota")).otherwise(0.0)
+    drawn = passes.where(due | (F.col("epoch") == 0) if each_once else due).withColumn("position", place)
     return weights, stored(drawn.select("source", "block", "epoch", "position", "block_tokens"), "blocks")
 
 

@@ -60,3 +60,13 @@ def test_single_and_empty(docs_of):
     assert {r.weight for r in mixing.mixed(docs(docs_of, {"a": (10, 5)})).collect()} == {1.0}
     assert mixing.mixed(docs_of([])).collect() == []
     assert mixing.mixed(docs_of([None, ""])).collect() == []
+
+
+@pytest.mark.parametrize("sizes", [{"big": (300, 10), "tiny": (40, 10), "none": (5, 0)}, {"none": (5, 0)}])
+def test_without_a_budget_wordless_documents_stay(docs_of, sizes):
+    d = docs(docs_of, sizes)
+    wordless = docs_of([None, "", " "] * 30, ids=range(1000, 1090), sources=["big", "tiny", "none"] * 30)
+    d = d.unionByName(wordless)
+    drawn = [r.doc_id for r in mixing.mixture(d, entropy_share=0.98, max_repeats=1.25, budget_share=None).collect()]
+    assert set(drawn) == {r.doc_id for r in d.collect()}
+    assert all(0 <= r.position <= 1 for r in mixing.mixed(d, entropy_share=0.98, max_repeats=1.25, budget_share=None).collect())
