@@ -52,8 +52,8 @@ def _remove_all() -> None:
     for spark, path in _WRITTEN:
         try:
             remove(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone already
-            return
+        except Exception:  # noqa: BLE001  the session may be gone already, or this one table cannot be deleted
+            continue
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
@@ -68,11 +68,13 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more, and have Spark drop the shuffle files of finished plans now;
-    they would stay until the driver's heap happens to fill."""
+def release(spark: SparkSession, *tables: DataFrame, sweep: bool = True) -> None:
+    """Delete stored tables that nothing reads any more, and (``sweep``) have Spark drop the shuffle files of finished plans
+    now; they would stay until the driver's heap happens to fill."""
     for table in tables:
         remove(spark, table._stored_at)
+    if not sweep:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

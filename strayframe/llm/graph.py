@@ -35,12 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = stored(nodes, "components")
+    remove(now.sparkSession, now._stored_at)
+    return out
 
-
-def labels(edges: DataFrame) -> DataFrame:
-    """(node, root): what two rounds know of the components. Nodes of one root are in one component; a component of long paths
-    may still have several roots."""
-    now = _stars(stored(_stars(_tidy(edges)), "edges"))
-    known = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")))
-    return known.groupBy("node").agg(F.min("root").alias("root"))

@@ -2,38 +2,48 @@
 
 Documents with equal sets form a class first; classes are joined. Light sets (up to a size boundary) are joined by
 fixed-size subsets: a pair of sizes (a, b) needs an overlap of ``c`` shingles, both sides emit their subsets of just
-``c`` shingles, and a set of each size meet in a subset exactly if they link, so nothing needs to be verified. Heavy sets scan inverted lists: a set is listed under its rarest shingles, as
-many as any partner must hit, and what meets in a list is verified. The boundary is the one of least cost over the
-sizes of all documents.
+``c`` shingles, and a set of each size meet in a subset exactly if they link, so nothing needs to be verified. Heavy
+sets scan inverted lists: a set is listed under its rarest shingles, as many as any partner must hit, and what meets in
+a list is verified. The boundary is the one of least cost over the sizes of all documents.
 
-In a list of up to SHORT sets all pairs of fitting sizes are looked at. The answer is the components, so within a longer
-list only pairs that are not connected yet need a look: its sets are first compared with two leaders, in rounds, and then
-every pair of the list that is still in two components. No link between two components is left out and no list is cut, yet
-a list of near copies costs its length and not its square.
+In a list of up to SHORT sets all pairs are looked at whose sizes and places in the list's sets allow for a link. A longer
+list is that of a group of near copies, whose pairs would grow with its square. It gets a base, its most ordinary set.
+For sets x and y and any base, x and y differ in as many shingles as (x differs from base) and (y differs from base)
+differ. So a group is joined by its members' differences from the base, which are few and mostly their own:
+
+- members that link to the base are one component with it, which costs an edge a member;
+- any other pair needs an overlap of the two differences, ``(w_x + w_y) / 2`` shingles with ``w`` = difference less
+  the share of a set's size that may differ. That is an overlap join again: differences are listed under their rarest
+  shingles (what the base lacks first, then what it has, the rarely lost first).
+
+Lists of differences that are long again get a base of their own, and so on. After ROUNDS of that the rest is compared
+pair by pair. No link between two components is left out and no list is cut.
 
 Shingles are 64-bit hashes; two different ones are equal by chance once in 10^19 pairs.
 
 Defined cases: a null text, or one without words, has an empty set and is its own component. A text of fewer words
 than a shingle has one shingle, all of them. Repeated rows and copies are one class. A null doc_id gets a row; a
-component whose doc_ids are all null has a null component_id. An empty table gives an empty result.
+component whose doc_ids are all null has a null component_id. Rows of one doc_id and different texts are different
+documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import reduce
 from itertools import combinations
 from math import ceil, comb, floor
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import prepare, release, stored, text_or_empty
-from .graph import components, labels
+from .graph import components
 
 #: The most frequent shingles, at most so many, come last in the order of rarity. The order decides speed alone.
 FREQUENT = 150_000
@@ -45,10 +55,10 @@ LIGHT_MOST = 24
 #: Candidates up to this number are sent to the scan by broadcast (8 bytes each).
 BROADCAST_IDS = 500_000
 SIGNATURE = 512
-#: Lists of up to so many sets are compared pair by pair.
-SHORT = 16
-#: Rounds with leaders before all remaining pairs of a list are compared.
-LEADER_ROUNDS = 3
+#: Lists of up to so many sets, and of so many differences, are compared pair by pair.
+SHORT, SHORT_APART = 16, 64
+#: Rounds of lists of differences before the rest is compared pair by pair.
+ROUNDS = 4
 
 
 def shingle_set(text: str, n: int) -> np.ndarray:
@@ -153,36 +163,44 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     return rows.column("s").to_numpy()[::-1].copy().view(np.uint64)
 
 
-def set_table(docs: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """Per row: doc_id, size, digest and signature of the set, and ``rare``: its listed shingles, the rarest first; small
-    sets come whole."""
-    spark = docs.sparkSession
-    ranked = frequent_shingles(docs, n)
-    order = np.argsort(ranked)
-    known = spark.sparkContext.broadcast((ranked[order], order.astype(np.int64)))  # FREQUENT entries at most
+def set_table(docs: DataFrame, n: int, t: Fraction, known: Broadcast) -> DataFrame:
+    """Per row: doc_id, a hash of the text, size, digest and signature of the set, ``odd``: how many in a thousand of its
+    shingles are none of the frequent ones, and ``rare``: its listed shingles, the rarest first; small sets come whole."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks = known.value
         for batch in batches:
-            sizes, digests, signs, rare = [], [], [], []
-            for text in _texts(batch, 1):
+            sizes, digests, signs, odd, rare = [], [], [], [], []
+            for text in _texts(batch, 2):
                 s = shingle_set(text, n)
+                rank = _ranks(s, *known.value)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 signs.append(signature(s))
-                if len(s) and len(values):
-                    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-                    rank = np.where(values[at] == s, ranks[at] + 1, 0)
-                    ordered = s[np.argsort(rank, kind="stable")]
-                else:
-                    ordered = s
+                odd.append(1000 * int((rank == 0).sum()) // max(1, len(s)))
+                ordered = s[np.argsort(rank, kind="stable")]
                 rare.append(ordered if len(s) <= LIGHT_MOST else ordered[: listed(len(s), t)])
-            ends = np.cumsum([0, *map(len, rare)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([*rare, np.zeros(0, np.uint64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int64())), lists], names=["doc_id", "size", "digest", "sign", "rare"])
+            arrays = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signs, pa.list_(pa.int64())), pa.array(odd, pa.int32()), _lists(rare)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], names=["doc_id", "tie", "size", "digest", "sign", "odd", "rare"])
+
+    rows = _keyed(docs).select("doc_id", "tie", "text")
+    return stored(rows.mapInArrow(sets, "doc_id bigint, tie bigint, size bigint, digest binary, sign array<bigint>, odd int, rare array<bigint>"), "sets")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return stored(rows.mapInArrow(sets, "doc_id bigint, size bigint, digest binary, sign array<bigint>, rare array<bigint>"), "sets")
+
+def _ranks(s: np.ndarray, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The shingles' places in the order of frequency, from 1; 0 for those that are not frequent."""
+    if not len(s) or not len(values):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+    return np.where(values[at] == s, ranks[at] + 1, 0)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([*parts, np.zeros(0, np.uint64)])))
 
 
 def light_links(classes: DataFrame, boundary: int, t: Fraction) -> DataFrame:
@@ -205,152 +223,211 @@ def light_links(classes: DataFrame, boundary: int, t: Fraction) -> DataFrame:
                             sides.append(0 if a == b else 1 if len(rare) == a else 2)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.int64()), pa.array(sides, pa.int32())], names=["key", "u", "side"])
 
-    probes = classes.where((F.col("size") > 0) & (F.col("size") <= boundary)).select("c", "rare").mapInArrow(subsets, "key binary, u bigint, side int")
+    light = classes.where((F.col("size") > 0) & (F.col("size") <= boundary))
+    probes = stored(light.select("c", "rare").mapInArrow(subsets, "key binary, u bigint, side int"), "probes")
     least = [F.min(F.when(F.col("side") == k, F.col("u"))).alias(f"v{k}") for k in range(3)]
     first = probes.groupBy("key").agg(F.count("*").alias("n"), *least).where("n > 1 and (v0 is not null or v1 is not null and v2 is not null)").drop("n")
+    first = stored(first, "first")  # a table of its own, so that a frequent key's probes can be split in the join
     other = F.when(F.col("side") == 0, F.col("v0")).when(F.col("side") == 1, F.col("v2")).otherwise(F.col("v1"))
-    return probes.join(first.hint("merge"), "key").select("u", other.alias("v")).where("u <> v").distinct()
+    out = stored(probes.join(first, "key").select("u", other.alias("v")).where("u <> v").distinct(), "links")
+    release(classes.sparkSession, probes, first, sweep=False)
+    return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, t: Fraction) -> DataFrame:
-    """The pairs (u, v) of class numbers whose signatures, and then whole sets, reach the similarity."""
-    spark = docs.sparkSession
+def alike(pairs: DataFrame, classes: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (u, v) of class numbers whose signatures allow for the similarity."""
     for side in ("u", "v"):
-        pairs = pairs.join(classes.select(F.col("c").alias(side), *(F.col(k).alias(f"{side}_{k}") for k in ("size", "sign", "digest"))).hint("merge"), side)
-    alike = pairs.where(bits_apart("u_sign", "v_sign") * (t.denominator + t.numerator) <= (F.col("u_size") + F.col("v_size")) * (t.denominator - t.numerator))
-    alike = stored(alike.select("u", "v", "u_digest", "v_digest"), "alike")
-    wanted = stored(alike.select(F.explode(F.array("u", "v")).alias("c")).distinct().join(classes.select("c", "least").hint("merge"), "c"), "wanted")
-    sets = _whole_sets(docs, wanted, n)
-    left = sets.select(F.col("digest").alias("u_digest"), F.col("shingles").alias("a")).hint("merge")
-    right = sets.select(F.col("digest").alias("v_digest"), F.col("shingles").alias("b")).hint("merge")
+        pairs = pairs.join(classes.select(F.col("c").alias(side), F.col("size").alias(f"{side}_size"), F.col("sign").alias(f"{side}_sign")).hint("merge"), side)
+    near = bits_apart("u_sign", "v_sign") * (t.denominator + t.numerator) <= (F.col("u_size") + F.col("v_size")) * (t.denominator - t.numerator)
+    return stored(pairs.where(near).select("u", "v"), "alike")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (u, v) of class numbers whose whole sets reach the similarity."""
+    left = sets.select(F.col("c").alias("u"), F.col("shingles").alias("a")).hint("merge")
+    right = sets.select(F.col("c").alias("v"), F.col("shingles").alias("b")).hint("merge")
     both = F.size(F.array_intersect("a", "b"))
     union = F.size("a") + F.size("b") - both
-    out = stored(alike.join(left, "u_digest").join(right, "v_digest").where(both * t.denominator >= union * t.numerator).select("u", "v"), "links")
-    release(spark, alike, wanted, sets)
-    return out
+    return pairs.join(left, "u").join(right, "v").where(both * t.denominator >= union * t.numerator).select("u", "v")
 
 
-def _fits(size: Column, other: Column, boundary: int, t: Fraction) -> Column:
-    """Sizes that allow for the similarity, one of them above the boundary."""
-    return (size * t.denominator >= other * t.numerator) & (other * t.denominator >= size * t.numerator) & (F.greatest(size, other) > boundary)
+def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], boundary: int, t: Fraction) -> Column:
+    """Whether two sets that meet in a list can link: their sizes fit, one is above the boundary, they are not both known to
+    be linked to the base, and where this is the first shingle that they share, enough are left in both behind it."""
+    size, other, up, down = x("size"), y("size"), t.numerator, t.denominator
+    fits = (size * down >= other * up) & (other * down >= size * up) & (F.greatest(size, other) > boundary)
+    behind = F.least(x("r") - x("at"), y("r") - y("at"))
+    return fits & ~(x("core") & y("core")) & (behind * (2 * (up + down)) >= x("w") + y("w"))
+
+
+def _counted(entries: DataFrame, boundary: int) -> DataFrame:
+    """The entries of lists (b, s) in which two sets may link, with the list's length n."""
+    shared = entries.groupBy("b", "s").agg(F.count("*").cast("int").alias("n"), F.max("size").alias("top"), F.bool_and("core").alias("one"))
+    shared = stored(shared.where((F.col("n") > 1) & (F.col("top") > boundary) & ~F.col("one")).select("b", "s", "n"), "shared")
+    out = stored(entries.join(shared.hint("merge"), ["b", "s"]), "lists")  # both sides are tables, so a long list can be split
+    release(entries.sparkSession, shared, sweep=False)
+    return out
 
 
 def _all_pairs(short: DataFrame, boundary: int, t: Fraction) -> DataFrame:
-    """(u, v) with u > v of lists of up to SHORT sets."""
-    members = short.groupBy("s").agg(F.collect_list(F.struct("c", "size")).alias("m"))
-    pairs = F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["c"] < x["c"]) & _fits(x["size"], y["size"], boundary, t)), lambda y: F.struct(x["c"].alias("u"), y["c"].alias("v"))))
+    """(u, v) with u > v of lists whose length is bounded."""
+    members = short.groupBy("b", "s").agg(F.collect_list(F.struct("c", "size", "at", "r", "w", "core")).alias("m"))
+    later = lambda x: F.filter("m", lambda y: (y["c"] < x["c"]) & _may_link(x.getField, y.getField, boundary, t))
+    pairs = F.transform("m", lambda x: F.transform(later(x), lambda y: F.struct(x["c"].alias("u"), y["c"].alias("v"))))
     return members.select(F.explode(F.flatten(pairs)).alias("p")).select("p.u", "p.v").distinct()
 
 
-def _led(placed: DataFrame, boundary: int, t: Fraction) -> DataFrame:
-    """(u, v): in each list, two sets of different components lead; the sets outside a leader's component whose size fits."""
-    lead = placed.groupBy("s").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), *(f("root", F.struct("c", "size")).alias(k) for f, k in ((_of_least, "a"), (_of_most, "b")))).where("r0 <> r1")
-    ends = lead.select("s", F.explode(F.array(F.struct(F.col("r0").alias("root"), "a.c", "a.size"), F.struct(F.col("r1").alias("root"), "b.c", "b.size"))).alias("lead"))
-    ends = ends.select("s", *(F.col(f"lead.{k}").alias(f"lead_{k}") for k in ("root", "c", "size")))
-    pairs = placed.join(ends.hint("merge"), "s").where((F.col("root") != F.col("lead_root")) & _fits(F.col("size"), F.col("lead_size"), boundary, t))
-    return pairs.select(F.greatest("c", "lead_c").alias("u"), F.least("c", "lead_c").alias("v")).distinct()
+def _rest(lists: DataFrame, boundary: int, t: Fraction) -> DataFrame:
+    """(u, v) with u > v of lists of any length."""
+    names = ("c", "size", "at", "r", "w", "core")
+    other = lists.select("b", "s", *(F.col(k).alias(f"v_{k}") for k in names))
+    may = _may_link(F.col, lambda k: F.col(f"v_{k}"), boundary, t)
+    return lists.join(other.hint("merge"), ["b", "s"]).where((F.col("c") > F.col("v_c")) & may).select(F.col("c").alias("u"), F.col("v_c").alias("v")).distinct()
 
 
-def _of_least(root: str, row: Column) -> Column:
-    return F.min(F.struct(root, row.alias("x")))["x"]
+def _based(long: DataFrame) -> DataFrame:
+    """(c, b): the sets of long lists, each list's with its most ordinary set (lowest ``far``) as their base."""
+    base = stored(long.groupBy("b", "s").agg(F.min(F.struct("far", "c"))["c"].alias("base")), "bases")
+    out = stored(long.join(base.hint("merge"), ["b", "s"]).select("c", F.col("base").alias("b")).distinct(), "based")
+    release(long.sparkSession, base, sweep=False)
+    return out
 
 
-def _of_most(root: str, row: Column) -> Column:
-    return F.max(F.struct(root, row.alias("x")))["x"]
+def differences(based: DataFrame, sets: DataFrame, known: Broadcast, t: Fraction) -> DataFrame:
+    """Entries (b, s, c, size, at, r, w, core, far) of each set's difference from its base: the shingles s it is listed
+    under, their places ``at`` in it, its size r, the weight w, and whether the set links to the base. A linked set has a
+    row without s, too."""
+    up, down = t.numerator, t.denominator
+    bases = stored(sets.join(based.select(F.col("b").alias("c")).distinct().hint("merge"), "c").select(F.col("c").alias("b"), F.col("shingles").alias("base")), "bases")
+    pairs = based.join(sets.select("c", F.col("shingles").alias("own")).hint("merge"), "c").join(bases.hint("merge"), "b").select("b", "c", "base", "own")
+    names = ["b", "s", "c", "size", "at", "r", "w", "core", "far"]
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for k, (b, c) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                base, own = (batch.column(j)[k].values.to_numpy(zero_copy_only=False).view(np.uint64) for j in (2, 3))
+                apart = np.setxor1d(base, own, assume_unique=True)
+                lost = np.isin(apart, base, assume_unique=True)
+                rank = _ranks(apart, *known.value)
+                ordered = apart[np.argsort(np.where(lost, (1 << 40) - rank, rank), kind="stable")]
+                r, size, slack = len(apart), len(own), (down - up) * len(base)
+                w = (up + down) * r - (down - up) * size
+                core = w <= slack
+                least = max(1, -(-(w + slack + 1 if core else w - slack) // (2 * (up + down))))
+                many = max(0, r - least + 1)
+                alone = [None] if core else []
+                own_rows = [[x] * (many + len(alone)) for x in (b, c, size, r, w, core, r)]
+                own_rows[1:1], own_rows[4:4] = [[*ordered[:many].view(np.int64).tolist(), *alone]], [[*range(many), *alone]]
+                for column, values in zip(out, own_rows, strict=True):
+                    column += values
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=names)
+
+    out = stored(pairs.mapInArrow(find, "b bigint, s bigint, c bigint, size bigint, at int, r int, w bigint, core boolean, far int"), "apart")
+    release(based.sparkSession, bases, sweep=False)
+    return out
 
-def near_copies(docs: DataFrame, *, n: int = 4, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of each row of docs."""
-    t, spark = similarity, docs.sparkSession
+
+def _classes_joined(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tie, size, digest of each row; digest, root, component_id of each class)."""
+    spark = docs.sparkSession
     prepare(spark)
-    table = set_table(docs, n, t)
-    classes = table.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sign").alias("sign"), F.first("rare").alias("rare"))
+    ranked = frequent_shingles(docs, n)
+    order = np.argsort(ranked)
+    known = spark.sparkContext.broadcast((ranked[order], order.astype(np.int64)))  # FREQUENT entries at most
+    table = set_table(docs, n, t, known)
+    classes = table.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), *(F.first(k).alias(k) for k in ("size", "sign", "odd", "rare")))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
     sizes = {r[0]: r[1] for r in classes.where(F.col("size") <= 2 * LIGHT_MOST).groupBy("size").count().toLocalIterator()}
     boundary = boundary_of(sizes, t)
-    found = stored(light_links(classes, boundary, t), "links")
+    light = light_links(classes, boundary, t)
 
     cut = F.col("size") - F.ceil(F.col("size") * t.numerator / t.denominator) + 1
     reach = classes.where(F.col("size") * t.denominator > boundary * t.numerator)  # has partners above the boundary
-    lists = reach.select("c", F.col("size").cast("int").alias("size"), F.explode(F.slice("rare", 1, cut.cast("int"))).alias("s"))
-    shared = lists.groupBy("s").agg(F.count("*").cast("int").alias("n"), F.max("size").alias("top")).where((F.col("n") > 1) & (F.col("top") > boundary)).select("s", "n")
-    lists = stored(lists.join(shared.hint("merge"), "s"), "lists")
-    release(spark)
-
-    long = lists.where(F.col("n") > SHORT)
-    done = stored(_led(long.withColumn("root", F.col("c")), boundary, t), "pairs")
-    fresh = stored(_all_pairs(lists.where(F.col("n") <= SHORT), boundary, t).unionByName(done).distinct(), "pairs")
-    spent = []
-    for turn in range(LEADER_ROUNDS):
-        links = verified(fresh, docs, classes, n, t)
-        found = stored(found.unionByName(links), "links")
-        placed = _placed(long, found)
-        fresh = stored(_led(placed, boundary, t).join(done, ["u", "v"], "left_anti"), "pairs")
-        release(spark, placed, links)
-        spent.append(fresh)
-        if fresh.isEmpty():
+    listing = F.posexplode(F.slice("rare", 1, cut.cast("int"))).alias("at", "s")
+    entries = reach.select(F.lit(-1).cast("bigint").alias("b"), "c", "size", F.col("size").cast("int").alias("r"), (F.col("size") * (2 * t.numerator)).alias("w"), F.lit(False).alias("core"), F.col("odd").alias("far"), listing)
+    lists = _counted(entries, boundary)
+    pairs = alike(_all_pairs(lists.where(F.col("n") <= SHORT), boundary, t), classes, t)
+    based = _based(lists.where(F.col("n") > SHORT))
+    release(spark, lists)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).unionByName(based.select("c")).distinct()
+    wanted = stored(wanted.join(classes.select("c", "digest", "least").hint("merge"), "c"), "wanted")
+    sets = _whole_sets(docs, wanted, n)
+    links = [light, stored(verified(pairs, sets, t), "links")]
+    release(spark, pairs, wanted, sweep=False)
+    for turn in range(ROUNDS):
+        if based.isEmpty():
             break
-        done = done.unionByName(fresh)
-        if turn + 1 == LEADER_ROUNDS:
-            found = stored(found.unionByName(verified(fresh, docs, classes, n, t)), "links")
-    placed = _placed(long, found)
-    split = placed.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
-    rest = stored(placed.join(split.hint("merge"), "s"), "rest")
-    other = rest.select("s", *(F.col(k).alias(f"v_{k}") for k in ("c", "size", "root")))
-    pairs = rest.join(other.hint("merge"), "s").where((F.col("c") > F.col("v_c")) & (F.col("root") != F.col("v_root")) & _fits(F.col("size"), F.col("v_size"), boundary, t))
-    pairs = stored(pairs.select(F.col("c").alias("u"), F.col("v_c").alias("v")).distinct().join(done, ["u", "v"], "left_anti"), "pairs")
-    release(spark, placed, rest, lists)
-    if not pairs.isEmpty():
-        found = stored(found.unionByName(verified(pairs, docs, classes, n, t)), "links")
-
-    joined = components(found)
+        apart = differences(based, sets, known, t)
+        release(spark, based, sweep=False)
+        links.append(stored(apart.where("s is null and b <> c").select(F.col("b").alias("u"), F.col("c").alias("v")), "links"))
+        lists = _counted(apart.where("s is not null"), boundary)
+        met = _all_pairs(lists.where(F.col("n") <= SHORT_APART), boundary, t)
+        long = lists.where(F.col("n") > SHORT_APART)
+        last = turn + 1 == ROUNDS
+        links.append(stored(verified(met.unionByName(_rest(long, boundary, t)).distinct() if last else met, sets, t), "links"))
+        based = _based(long.limit(0) if last else long)
+        release(spark, apart, lists)
+    release(spark, based, sets)
+
+    joined = components(reduce(DataFrame.unionByName, links))
     named = classes.select("c", "digest", "least").join(joined.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(named.join(smallest.hint("merge"), "root").select("digest", "component_id"), "named")
-    release(spark, classes, pairs, *spent)
-    out = table.select("doc_id", "size", "digest").join(named.hint("merge"), "digest", "left")
-    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = stored(named.select("digest", "least", "root"), "roots")
+    smallest = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
+    out = stored(named.join(smallest.hint("merge"), "root").select("digest", "root", "component_id"), "named")
+    release(spark, classes, named, smallest, joined, *links)
+    return table.select("doc_id", "tie", "size", "digest"), out
 
 
-def _placed(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists with each set's component, as far as two rounds tell it."""
-    roots = labels(links).withColumnRenamed("node", "c")
-    return stored(lists.join(roots.hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c")), "placed")
+def near_copies(docs: DataFrame, *, n: int = 4, similarity: Fraction = Fraction(85, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of each row of docs."""
+    rows, named = _classes_joined(docs, n, similarity)
+    out = rows.join(named.drop("root").hint("merge"), "digest", "left")
+    return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(digest, shingles) of the wanted classes (c, least): a text of each made into its set again. A doc_id that stands
+    """(c, shingles) of the wanted classes (c, digest, least): a text of each made into its set again. A doc_id that stands
     for several texts gives the sets of all of them, those not asked for fall out."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    rows = _keyed(docs)
     ids = wanted.where("least is not null").select(F.col("least").alias("doc_id")).distinct()
-    chosen = rows.join(F.broadcast(ids) if wanted.count() <= BROADCAST_IDS else ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    many = wanted.count()
+    chosen = rows.join(F.broadcast(ids) if many <= BROADCAST_IDS else ids.hint("shuffle_hash"), "doc_id", "left_semi")
     if not wanted.where("least is null").isEmpty():
         chosen = chosen.unionByName(rows.where("doc_id is null"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x, n) for x in _texts(batch, 0)]
-            sets = [s for s in sets if len(s)]
-            ends = np.cumsum([0, *map(len, sets)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _signed(np.concatenate([*sets, np.zeros(0, np.uint64)])))
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), lists], names=["digest", "shingles"])
+            sets = [s for s in (shingle_set(x, n) for x in _texts(batch, 0)) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(sets)], names=["digest", "shingles"])
 
-    return stored(chosen.select("text").mapInArrow(make, "digest binary, shingles array<bigint>"), "whole")
+    made = chosen.select("text").mapInArrow(make, "digest binary, shingles array<bigint>")
+    out = stored(made.join(wanted.select("c", "digest").hint("merge"), "digest").select("c", "shingles"), "whole")
+    if out.count() == many:
+        return out
+    once = stored(out.groupBy("c").agg(F.first("shingles").alias("shingles")), "whole")  # rows or doc_ids that repeat
+    release(spark, out, sweep=False)
+    return once
 
 
 def one_of_each(docs: DataFrame, *, n: int = 5, similarity: Fraction = Fraction(8, 10)) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest doc_id stays (of equal rows, one).
-    Rows without words are no copies of anything and stay, as do rows without doc_id."""
-    found = near_copies(docs, n=n, similarity=similarity)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    mark = "__row"
-    while mark in docs.columns:
-        mark += "_"
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    again = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """docs without near copies: of each component the row stays whose doc_id is smallest (null last; of several texts of
+    that doc_id, the one of the least hash; of equal rows, one). Rows without words are no copies of anything and stay."""
+    rows, named = _classes_joined(docs, n, similarity)
+    placed = stored(rows.where("digest is not null").join(named.select("digest", "root").hint("merge"), "digest").select("doc_id", "tie", "root"), "placed")
+    first = stored(placed.groupBy("root").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")).alias("first")).where("n > 1"), "first")
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie")))
+    gone = stored(placed.join(first.hint("merge"), "root").where(other).select(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie")).distinct(), "gone")
+    again = placed.groupBy("doc_id", "tie").count().where("count > 1").select(F.col("doc_id").alias("gone_id"), F.col("tie").alias("gone_tie"))
     again = stored(again, "again")
+    mine = F.struct(*(docs[k] for k in docs.columns)).alias("row")
+    keyed = docs.select(mine, F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(text_or_empty()).alias("tie"))
+    small = lambda keys: F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys.hint("shuffle_hash")
+    same = F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("tie") == F.col("gone_tie"))
+    kept = keyed.join(small(gone), same, "left_anti")
     if again.isEmpty():
-        return kept
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn(mark, F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where(F.col(mark) == 1).drop(mark)
-    return kept.join(again, "doc_id", "left_anti").unionByName(repeated.select(docs.columns))
+        return kept.select("row.*")
+    repeated = kept.join(small(again), same, "left_semi").groupBy("id", "tie").agg(F.first("row").alias("row"))
+    return kept.join(small(again), same, "left_anti").select("row.*").unionByName(repeated.select("row.*"))

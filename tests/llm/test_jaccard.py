@@ -4,7 +4,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 from strayframe.llm import jaccard
-from strayframe.llm.graph import components, labels
+from strayframe.llm.graph import components
 
 
 def sets_of(text, n):
@@ -54,6 +54,39 @@ def test_components_against_all_pairs(docs_of, n, t):
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in rows] == brute(texts, n, t)
 
 
+def group(seed, many, size, changes):
+    """Near copies of one text, each with its own few changes, so that many pairs lie on either side of the threshold."""
+    rng = random.Random(seed)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(size)]
+    out = []
+    for k in range(many):
+        x = list(base)
+        for _ in range(rng.randrange(changes)):
+            at, kind = rng.randrange(len(x)), rng.randrange(4)
+            if kind == 0:
+                x[at] = f"n{rng.randrange(10**6)}"
+            elif kind == 1:
+                x[at] = f"c{rng.randrange(3)}"  # a change that others make, too
+            elif kind == 2:
+                del x[at : at + rng.randrange(1, 4)]
+            else:
+                x += [f"a{rng.randrange(20)}"] * rng.randrange(1, 3)
+        out.append(" ".join(x))
+    return out
+
+
+@pytest.mark.parametrize(("n", "t"), [(4, Fraction(85, 100)), (5, Fraction(8, 10))])
+@pytest.mark.parametrize(("short", "apart", "rounds"), [(16, 64, 4), (3, 4, 4), (2, 2, 1)])
+def test_long_lists_against_all_pairs(docs_of, monkeypatch, n, t, short, apart, rounds):
+    for name, value in (("SHORT", short), ("SHORT_APART", apart), ("ROUNDS", rounds)):
+        monkeypatch.setattr(jaccard, name, value)
+    texts = group(n, 120, 90, 7) + group(n + 1, 60, 40, 4) + group(n + 2, 30, 200, 12)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts += [passage + " " + " ".join(f"u{k}x{j}" for j in range(4)) for k in range(40)]  # one list of unlike sets
+    rows = jaccard.near_copies(docs_of(texts), n=n, similarity=t).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in rows] == brute(texts, n, t)
+
+
 def test_signatures_never_differ_more_than_sets(spark):
     rng = np.random.default_rng(1)
     rows, want = [], []
@@ -76,6 +109,16 @@ def test_one_of_each_keeps_the_first_and_all_wordless(docs_of):
     assert kept.columns == docs_of([], extra=True).columns
 
 
+def test_unlike_rows_of_one_doc_id_are_different_documents(docs_of):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    texts, ids = [a, b, a + " end", c, c, a, b + " x", None, c], [1, 1, 7, 7, 7, None, None, None, None]
+    kept = jaccard.one_of_each(docs_of(texts, ids, extra=True)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (1, b), (7, c), (0, "")])
+    found = jaccard.near_copies(docs_of(texts, ids)).collect()
+    assert len(found) == 9
+    assert {(r.doc_id, r.component_id) for r in found if r.n_shingles} == {(1, 1), (7, 1), (7, 7), (None, 1), (None, 7)}
+
+
 def test_empty_table(docs_of):
     assert jaccard.near_copies(docs_of([])).collect() == []
     assert jaccard.one_of_each(docs_of([])).collect() == []
@@ -86,10 +129,3 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
 
-
-def test_labels_never_join_two_components(spark):
-    edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (103, 101)], "u long, v long")
-    got = {r.node: r.root for r in labels(edges).collect()}
-    assert set(got) == {*range(41), 100, 101, 103}
-    assert all((n < 50) == (r < 50) and r <= n for n, r in got.items())
-    assert got[103] == got[101] == 100
