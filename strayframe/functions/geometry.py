@@ -41,7 +41,7 @@ def role(rel_x: Column, rel_y: Column, rel_yaw: Column, *, same: float = 0.7, la
 
 ROLES = ("lead", "follower", "left", "right", "oncoming", "crossing")
 #: How far a role is looked for, in metres.
-ROLE_RANGE = {"lead": 60.0, "follower": 30.0, "left": 30.0, "right": 30.0, "oncoming": 30.0, "crossing": 30.0}
+ROLE_RANGE = {"lead": 40.0, "follower": 25.0, "left": 25.0, "right": 25.0, "oncoming": 30.0, "crossing": 25.0}
 
 
 def role_range(r: Column) -> Column:

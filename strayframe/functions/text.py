@@ -19,19 +19,18 @@ def label_list(text: Column) -> Column:
     return clean_labels(F.split(text, ","))
 
 
-JUDGE = "objects array<string>, unusual_objects array<string>, anomaly_score string"
+JUDGE = "objects array<string>, unusual_objects array<string>"
 
 
 def judge(text: Column) -> tuple[Column, Column]:
-    """(labels, score from 0 to 1) of an answer that holds one JSON object; broken JSON has no labels and a null score."""
-    found = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), JUDGE)
-    none = F.array().cast("array<string>")
+    """(labels, score from 0 to 1) of an answer that holds one JSON object; broken JSON has no labels and a null score, and
+    so has a score that is no number (a quoted number is none; true and false count as 1 and 0)."""
+    answer = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    found, none = F.from_json(answer, JUDGE), F.array().cast("array<string>")
     labels = clean_labels(F.concat(F.coalesce(found["objects"], none), F.coalesce(found["unusual_objects"], none)))
-    return labels, _number(found["anomaly_score"]) / 10
-
-
-def _number(c: Column) -> Column:
-    return F.when(c.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), c.cast("double"))
+    number = F.from_json(answer, "anomaly_score double")["anomaly_score"]
+    truth = F.from_json(answer, "anomaly_score boolean")["anomaly_score"].cast("double")
+    return labels, F.coalesce(F.when(~F.isnan(number), number), truth) / 10
 
 
 def concept(obj: Column, predicate: Column) -> Column:
@@ -84,8 +83,8 @@ def first_fragment(name: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def seeds(text: Column) -> Column:
-    """"1-3,7" as [1, 2, 3, 7]."""
-    parts = F.transform(F.split(text, ","), lambda p: F.sequence(F.trim(F.split(p, "-")[0]).cast("int"), F.trim(F.element_at(F.split(p, "-"), -1)).cast("int")))
+    """"1-3,7" as [1, 2, 3, 7]; empty parts count for nothing."""
+    parts = F.transform(F.filter(F.split(text, ","), lambda p: F.trim(p) != ""), lambda p: F.sequence(F.trim(F.split(p, "-")[0]).cast("int"), F.trim(F.element_at(F.split(p, "-"), -1)).cast("int")))
     return F.flatten(parts)
 
 

@@ -50,10 +50,10 @@ def transformed(df: DataFrame, vector: str, matrix: np.ndarray, mean: np.ndarray
     return df.withColumn(vector, moved).withColumn(vector, F.transform(rows, lambda r: vec.dot(r, F.col(vector))))
 
 
-def mahalanobis(query: DataFrame, pool: DataFrame, k: int, *, apart: bool = False) -> DataFrame:
+def mahalanobis(query: DataFrame, pool: DataFrame, k: int, *, apart: tuple[str, str] | None = None) -> DataFrame:
     """Mean distance to the k nearest pool rows under the pool's inverse sample covariance: whitened once, then Euclidean."""
     w = whitening(covariance(pool)[1])
-    return knn.mean_distance(knn.nearest(transformed(query, "v", w), transformed(pool, "r", w), k, vec.euclidean, apart=apart), k)
+    return knn.mean_distance(knn.nearest(transformed(query, "v", w), transformed(pool, "r", w), k, "euclidean", apart=apart), k)
 
 
 def pca_whitened(query: DataFrame, pool: DataFrame, k: int, most: int = 64) -> DataFrame:
@@ -62,7 +62,7 @@ def pca_whitened(query: DataFrame, pool: DataFrame, k: int, most: int = 64) -> D
     values, vectors = np.linalg.eigh(cov)
     keep = max(1, min(most, n // 10, int((values > 1e-12).sum())))
     w = (vectors[:, ::-1][:, :keep] / np.sqrt(values[::-1][:keep])).T
-    return knn.mean_distance(knn.nearest(transformed(query, "v", w, mean), transformed(pool, "r", w, mean), k, vec.euclidean), k)
+    return knn.mean_distance(knn.nearest(transformed(query, "v", w, mean), transformed(pool, "r", w, mean), k, "euclidean"), k)
 
 
 def shrinkage(pool: DataFrame, vector: str = "r") -> tuple[np.ndarray, np.ndarray, float]:

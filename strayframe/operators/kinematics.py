@@ -59,9 +59,11 @@ def physics_vector(states: DataFrame, agents: DataFrame, *, most: int = 5, metre
 
 
 def role_slots(rel: DataFrame) -> DataFrame:
-    """run, tick, role, agent, rel_*: the nearest agent of each role within the role's range (ties by agent)."""
+    """run, tick, role, agent, rel_*: the nearest agent of each role within the role's range (ties by agent); lead and follower
+    are the nearest along the lane, the other roles the nearest at all."""
     named = rel.withColumn("role", g.role(F.col("rel_x"), F.col("rel_y"), F.col("rel_yaw"))).where("role is not null").where(F.col("dist") <= g.role_range(F.col("role")))
-    w = Window.partitionBy("run", "tick", "role").orderBy("dist", "agent")
+    near = F.when(F.col("role").isin("lead", "follower"), F.abs("rel_x")).otherwise(F.col("dist"))
+    w = Window.partitionBy("run", "tick", "role").orderBy(near, "agent")
     return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
@@ -84,10 +86,11 @@ def role_vector(states: DataFrame, agents: DataFrame, *, dt: float = 0.1) -> Dat
 
 def role_history(states: DataFrame, agents: DataFrame, *, history: int = 10, dt: float = 0.1) -> DataFrame:
     """run, tick, v (36 + 4 H + 36 H): the role vector; ego x, y, yaw, v_long of the last H ticks in the present ego frame; of
-    each role's present agent, present, rel_x, rel_y, rel_yaw, rel_vx, rel_vy at those ticks (zeros where it was not there)."""
+    each role's present agent, present, rel_x, rel_y, rel_yaw, rel_vx, rel_vy at those ticks (zeros where it was not there), each
+    relative to the ego of its tick and rotated by the present yaw."""
     base = role_vector(states, agents, dt=dt)
     back = F.explode(F.sequence(F.lit(0), F.lit(history - 1))).alias("k")
-    now = states.select("run", "tick", F.col("x").alias("n_x"), F.col("y").alias("n_y"), F.col("yaw").alias("n_yaw"), F.col("vx").alias("n_vx"), F.col("vy").alias("n_vy"))
+    now = states.select("run", "tick", F.col("x").alias("n_x"), F.col("y").alias("n_y"), F.col("yaw").alias("n_yaw"))
     past = states.select("run", F.col("tick").alias("p_tick"), *(F.col(c).alias(f"p_{c}") for c in POSE))
     e = now.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(past, ["run", "p_tick"])
     px, py = g.rotated(F.col("p_x") - F.col("n_x"), F.col("p_y") - F.col("n_y"), F.col("n_yaw"))
@@ -95,11 +98,13 @@ def role_history(states: DataFrame, agents: DataFrame, *, history: int = 10, dt:
     e = e.select("run", "tick", F.flatten(F.transform("h", lambda h: h["f"])).alias("ego_h"))
     slots = role_slots(relative(states, agents)).select("run", "tick", "role", "agent")
     a = agents.select("run", "agent", F.col("tick").alias("p_tick"), *(F.col(c).alias(f"p_{c}") for c in POSE))
-    r = slots.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(a, ["run", "agent", "p_tick"], "left").join(now, ["run", "tick"])
-    rx, ry = g.rotated(F.col("p_x") - F.col("n_x"), F.col("p_y") - F.col("n_y"), F.col("n_yaw"))
-    vx, vy = g.rotated(F.col("p_vx") - F.col("n_vx"), F.col("p_vy") - F.col("n_vy"), F.col("n_yaw"))
+    then = past.select("run", "p_tick", *(F.col(f"p_{c}").alias(f"t_{c}") for c in POSE))
+    r = slots.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(a, ["run", "agent", "p_tick"], "left")
+    r = r.join(then, ["run", "p_tick"], "left").join(now, ["run", "tick"])
+    rx, ry = g.rotated(F.col("p_x") - F.col("t_x"), F.col("p_y") - F.col("t_y"), F.col("n_yaw"))
+    vx, vy = g.rotated(F.col("p_vx") - F.col("t_vx"), F.col("p_vy") - F.col("t_vy"), F.col("n_yaw"))
     zeros = F.array_repeat(F.lit(0.0), 6)
-    f = F.when(F.col("p_x").isNull(), zeros).otherwise(F.array(F.lit(1.0), rx, ry, g.wrap(F.col("p_yaw") - F.col("n_yaw")), vx, vy))
+    f = F.when(F.col("p_x").isNull(), zeros).otherwise(F.array(F.lit(1.0), rx, ry, g.wrap(F.col("p_yaw") - F.col("t_yaw")), vx, vy))
     r = r.groupBy("run", "tick", "role").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", f.alias("f")))), lambda x: x["f"])).alias("v"))
     r = r.groupBy("run", "tick").agg(F.map_from_entries(F.collect_list(F.struct("role", "v"))).alias("m"))
     none = F.array_repeat(F.lit(0.0), 6 * history)

@@ -1,29 +1,35 @@
 """Distances of query rows to a pool of reference rows, and what is made of the nearest ones.
 
-Frames are (run, tick, v) rows. Two physical ways give the same rows. :func:`nearest` joins the query with the pool and
-ranks in the JVM; it is exact, deterministic and fit for pools that broadcast. :func:`nearest_blocked` cuts the pool into
-blocks of bounded size, multiplies each query chunk with each block, keeps the block's best and merges; neither side is ever
-held whole, so it grows to any pool.
+Frames are (run, tick, id, v) rows, a pool is (r_run, r_tick, r_id, r) rows. The distances are matrix products, taken for
+CHUNK query rows and TILE pool rows at a time, so a worker's memory does not depend on either side; rows that may be among
+the nearest are measured again one by one, which gives equal vectors equal distances. A pool of up to POOL_BYTES goes to
+the workers by broadcast and nothing is shuffled but the query. A larger one is cut into blocks, each query chunk meets each
+block, and the best of the blocks are merged; neither side is ever held whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import vec
 
-#: Vectors of a block of the pool in :func:`nearest_blocked`.
+#: Pools of up to this many bytes of vectors are broadcast.
+POOL_BYTES = 32 << 20
+#: Rows of a block of a larger pool, and of a chunk of the query that meets a block.
 BLOCK_ROWS = 20_000
-#: Pools of up to this many bytes of vectors are broadcast by :func:`nearest`.
-BROADCAST_BYTES = 64 << 20
+CHUNK, TILE = 256, 8192
+#: Products and distances measured one by one differ by less than this, in units of the vectors' size.
+SLACK = 1e-9
 
-Distance = Callable[[str, str], Column]
+KINDS = ("cosine", "euclidean", "kl")
 
 
 def pool_of(frames: DataFrame, runs: list[int]) -> DataFrame:
@@ -31,57 +37,154 @@ def pool_of(frames: DataFrame, runs: list[int]) -> DataFrame:
     return frames.where(F.col("run").isin(runs)).select(F.col("run").alias("r_run"), F.col("tick").alias("r_tick"), F.col("id").alias("r_id"), F.col("v").alias("r"))
 
 
-def fits_broadcast(pool: DataFrame, vector: str = "r") -> bool:
-    found = pool.agg(F.sum(F.size(vector) * 8)).first()[0]
-    return (found or 0) <= BROADCAST_BYTES
-
-
-def pairs(query: DataFrame, pool: DataFrame, distance: Distance, *, apart: bool = False) -> DataFrame:
-    """query x pool with d; ``apart``: never a pair within one run (leave one run out)."""
-    pool = F.broadcast(pool) if fits_broadcast(pool) else pool
-    joined = query.join(pool, F.col("run") != F.col("r_run")) if apart else query.crossJoin(pool)
-    return joined.withColumn("d", distance("v", "r"))
-
-
-def nearest(query: DataFrame, pool: DataFrame, k: int, distance: Distance, *, apart: bool = False) -> DataFrame:
-    """run, tick, id, r_id, r_run, r_tick, d, n (rank from 1): the k nearest of each query row, ties by r_id. A pool of fewer rows gives all."""
-    best = Window.partitionBy("id").orderBy("d", "r_id")
-    found = pairs(query, pool, distance, apart=apart).select("run", "tick", "id", "r_id", "r_run", "r_tick", "d")
-    return found.where("d is not null").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
-
-
-def nearest_blocked(query: DataFrame, pool: DataFrame, k: int, *, apart: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The same rows as :func:`nearest` with cosine distance of unit vectors, by blocks of matrix products."""
-    blocks = max(1, -(-pool.count() // block_rows))
-    n_chunks = max(1, -(-query.count() // block_rows))
-    left = query.select("run", "tick", "id", "v").withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(n_chunks)))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    chunks = query.sparkSession.range(n_chunks).withColumnRenamed("id", "chunk")
-    right = pool.withColumn("block", F.pmod(F.xxhash64("r_id"), F.lit(blocks)).cast("int")).join(F.broadcast(chunks))  # a chunk is a number
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = {c: [] for c in ("run", "tick", "id", "r_id", "r_run", "r_tick", "d")}
-        if len(a) and len(b):
-            b = b.sort_values("r_id", kind="stable")
-            q, r = np.stack(a["v"].to_numpy()), np.stack(b["r"].to_numpy())
-            d = 1 - q @ r.T
-            if apart:
-                d[a["run"].to_numpy()[:, None] == b["r_run"].to_numpy()[None]] = np.inf
-            order = np.argsort(d, axis=1, kind="stable")[:, :k]
-            own = np.repeat(np.arange(len(a)), order.shape[1])
-            flat, dist = order.ravel(), np.take_along_axis(d, order, axis=1).ravel()
-            ok = np.isfinite(dist)
-            for c in ("run", "tick", "id"):
-                out[c] = a[c].to_numpy()[own[ok]]
-            for c in ("r_id", "r_run", "r_tick"):
-                out[c] = b[c].to_numpy()[flat[ok]]
-            out["d"] = dist[ok]
-        return pd.DataFrame(out)
-
-    types = dict(query.dtypes) | dict(pool.dtypes)
-    schema = ", ".join(f"{c} {types.get(c, 'double')}" for c in ("run", "tick", "id", "r_id", "r_run", "r_tick", "d"))
-    found = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(best, schema)
-    return found.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "r_id"))).where(F.col("n") <= k)
+def _products(kind: str, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """What orders the pool for each query row as the distance does, up to rounding."""
+    if kind == "cosine":
+        return 1 - q @ r.T
+    if kind == "kl":
+        return (q * np.log(q)).sum(axis=1)[:, None] - q @ np.log(r).T
+    return (q * q).sum(axis=1)[:, None] + (r * r).sum(axis=1)[None] - 2 * (q @ r.T)
+
+
+def _measured(kind: str, q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The distances of pairs of rows."""
+    if kind == "cosine":
+        return 1 - np.einsum("ij,ij->i", q, r)
+    if kind == "kl":
+        return np.einsum("ij,ij->i", q, np.log(q / r))
+    return np.sqrt(np.einsum("ij,ij->i", q - r, q - r))
+
+
+@dataclass
+class _Search:
+    """kind, k; snap: smaller distances count as 0; apart: whether pairs with equal marks are left out."""
+
+    kind: str
+    k: int
+    snap: float | None
+    apart: bool
+
+    def tile(self, q: np.ndarray, mark: np.ndarray, r: np.ndarray, r_mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, pool row, distance) of all pool rows that may be among the k nearest."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            near = _products(self.kind, q, r)
+        near[np.isnan(near)] = np.inf
+        if self.apart:
+            near[mark[:, None] == r_mark[None]] = np.inf
+        top = np.partition(near, self.k - 1, axis=1)[:, self.k - 1] if near.shape[1] > self.k else np.full(len(q), np.inf)
+        if self.snap is not None:
+            top = np.maximum(top, self.snap if self.kind != "euclidean" else self.snap**2)
+        size = np.abs(q).max(axis=1, initial=1.0) ** 2 * q.shape[1] if self.kind == "euclidean" else 1.0
+        i, j = np.nonzero((near <= (top + SLACK * size * (1 + np.abs(np.where(np.isfinite(top), top, 0))))[:, None]) & np.isfinite(near))
+        d = np.concatenate([_measured(self.kind, q[i[a : a + 100_000]], r[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [np.zeros(0)])
+        return i, j, np.where(d < self.snap, 0.0, d) if self.snap is not None else d
+
+    def best(self, q: np.ndarray, mark: np.ndarray, r: np.ndarray, r_mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(query row, pool row, distance, rank) of the k nearest rows of a pool in the order of ties."""
+        i, j, d = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        n = np.zeros(0, np.int64)
+        for lo in range(0, len(r), TILE):
+            ti, tj, td = self.tile(q, mark, r[lo : lo + TILE], r_mark[lo : lo + TILE])
+            i, j, d = np.concatenate([i, ti]), np.concatenate([j, tj + lo]), np.concatenate([d, td])
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            n = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+            i, j, d, n = (x[n < self.k] for x in (i, j, d, n))
+        return i, j, d, n + 1
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows of equal length; a null row or entry is NaN."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, 0))
+    sizes = {x for x in column.value_lengths().to_pylist() if x is not None}
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of lengths {sorted(sizes)}")
+    width = sizes.pop() if sizes else 0
+    out = np.full((len(column), width), np.nan)
+    there = np.flatnonzero(~np.asarray(column.is_null()))
+    out[there] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(there), width)
+    return out
+
+
+def _marks(a: pa.ChunkedArray | pa.Array | None, n: int) -> np.ndarray:
+    return np.zeros(n) if a is None else np.array(a.to_pylist(), dtype=object)
+
+
+def _schema(query: DataFrame, pool: DataFrame) -> StructType:
+    kept = [f for f in query.schema.fields if f.name != "v"] + [f for f in pool.schema.fields if f.name != "r"]
+    return StructType([*kept, StructField("d", DoubleType()), StructField("n", IntegerType())])
+
+
+def nearest(
+    query: DataFrame, pool: DataFrame, k: int, kind: str, *, apart: tuple[str, str] | None = None, by: str | None = None, snap: float | None = None,
+    order: str = "r_id", pool_bytes: int = POOL_BYTES, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The columns of query (but v) and of pool (but r), d, n (rank from 1): the k nearest of each query row, ties by
+    ``order``. A pool of fewer rows gives all.
+
+    kind: cosine (of unit vectors), euclidean or kl. apart: columns of query and pool that may not be equal. by: a pool column;
+    the k nearest of each of its values. snap: smaller distances count as 0. Rows with a null in their vector have no distance."""
+    if kind not in KINDS:
+        raise ValueError(f"no distance {kind}")
+    search, schema = _Search(kind, k, snap, apart is not None), _schema(query, pool)
+    width = pool.select(F.coalesce(F.max(F.size("r")), F.lit(1)).alias("w")).first()[0]
+    fits = max(1, pool_bytes // (8 * max(1, width)))
+    held = pool.limit(fits + 1).toArrow()  # pool_bytes and a row at most
+    if held.num_rows > fits:
+        return _nearest_blocked(query, pool, search, apart, by, order, block_rows, schema)
+    held = held.sort_by(order)
+    spread = query.repartition(int(query.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kept = query.sparkSession.sparkContext.broadcast(held)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = kept.value
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                yield from _found(pa.Table.from_batches([batch.slice(lo, CHUNK)]), r, search, apart, by).to_batches()
+
+    return spread.mapInArrow(find, schema)
+
+
+def _found(q: pa.Table, r: pa.Table, search: _Search, apart: tuple[str, str] | None, by: str | None) -> pa.Table:
+    """The nearest rows of r, which is in the order of ties."""
+    v, w = _matrix(q["v"]), _matrix(r["r"])
+    mark, r_mark = _marks(q[apart[0]] if apart else None, len(v)), _marks(r[apart[1]] if apart else None, len(w))
+    groups = [np.arange(len(w))]
+    if by and len(w):
+        names = np.array(r[by].to_pylist(), dtype=object)
+        groups = [np.flatnonzero(names == x) for x in dict.fromkeys(names)]
+    parts = []
+    for rows in groups if v.shape[1] and w.shape[1] else []:  # no width: null vectors alone
+        if len(rows) and len(v):
+            i, j, d, n = search.best(v, mark, w[rows], r_mark[rows])
+            parts.append((i, rows[j], d, n))
+    i, j, d, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    left, right = q.drop_columns(["v"]).take(pa.array(i)), r.drop_columns(["r"]).take(pa.array(j))
+    both = pa.Table.from_arrays([*left.columns, *right.columns], names=[*left.column_names, *right.column_names])
+    return both.append_column("d", pa.array(d, pa.float64())).append_column("n", pa.array(n, pa.int32()))
+
+
+def _nearest_blocked(query: DataFrame, pool: DataFrame, search: _Search, apart: tuple[str, str] | None, by: str | None, order: str, block_rows: int, schema: StructType) -> DataFrame:
+    """Each query chunk meets each block of the pool in a task of its own; the best of the blocks are ranked."""
+    spark = query.sparkSession
+    blocks, n_chunks = (max(1, -(-x.count() // block_rows)) for x in (pool, query))
+    left = query.withColumn("_row", F.monotonically_increasing_id())
+    left = left.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(n_chunks))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    chunks = spark.range(n_chunks).withColumnRenamed("id", "_chunk")
+    right = pool.withColumn("_block", F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int")).join(F.broadcast(chunks))  # a chunk is a number
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        a, b = a.drop_columns(["_chunk", "_block"]), b.drop_columns(["_chunk", "_block"]).sort_by(order)
+        found = [_found(a.slice(lo, CHUNK), b, search, apart, by) for lo in range(0, a.num_rows, CHUNK)]
+        return pa.concat_tables(found) if found else _found(a, b, search, apart, by)
+
+    inner = StructType([schema.fields[k] for k in range(len(query.columns) - 1)] + [StructField("_row", left.schema["_row"].dataType), *schema.fields[len(query.columns) - 1 :]])
+    found = left.groupBy("_chunk", "_block").cogroup(right.groupBy("_chunk", "_block")).applyInArrow(best, inner).drop("n")
+    rank = Window.partitionBy("_row", *([by] if by else [])).orderBy("d", order)
+    return found.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= search.k).drop("_row")
 
 
 def mean_distance(found: DataFrame, k: int) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vec
 from . import knn
 
 
@@ -45,17 +44,16 @@ def distinct_entries(frames: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 def entry_scores(nominal: DataFrame, k: int, *, floor: float = 0.05, plain: bool = False) -> DataFrame:
     """run, tick, id, score of nominal frames: mean distance to the k nearest entries. A frame's own entry counts unless the frame is
-    the only one of it. Components are divided by their spread, at least ``floor`` (``plain``: not)."""
+    the only one of it. Components are divided by their spread over the entries, at least ``floor`` (``plain``: not)."""
     known = distinct_entries(nominal)
     entries = known.where("id = entry").select(F.col("entry").alias("r_id"), F.col("v").alias("r"), F.col("copies").alias("r_copies"))
     if not plain:
-        flat = nominal.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("s"))
+        flat = entries.select(F.posexplode("r").alias("i", "x")).groupBy("i").agg(F.greatest(F.stddev_pop("x"), F.lit(floor)).alias("s"))
         scale = flat.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]).alias("s"))
         divide = lambda df, c: df.crossJoin(F.broadcast(scale)).withColumn(c, F.zip_with(c, "s", lambda x, s: x / s)).drop("s")
         known, entries = divide(known, "v"), divide(entries, "r")
-    entries = F.broadcast(entries) if knn.fits_broadcast(entries) else entries
-    pairs = known.crossJoin(entries).where((F.col("entry") != F.col("r_id")) | (F.col("r_copies") > 1)).withColumn("d", vec.euclidean("v", "r"))
-    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "r_id"))).where(F.col("n") <= k)
+    known = known.select("run", "tick", "id", "v", F.when(F.col("copies") == 1, F.col("entry")).otherwise(F.lit(-1)).alias("own"))
+    best = knn.nearest(known, entries.withColumn("r_own", F.when(F.col("r_copies") == 1, F.col("r_id")).otherwise(F.lit(-2))), k, "euclidean", apart=("own", "r_own"))
     return best.groupBy("run", "tick", "id").agg(F.avg("d").alias("score"))
 
 
@@ -65,20 +63,15 @@ def sentence_scores(nominal: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     counted = nominal.groupBy("sentence").agg(F.count("*").alias("copies"))
     cache = vectors.join(counted, "sentence", "left").where("copies is not null or fixed").select(F.col("sentence").alias("r_sentence"), F.col("v").alias("r"), F.coalesce("copies", F.lit(0)).alias("r_copies"), "fixed")
     own = nominal.join(vectors.select("sentence", "v"), "sentence")
-    cache = F.broadcast(cache) if knn.fits_broadcast(cache) else cache
-    d = vec.cosine_distance("v", "r")
-    pairs = own.crossJoin(cache).where((F.col("sentence") != F.col("r_sentence")) | (F.col("r_copies") > 1) | F.col("fixed"))
-    pairs = pairs.withColumn("d", F.when(d < 1e-6, 0.0).otherwise(d))
-    best = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d", "r_sentence"))).where(F.col("n") <= k)
+    cache = cache.withColumn("r_own", F.when((F.col("r_copies") > 1) | F.col("fixed"), F.lit(None).cast("string")).otherwise(F.col("r_sentence")))
+    best = knn.nearest(own.select("id", "sentence", "v"), cache.drop("fixed"), k, "cosine", apart=("sentence", "r_own"), snap=1e-6, order="r_sentence")
     return best.groupBy("id").agg(F.avg("d").alias("score"))
 
 
 def patch_matches(query: DataFrame, bank: DataFrame) -> DataFrame:
     """query patches (id, patch, v) each with the nearest bank patch of another frame: id, patch, r_id, d (at least 0)."""
-    bank = F.broadcast(bank) if knn.fits_broadcast(bank) else bank
-    pairs = query.join(bank, F.col("id") != F.col("r_id")).withColumn("d", F.greatest(vec.cosine_distance("v", "r"), F.lit(0.0)))
-    best = pairs.groupBy("id", "patch").agg(F.min(F.struct("d", "r_id")).alias("b"))
-    return best.select("id", "patch", F.col("b.r_id").alias("r_id"), F.col("b.d").alias("d"))
+    best = knn.nearest(query.select("id", "patch", "v"), bank.select("r_id", "r"), 1, "cosine", apart=("id", "r_id"), snap=0.0)
+    return best.select("id", "patch", "r_id", "d")
 
 
 def votes(matches: DataFrame, most: int) -> DataFrame:

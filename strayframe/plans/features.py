@@ -21,7 +21,7 @@ rel AS (SELECT run, tick, agent, (x - ex) * cos(eyaw) + (y - ey) * sin(eyaw) AS
 _ROLE = """
 roles AS (SELECT *, CASE WHEN cos(rel_yaw) > 0.7 THEN CASE WHEN abs(rel_y) <= 2 THEN CASE WHEN rel_x > 0 THEN 'lead' ELSE 'follower' END WHEN abs(rel_y) <= 5.5 THEN CASE WHEN rel_y < 0 THEN 'left' ELSE 'right' END END
     WHEN cos(rel_yaw) < -0.7 THEN 'oncoming' ELSE 'crossing' END AS role FROM rel),
-slots AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, tick, role ORDER BY dist, agent) AS i FROM roles WHERE role IS NOT NULL AND dist <= CASE WHEN role = 'lead' THEN 60 ELSE 30 END) WHERE i = 1)"""
+slots AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run, tick, role ORDER BY CASE WHEN role IN ('lead', 'follower') THEN abs(rel_x) ELSE dist END, agent) AS i FROM roles WHERE role IS NOT NULL AND dist <= CASE role WHEN 'lead' THEN 40 WHEN 'oncoming' THEN 30 ELSE 25 END) WHERE i = 1)"""
 
 
 @query(f"WITH {STATES}, {_EGO} SELECT run, tick, round(v_long, 5) AS v_long, round(yaw_rate, 5) AS yaw_rate, round(a_long, 5) AS a_long, round(v_long * yaw_rate, 5) AS a_lat, round(jerk, 4) AS jerk FROM k")
@@ -50,8 +50,8 @@ def e07_role_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {STATES}, {AGENTS} SELECT a.run, a.tick, a.agent, round(coalesce({_WRAP.format("a.yaw - b.yaw")} / 0.1::DOUBLE, 0), 5) AS yaw_rate
-FROM agents a LEFT JOIN agents b ON a.run = b.run AND a.agent = b.agent AND a.tick = b.tick + 1
+WITH {STATES}, {AGENTS}, l AS (SELECT *, lag(yaw) OVER w AS before, lag(tick) OVER w AS at FROM agents WINDOW w AS (PARTITION BY run, agent ORDER BY tick))
+SELECT run, tick, agent, CASE WHEN at = tick - 1 THEN round({_WRAP.format("yaw - before")} / 0.1::DOUBLE, 5) ELSE 0 END AS yaw_rate FROM l
 """)
 def w03_agent_yaw_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the same agent one tick before; 0 where it was not there."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import vec
 from ..operators import conformal, density, evaluation, knn
@@ -54,7 +55,7 @@ FROM s JOIN q USING (run), tau GROUP BY s.run
 def knn_cosine_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine neighbours among the other runs, leave-one-run-out conformal threshold, decision for each run."""
     f = knn.unit_frames(frames(spark, sf_dir))
-    s = knn.mean_distance(knn.nearest(f, knn.pool_of(f, LOO), K, vec.cosine_distance, apart=True), K)
+    s = knn.mean_distance(knn.nearest(f, knn.pool_of(f, LOO), K, "cosine", apart=("run", "r_run")), K)
     q = conformal.order_stat(s, ["run"], 0.95)
     tau = conformal.conformal_tau(q.where("run <= 8"), [], 0.1, value="q_run").select("tau")
     rows = s.join(q, "run").crossJoin(F.broadcast(tau))  # one row
@@ -67,14 +68,14 @@ _C01 = f"WITH {FRAMES}, {_pairs('unit', _AWAY, _COS)}, {_MEAN}"
 @query(_C01)
 def c01_knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, pool = _unit(spark, sf_dir)
-    return _score(knn.mean_distance(knn.nearest(q, pool, K, vec.cosine_distance), K))
+    return _score(knn.mean_distance(knn.nearest(q, pool, K, "cosine"), K))
 
 
 @query(_C01)
 def c01_knn_cosine_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same rows by blocks of matrix products, for pools that do not broadcast."""
     q, pool = _unit(spark, sf_dir)
-    return _score(knn.mean_distance(knn.nearest_blocked(q, pool, K, block_rows=200), K))
+    return _score(knn.mean_distance(knn.nearest(q, pool, K, "cosine", pool_bytes=0, block_rows=200), K))
 
 
 @query(f"""
@@ -111,7 +112,7 @@ def c03_std_euclidean(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = frames(spark, sf_dir)
     pool = knn.pool_of(f, POOL)
     of = knn.moments(pool)
-    return _score(knn.mean_distance(knn.nearest(knn.standardised(f.where("run > 5"), "v", of), knn.standardised(pool, "r", of), K, vec.euclidean), K))
+    return _score(knn.mean_distance(knn.nearest(knn.standardised(f.where("run > 5"), "v", of), knn.standardised(pool, "r", of), K, "euclidean"), K))
 
 
 @query(f"""
@@ -122,7 +123,7 @@ SELECT run, CAST(frame AS INT) AS frame, round(avg(d), 6) AS score FROM o WHERE
 def c04_patch_worst_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six rows in a row are the patches of a frame: each one's nearest in the bank, then the mean of the worst 40 %."""
     q, pool = _unit(spark, sf_dir)
-    best = knn.nearest(q, pool, 1, vec.cosine_distance).select("run", F.floor((F.col("tick") - 1) / 6).cast("int").alias("frame"), F.greatest("d", F.lit(0.0)).alias("d"))
+    best = knn.nearest(q, pool, 1, "cosine").select("run", F.floor((F.col("tick") - 1) / 6).cast("int").alias("frame"), F.greatest("d", F.lit(0.0)).alias("d"))
     return knn.worst_share(best, ["run", "frame"], "d", 0.4).select("run", "frame", r6("score").alias("score"))
 
 
@@ -138,7 +139,7 @@ def c05_label_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of a frame against the pool's distinct labels: a frame has the score of its worst label, none without labels."""
     f = knn.unit_frames(frames(spark, sf_dir)).withColumn("label", F.col("id") % 90).withColumn("frame", F.floor((F.col("tick") - 1) / 4).cast("int"))
     pool = knn.first_per_label(f.where(F.col("run").isin(POOL)), "label", "id")
-    near = knn.nearest(f.where("run > 5 and id % 5 <> 0"), knn.pool_of(pool, POOL), K, vec.cosine_distance).where(F.col("n") <= K)
+    near = knn.nearest(f.where("run > 5 and id % 5 <> 0"), knn.pool_of(pool, POOL), K, "cosine").where(F.col("n") <= K)
     labels = near.groupBy("run", F.floor((F.col("tick") - 1) / 4).cast("int").alias("tick"), "id").agg(F.avg("d").alias("s")).groupBy("run", "tick").agg(F.max("s").alias("score"))
     return _score(f.where("run > 5").select("run", F.col("frame").alias("tick")).distinct().join(labels, ["run", "tick"], "left"))
 
@@ -167,7 +168,7 @@ WITH {FRAMES}, {_P}, {_pairs("p", _AWAY, "list_sum(list_transform(range(1, 9), l
 """)
 def c07_kl_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _shares(spark, sf_dir)
-    return _score(knn.mean_distance(knn.nearest(p.where("run > 5"), knn.pool_of(p, POOL), K, vec.kl), K))
+    return _score(knn.mean_distance(knn.nearest(p.where("run > 5"), knn.pool_of(p, POOL), K, "kl"), K))
 
 
 @query()
@@ -185,7 +186,7 @@ def c09_centred_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = knn.pool_of(f, POOL)
     of = knn.moments(pool).select("mu", "sigma")
     q, r = knn.centred(f.where("run > 5"), "v", of), knn.centred(pool, "r", of)
-    return _score(knn.mean_distance(knn.nearest(q.withColumn("v", vec.unit("v")), r.withColumn("r", vec.unit("r")), K, vec.cosine_distance), K))
+    return _score(knn.mean_distance(knn.nearest(q.withColumn("v", vec.unit("v")), r.withColumn("r", vec.unit("r")), K, "cosine"), K))
 
 
 @query(f"WITH {FRAMES} SELECT run, tick, round(v[3], 6) AS score FROM frames WHERE run > 5")
@@ -202,7 +203,7 @@ SELECT run, tick, round(avg(d) FILTER (n <= 1), 6) AS cosine_k1, round(avg(d) FI
 def c11_topk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One top ten gives four scores and the neighbours themselves; never a neighbour of the own run."""
     f = knn.unit_frames(frames(spark, sf_dir)).where("run <= 8")
-    best = knn.nearest(f, knn.pool_of(f, LOO), 10, vec.cosine_distance, apart=True)
+    best = knn.nearest(f, knn.pool_of(f, LOO), 10, "cosine", apart=("run", "r_run"))
     means = [r6(F.avg(F.when(F.col("n") <= k, F.col("d")))).alias(f"cosine_k{k}") for k in (1, 3, 5, 10)]
     named = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat_ws(":", "r_run", "r_tick").alias("s")))), lambda x: x["s"]), ",")
     return best.groupBy("run", "tick").agg(*means, named.alias("neighbours"))
@@ -259,13 +260,13 @@ def g05_covariance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c16_self_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference runs against the pool that holds them."""
     f = knn.unit_frames(frames(spark, sf_dir)).where("run <= 5")
-    return _score(knn.mean_distance(knn.nearest(f, knn.pool_of(f, POOL), K, vec.cosine_distance), K))
+    return _score(knn.mean_distance(knn.nearest(f, knn.pool_of(f, POOL), K, "cosine"), K))
 
 
 @query(f"WITH {FRAMES}, {_pairs('unit', _APART, _COS)}, {_MEAN}")
 def j02_leave_one_run_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = knn.unit_frames(frames(spark, sf_dir)).where("run <= 8")
-    return _score(knn.mean_distance(knn.nearest(f, knn.pool_of(f, LOO), K, vec.cosine_distance, apart=True), K))
+    return _score(knn.mean_distance(knn.nearest(f, knn.pool_of(f, LOO), K, "cosine", apart=("run", "r_run")), K))
 
 
 @query(f"""
@@ -288,12 +289,10 @@ s AS (SELECT size, draw, run, tick, avg(d) AS score FROM o WHERE n <= {K} GROUP
 SELECT CAST(size AS INT) AS size, CAST(draw AS INT) AS draw, count(*) AS n, round(avg(score) FILTER (run = 9), 6) AS mean_test, round(avg(score) FILTER (run <= 8), 6) AS mean_nominal FROM s GROUP BY size, draw
 """)
 def p09_pool_size_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All draws of runs in one plan: distances are computed once and each draw takes its part of them."""
-    from pyspark.sql.window import Window
-
+    """All draws of runs in one plan: each run's nearest are found once and each draw merges those of its runs."""
     draws = spark.createDataFrame(_DRAWS, "size int, draw int, r_run int")
     f = knn.unit_frames(frames(spark, sf_dir))
-    pairs = knn.pairs(f, knn.pool_of(f, LOO), vec.cosine_distance, apart=True).select("run", "tick", "id", "r_id", "r_run", "d")
+    pairs = knn.nearest(f, knn.pool_of(f, LOO), K, "cosine", apart=("run", "r_run"), by="r_run").drop("n")
     ranked = pairs.join(F.broadcast(draws), "r_run").withColumn("n", F.row_number().over(Window.partitionBy("size", "draw", "id").orderBy("d", "r_id"))).where(F.col("n") <= K)
     s = ranked.groupBy("size", "draw", "run", "tick").agg(F.avg("d").alias("score"))
     return s.groupBy("size", "draw").agg(F.count("*").alias("n"), r6(F.avg(F.when(F.col("run") == 9, F.col("score")))).alias("mean_test"), r6(F.avg(F.when(F.col("run") <= 8, F.col("score")))).alias("mean_nominal"))
@@ -306,11 +305,12 @@ s AS (SELECT share, run, tick, avg(d) AS score FROM o WHERE n <= {K} GROUP BY sh
 SELECT CAST(share AS DOUBLE) AS share, count(*) AS n, round(avg(score), 6) AS mean_score, round(max(score), 6) AS top_score FROM s GROUP BY share
 """)
 def p10_corpus_share_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
+    """A share's pool holds the smaller shares' pools, so the nearest of each ring are found once and merged."""
     shares = spark.createDataFrame([(x,) for x in (0.3, 0.5, 0.7, 1.0)], "share double")
     q, pool = _unit(spark, sf_dir)
-    pairs = knn.pairs(q, pool, vec.cosine_distance).select("run", "tick", "id", "r_id", "d").join(F.broadcast(shares), F.col("r_id") * 7919 % 1000 < F.round(F.col("share") * 1000))
+    place = F.col("r_id") * 7919 % 1000
+    ring = F.when(place < 300, 0.3).when(place < 500, 0.5).when(place < 700, 0.7).otherwise(1.0)
+    pairs = knn.nearest(q, pool.withColumn("ring", ring), K, "cosine", by="ring").select("run", "tick", "id", "r_id", "ring", "d").join(F.broadcast(shares), F.col("ring") <= F.col("share"))
     s = pairs.withColumn("n", F.row_number().over(Window.partitionBy("share", "id").orderBy("d", "r_id"))).where(F.col("n") <= K).groupBy("share", "run", "tick").agg(F.avg("d").alias("score"))
     return s.groupBy("share").agg(F.count("*").alias("n"), r6(F.avg("score")).alias("mean_score"), r6(F.max("score")).alias("top_score"))
 
@@ -325,7 +325,7 @@ WHERE run = 9 GROUP BY n1, n0
 def g13_knn_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well the neighbour score tells run 9 from runs 6 to 8."""
     q, pool = _unit(spark, sf_dir)
-    s = knn.mean_distance(knn.nearest(q, pool, K, vec.cosine_distance), K).withColumn("positive", F.col("run") == 9)
+    s = knn.mean_distance(knn.nearest(q, pool, K, "cosine"), K).withColumn("positive", F.col("run") == 9)
     return evaluation.auroc(s, []).withColumn("auroc", r6("auroc"))
 
 

@@ -32,7 +32,7 @@ def g18_tolerance_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FRAMES}, {_COARSE}, {_ENTRIES}, s AS (SELECT greatest(stddev_pop(v[1]), 0.05) AS s1, greatest(stddev_pop(v[2]), 0.05) AS s2 FROM coarse),
+WITH {FRAMES}, {_COARSE}, {_ENTRIES}, s AS (SELECT greatest(stddev_pop(v[1]), 0.05) AS s1, greatest(stddev_pop(v[2]), 0.05) AS s2 FROM e WHERE id = entry),
 p AS (SELECT a.run, a.tick, a.id, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(((a.v[1] - b.v[1]) / s1) ** 2 + ((a.v[2] - b.v[2]) / s2) ** 2), b.id) AS n, sqrt(((a.v[1] - b.v[1]) / s1) ** 2 + ((a.v[2] - b.v[2]) / s2) ** 2) AS d
     FROM e a JOIN e b ON b.id = b.entry AND (a.entry <> b.id OR b.copies > 1), s)
 SELECT run, tick, id, round(avg(d), 6) AS score FROM p WHERE n <= 5 GROUP BY run, tick, id

@@ -97,12 +97,20 @@ def checked_counts(frames: DataFrame, runs: DataFrame) -> DataFrame:
     return both.withColumn("n", F.when(wrong, F.raise_error(F.concat(F.lit("frames and states differ in run "), F.col("run"))).cast("bigint")).otherwise(F.col("n"))).select("run", "n")
 
 
-def config(path: str) -> dict:
-    """A configuration over the data file that it names; its own keys win. Encoders are a list with ``<name>_params`` keys, or
-    an object of parameters; the result has ``encoders`` as an object."""
+#: The data file of a configuration that names none.
+DATA_FILE = "config/data.json"
+
+
+def config(path: str, root: str | None = None) -> dict:
+    """A configuration over the data file that it names (a path below ``root``, which is the folder above the
+    configuration's); its own keys win. One that lists its runs itself needs no data file. Encoders are a list with
+    ``<name>_params`` keys, or an object of parameters; the result has ``encoders`` as an object."""
     own = json.loads(Path(path).read_text())
-    data = json.loads((Path(path).parent / own["data"]).read_text()) if "data" in own else {}
-    merged = data | own
+    if "reference_runs" in own or "reference_run" in own:
+        merged = own
+    else:
+        top = Path(root) if root else Path(path).resolve().parent.parent
+        merged = json.loads((top / own.get("data", DATA_FILE)).read_text()) | own
     encoders = merged.get("encoders", {})
     if isinstance(encoders, list):
         encoders = {name: merged.get(f"{name}_params", {}) for name in encoders}
@@ -114,7 +122,10 @@ ROLES = ("reference", "anomaly", "negative", "calibration")
 
 def run_roles(spark: SparkSession, merged: dict) -> DataFrame:
     """run, role, onset, until, type, kind of a configuration's run lists."""
-    rows = [(r["run_name"], role, r.get("onset_tick"), r.get("offset_tick"), r.get("anomaly_type"), r.get("anomaly_kind")) for role in ROLES for r in merged.get(role, [])]
+    lists = {role: merged.get(f"{role}_runs", []) for role in ROLES}
+    if not lists["reference"] and "reference_run" in merged:
+        lists["reference"] = [merged["reference_run"]]  # older files name one run
+    rows = [(r["run_name"], role, r.get("onset_tick"), r.get("offset_tick"), r.get("anomaly_type"), r.get("anomaly_kind")) for role, found in lists.items() for r in found]
     return spark.createDataFrame(rows, "run string, role string, onset int, until int, type string, kind string")
 
 

@@ -5,7 +5,6 @@ import random
 
 import numpy as np
 import pytest
-from strayframe.functions import vec
 from strayframe.operators import concepts, conformal, evaluation, kinematics, knn, snapshot
 
 
@@ -16,19 +15,40 @@ def frames(spark, n, d, runs, seed):
     return v, spark.createDataFrame(rows, "run int, tick int, id long, v array<double>")
 
 
-@pytest.mark.parametrize("apart", [False, True])
-def test_both_neighbour_ways(spark, apart):
-    v, f = frames(spark, 60, 5, 4, 1)
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    d = 1 - u @ u.T
-    if apart:
-        run = np.arange(60) % 4
-        d[run[:, None] == run[None]] = np.inf
-    want = np.sort(d, axis=1)[:, :3].mean(axis=1)
-    f = knn.unit_frames(f)
-    for found in (knn.nearest(f, knn.pool_of(f, [0, 1, 2, 3]), 3, vec.cosine_distance, apart=apart), knn.nearest_blocked(f, knn.pool_of(f, [0, 1, 2, 3]), 3, apart=apart, block_rows=17)):
-        got = {r.run + 4 * r.tick: r.score for r in knn.mean_distance(found, 3).collect()}
-        assert [got[k] for k in range(60)] == pytest.approx(want.tolist(), abs=1e-9)
+@pytest.mark.parametrize("way", [{}, {"pool_bytes": 0, "block_rows": 17}])
+@pytest.mark.parametrize("apart", [None, ("run", "r_run")])
+@pytest.mark.parametrize("kind", knn.KINDS)
+@pytest.mark.parametrize("by", [None, "r_run"])
+def test_nearest_rows_against_all_pairs(spark, monkeypatch, way, apart, kind, by):
+    monkeypatch.setattr(knn, "TILE", 7)
+    v, _ = frames(spark, 60, 5, 4, 1)
+    v[40:50] = v[20:30]  # ties
+    v = np.abs(v) + 0.01 if kind == "kl" else v
+    v = v / np.linalg.norm(v, axis=1, keepdims=True) if kind == "cosine" else v
+    f = spark.createDataFrame([(k % 4, k // 4, k, [float(x) for x in r]) for k, r in enumerate(v)], "run int, tick int, id long, v array<double>")
+    q, r = v[:, None], v[None]
+    d = 1 - (q * r).sum(axis=2) if kind == "cosine" else (q * np.log(q / r)).sum(axis=2) if kind == "kl" else np.sqrt(((q - r) ** 2).sum(axis=2))
+    found = knn.nearest(f, knn.pool_of(f, [0, 1, 2]), 3, kind, apart=apart, by=by, **way)
+    got = {}
+    for x in found.collect():
+        got.setdefault((x.id, x.r_run if by else None), []).append((x.n, x.r_id, x.d))
+    for k in range(60):
+        for run in (0, 1, 2) if by else (None,):
+            pool = [j for j in range(60) if j % 4 != 3 and (run is None or j % 4 == run) and not (apart and j % 4 == k % 4)]
+            want = sorted((round(d[k, j], 9), j) for j in pool)[:3]
+            own = sorted(got.get((k, run), []))
+            assert [j for _, j, _ in own] == [j for _, j in want]
+            assert [x for _, _, x in own] == pytest.approx([x for x, _ in want], abs=1e-8)
+
+
+def test_rows_without_a_direction_have_no_neighbours(spark):
+    rows = [(0, 0, 0, [0.0, 0.0]), (0, 1, 1, [1.0, 0.0]), (1, 0, 2, [0.0, 2.0]), (1, 1, 3, None)]
+    f = knn.unit_frames(spark.createDataFrame(rows, "run int, tick int, id long, v array<double>"))
+    for way in ({}, {"pool_bytes": 0, "block_rows": 2}):
+        found = knn.nearest(f, knn.pool_of(f, [0, 1]), 2, "cosine", **way).collect()
+        assert sorted((r.id, r.r_id, r.n, r.d) for r in found) == [(1, 1, 1, 0.0), (1, 2, 2, 1.0), (2, 1, 2, 1.0), (2, 2, 1, 0.0)]
+        assert knn.nearest(f.limit(0), knn.pool_of(f, [0, 1]), 2, "cosine", **way).collect() == []
+        assert knn.nearest(f, knn.pool_of(f, []), 2, "cosine", **way).collect() == []
 
 
 def scored(spark, seed, n=300, ties=True):
@@ -120,7 +140,8 @@ def _iou(a, b):
 
 
 def test_role_history(spark):
-    """The present agent of each role at the last ticks, seen from the present ego; zeros where it was not there."""
+    """The present agent of each role at the last ticks, relative to the ego of that tick, in the present ego's direction;
+    zeros where it was not there."""
     n, h = 14, 10
     ego = [(k, 0.9 * k, 0.02 * k, 0.01 * k, 9.0, 0.1 * k) for k in range(n)]
     other = {1: [(k, 0.9 * k + 15, 0.3, 0.0, 8.0, 0.0) for k in range(n) if k != 7], 2: [(k, 0.9 * k + 4, -3.5, 0.05, 9.5, 0.0) for k in range(6, n)]}
@@ -131,7 +152,7 @@ def test_role_history(spark):
     assert sorted(got) == list(range(h - 1, n)) and {len(v) for v in got.values()} == {436}
     wrap = lambda x: math.atan2(math.sin(x), math.cos(x))
     for tick, v in got.items():
-        _, ex, ey, eyaw, evx, evy = ego[tick]
+        _, ex, ey, eyaw, _, _ = ego[tick]
         turn = lambda dx, dy: (dx * math.cos(eyaw) + dy * math.sin(eyaw), -dx * math.sin(eyaw) + dy * math.cos(eyaw))  # noqa: B023, E731
         want = []
         for k in range(tick - h + 1, tick + 1):
@@ -145,7 +166,8 @@ def test_role_history(spark):
             for k in range(tick - h + 1, tick + 1):
                 if k in known and tick in known:
                     _, x, y, yaw, vx, vy = known[k]
-                    want += [1.0, *turn(x - ex, y - ey), wrap(yaw - eyaw), *turn(vx - evx, vy - evy)]
+                    _, px, py, pyaw, pvx, pvy = ego[k]
+                    want += [1.0, *turn(x - px, y - py), wrap(yaw - pyaw), *turn(vx - pvx, vy - pvy)]
                 else:
                     want += [0.0] * 6
             if tick in known:

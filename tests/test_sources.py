@@ -35,13 +35,18 @@ def test_arrays_and_scores(spark, tmp_path):
 
 
 def test_configuration(spark, tmp_path):
-    (tmp_path / "data.json").write_text(json.dumps({"reference": [{"run_name": "r1"}], "anomaly": [{"run_name": "r2", "onset_tick": 5, "anomaly_type": "semantic"}], "k": 3}))
-    (tmp_path / "own.json").write_text(json.dumps({"data": "data.json", "k": 5, "encoders": ["vision", "physics"], "physics_params": {"metrics": ["cosine", "mahalanobis"]}}))
-    merged = files.config(str(tmp_path / "own.json"))
+    (tmp_path / "config").mkdir()
+    lists = {"reference_runs": [{"run_name": "r1"}], "anomaly_runs": [{"run_name": "r2", "onset_tick": 5, "anomaly_type": "semantic"}], "negative_runs": [{"run_name": "r3"}], "calibration_runs": [{"run_name": "r4"}]}
+    (tmp_path / "config/data.json").write_text(json.dumps(lists | {"k": 3}))
+    (tmp_path / "config/own.json").write_text(json.dumps({"k": 5, "encoders": ["vision", "physics"], "physics_params": {"metrics": ["cosine", "mahalanobis"]}}))
+    merged = files.config(str(tmp_path / "config/own.json"))
+    (tmp_path / "config/whole.json").write_text(json.dumps({"reference_run": {"run_name": "old"}, "anomaly_runs": []}))
+    whole = files.run_roles(spark, files.config(str(tmp_path / "config/whole.json")))
+    assert [(r.run, r.role) for r in whole.collect()] == [("old", "reference")]
     assert merged["k"] == 5 and files.series_names(merged["encoders"]) == ["vision", "physics/cosine", "physics/mahalanobis"]
     roles = files.run_roles(spark, merged)
-    assert {(r.run, r.role, r.onset) for r in roles.collect()} == {("r1", "reference", None), ("r2", "anomaly", 5)}
-    assert [r.run for r in files.evaluated(roles).collect()] == ["r2"]
+    assert {(r.run, r.role, r.onset) for r in roles.collect()} == {("r1", "reference", None), ("r2", "anomaly", 5), ("r3", "negative", None), ("r4", "calibration", None)}
+    assert [r.run for r in files.evaluated(roles).collect()] == ["r2", "r3", "r4"]
 
 
 def test_cache_keys(spark):

@@ -28,6 +28,26 @@ def test_roles(spark):
     assert (got[3].rel_x, got[3].rel_y) == pytest.approx((24.968751, -3.249846), abs=1e-5)
 
 
+def test_role_ranges_and_order(spark):
+    """Ranges 40, 25, 25, 25, 30, 25; lead and follower by distance along the lane, others by distance."""
+    agents = [(1, 12.0, 1.9, 0.0), (2, 11.9, -1.9, 0.0), (3, -24.9, 0.0, 0.0), (4, -20.0, 1.9, 0.0), (5, 8.0, 3.0, 0.0), (6, 0.0, 5.4, 0.0), (7, 26.0, -3.0, 0.0), (8, 29.0, 3.0, 3.1), (9, 0.0, 26.0, 1.5)]
+    far = [(1, 40.1, 0.0, 0.0), (2, -25.1, 0.0, 0.0), (3, 30.1, 0.0, 3.1), (4, 25.1, 0.0, 1.5)]
+    kinds = "run string, tick int, agent int, x double, y double, yaw double, vx double, vy double"
+    ego = spark.createDataFrame([("a", 2, 0.0, 0.0, 0.0, 0.0, 0.0)], "run string, tick int, x double, y double, yaw double, vx double, vy double")
+    got = kinematics.role_slots(kinematics.relative(ego, spark.createDataFrame([("a", 2, *x, 0.0, 0.0) for x in agents], kinds)))
+    assert {r.role: r.agent for r in got.collect()} == {"lead": 2, "follower": 4, "right": 6, "oncoming": 8}
+    assert kinematics.role_slots(kinematics.relative(ego, spark.createDataFrame([("a", 2, *x, 0.0, 0.0) for x in far], kinds))).collect() == []
+
+
+def test_entries_are_scaled_by_their_own_spread(spark):
+    """Three equal frames and one other are two entries: the spread is that of 0 and 4, so 2."""
+    from strayframe.operators import snapshot
+
+    f = spark.createDataFrame([(0, k, k, [x]) for k, x in enumerate((0.0, 0.0, 0.0, 4.0))], "run int, tick int, id long, v array<double>")
+    got = {r.id: r.score for r in snapshot.entry_scores(f, 1).collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 0.0, 3: 2.0}
+
+
 def pool(spark, rows):
     p = spark.createDataFrame([(0, i, i, list(map(float, v))) for i, v in enumerate(rows)], "run int, tick int, id long, v array<double>")
     return knn.pool_of(p, [0])
@@ -40,17 +60,17 @@ def query(spark, v):
 def test_neighbour_scores(spark):
     p, q = pool(spark, [(1, 0), (0, 1), (0.6, 0.8), (-1, 0)]), query(spark, (0.8, 0.6))
     for k, want in ((2, 0.12), (9, 0.61)):
-        assert knn.mean_distance(knn.nearest(q, p, k, vec.cosine_distance), k).first().score == pytest.approx(want)
+        assert knn.mean_distance(knn.nearest(q, p, k, "cosine"), k).first().score == pytest.approx(want)
     p, q = pool(spark, [(0, 0), (2, 0), (0, 4), (2, 4)]), query(spark, (3, 4))
     of = knn.moments(p)
-    assert knn.mean_distance(knn.nearest(knn.standardised(q, "v", of), knn.standardised(p, "r", of), 2, vec.euclidean), 2).first().score == pytest.approx(1.618034, abs=1e-6)
+    assert knn.mean_distance(knn.nearest(knn.standardised(q, "v", of), knn.standardised(p, "r", of), 2, "euclidean"), 2).first().score == pytest.approx(1.618034, abs=1e-6)
     assert density.mahalanobis(q, p, 2).first().score == pytest.approx(1.401259, abs=1e-6)
 
 
 def test_divergence(spark):
     p = pool(spark, [(0.5, 0.5), (0.9, 0.1)]).withColumn("r", vec.shares("r"))
     q = query(spark, (0.2, 0.8)).withColumn("v", vec.shares("v"))
-    d = sorted(r.d for r in knn.nearest(q, p, 2, vec.kl).collect())
+    d = sorted(r.d for r in knn.nearest(q, p, 2, "kl").collect())
     assert d == pytest.approx([0.192744, 1.362729], abs=1e-5)
     assert q.crossJoin(knn.moments(p).select("mu")).select(vec.kl("v", "mu")).first()[0] == pytest.approx(0.534109, abs=1e-5)
 
@@ -106,7 +126,10 @@ def test_texts(spark):
     assert show(labels) == ["car", "hay bale"] and show(score) == pytest.approx(0.7)
     labels, score = text.judge(F.lit("x {broken y"))
     assert show(labels) == [] and show(score) is None
+    labels, score = text.judge(F.lit('{"objects":["Car"],"anomaly_score":"7"}'))  # a quoted number is no score
+    assert show(labels) == ["car"] and show(score) is None
     assert show(text.seeds(F.lit("1-3,7"))) == [1, 2, 3, 7]
+    assert show(text.seeds(F.lit("1-3,"))) == [1, 2, 3] and show(text.seeds(F.lit(",4,,9-9"))) == [4, 9] and show(text.seeds(F.lit(""))) == []
 
 
 def test_density_queries_follow_whole_vectors(spark):
