@@ -45,14 +45,14 @@ from pyspark.sql import functions as F
 from .common import prepare, release, stored, text_or_empty
 from .graph import components
 
-#: The most frequent shingles, at most so many, come last in the order of rarity. The order decides speed alone.
-FREQUENT = 150_000
-#: Shingles that a task holds before it hands on those that it saw often.
+#: The most frequent shingles, at most so many (16 bytes each), come last in the order of rarity. The order decides speed alone.
+FREQUENT = 1_000_000
+#: Shingles that a task holds before it hands on those that it saw more than once.
 COUNT_AT = 2_000_000
 #: What a step through an inverted list costs, in subset probes.
 LIST_STEP = 6
 LIGHT_MOST = 24
-#: Candidates up to this number are sent to the scan by broadcast (8 bytes each).
+#: Candidates up to this number are sent to the scan by broadcast (8 bytes each, 24 with their digests).
 BROADCAST_IDS = 500_000
 SIGNATURE = 512
 #: Lists of up to so many sets, and of so many differences, are compared pair by pair.
@@ -136,7 +136,7 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
 
 def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
     """The shingles met most often, in ascending frequency. Each task counts what it reads and hands on the
-    shingles that it met at least four times in COUNT_AT; the totals are ranked over all documents."""
+    shingles that it met at least twice in COUNT_AT; the totals are ranked over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -144,7 +144,7 @@ def frequent_shingles(docs: DataFrame, n: int) -> np.ndarray:
 
         def hand_on() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            keep = times >= 4
+            keep = times >= 2
             return pa.RecordBatch.from_arrays([_signed(values[keep]), pa.array(times[keep].astype(np.int64))], names=["s", "n"])
 
         for batch in batches:
@@ -350,12 +350,12 @@ def _classes_joined(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Da
     lists = _counted(entries, boundary)
     pairs = alike(_all_pairs(lists.where(F.col("n") <= SHORT), boundary, t), classes, t)
     based = _based(lists.where(F.col("n") > SHORT))
-    release(spark, lists)
+    release(spark, lists)  # what was shuffled for the lists goes, too
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).unionByName(based.select("c")).distinct()
     wanted = stored(wanted.join(classes.select("c", "digest", "least").hint("merge"), "c"), "wanted")
     sets = _whole_sets(docs, wanted, n)
     links = [light, stored(verified(pairs, sets, t), "links")]
-    release(spark, pairs, wanted, sweep=False)
+    release(spark, pairs, wanted)
     for turn in range(ROUNDS):
         if based.isEmpty():
             break
@@ -404,7 +404,8 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _lists(sets)], names=["digest", "shingles"])
 
     made = chosen.select("text").mapInArrow(make, "digest binary, shingles array<bigint>")
-    out = stored(made.join(wanted.select("c", "digest").hint("merge"), "digest").select("c", "shingles"), "whole")
+    names = wanted.select("c", "digest")
+    out = stored(made.join(F.broadcast(names) if many <= BROADCAST_IDS else names.hint("merge"), "digest").select("c", "shingles"), "whole")
     if out.count() == many:
         return out
     once = stored(out.groupBy("c").agg(F.first("shingles").alias("shingles")), "whole")  # rows or doc_ids that repeat
