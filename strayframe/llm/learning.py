@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -16,10 +17,12 @@ from .common import text_or_empty
 
 #: Entries of a worker's word table; it is emptied when full.
 TABLE_WORDS = 300_000
+#: Characters of text that a fit reads at most.
+SAMPLE_BYTES = 32_000_000
 
 
 def given_back() -> None:
-    """Return freed memory to the system: the driver's JVM needs it once a model is trained."""
+    """Return freed memory to the system once a model is trained: the worker lives on."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -38,26 +41,45 @@ def training_labels(labels: DataFrame, label: str, held_out: int = 2) -> DataFra
     return known.where(fold_of("doc_id") != held_out).withColumn("draw", F.xxhash64("doc_id"))
 
 
-def label_weights(labels: DataFrame, label: str, rows: int, held_out: int = 2) -> tuple[float, float]:
-    """What a row of :func:`labelled` with label 0 and with label 1 stands for: training labels behind each sampled one."""
-    many = dict(training_labels(labels, label, held_out).groupBy("label").count().collect())  # two rows
-    return tuple(max(1.0, many.get(value, 0) / max(1, rows // 2)) for value in (0, 1))
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out: int = 2) -> list[tuple[str, int, str | None, int]]:
-    """(text, label, lang, draw) of at most ``rows`` labelled rows outside the held-out fold, each label up to one half.
-    The rows are those with the smallest hash of doc_id, so the sample is the same for any order of the input.
-    lang serves thresholds alone."""
+def sampled(docs: DataFrame, labels: DataFrame, label: str, rows: int, held_out: int = 2) -> DataFrame:
+    """(draw, doc_id, text, label) of at most ``rows`` labelled rows outside the held-out fold, each label up to one half.
+    The rows are those with the smallest hash of doc_id, so the sample is the same for any order of the input. Of several
+    texts of a doc_id the one of the least hash counts."""
     known = training_labels(labels, label, held_out)
     picked = None
     for value in (0, 1):
         part = known.where(F.col("label") == value).orderBy("draw", "doc_id").limit(rows // 2)
         picked = part if picked is None else picked.unionByName(part)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    wide = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), lang.alias("lang"))
-    found = wide.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toArrow()  # ``rows`` rows at most
-    out = list(zip(*(found.column(c).to_pylist() for c in ("draw", "text", "label", "lang", "doc_id")), strict=True))
-    return [(text, label, lang, draw) for draw, text, label, lang, _ in sorted(out, key=lambda r: (r[0], r[4]))]
+    wide = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    found = wide.join(F.broadcast(picked), "doc_id")  # ``rows`` rows at most
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]
+    return found.groupBy("draw", "doc_id", "label").agg(one.alias("text")).select("draw", "doc_id", "text", "label")
+
+
+def fitted_by(docs: DataFrame, labels: DataFrame, label: str, rows: int, train: Callable[[list[tuple[str, int, int]], tuple[float, float]], object]) -> object:
+    """What ``train`` makes of the sample, as (text, label, draw) rows, and of how many training labels a row of label 0
+    and one of label 1 stands for. One task of an executor reads the sample, of at most ``rows`` rows and SAMPLE_BYTES of text,
+    and trains; the driver sees the finished model alone. Texts are whole; the sample ends where the bytes are reached."""
+    many = dict(training_labels(labels, label).groupBy("label").count().collect())  # two rows
+    taken = sampled(docs, labels, label, rows).repartition(1).sortWithinPartitions("draw", "doc_id")  # ``rows`` rows at most
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample: list[tuple[str, int, int]] = []
+        size = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                draw, _, text, value = (c[k].as_py() for c in batch.columns)
+                if size < SAMPLE_BYTES:
+                    sample.append((text, value, draw))
+                    size += len(text)
+        stands = tuple(max(1.0, many.get(v, 0) / max(1, sum(r[1] == v for r in sample))) for v in (0, 1))
+        model = pickle.dumps(train(sample, stands))
+        del sample
+        given_back()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], names=["model"])
+
+    made = taken.mapInArrow(fit, "model binary").first()
+    return pickle.loads(made[0]) if made else train([], (1.0, 1.0))  # noqa: S301  written by our own task; none without rows
 
 
 class WordTable:

@@ -2,7 +2,7 @@
 
 A document is the mean of the vectors of its words and of their character n-grams, all hashed into one table (a word that
 repeats the one in front of it counts as a mark of that); a softmax layer tells the label. Vectors and output layer are trained together by stochastic gradient descent with a falling rate on
-a bounded sample of labelled rows (SAMPLE_ROWS, half of each label where there are as many).
+a bounded sample of labelled rows (SAMPLE_ROWS, half of each label where there are as many), in a task of an executor.
 
 The output is linear in the mean, so a word adds a fixed amount to the difference of the two outputs; scoring adds up the
 words' amounts over whole texts.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, text_or_empty
-from .learning import WordTable, fold_of, given_back, labelled, sigmoid
+from .learning import WordTable, fitted_by, fold_of, sigmoid
 
 SAMPLE_ROWS = 4000
 BUCKETS = 1 << 17
@@ -86,8 +86,8 @@ class Model:
         return sigmoid(total / np.maximum(many, 1) + self.bias)
 
 
-def train(sample: list[tuple[str, int, str | None, int]], seed: int = 3) -> Model | float:
-    """Fit on the sample; without both labels, the share of ones."""
+def train(sample: list[tuple[str, int, int]], _stands: tuple[float, float] = (1.0, 1.0), seed: int = 3) -> Model | float:
+    """Fit on the sample, both labels counting alike; without both labels, the share of ones."""
     truth = np.array([r[1] for r in sample], dtype=np.int64)
     if not len(truth) or truth.min() == truth.max():
         return float(truth.mean()) if len(truth) else 0.0
@@ -125,9 +125,7 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 3) -> Mode
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Model | float:
-    out = train(labelled(docs, labels, "quality", sample_rows))
-    given_back()
-    return out
+    return fitted_by(docs, labels, "quality", sample_rows, train)
 
 
 _tables: dict[int, tuple[float, WordTable]] = {}

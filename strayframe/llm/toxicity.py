@@ -3,7 +3,7 @@
 A word's embedding is the sum of the hashed embeddings of the word and of its first four and five letters (inflected forms
 share those); filters of several widths run over the embeddings, each filter's maximum over the
 document is kept, and a logistic layer scores the maxima. Embeddings, filters and the output layer are trained by Adam on
-a bounded sample of labelled rows (SAMPLE_ROWS, half of each label where there are as many); each row counts as many
+a bounded sample of labelled rows (SAMPLE_ROWS, half of each label where there are as many), in a task of an executor; each row counts as many
 training labels as it stands for, so scores and thresholds refer to the labels' own rate at every size. One embedding dimension for
 words and one for each kind of beginning start from the label's shrunken log odds in the sample, the others at random. A quarter
 of the sample is left out of the fit. Thresholds are calibrated by language on all labelled rows outside the held-out
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import prepare, stored, text_or_empty
-from .learning import Adam, WordTable, best_threshold, fold_of, given_back, label_weights, labelled, sigmoid, training_labels
+from .learning import Adam, WordTable, best_threshold, fitted_by, fold_of, sigmoid, training_labels
 
 SAMPLE_ROWS = 6000
 BUCKETS = 1 << 15
@@ -80,7 +80,7 @@ class Network:
         if not documents:
             return np.zeros(0)
         sizes = np.array([len(d) for d in documents], dtype=np.int64)
-        pad = max(WIDTHS)
+        pad = max(2, *WIDTHS)
         starts = np.cumsum(np.concatenate([[0], sizes[:-1] + pad]))
         n = int(starts[-1] + sizes[-1]) + pad
         at = np.repeat(starts - np.cumsum(np.concatenate([[0], sizes[:-1]])), sizes) + np.arange(int(sizes.sum()))
@@ -98,7 +98,7 @@ class Network:
         return sigmoid((hidden * self.weights).sum(axis=1) + self.bias)  # each row for itself: equal texts, equal scores
 
 
-def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5, weights_of: tuple[float, float] = (1.0, 1.0)) -> Network | float:
+def train(sample: list[tuple[str, int, int]], weights_of: tuple[float, float] = (1.0, 1.0), seed: int = 5) -> Network | float:
     """Fit on the sample, whose rows of each label stand for ``weights_of`` rows; without both labels, the share of ones."""
     truth = np.array([r[1] for r in sample], dtype=np.float64)
     if not len(truth) or truth.min() == truth.max():
@@ -170,13 +170,11 @@ def train(sample: list[tuple[str, int, str | None, int]], seed: int = 5, weights
             steps["offsets"].step(back.sum(axis=0))
             steps["bias"].step(np.array([error.sum()]))
     single = embed.astype(np.float32)
-    return Network(np.concatenate([single @ kernels[w][j].astype(np.float32) for w in WIDTHS for j in range(w)], axis=1), offsets.astype(np.float32), weights.astype(np.float32), float(bias[0]), tuple(sample[i][3] for i in fit))
+    return Network(np.concatenate([single @ kernels[w][j].astype(np.float32) for w in WIDTHS for j in range(w)], axis=1), offsets.astype(np.float32), weights.astype(np.float32), float(bias[0]), tuple(sample[i][2] for i in fit))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Network | float:
-    out = train(labelled(docs, labels, "toxic", sample_rows), weights_of=label_weights(labels, "toxic", sample_rows))
-    given_back()
-    return out
+    return fitted_by(docs, labels, "toxic", sample_rows, train)
 
 
 _tables: dict[int, tuple[float, WordTable]] = {}

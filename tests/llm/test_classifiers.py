@@ -29,6 +29,67 @@ def test_held_out_accuracy(spark, operator, label, cut, least):
         assert by_text.setdefault(t, rows[i].score) == rows[i].score
 
 
+def test_scores_are_those_of_a_plain_forward_pass():
+    rng = np.random.default_rng(2)
+    words = [f"w{k}" for k in range(40)] + ["vile", "hateful"]
+    sample = [(" ".join(rng.choice(words, rng.integers(1, 60))), k) for k in range(160)]
+    sample = [(t, int("vile" in t.split()), k) for t, k in sample]
+    net = toxicity.train(sample)
+    texts = [t for t, *_ in sample[:40]] + ["", "vile", "one two"]
+
+    def plain(text):
+        rows = [net.tables[toxicity.buckets([w])[0]].sum(axis=0) for w in toxicity.words_of(text)]
+        rows += [np.zeros(net.tables.shape[1], np.float32)] * max(toxicity.WIDTHS)
+        hidden, column = [], 0
+        for w in toxicity.WIDTHS:
+            places = [sum(rows[p + j][column + j * toxicity.FILTERS : column + (j + 1) * toxicity.FILTERS] for j in range(w)) for p in range(max(1, len(rows) - max(toxicity.WIDTHS) + 1))]
+            column += w * toxicity.FILTERS
+            hidden.append(np.max(places, axis=0))
+        z = (np.maximum(np.concatenate(hidden) + net.offsets, 0) * net.weights).sum() + net.bias
+        return 1 / (1 + np.exp(-z))
+
+    assert toxicity._score(net, texts) == pytest.approx([plain(t) for t in texts], abs=1e-5)
+    model = quality.train(sample)
+
+    def mean(text):
+        rows = quality.features(quality.words_of(text))[1]
+        return 1 / (1 + np.exp(np.clip(-(model.amounts[rows].mean() if len(rows) else 0) - model.bias, -30, 30)))
+
+    table = quality.WordTable(model.of_words)
+    assert model.scores([quality.words_of(t) for t in texts], table) == pytest.approx([mean(t) for t in texts], abs=1e-9)
+
+
+def test_wider_filters_tell_the_order_of_words(monkeypatch):
+    """Both words are in each text and only their order tells: filters of one word are blind to it, wider ones are not."""
+    rng = np.random.default_rng(4)
+
+    def texts(n):
+        out = []
+        for k in range(n):
+            w = [f"w{j}" for j in rng.integers(0, 12, 14)]
+            at = rng.integers(0, 12)
+            w[at : at + 2] = ["harm", "them"] if k % 2 else ["them", "harm"]
+            out.append((" ".join(w), k % 2, k))
+        return out
+
+    sample, asked = texts(1600), texts(400)
+    found = {}
+    for widths in ((1, 2, 3), (1,)):
+        monkeypatch.setattr(toxicity, "WIDTHS", widths)
+        found[widths] = area(toxicity._score(toxicity.train(sample), [t for t, *_ in asked]), [y for _, y, _ in asked])
+    assert found[1, 2, 3] > 0.9 and found[1,] < 0.65, found
+
+
+def test_a_fit_reads_a_bounded_number_of_whole_texts(spark, docs_of, monkeypatch):
+    from strayframe.llm import learning
+
+    texts = ["plain words here " * 40, "vile hateful words " * 40] * 60
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    monkeypatch.setattr(learning, "SAMPLE_BYTES", 8000)
+    size = learning.fitted_by(docs_of(texts), labels, "toxic", 100, lambda sample, stands: (sum(len(t) for t, *_ in sample), {len(t) for t, *_ in sample}, stands))
+    assert 8000 <= size[0] < 8800 and size[1] <= {len(texts[0]), len(texts[1])} and min(size[2]) > 1
+
+
 @pytest.mark.parametrize(("operator", "label"), [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
 def test_defined_cases(spark, docs_of, operator, label):
     texts = [None, "", " ", "good words here", "bad awful words", "x" * 50_000, "word " * 30_000] + ["good words here", "bad awful words"] * 40
