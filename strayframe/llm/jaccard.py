@@ -14,7 +14,9 @@ differ. So a group is joined by its members' differences from the base, which ar
 - members that link to the base are one component with it, which costs an edge a member;
 - any other pair needs an overlap of the two differences, ``(w_x + w_y) / 2`` shingles with ``w`` = difference less
   the share of a set's size that may differ. That is an overlap join again: differences are listed under their rarest
-  shingles (what the base lacks first, then what it has, the rarely lost first).
+  shingles (what the base lacks first, then what it has, the rarely lost first). Two sets that link differ from the base
+  in about as many shingles, so a set unlike the base has no longer a list than without one, and the shingles that made
+  the list long are none of it.
 
 Lists of differences that are long again get a base of their own, and so on. After ROUNDS of that the rest is compared
 pair by pair. No link between two components is left out and no list is cut.
@@ -314,7 +316,9 @@ def differences(based: DataFrame, sets: DataFrame, known: Broadcast, t: Fraction
                 r, size, slack = len(apart), len(own), (down - up) * len(base)
                 w = (up + down) * r - (down - up) * size
                 core = w <= slack
-                least = max(1, -(-(w + slack + 1 if core else w - slack) // (2 * (up + down))))
+                most = size * down // up  # a partner's size; it differs from the base about as much, or else the two differ too much
+                partner = max(slack + 1 if core else -slack, (up + down) * r - (down - up) * (size + 2 * most))
+                least = max(1, -(-(w + partner) // (2 * (up + down))))
                 many = max(0, r - least + 1)
                 alone = [None] if core else []
                 own_rows = [[x] * (many + len(alone)) for x in (b, c, size, r, w, core, r)]
