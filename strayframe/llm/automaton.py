@@ -1,4 +1,5 @@
-"""Regexes over bytes as one minimal automaton, and a scan of many texts by it at once."""
+"""Regexes over bytes as one minimal automaton: a forward scan that finds where patterns end in many texts at once, and an
+anchored one over reversed patterns that finds where they began."""
 
 from __future__ import annotations
 
@@ -10,8 +11,8 @@ ANY = frozenset(range(256))
 class _Parser:
     """A small regex dialect: literals, [classes], groups, |, ?, *, +, {n}, \\xHH."""
 
-    def __init__(self, pattern: str, fold: bool):
-        self.text, self.at, self.fold = pattern, 0, fold
+    def __init__(self, pattern: str, fold: bool, backwards: bool = False):
+        self.text, self.at, self.fold, self.backwards = pattern, 0, fold, backwards
         self.moves: list[list[tuple[frozenset[int], int]]] = []
         self.free: list[list[int]] = []
 
@@ -93,7 +94,7 @@ class _Parser:
             self.moves[start].append((part, end))
             return end
         if kind == "then":
-            for x in part:
+            for x in reversed(part) if self.backwards else part:
                 start = self.build(x, start)
             return start
         end = self.state()
@@ -114,14 +115,16 @@ class _Parser:
 
 class Automaton:
     """Finds where any rule's pattern ends. A state is held as its number times ``width``;
-    ``table[state + kind[byte]]`` is the next one. States from ``first_out`` on report the rules of ``out``."""
+    ``table[state + kind[byte]]`` is the next one. States from ``first_out`` on report the rules of ``out``. ``anchored``: a
+    match begins with the first byte, and ``dead`` is the state (if any) that nothing leaves. ``backwards``: bytes come
+    from a pattern's end to its start."""
 
-    def __init__(self, rules: list[tuple[str, bool]]):
+    def __init__(self, rules: list[tuple[str, bool]], *, anchored: bool = False, backwards: bool = False):
         moves: list[list[tuple[frozenset[int], int]]] = []
         free: list[list[int]] = []
         starts, ends = [], {}
         for number, (pattern, fold) in enumerate(rules):
-            p = _Parser(pattern, fold)
+            p = _Parser(pattern, fold, backwards)
             node, start = p.alternatives(), p.state()
             end = p.build(node, start)
             base = len(moves)
@@ -129,6 +132,7 @@ class Automaton:
             free += [[to + base for to in x] for x in p.free]
             starts.append(start + base)
             ends[end + base] = 1 << number
+        self.anchored = anchored
         self._subsets(moves, free, starts, ends)
         self._minimise()
 
@@ -152,7 +156,7 @@ class Automaton:
         for now in order:  # grows while it runs
             row = []
             for b in one:
-                new = set(begin)  # a match may begin anywhere
+                new = set() if self.anchored else set(begin)  # a match may begin anywhere
                 for s in now:
                     for chosen, to in moves[s]:
                         if b in chosen:
@@ -186,30 +190,89 @@ class Automaton:
         self.out = found[order]
         self.first_out = int((self.out == 0).sum())
         after = self.table.reshape(n, self.width)
-        self.resets = (after == self.start * self.width).all(axis=0)[self.kind]  # bytes after which nothing is under way
+        idle = np.flatnonzero((after == np.arange(n)[:, None] * self.width).all(axis=1) & (self.out == 0))
+        self.dead = int(idle[0]) * self.width if len(idle) else -1
         del self.next, self.found
 
-    def scan(self, data: np.ndarray, lane: int = 512) -> list[tuple[int, int]]:
-        """(position of the last byte, rules) of all reports. The bytes are cut at resetting bytes into lanes, and
-        each step moves all lanes by one byte."""
-        if not len(data):
-            return []
-        kinds = self.kind[data]
-        at = np.flatnonzero(self.resets[data])
-        goals = np.arange(lane, len(data), lane)
-        cuts = at[np.minimum(np.searchsorted(at, goals), len(at) - 1)] + 1 if len(at) else np.zeros(0, np.int64)
-        begin = np.unique(np.concatenate([[0], cuts[cuts < len(data)]]))
-        size = np.diff(np.append(begin, len(data)))
-        order = np.argsort(-size, kind="stable")
-        begin, size = begin[order], size[order]
-        live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # lanes that have a t-th byte
-        state = np.full(len(begin), self.start * self.width, dtype=np.int32)
-        table = self.table
-        limit = self.first_out * self.width
-        found: list[tuple[int, int]] = []
-        for t, n in enumerate(live.tolist()):
-            state = table[state[:n] + kinds[begin[:n] + t]]
-            if state.max() >= limit:
-                for i in np.flatnonzero(state >= limit).tolist():
-                    found.append((int(begin[i]) + t, int(self.out[state[i] // self.width])))
+    def scan(self, data: np.ndarray, lane: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the last bytes in ascending order, rules) of all reports.
+
+        The bytes are cut into lanes of equal length, and each step moves all lanes by one byte. A lane starts as if nothing
+        were under way before it. Where the lane in front ends in another state, both states go through the lane until they meet,
+        which they do within a few bytes, or else the lane hands its new end on. Where that goes on for more than a few lanes,
+        the ends of all lanes are found for each entry that occurs, at most one pass a state. A last pass has the true entries."""
+        n = len(data)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        many = -(-n // lane)
+        kinds = np.zeros(many * lane, dtype=np.uint8)
+        kinds[:n] = self.kind[data]
+        kinds = np.ascontiguousarray(kinds.reshape(many, lane).T)
+        entry = np.full(many, self.start * self.width, dtype=np.int32)
+        ends, _ = self._run(kinds, entry)
+        todo = np.flatnonzero(ends[:-1] != entry[1:]) + 1
+        for _ in range(4):
+            lanes, true, tried = todo, ends[todo - 1], entry[todo]
+            entry[todo] = true
+            for t in range(lane):
+                if not len(lanes):
+                    break
+                true, tried = self.table[true + kinds[t, lanes]], self.table[tried + kinds[t, lanes]]
+                apart = true != tried
+                lanes, true, tried = lanes[apart], true[apart], tried[apart]
+            ends[lanes] = true
+            todo = lanes[lanes + 1 < many] + 1
+            todo = todo[entry[todo] != ends[todo - 1]]
+        known: dict[int, np.ndarray] = {}
+        for i in todo.tolist():
+            while i < many and entry[i] != ends[i - 1]:
+                now = int(ends[i - 1])
+                if now not in known:
+                    known[now] = self._run(kinds, np.full(many, now, dtype=np.int32))[0]
+                entry[i], ends[i] = now, known[now][i]
+                i += 1
+        _, (at, out) = self._run(kinds, entry, found=True)
+        order = np.argsort(at, kind="stable")
+        at, out = at[order], out[order]
+        inside = at < n
+        return at[inside], self.out[out[inside] // self.width]
+
+    def _run(self, kinds: np.ndarray, state: np.ndarray, found: bool = False) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """(states after all lanes' last byte, (places, states) of reports if asked for). kinds: bytes of a lane x lanes."""
+        limit, lane = self.first_out * self.width, len(kinds)
+        places, states = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for t in range(lane):
+            state = self.table[state + kinds[t]]
+            if found and state.max() >= limit:
+                hit = np.flatnonzero(state >= limit)
+                places.append(hit * lane + t)
+                states.append(state[hit])
+        return state, (np.concatenate(places), np.concatenate(states))
+
+    def firsts(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """For a backwards automaton: the leftmost start of a match that ends before each of ``ends``; -1 if there is none."""
+        found = np.full(len(ends), -1, dtype=np.int64)
+        state = np.full(len(ends), self.start * self.width, dtype=np.int32)
+        limit, alive, at = self.first_out * self.width, np.arange(len(ends)), ends.astype(np.int64)
+        if limit <= self.start * self.width:
+            found[:] = ends  # an empty pattern
+        while len(alive) > 8:
+            at = at - 1
+            on = at >= 0
+            alive, at, state = alive[on], at[on], state[on]
+            state = self.table[state + self.kind[data[at]]]
+            hit = state >= limit
+            found[alive[hit]] = at[hit]
+            on = state != self.dead
+            alive, at, state = alive[on], at[on], state[on]
+        table, kind = self.table.tolist(), self.kind.tolist()
+        for k, p, now in zip(alive.tolist(), at.tolist(), state.tolist(), strict=True):  # a few that reach far back
+            while p > 0 and now != self.dead:
+                low = max(0, p - (1 << 16))
+                for b in data[low:p][::-1].tobytes():
+                    p, now = p - 1, table[now + kind[b]]
+                    if now >= limit:
+                        found[k] = p
+                    elif now == self.dead:
+                        break
         return found
