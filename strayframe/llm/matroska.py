@@ -27,8 +27,8 @@ from .common import prepare, text_or_empty
 # Element ids of the Matroska specification (fixed values).
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_POSITIONS}
 NO_LACE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
@@ -36,6 +36,8 @@ NO_LACE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
 #: A frame is 192 samples of 8 bits at 8 kHz: 24 ms.
 FRAME, RATE, FRAME_MS = 192, 8000, 24
 FRAMES_A_BLOCK, BLOCKS_A_CLUSTER = 8, 16
+#: The lacings of a file's blocks, in turn.
+LACINGS = (XIPH, FIXED, EBML_LACE)
 
 
 def vint(value: int, width: int = 0) -> bytes:
@@ -69,19 +71,19 @@ def block(track: int, relative: int, frames: list[bytes], lacing: int) -> bytes:
     return head + b"".join(frames)
 
 
-def mux(payload: bytes, lacing: int = FIXED) -> bytes:
-    """One audio track of 8-bit samples; len(payload) is a multiple of FRAME."""
+def mux(payload: bytes, lacings: tuple[int, ...] = LACINGS) -> bytes:
+    """One audio track of 8-bit samples; len(payload) is a multiple of FRAME. Blocks of several frames take the lacings in turn."""
     frames = [payload[i : i + FRAME] for i in range(0, len(payload), FRAME)]
     head = element(EBML, number(EBML_VERSION, 1) + number(EBML_READ_VERSION, 1) + number(EBML_MAX_ID, 4) + number(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + number(DOC_VERSION, 4) + number(DOC_READ_VERSION, 2))
     audio = element(SAMPLING, struct.pack(">d", float(RATE))) + number(CHANNELS, 1) + number(BIT_DEPTH, 8)
-    track = number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, audio)
+    track = number(TRACK_NUMBER, 1) + number(TRACK_UID, 1) + number(TRACK_TYPE, 2) + number(DEFAULT_DURATION, FRAME_MS * 1_000_000) + element(CODEC_ID, b"A_PCM/INT/LIT") + element(AUDIO, audio)
     body = [element(INFO, number(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", float(len(frames) * FRAME_MS)))), element(TRACKS, element(TRACK_ENTRY, track))]
     place, cues = sum(map(len, body)), []
     for c in range(0, len(frames), FRAMES_A_BLOCK * BLOCKS_A_CLUSTER):
         part = [number(TIMESTAMP, c * FRAME_MS)]
         for b in range(c, min(c + FRAMES_A_BLOCK * BLOCKS_A_CLUSTER, len(frames)), FRAMES_A_BLOCK):
             own = frames[b : b + FRAMES_A_BLOCK]
-            part.append(element(SIMPLE_BLOCK, block(1, (b - c) * FRAME_MS, own, lacing if len(own) > 1 else NO_LACE)))
+            part.append(element(SIMPLE_BLOCK, block(1, (b - c) * FRAME_MS, own, lacings[b // FRAMES_A_BLOCK % len(lacings)] if len(own) > 1 else NO_LACE)))
         body.append(element(CLUSTER, b"".join(part)))
         cues.append(element(CUE_POINT, number(CUE_TIME, c * FRAME_MS) + element(CUE_POSITIONS, number(CUE_TRACK, 1) + number(CUE_CLUSTER, place))))
         place += len(body[-1])
@@ -91,7 +93,9 @@ def mux(payload: bytes, lacing: int = FIXED) -> bytes:
 
 @dataclass
 class Media:
-    """What a file holds. packets: (track, timestamp in scale units, offset, size, place in its block, key flag)."""
+    """What a file holds. packets: (track, timestamp in scale units, offset, size, place in its block, key flag). A frame behind the
+    first of a block has the block's time and the track's default duration, or its share of the block's duration, for each
+    frame before it; without either it has the block's time."""
 
     doc_type: str = ""
     scale: int = 1_000_000
@@ -142,8 +146,9 @@ def _block(data: bytes, at: int, stop: int, base: int, key: bool | None, media:
     key = bool(flags & 0x80) if key is None else key
     if min(sizes) < 0:
         raise ValueError(f"the laced sizes before byte {stop} exceed the block")
+    step = media.tracks.get(track, {}).get("frame_ns") or 0
     for i, size in enumerate(sizes):
-        media.packets.append((track, base + relative, at, size, i, key))
+        media.packets.append((track, base + relative + i * step // media.scale, at, size, i, key))
         at += size
 
 
@@ -201,7 +206,12 @@ def _close(open_: list[tuple[int, int, dict]], media: Media) -> None:
         open_[-1][2][AUDIO] = values
     elif name == TRACK_ENTRY:
         audio = values.get(AUDIO, {})
-        media.tracks[values[TRACK_NUMBER]] = {"type": values.get(TRACK_TYPE), "codec": values.get(CODEC_ID, ""), "rate": audio.get(SAMPLING, 8000.0), "channels": audio.get(CHANNELS, 1), "bits": audio.get(BIT_DEPTH)}
+        media.tracks[values[TRACK_NUMBER]] = {"type": values.get(TRACK_TYPE), "codec": values.get(CODEC_ID, ""), "frame_ns": values.get(DEFAULT_DURATION), "rate": audio.get(SAMPLING, 8000.0), "channels": audio.get(CHANNELS, 1), "bits": audio.get(BIT_DEPTH)}
+    elif name == BLOCK_GROUP and BLOCK_DURATION in values and media.packets:
+        track, last = media.packets[-1][0], media.packets[-1][4]
+        if not (media.tracks.get(track, {}).get("frame_ns") or 0):
+            for i, (_, time, *rest) in enumerate(media.packets[-last - 1 :]):
+                media.packets[len(media.packets) - last - 1 + i] = (track, time + i * values[BLOCK_DURATION] // (last + 1), *rest)
     elif name == CUE_POSITIONS:
         media.cues.append((open_[-1][2].get(CUE_TIME, 0), values.get(CUE_TRACK, 0), values.get(CUE_CLUSTER, 0)))
 
@@ -220,9 +230,10 @@ def features(data: bytes, media: Media, payload: bytes) -> str:
     """Container and signal features of the stored bytes."""
     x = np.frombuffer(payload, dtype=np.uint8).astype(np.int64)
     track = media.tracks.get(1, {})
-    seekable = sum(place in set(media.clusters) for _, _, place in media.cues) if media.cues else 0
+    clusters = set(media.clusters)
+    seekable = sum(place in clusters for _, _, place in media.cues)
     crossings = int(np.count_nonzero(np.diff(x >= 128)))
-    return f"{media.doc_type};{track.get('codec')};{track.get('rate', 0):g}Hz;{track.get('bits')}bit;packets={len(media.packets)};clusters={len(media.clusters)};cues={seekable};ms={media.duration:g};sum={int(x.sum())};squares={int((x * x).sum())};peak={int(x.max())};crossings={crossings}"
+    return f"{media.doc_type};{track.get('codec')};{track.get('rate', 0):g}Hz;{track.get('bits')}bit;packets={len(media.packets)};clusters={len(media.clusters)};cues={seekable};ms={media.duration:g};last={max((p[1] for p in media.packets), default=0)};sum={int(x.sum())};squares={int((x * x).sum())};peak={int(x.max())};crossings={crossings}"
 
 
 def media_column(docs: DataFrame) -> DataFrame:

@@ -158,6 +158,37 @@ def test_lacing(lacing):
     assert {p[1] for p in media.packets} == {105}
 
 
+def test_frames_have_their_own_times():
+    """10 frames of 24 ms in two blocks; also where a block says how long it lasts instead of the track."""
+    m = matroska.demux(matroska.mux(b"q" * 192 * 10))
+    assert [(p[1], p[4]) for p in m.packets] == [(24 * k, k % 8) for k in range(10)]
+    media = matroska.Media()
+    group = matroska.element(matroska.BLOCK, matroska.block(1, 7, [b"a", b"bc", b"d"], matroska.XIPH)) + matroska.number(matroska.BLOCK_DURATION, 60)
+    cluster = matroska.element(matroska.CLUSTER, matroska.number(matroska.TIMESTAMP, 1000) + matroska.element(matroska.BLOCK_GROUP, group))
+    media = matroska.demux(matroska.element(matroska.SEGMENT, cluster))
+    assert [p[1] for p in media.packets] == [1007, 1027, 1047]
+
+
+def test_a_file_takes_all_lacings_in_turn():
+    payload = bytes(range(256)) * 3 * 192
+    data = matroska.mux(payload)
+    m = matroska.demux(data)
+    assert matroska.read_back(data, m) == payload and [p[1] for p in m.packets] == [24 * k for k in range(len(payload) // 192)]
+    assert all(matroska.mux(payload, (k,)) != data for k in matroska.LACINGS)
+
+
+def test_null_ids_and_repeated_rows(docs_of):
+    """Secrets, media and repeats: each row gets its result, null doc_id stays null."""
+    texts, ids = ["token=abcdefghijklmnop", "token=abcdefghijklmnop", "x", None], [4, 4, None, None]
+    found = secret_scan.secrets(docs_of(texts, ids)).collect()
+    assert sorted((r.doc_id or 0, r.n_assign) for r in found) == [(0, 0), (0, 0), (4, 1), (4, 1)]
+    media = matroska.media_features(matroska.media_column(docs_of(texts, ids))).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes) for r in media) == [(0, 0), (0, 1), (4, 22), (4, 22)]
+    long = " ".join(f"w{k}" for k in range(80))
+    spans = suffixes.repeats(docs_of([long, long, long, long], [1, 1, None, 2])).collect()
+    assert sorted((r.doc_id or 0, r.start, r.stop) for r in spans) == [(0, 0, 80), (1, 0, 80), (2, 0, 80)]
+
+
 def test_cues_unknown_sizes_and_broken_files():
     data = matroska.mux(b"q" * 192 * 300)
     m = matroska.demux(data)
