@@ -67,3 +67,31 @@ def number_or_null(c: str | Column) -> Column:
     """NaN means "no score"; in Spark that is NULL, else NaN would compare above every threshold."""
     c = F.col(c) if isinstance(c, str) else c
     return F.when(F.isnan(c), None).otherwise(c)
+
+
+def layer(vectors: Column, names: Column, name: Column | int | str) -> Column:
+    """The vector of the named layer; null if there is none of that name."""
+    at = F.array_position(names, name if isinstance(name, Column) else F.lit(name))
+    return F.when(at > 0, F.try_element_at(vectors, at.cast("int")))
+
+
+def masked_mean(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors whose mask is 1; zeros if none is."""
+    weight = F.aggregate(mask, F.lit(0.0), lambda a, m: a + m.cast("double"))
+    zero = F.transform(tokens[0], lambda _: F.lit(0.0))
+    added = F.aggregate(F.arrays_zip(tokens.alias("t"), mask.alias("m")), zero, lambda a, z: F.zip_with(a, z["t"], lambda x, y: x + y * z["m"].cast("double")))
+    return bound(F.greatest(weight, F.lit(1.0)), lambda w: F.transform(added, lambda x: x / w))
+
+
+def last_token(tokens: Column, mask: Column) -> Column:
+    """The vector of the last token whose mask is 1; padding may be on either side."""
+    at = F.array_max(F.transform(mask, lambda m, i: F.when(m == 1, i + 1)))
+    return F.when(at.isNotNull(), F.try_element_at(tokens, at.cast("int")))
+
+
+def mean_or(rows: Column, weights: Column, otherwise: Column) -> Column:
+    """Weighted mean of vectors; ``otherwise`` where there are none, or no weight."""
+    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+    zero = F.transform(rows[0], lambda _: F.lit(0.0))
+    added = F.aggregate(F.arrays_zip(rows.alias("v"), weights.alias("w")), zero, lambda a, z: F.zip_with(a, z["v"], lambda x, y: x + y * z["w"]))
+    return F.when((F.size(rows) > 0) & (total > 0), F.transform(added, lambda x: x / total)).otherwise(otherwise)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
+
 
 def instances(pixels: DataFrame, *, least: int = 250) -> DataFrame:
     """pixels: key, u, v, o, n (o, n break ties). key, px, box x0 y0 x1 y1 (end exclusive), foot_u, foot_v: the middle pixel by
@@ -52,3 +54,47 @@ def greedy_boxes(boxes: DataFrame, most_iou: float, most: int) -> DataFrame:
     clear = lambda kept, b: (F.size(kept) < most) & ~F.exists(kept, lambda k: (k["concept"] == b["concept"]) | (_iou(k, b) > most_iou))
     kept = F.aggregate("b", none, lambda kept, b: F.when(clear(kept, b), F.concat(kept, F.array(b))).otherwise(kept))
     return sorted_.select("frame", F.explode(kept).alias("k")).select("frame", "k.concept", (-F.col("k.down")).alias("score"), "k.x0", "k.y0", "k.x1", "k.y1")
+
+
+def frame_labels(
+    frames: DataFrame, agents: DataFrame, *, least: int = 50, near: float = 1.5, cyclist: tuple[str, str] = ("on the sidewalk", "on the crosswalk"),
+    nouns: dict[str, str] | None = None, no_sidewalk: str = "empty sidewalk", no_crossing: str = "empty intersection", always: tuple[str, ...] = ("mountains in the distance",),
+) -> DataFrame:
+    """run, tick, labels of every frame (run, tick). agents: run, tick, agent, type, obj, bp, pred, px, crosswalk_m at that tick.
+
+    An agent of ``least`` pixels or more is "<object> <predicate>". A cyclist's predicate is the second of ``cyclist`` on a
+    crosswalk or within ``near`` metres of one, else the first; a pedestrian has the noun of its blueprint. Labels of agents
+    come by agent, then what is empty, then what is always there."""
+    on = (F.col("pred") == "on the crosswalk") | (F.col("crosswalk_m") <= near)
+    pred = F.when(F.col("type") == "cyclist", F.when(F.coalesce(on, F.lit(False)), cyclist[1]).otherwise(cyclist[0])).otherwise(F.col("pred"))
+    obj = F.col("obj")
+    for name, noun in (nouns or {}).items():
+        obj = F.when((F.col("obj") == "pedestrian") & (F.col("bp") == name), noun).otherwise(obj)
+    seen = agents.where(F.coalesce("px", F.lit(0)) >= least).select("run", "tick", "agent", pred.alias("_p"), F.concat_ws(" ", obj, pred).alias("_l"))
+    listed = seen.groupBy("run", "tick").agg(F.array_sort(F.collect_list(F.struct("agent", F.col("_l").alias("l")))).alias("_a"), F.collect_set("_p").alias("_p"))
+    none = F.array().cast("array<string>")
+    preds, own = F.coalesce("_p", none), F.coalesce(F.transform("_a", lambda a: a["l"]), none)
+    sidewalk = F.when(F.array_contains(preds, "on the sidewalk"), none).otherwise(F.array(F.lit(no_sidewalk)))
+    crossing = F.when(F.arrays_overlap(preds, F.array(F.lit("on the crosswalk"), F.lit("in the intersection"))), none).otherwise(F.array(F.lit(no_crossing)))
+    return frames.select("run", "tick").join(listed, ["run", "tick"], "left").select("run", "tick", F.concat(own, sidewalk, crossing, F.array(*map(F.lit, always))).alias("labels"))
+
+
+def saved_answers(rows: DataFrame, wanted: list[str], order: str) -> DataFrame:
+    """run, tick, answers (prompt -> output) of the runs whose every tick has all wanted prompts; a run that lacks one is to be
+    asked again whole. rows: run, tick, prompt, output and ``order``, the last of which counts."""
+    last = rows.groupBy("run", "tick", "prompt").agg(F.max_by("output", order).alias("output"))
+    ticks = last.groupBy("run", "tick").agg(F.map_from_entries(F.collect_list(F.struct("prompt", "output"))).alias("answers"))
+    whole = F.size(F.array_except(F.array(*map(F.lit, wanted)), F.map_keys("answers"))) == 0
+    runs = ticks.groupBy("run").agg(F.bool_and(whole).alias("_whole")).where("_whole").select("run")
+    return ticks.join(runs, "run")
+
+
+def label_view(base: DataFrame, corrected: DataFrame, pool: list[int]) -> DataFrame:
+    """run, t, recorded and corrected concepts, prompt, same_prompt: the drill-down of a run's labels. base: run, t, object,
+    predicate; corrected: run, t, concept; same_prompt: frames of the pool's runs with the same prompt."""
+    tidy = lambda rows, c: rows.groupBy("run", "t").agg(F.array_sort(F.collect_set(c)).alias("c"))
+    recorded = tidy(base, F.concat_ws(" ", "object", "predicate")).withColumnRenamed("c", "recorded")
+    shown = recorded.join(tidy(corrected, "concept").withColumnRenamed("c", "corrected"), ["run", "t"], "left")
+    shown = shown.withColumn("corrected", F.coalesce("corrected", F.array().cast("array<string>"))).withColumn("prompt", text.described(F.col("corrected")))
+    counts = shown.where(F.col("run").isin(pool)).groupBy("prompt").agg(F.count("*").alias("same_prompt"))
+    return shown.join(counts, "prompt", "left").select("run", "t", "recorded", "corrected", "prompt", F.coalesce("same_prompt", F.lit(0)).alias("same_prompt"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,37 +14,113 @@ from ..functions import vec
 from . import knn
 
 
-def covariance(pool: DataFrame, vector: str = "r", sample: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
-    """(mean, covariance, n). One pass: sums of x and of x x' about a first row, which keeps the digits."""
-    first = pool.select(vector).first()
+@dataclass
+class Moments:
+    """Sums over rows x, each less a common origin: how many, x, x x', |x|^4 and |x|^2 x. Those of a part can be taken away."""
+
+    n: int
+    one: np.ndarray
+    two: np.ndarray
+    four: float
+    three: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        q = np.einsum("ij,ij->i", x, x)
+        return cls(len(x), x.sum(axis=0), x.T @ x, float(q @ q), q @ x)
+
+    def __add__(self, other: Moments) -> Moments:
+        return Moments(self.n + other.n, self.one + other.one, self.two + other.two, self.four + other.four, self.three + other.three)
+
+    def __sub__(self, other: Moments) -> Moments:
+        return Moments(self.n - other.n, self.one - other.one, self.two - other.two, self.four - other.four, self.three - other.three)
+
+    def mean(self) -> np.ndarray:
+        return self.one / self.n
+
+    def covariance(self, sample: bool = True) -> np.ndarray:
+        m = self.mean()
+        return (self.two - self.n * np.outer(m, m)) / (self.n - 1 if sample else self.n)
+
+    def fourth(self) -> float:
+        """Mean of |x - mean|^4, from |x - m|^2 = |x|^2 - 2 m.x + |m|^2."""
+        m = self.mean()
+        mm, q = float(m @ m), float(np.trace(self.two))
+        return (self.four + 4 * m @ self.two @ m + self.n * mm * mm - 4 * m @ self.three + 2 * mm * q - 4 * mm * m @ self.one) / self.n
+
+    def shrunk(self) -> tuple[np.ndarray, float]:
+        """(covariance drawn towards a multiple of the identity, by what share). The share is the mean squared error of the
+        covariance, estimated from the rows' own products, over its squared distance from that multiple, 1 at most (Ledoit and Wolf)."""
+        raw = self.covariance(sample=False)
+        level = np.trace(raw) / len(raw)
+        target = level * np.eye(len(raw))
+        far = np.square(raw - target).sum()
+        error = (self.fourth() - np.square(raw).sum()) / self.n
+        share = float(min(1.0, error / far)) if error and far else 0.0
+        return raw + share * (target - raw), share
+
+
+SUMS = "n bigint, one array<double>, two array<double>, four double, three array<double>"
+
+
+def _row(m: Moments) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"n": [m.n], "one": [m.one.tolist()], "two": [m.two.ravel().tolist()], "four": [m.four], "three": [m.three.tolist()]})
+
+
+def _read(row) -> Moments:
+    d = len(row.one)
+    return Moments(row.n, np.array(row.one), np.array(row.two).reshape(d, d), row.four, np.array(row.three))
+
+
+def _less_origin(rows: DataFrame, vector: str) -> tuple[DataFrame, np.ndarray]:
+    """The vectors less a first row's, which keeps the digits."""
+    first = rows.select(vector).first()
     if first is None:
         raise ValueError("the pool is empty")
-    origin = np.array(first[0])
-    d = len(origin)
-    shift = F.array(*(F.lit(float(x)) for x in origin))
-    moved = pool.select(F.zip_with(vector, shift, lambda x, o: x - o).alias("x"))
+    shift = F.array(*(F.lit(float(x)) for x in first[0]))
+    return rows.withColumn(vector, F.zip_with(vector, shift, lambda x, o: x - o)), np.array(first[0], dtype=np.float64)
+
 
-    def sums(batches):
-        import pyarrow as pa
+def moments(pool: DataFrame, vector: str = "r") -> tuple[Moments, np.ndarray]:
+    """(moments, their origin) in one pass."""
+    moved, origin = _less_origin(pool, vector)
+    d = len(origin)
 
-        n, s, c = 0, np.zeros(d), np.zeros((d, d))
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = Moments.of(np.zeros((0, d)))
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-            n, s, c = n + len(x), s + x.sum(axis=0), c + x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([s.tolist()]), pa.array([c.ravel().tolist()])], names=["n", "s", "c"])
+            total = total + Moments.of(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
+        yield _row(total)
+
+    parts = moved.select(vector).mapInArrow(sums, SUMS).collect()  # one row a task, D x D numbers
+    return sum((_read(p) for p in parts[1:]), start=_read(parts[0])), origin
 
-    parts = moved.mapInArrow(sums, "n bigint, s array<double>, c array<double>").collect()  # one row a task, D x D numbers
-    n = sum(p.n for p in parts)
-    s = np.sum([p.s for p in parts], axis=0)
-    c = np.sum([p.c for p in parts], axis=0).reshape(d, d)
-    m = s / n
-    return origin + m, (c - n * np.outer(m, m)) / (n - 1 if sample else n), n
+
+def moments_by_run(frames: DataFrame, vector: str = "v") -> tuple[dict, np.ndarray]:
+    """(moments of each run, their origin). A run is a recording of bounded length; a row a run reaches the driver."""
+    moved, origin = _less_origin(frames, vector)
+    d = len(origin)
+
+    def sums(table: pa.Table) -> pa.Table:
+        x = table[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        return pa.Table.from_batches([_row(Moments.of(x))]).add_column(0, "run", table["run"].slice(0, 1))
+
+    kind = dict(frames.dtypes)["run"]
+    rows = moved.select("run", vector).groupBy("run").applyInArrow(sums, f"run {kind}, {SUMS}").collect()
+    return {r.run: _read(r) for r in rows}, origin
+
+
+def covariance(pool: DataFrame, vector: str = "r", sample: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, covariance, n)."""
+    found, origin = moments(pool, vector)
+    return origin + found.mean(), found.covariance(sample), found.n
 
 
 def whitening(cov: np.ndarray) -> np.ndarray:
-    """W with |W d| = sqrt(d' pinv(cov) d)."""
-    values, vectors = np.linalg.eigh(np.linalg.pinv(cov))
-    return (vectors * np.sqrt(np.clip(values, 0, None))).T
+    """W with |W d|^2 = d' pinv(cov) d: the axes of the covariance, each over its spread; axes without spread go."""
+    axes, variance, _ = np.linalg.svd(cov, hermitian=True)
+    kept = variance > 1e-15 * variance.max(initial=0.0)
+    return axes[:, kept].T / np.sqrt(variance[kept])[:, None]
 
 
 def transformed(df: DataFrame, vector: str, matrix: np.ndarray, mean: np.ndarray | None = None) -> DataFrame:
@@ -66,17 +146,9 @@ def pca_whitened(query: DataFrame, pool: DataFrame, k: int, most: int = 64) -> D
 
 
 def shrinkage(pool: DataFrame, vector: str = "r") -> tuple[np.ndarray, np.ndarray, float]:
-    """Ledoit-Wolf: (mean, shrunk covariance, shrink)."""
-    mean, s, n = covariance(pool, vector, sample=False)
-    p = len(mean)
-    centre = F.array(*(F.lit(float(x)) for x in mean))
-    fourth = pool.select(F.pow(vec.squared_distance(F.col(vector), centre), 2).alias("f")).agg(F.sum("f")).first()[0]
-    trace, square = float(np.trace(s)), float((s * s).sum())
-    mu = trace / p
-    beta = (fourth / n - square) / (p * n)
-    delta = (square - 2 * mu * trace + p * mu * mu) / p
-    shrink = 0.0 if beta == 0 else min(beta, delta) / delta
-    return mean, (1 - shrink) * s + shrink * mu * np.eye(p), shrink
+    """(mean, shrunk covariance, share)."""
+    found, origin = moments(pool, vector)
+    return origin + found.mean(), *found.shrunk()
 
 
 def to_mean(query: DataFrame, pool: DataFrame) -> DataFrame:
@@ -87,16 +159,43 @@ def to_mean(query: DataFrame, pool: DataFrame) -> DataFrame:
 
 
 def to_mean_apart(frames: DataFrame, runs: list[int]) -> DataFrame:
-    """Each run against the others. One fit a run, as the fit changes with the pool."""
-    out = None
-    for run in runs:
-        pool = knn.pool_of(frames, [r for r in runs if r != run])
-        part = to_mean(frames.where(F.col("run") == run), pool)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """run, tick, score of each run against the others: every fit is the sum over all runs less the run's own."""
+    own = frames.where(F.col("run").isin(runs))
+    by_run, origin = moments_by_run(own)
+    total = sum(list(by_run.values())[1:], start=next(iter(by_run.values())))
+    fits = {run: (origin + (total - m).mean(), whitening((total - m).shrunk()[0])) for run, m in by_run.items() if total.n > m.n}
+    kept = frames.sparkSession.sparkContext.broadcast(fits)  # D x D numbers a run
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            run = np.array(batch.column(0).to_pylist())
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(run), -1)
+            out = np.full(len(run), np.nan)
+            for name in set(run.tolist()) & set(kept.value):
+                mean, w = kept.value[name]
+                rows = run == name
+                out[rows] = np.linalg.norm((x[rows] - mean) @ w.T, axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, mask=np.isnan(out))], names=["run", "tick", "score"])
+
+    kinds = dict(frames.dtypes)
+    return own.select("run", "tick", "v").mapInArrow(score, f"run {kinds['run']}, tick {kinds['tick']}, score double")
 
 
 def spread(pool: DataFrame, vector: str = "r") -> dict[str, float]:
-    """Participation ratio of the components and the share of the first two."""
-    values = np.clip(np.linalg.eigvalsh(covariance(pool, vector)[1]), 0, None)
-    return {"participation": float(values.sum() ** 2 / (values**2).sum()), "top2": float(np.sort(values)[::-1][:2].sum() / values.sum())}
+    """Participation ratio of the components and the share of the first two; for unit vectors also the mean cosine distance
+    of two different rows, over all pairs (from the length of their sum)."""
+    found, origin = moments(pool, vector)
+    values = np.clip(np.linalg.eigvalsh(found.covariance()), 0, None)
+    total = found.one + found.n * origin
+    squares = float(np.trace(found.two) + 2 * origin @ found.one + found.n * origin @ origin)
+    mean_cos = (float(total @ total) - squares) / (found.n * (found.n - 1))
+    return {"participation": float(values.sum() ** 2 / (values**2).sum()), "top2": float(np.sort(values)[::-1][:2].sum() / values.sum()), "mean_distance": 1 - mean_cos}
+
+
+def projected(rows: DataFrame, pool: DataFrame, vector: str = "v", components: int = 2) -> DataFrame:
+    """rows with their vector on the pool's first principal components; each axis points to where its largest loading is positive."""
+    mean, cov, _ = covariance(pool)
+    _, axes = np.linalg.eigh(cov)
+    w = axes[:, ::-1][:, :components].T
+    w = w * np.sign(w[np.arange(len(w)), np.abs(w).argmax(axis=1)])[:, None]
+    return transformed(rows, vector, w, mean)

@@ -28,9 +28,10 @@ def auroc_same_tick(run: DataFrame, twin: DataFrame, keys: list[str]) -> DataFra
 
 def window_of(ticks: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds ``window``: the number of the last window [start, stop) around the tick, -1 outside. windows: run, window, start, stop."""
-    w = F.broadcast(windows.select(F.col("run").alias("w_run"), F.col("window").alias("w"), "start", "stop"))
-    joined = ticks.join(w, (F.col("run") == F.col("w_run")) & (F.col("tick") >= F.col("start")) & (F.col("tick") < F.col("stop")), "left")
-    return joined.groupBy(*ticks.columns).agg(F.coalesce(F.max("w"), F.lit(-1)).alias("window"))
+    own = windows.groupBy("run").agg(F.collect_list(F.struct("window", "start", "stop")).alias("_w"))  # a recording's windows
+    around = F.filter("_w", lambda w: (F.col("tick") >= w["start"]) & (F.col("tick") < w["stop"]))
+    last = F.array_max(F.transform(around, lambda w: w["window"]))
+    return ticks.join(own, "run", "left").withColumn("window", F.coalesce(last, F.lit(-1))).select(*ticks.columns, "window")
 
 
 def window_metrics(rows: DataFrame, tau: float) -> DataFrame:
@@ -41,6 +42,40 @@ def window_metrics(rows: DataFrame, tau: float) -> DataFrame:
     return tpr.crossJoin(fpr).withColumn("tnr", 1 - F.col("fpr")).withColumn("balanced", (F.col("tpr") + F.col("tnr")) / 2)  # one row each
 
 
+def metrics_by_kind(rows: DataFrame, kinds: DataFrame, tau: float) -> DataFrame:
+    """series, kind, tpr, n_windows, fpr, n_outside, tnr, balanced: window metrics of each series for all runs (``total``) and for
+    each kind, which has its own runs and all runs without a kind. rows: series, run, tick, score, window; kinds: run, kind.
+    Runs are counted once; groups add up counts, so a run in many groups costs no row of its own."""
+    above = (F.col("score") > tau).cast("int")
+    peaks = rows.where("window >= 0").groupBy("series", "run", "window").agg(F.max(above).alias("hit"))
+    inside = peaks.groupBy("series", "run").agg(F.count("*").alias("w"), F.sum("hit").alias("wh"))
+    outside = rows.where("window < 0 and score is not null").groupBy("series", "run").agg(F.count("*").alias("o"), F.sum(above).alias("oh"))
+    runs = inside.join(outside, ["series", "run"], "full").na.fill(0).join(kinds, "run", "left")
+    names = kinds.select("kind").distinct().agg(F.collect_list("kind").alias("all"))
+    groups = F.concat(F.array(F.lit("total")), F.when(F.col("kind").isNull(), F.col("all")).otherwise(F.array("kind")))
+    parts = runs.crossJoin(F.broadcast(names)).withColumn("group", F.explode(groups))  # one row of names; a row a run and series
+    found = parts.groupBy("series", F.col("group").alias("kind")).agg(*(F.sum(c).alias(c) for c in ("w", "wh", "o", "oh")))
+    tpr, fpr = F.try_divide(F.col("wh"), F.col("w")), F.try_divide(F.col("oh"), F.col("o"))
+    return found.select("series", "kind", tpr.alias("tpr"), F.col("w").alias("n_windows"), fpr.alias("fpr"), F.col("o").alias("n_outside"), (1 - fpr).alias("tnr"), ((tpr + 1 - fpr) / 2).alias("balanced"))
+
+
+def run_index(plans: DataFrame, frames: DataFrame, windows: DataFrame, pool: str) -> DataFrame:
+    """run, kind, role (pool or test), n frames, windows: the recorded runs of a pool and those of none. plans: run, kind, pools;
+    windows: run, window, start, stop."""
+    n = frames.groupBy("run").agg(F.count("*").alias("n"))
+    own = windows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("windows"))
+    mine = F.array_contains("pools", pool)
+    listed = plans.where(mine | (F.size("pools") == 0)).join(n, "run").join(own, "run", "left")
+    return listed.select("run", "kind", F.when(mine, "pool").otherwise("test").alias("role"), "n", F.coalesce("windows", F.array().cast(own.schema["windows"].dataType)).alias("windows"))
+
+
+def stale(index: DataFrame, sources: DataFrame) -> DataFrame:
+    """The entries of an index that were made before their source last changed, or whose source is gone. index: name, made;
+    sources: name, changed."""
+    joined = index.join(sources, "name", "left")
+    return joined.where(F.col("changed").isNull() | (F.col("made") < F.col("changed"))).select("name")
+
+
 def roc(rows: DataFrame, taus: DataFrame) -> DataFrame:
     """(tau, tpr, fpr) of score > tau for each threshold. Scores are counted by the number of thresholds below them, so
     the running counts go over thresholds (a bounded list) and never over rows."""

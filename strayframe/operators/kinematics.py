@@ -177,3 +177,50 @@ def nearest_segment(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     joined = points.crossJoin(F.broadcast(edges)).withColumn("d", g.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     best = joined.groupBy(key).agg(F.min(F.struct("d", "segment")).alias("b"))
     return best.select(key, F.col("b.d").alias("d"), F.col("b.segment").alias("segment"))
+
+
+def in_corridor(rel: DataFrame, length: float, half_width: float) -> DataFrame:
+    """The agents ahead of the ego, within ``length`` along and ``half_width`` to either side."""
+    return rel.where((F.col("rel_x") > 0) & (F.col("rel_x") <= length) & (F.abs("rel_y") <= half_width))
+
+
+def best_runway(ticks: DataFrame, turning: DataFrame, floor: int) -> DataFrame:
+    """run, tick, runway: of the ticks ``floor`` and those behind a turn, the first with the most ticks to the next turn or
+    to the end. ticks: (run, n), one row a run; turning: (run, start, stop). A run that ends before ``floor`` has runway 0."""
+    behind = turning.select("run", (F.col("stop") + 1).alias("tick")).join(ticks, "run").where((F.col("tick") < F.col("n")) & (F.col("tick") >= floor)).select("run", "tick")
+    asked = ticks.select("run", F.lit(floor).cast("int").alias("tick")).unionByName(behind.withColumn("tick", F.col("tick").cast("int"))).distinct()
+    found = ticks_to_next(asked, turning, ticks)
+    best = found.groupBy("run").agg(F.max(F.struct("ahead", (-F.col("tick")).alias("up"))).alias("b"))
+    some = F.col("b.ahead") > 0
+    return best.select("run", F.when(some, -F.col("b.up")).otherwise(floor).alias("tick"), F.when(some, F.col("b.ahead")).otherwise(0).alias("runway"))
+
+
+def turn_extent(line: DataFrame, span: DataFrame, least: float) -> DataFrame:
+    """run, start, stop: where, within the span (run, s0, s1), the heading (degrees) of a polyline (run, s, yaw) turns by more than
+    ``least`` degrees a metre: from the first such step's start to the last one's end."""
+    w = Window.partitionBy("run").orderBy("s")
+    steps = line.withColumn("_s", F.lead("s").over(w)).withColumn("_y", F.lead("yaw").over(w)).where("_s is not null").join(span, "run")
+    rate = F.abs(g.wrap_degrees(F.col("_y") - F.col("yaw"))) / F.greatest(F.col("_s") - F.col("s"), F.lit(1e-6))
+    hit = steps.where((rate > least) & (F.col("s") >= F.col("s0")) & (F.col("_s") <= F.col("s1")))
+    return hit.groupBy("run").agg(F.min("s").alias("start"), F.max("_s").alias("stop"))
+
+
+def resampled(points: DataFrame, step: float) -> DataFrame:
+    """run, i, at, x, y, heading: the polyline (run, s, x, y) at every ``step`` metres before its end; heading: the direction of
+    the central difference, of the one step there is at an end."""
+    ends = points.groupBy("run").agg(F.max("s").alias("top"))
+    many = F.ceil(F.col("top") / step).cast("int")
+    places = ends.where(many > 0).withColumn("i", F.explode(F.sequence(F.lit(0), many - 1))).select("run", (F.col("i") * F.lit(step)).alias("at"))
+    found = along(points, places, ["run"]).withColumn("i", F.round(F.col("at") / step).cast("int"))
+    w = Window.partitionBy("run").orderBy("i")
+    side = lambda c: F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c))  # noqa: E731  twice the gradient inside
+    return found.select("run", "i", "at", "x", "y", F.atan2(side("y"), side("x")).alias("heading"))
+
+
+def off_route(states: DataFrame, edges: DataFrame, *, every: int = 10, metres: float = 4.0) -> DataFrame:
+    """run, tick: the first of every ``every``-th ticks (from the run's first) that is farther from the route than ``metres``; runs
+    that stay on it have none. edges: segment, ax, ay, bx, by."""
+    w = Window.partitionBy("run").orderBy("tick")
+    asked = states.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") % every == 0).withColumn("_key", F.struct("run", "tick"))
+    far = nearest_segment(asked, edges, "_key").where(F.col("d") > metres)
+    return far.groupBy(F.col("_key.run").alias("run")).agg(F.min("_key.tick").alias("tick"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, features, labels, neighbours, operations, snapshots  # noqa: F401  they register
+from . import calibration, features, labels, neighbours, operations, scenes, snapshots  # noqa: F401  they register
 from .registry import QUERIES, SQL, Query
 
 

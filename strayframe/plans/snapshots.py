@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vec
 from ..operators import knn, snapshot
 from ..sources.tables import FRAMES, frames
 from .registry import query, r6
@@ -105,7 +104,7 @@ def v2_drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A frame's neighbours, each with the score that it has itself."""
     f = frames(spark, sf_dir)
     u = knn.unit_frames(f)
-    best = knn.nearest(u.where("run > 7"), knn.pool_of(u, [0, 1, 2, 3, 4, 5]), 3, vec.cosine_distance)
+    best = knn.nearest(u.where("run > 7"), knn.pool_of(u, [0, 1, 2, 3, 4, 5]), 3, "cosine")
     own = f.select(F.col("id").alias("r_id"), F.abs(F.col("v")[0]).alias("own"))
     return best.join(own, "r_id").select("run", "tick", "n", "r_id", r6("own").alias("own_score"), r6("d").alias("d"))
 
@@ -120,7 +119,7 @@ def k5_neighbour_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import sinks
 
     u = knn.unit_frames(frames(spark, sf_dir))
-    json = sinks.neighbour_json(knn.nearest(u.where("run > 7"), knn.pool_of(u, [0, 1, 2, 3, 4, 5]), 3, vec.cosine_distance))
+    json = sinks.neighbour_json(knn.nearest(u.where("run > 7"), knn.pool_of(u, [0, 1, 2, 3, 4, 5]), 3, "cosine"))
     read = F.explode(F.from_json("knn", "array<struct<run: int, t: int, cos: double>>")).alias("k")
     return json.select("run", "tick", read).select("run", "tick", F.col("k.run").alias("r_run"), F.col("k.t").alias("r_tick"), F.col("k.cos").alias("cos"))
 

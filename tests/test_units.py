@@ -132,6 +132,34 @@ def test_texts(spark):
     assert show(text.seeds(F.lit("1-3,"))) == [1, 2, 3] and show(text.seeds(F.lit(",4,,9-9"))) == [4, 9] and show(text.seeds(F.lit(""))) == []
 
 
+def test_pca_map_and_spread(spark):
+    from strayframe.plans import scenes
+    from strayframe.sources.tables import frames
+
+    folder = "/root/testdata/sf0.001"
+    rows = frames(spark, folder).orderBy("id").collect()
+    x, run = np.array([r.v for r in rows], dtype=np.float64), np.array([r.run for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pool = x[run <= 5]
+    values, axes = np.linalg.eigh(np.cov(pool.T))
+    w = axes[:, ::-1][:, :2]
+    w = w * np.sign(w[np.abs(w).argmax(axis=0), [0, 1]])
+    want = (x - pool.mean(axis=0)) @ w
+    got = {(r.run, r.tick): (r.x, r.y) for r in scenes.p13_pca_map(spark, folder).collect()}
+    assert np.allclose([got[r.run, r.tick] for r in rows], want, atol=2e-6)
+    found = density.spread(knn.pool_of(knn.unit_frames(frames(spark, folder)), [0, 1, 2, 3, 4, 5]))
+    assert found["top2"] == pytest.approx(values[::-1][:2].sum() / values.sum()) and found["participation"] == pytest.approx(values.sum() ** 2 / (values**2).sum())
+    cos = pool @ pool.T
+    assert found["mean_distance"] == pytest.approx(1 - cos[~np.eye(len(pool), dtype=bool)].mean())
+
+
+def test_unknown_scorers_are_named(spark):
+    from strayframe.operators import scorers
+
+    with pytest.raises(ValueError, match="no scorer nearest"):
+        scorers.scored(query(spark, (1, 0)), pool(spark, [(1, 0)]), {"metric": "nearest"})
+
+
 def test_density_queries_follow_whole_vectors(spark):
     """All 64 components count in the queries on covariances that have no SQL."""
     from strayframe.plans import neighbours
