@@ -50,8 +50,8 @@ def e07_role_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {STATES}, {AGENTS}, l AS (SELECT *, lag(yaw) OVER w AS before, lag(tick) OVER w AS at FROM agents WINDOW w AS (PARTITION BY run, agent ORDER BY tick))
-SELECT run, tick, agent, CASE WHEN at = tick - 1 THEN round({_WRAP.format("yaw - before")} / 0.1::DOUBLE, 5) ELSE 0 END AS yaw_rate FROM l
+WITH {STATES}, {AGENTS}, l AS (SELECT *, lag(yaw) OVER w AS before, lag(tick) OVER w AS seen FROM agents WINDOW w AS (PARTITION BY run, agent ORDER BY tick))
+SELECT run, tick, agent, CASE WHEN seen = tick - 1 THEN round({_WRAP.format("yaw - before")} / 0.1::DOUBLE, 5) ELSE 0 END AS yaw_rate FROM l
 """)
 def w03_agent_yaw_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the same agent one tick before; 0 where it was not there."""

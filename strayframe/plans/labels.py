@@ -122,11 +122,11 @@ def s11_text_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "key").join(words, "key").select("conv_id", "turn", "n_same")
 
 
-@query("SELECT DISTINCT event_type || ' ' || k % 40 AS prompt FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type || ' ' || k % 40 NOT IN (SELECT event_type || ' ' || user_id % 40 FROM events)")
+@query("SELECT DISTINCT event_type || ' ' || k % 40 AS prompt FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type || ' ' || k % 40 NOT IN (SELECT event_type || ' ' || user_id % 40 FROM events WHERE user_id % 40 < 23)")
 def j11_missing_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts that the dictionary does not have yet."""
     p = _props(spark, sf_dir)
-    known = p.select(F.concat_ws(" ", "event_type", (F.col("user_id") % 40).cast("string")).alias("prompt")).distinct()
+    known = p.where("user_id % 40 < 23").select(F.concat_ws(" ", "event_type", (F.col("user_id") % 40).cast("string")).alias("prompt")).distinct()
     return p.select(F.concat_ws(" ", "event_type", (F.col("k") % 40).cast("string")).alias("prompt")).distinct().join(known, "prompt", "left_anti")
 
 

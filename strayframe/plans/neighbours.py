@@ -145,16 +145,16 @@ def c05_label_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P = """
-p AS (SELECT run, tick, id, list_transform(a, lambda x: (x + 1e-6) / (list_sum(a) + 8e-6)) AS v FROM (SELECT run, tick, id, list_transform(v[1:8], lambda x: abs(x)) AS a FROM frames))"""
+p AS (SELECT run, tick, id, list_transform(a, lambda x: (x + 1e-6) / (list_sum(a) + 64e-6)) AS v FROM (SELECT run, tick, id, list_transform(v, lambda x: abs(x)) AS a FROM frames))"""
 
 
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir, 8).withColumn("v", vec.shares(F.transform("v", F.abs)))
+    return frames(spark, sf_dir).withColumn("v", vec.shares(F.transform("v", F.abs)))
 
 
 @query(f"""
-WITH {FRAMES}, {_P}, m AS (SELECT list(x ORDER BY i) AS r FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(range(1, 9)) AS i, unnest(v) AS x FROM p WHERE run <= 5) GROUP BY i))
-SELECT run, tick, round(list_sum(list_transform(range(1, 9), lambda i: v[i] * ln(v[i] / r[i]))), 6) AS score FROM p, m WHERE run > 5
+WITH {FRAMES}, {_P}, m AS (SELECT list(x ORDER BY i) AS r FROM (SELECT i, avg(x) AS x FROM (SELECT unnest(range(1, 65)) AS i, unnest(v) AS x FROM p WHERE run <= 5) GROUP BY i))
+SELECT run, tick, round(list_sum(list_transform(range(1, 65), lambda i: v[i] * ln(v[i] / r[i]))), 6) AS score FROM p, m WHERE run > 5
 """)
 def c06_kl_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of a frame's label distribution from the pool's mean one."""
@@ -164,7 +164,7 @@ def c06_kl_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FRAMES}, {_P}, {_pairs("p", _AWAY, "list_sum(list_transform(range(1, 9), lambda i: q.v[i] * ln(q.v[i] / r.v[i])))")}, {_MEAN}
+WITH {FRAMES}, {_P}, {_pairs("p", _AWAY, "list_sum(list_transform(range(1, 65), lambda i: q.v[i] * ln(q.v[i] / r.v[i])))")}, {_MEAN}
 """)
 def c07_kl_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _shares(spark, sf_dir)
@@ -216,41 +216,24 @@ def c12_ledoit_wolf_to_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FRAMES}, x AS (SELECT v[1:4] AS v FROM frames WHERE run <= 5), mu AS (SELECT avg(v[1]) AS a, avg(v[2]) AS b, avg(v[3]) AS c, avg(v[4]) AS d, count(*) AS n FROM x),
-y AS (SELECT [v[1] - a, v[2] - b, v[3] - c, v[4] - d] AS y, n FROM x, mu),
-s AS (SELECT i, j, sum(y[i] * y[j]) / any_value(n) AS s FROM y, (SELECT unnest(range(1, 5)) AS i), (SELECT unnest(range(1, 5)) AS j) GROUP BY i, j),
-t AS (SELECT sum(CASE WHEN i = j THEN s END) AS tr, sum(s * s) AS sq FROM s),
-f AS (SELECT sum(list_dot_product(y, y) ** 2) AS f, any_value(n) AS n FROM y),
-b AS (SELECT (f / n - sq) / (4 * n) AS beta, (sq - 2 * (tr / 4) * tr + 4 * (tr / 4) ** 2) / 4 AS delta, n FROM t, f)
+WITH {FRAMES}, long AS (SELECT id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM frames WHERE run <= 5), n AS (SELECT count(*) AS n FROM frames WHERE run <= 5),
+mu AS (SELECT i, avg(x) AS m FROM long GROUP BY i), y AS (SELECT id, l.i, x - m AS y FROM long l JOIN mu ON l.i = mu.i),
+s AS (SELECT a.i, b.i AS j, sum(a.y * b.y) / any_value(n) AS s FROM y a JOIN y b USING (id), n GROUP BY a.i, b.i),
+t AS (SELECT sum(CASE WHEN i = j THEN s END) AS tr, sum(s * s) AS sq FROM s), f AS (SELECT sum(q * q) AS f FROM (SELECT sum(y * y) AS q FROM y GROUP BY id)),
+b AS (SELECT (f / n - sq) / (64 * n) AS beta, (sq - 2 * (tr / 64) * tr + 64 * (tr / 64) ** 2) / 64 AS delta, n FROM t, f, n)
 SELECT n, round(CASE WHEN beta = 0 THEN 0.0 ELSE least(beta, delta) / delta END, 6) AS shrink FROM b
 """)
 def g06_shrinkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pool = knn.pool_of(frames(spark, sf_dir, 4), POOL)
-    _, _, shrink = density.shrinkage(pool)
-    return pool.agg(F.count("*").alias("n")).withColumn("shrink", r6(F.lit(float(shrink))))
-
-
-@query()
-def g06_shrinkage_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As g06_shrinkage, whose SQL knows four components, on whole vectors."""
     pool = knn.pool_of(frames(spark, sf_dir), POOL)
     _, _, shrink = density.shrinkage(pool)
     return pool.agg(F.count("*").alias("n")).withColumn("shrink", r6(F.lit(float(shrink))))
 
 
 @query(f"""
-WITH {FRAMES}, long AS (SELECT id, unnest(range(1, 7)) AS i, unnest(v[1:6]) AS x FROM frames WHERE run <= 5)
+WITH {FRAMES}, long AS (SELECT id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM frames WHERE run <= 5)
 SELECT CAST(a.i AS INT) AS i, CAST(b.i AS INT) AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM long a JOIN long b USING (id) GROUP BY a.i, b.i
 """)
 def g05_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, cov, _ = density.covariance(knn.pool_of(frames(spark, sf_dir, 6), POOL))
-    rows = [(i + 1, j + 1, float(cov[i, j])) for i in range(6) for j in range(6)]
-    return spark.createDataFrame(rows, "i int, j int, cov double").withColumn("cov", r6("cov"))
-
-
-@query()
-def g05_covariance_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As g05_covariance, whose SQL knows six components, on whole vectors."""
     _, cov, _ = density.covariance(knn.pool_of(frames(spark, sf_dir), POOL))
     rows = [(i + 1, j + 1, float(x)) for i, r in enumerate(cov) for j, x in enumerate(r)]
     return spark.createDataFrame(rows, "i int, j int, cov double").withColumn("cov", r6("cov"))
@@ -331,10 +314,10 @@ def g13_knn_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {FRAMES}, c AS (SELECT id % 5 AS g, v, 1.0 + id % 3 AS w FROM frames), l AS (SELECT g, w, unnest(range(1, 65)) AS i, unnest(v) AS x FROM c)
-SELECT g, CAST(i AS INT) AS i, round(sum(w * x) / sum(w), 6) AS mean FROM l WHERE i <= 8 GROUP BY g, i
+SELECT g, CAST(i AS INT) AS i, round(sum(w * x) / sum(w), 6) AS mean FROM l GROUP BY g, i
 """)
 def a10_weighted_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = frames(spark, sf_dir).select((F.col("id") % 5).alias("g"), F.posexplode(F.slice("v", 1, 8)).alias("i", "x"), (1.0 + F.col("id") % 3).alias("w"))
+    c = frames(spark, sf_dir).select((F.col("id") % 5).alias("g"), F.posexplode("v").alias("i", "x"), (1.0 + F.col("id") % 3).alias("w"))
     return c.groupBy("g", (F.col("i") + 1).alias("i")).agg(r6(F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
 
 

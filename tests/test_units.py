@@ -205,6 +205,6 @@ def test_density_queries_follow_whole_vectors(spark):
         y = x[run == r] - others.mean(axis=0)
         expected[run[run <= 5] == r] = np.sqrt((y @ np.linalg.inv(shrunk(others)[1]) * y).sum(axis=1))
     assert np.allclose(found, expected, atol=1e-5)
-    assert neighbours.g06_shrinkage_whole(spark, folder).first().shrink == pytest.approx(shrunk(pool)[0], abs=1e-6)
-    g05 = {(r.i, r.j): r["cov"] for r in neighbours.g05_covariance_whole(spark, folder).collect()}
+    assert neighbours.g06_shrinkage(spark, folder).first().shrink == pytest.approx(shrunk(pool)[0], abs=1e-6)
+    g05 = {(r.i, r.j): r["cov"] for r in neighbours.g05_covariance(spark, folder).collect()}
     assert len(g05) == 64 * 64 and np.allclose([g05[i + 1, j + 1] for i in range(64) for j in range(64)], cov.ravel(), atol=1e-6)
