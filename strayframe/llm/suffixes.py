@@ -16,7 +16,8 @@ So each window of ``least`` words belongs to the minimiser of its first WINDOW g
 neighbours' matches do not cover but whose right part is no longer than the longest match to the right (no copy can
 match further) are hashed; equal hashes in two documents are repeats, too.
 
-Every span is a real repeat, and all words of a repeat of ``least`` words or more are found.
+Every span is a real repeat, and all words of a repeat of ``least`` words or more are found. Words are compared by three
+bytes of their hash, so once in 1.7e7 an end of a span may reach a word too far.
 
 Defined cases: null, empty and short texts have no spans. Rows with equal doc_id and text are one document (one set of
 spans); so copies under other ids are repeats. A null doc_id is reported as null. An empty table gives an empty result. Other
@@ -201,6 +202,7 @@ def repeats(docs: DataFrame, *, least: int = 50) -> DataFrame:
 
     suffixes = rows.select("dk", "text").mapInArrow(sample, "key bigint, dk bigint, place bigint")
     shared = suffixes.groupBy("key").agg(F.min("dk").alias("a"), F.max("dk").alias("b")).where("a <> b").select("key")
+    shared = stored(shared, "shared")  # a table of its own, so that a frequent gram's suffixes can be split in the join
     wanted = suffixes.join(shared.hint("merge"), "key").groupBy("dk").agg(F.collect_set("place").alias("places"))  # a document's own places
     wanted = stored(wanted, "places")
 
