@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import hashlib
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -26,9 +27,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is configured (tests)."""
+    """The folder that driver and executors share. Where none is configured, a local one in a session of one process (tests)
+    and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="strayframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -18,6 +18,7 @@ empty table gives an empty file set. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,7 +48,18 @@ def min_bits(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
+def vocabulary_of(definition: str) -> int:
+    """One more than the greatest id of a tokenizer's file."""
+    parts = json.loads(definition)
+    known = parts["model"].get("vocab", {})
+    own = max(known.values(), default=-1) if isinstance(known, dict) else len(known) - 1
+    return max([own, *(t["id"] for t in parts.get("added_tokens", []))]) + 1
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
+    """Ids in ``bits`` bits each. One that does not fit is an error: cut short it would read back as another id."""
+    if len(ids) and int(ids.max()) >> bits:
+        raise ValueError(f"id {int(ids.max())} does not fit in {bits} bits")
     if bits in (8, 16, 32):
         return ids.astype(f"<u{bits // 8}").tobytes()
     planes = (ids.astype(np.uint32)[:, None] >> np.arange(bits, dtype=np.uint32)) & 1
@@ -90,7 +102,6 @@ class PieceEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
 
         from tokenizers import Tokenizer
 
@@ -196,13 +207,15 @@ class PieceEncoder:
         return [np.array(next(whole).ids, dtype=np.uint32) if i in odd else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
 
-def write_packed(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int, end_id: int = 0, block_ids: int = 1 << 16) -> None:
+def write_packed(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int | None = None, end_id: int = 0, block_ids: int = 1 << 16) -> None:
     """Encode every text, append ``end_id`` and write the packed blocks to ``path``. One shuffle, of the
-    texts, into ranges of doc_id; a task holds one block of ids at a time."""
+    texts, into ranges of doc_id; a task holds one block of ids at a time. vocabulary: the ids there are; the tokenizer's
+    own if not given."""
     spark = docs.sparkSession
     prepare(spark)
-    definition = spark.sparkContext.broadcast(open(tokenizer, encoding="utf-8").read())
-    bits = min_bits(vocabulary)
+    text = open(tokenizer, encoding="utf-8").read()
+    bits = min_bits(max(vocabulary_of(text) if vocabulary is None else vocabulary, end_id + 1))
+    definition = spark.sparkContext.broadcast(text)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.of(definition.value)
@@ -278,7 +291,7 @@ def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFra
     return placed.mapInArrow(rows, "position bigint, id bigint")
 
 
-def token_output(docs: DataFrame, tokenizer: str, *, vocabulary: int, end_id: int = 0, path: str | None = None) -> DataFrame:
+def token_output(docs: DataFrame, tokenizer: str, *, vocabulary: int | None = None, end_id: int = 0, path: str | None = None) -> DataFrame:
     """Write the packed files and return what they hold, document by document."""
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")

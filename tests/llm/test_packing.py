@@ -62,3 +62,15 @@ def test_files_hold_the_ids(spark, docs_of, tmp_path):
 
 def test_empty_table(docs_of):
     assert packing.token_output(docs_of([]), PATH, vocabulary=50_257).collect() == []
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    assert packing.unpack(packing.pack(np.array([65_535], np.uint32), 16), 16, 0, 1).tolist() == [65_535]
+    for ids, bits in (([70_000], 16), ([8], 3), ([1 << 20, 1], 20)):
+        with pytest.raises(ValueError, match="does not fit"):
+            packing.pack(np.array(ids, np.uint32), bits)
+
+
+def test_the_vocabulary_is_the_tokenizer_s():
+    assert packing.vocabulary_of(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()) == 50_257
+    assert packing.vocabulary_of('{"model": {"vocab": {"a": 0, "b": 4}}, "added_tokens": [{"id": 9}]}') == 10
