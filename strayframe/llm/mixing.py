@@ -77,9 +77,14 @@ def _key() -> Column:
     return F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source").cast("string")))
 
 
-def plan(docs: DataFrame, *, seed: int = 17, entropy_share: float | None = 0.98, max_repeats: float | None = 4.0, budget_share: float | None = 1.0) -> tuple[DataFrame, DataFrame]:
-    """(weights by source, drawn blocks). budget_share: budget in tokens of the corpus; None: each document once at least."""
-    rows = docs.select(_key().alias("source"), F.col("doc_id").cast("string").alias("id"), n_tokens_of(text_or_empty()).alias("tokens"))
+def _sizes(tokens: str | None) -> Column:
+    return n_tokens_of(text_or_empty()) if tokens is None else F.coalesce(F.col(tokens), F.lit(0)).cast("bigint")
+
+
+def plan(docs: DataFrame, *, tokens: str | None = None, seed: int = 17, entropy_share: float | None = 0.98, max_repeats: float | None = 4.0, budget_share: float | None = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(weights by source, drawn blocks). budget_share: budget in tokens of the corpus; None: each document once at least.
+    tokens: the column of docs with each document's tokens (as a counting operator gives them); without it, its words count."""
+    rows = docs.select(_key().alias("source"), F.col("doc_id").cast("string").alias("id"), _sizes(tokens).alias("tokens"))
     sizes = stored(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")), "sizes")
     total = sizes.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     weights = source_weights(sizes, entropy_share=entropy_share, max_repeats=max_repeats, budget=None if budget_share is None else int(total * budget_share))
@@ -111,7 +116,7 @@ def _in_blocks(rows: DataFrame, weights: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """doc_id, source, epoch, block, position, n_tokens, weight: a row for each time that a document is drawn."""
     weights, drawn = plan(docs, **options)
-    rows = docs.select(_key().alias("source"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").alias("name"), n_tokens_of(text_or_empty()).alias("n_tokens"))
+    rows = docs.select(_key().alias("source"), F.col("doc_id").cast("string").alias("id"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").alias("name"), _sizes(options.get("tokens")).alias("n_tokens"))
     rows = _in_blocks(rows, weights)
     drawn = drawn.join(weights.select("source", "weight"), "source")
     if drawn.count() <= BROADCAST_BLOCKS:

@@ -1,3 +1,5 @@
+import hashlib
+import random
 from math import log
 
 import pytest
@@ -70,3 +72,63 @@ def test_without_a_budget_wordless_documents_stay(docs_of, sizes):
     drawn = [r.doc_id for r in mixing.mixture(d, entropy_share=0.98, max_repeats=1.25, budget_share=None).collect()]
     assert set(drawn) == {r.doc_id for r in d.collect()}
     assert all(0 <= r.position <= 1 for r in mixing.mixed(d, entropy_share=0.98, max_repeats=1.25, budget_share=None).collect())
+
+
+def by_hand(rows, seed=17, entropy_share=0.98, max_repeats=4.0, budget_share=1.0):
+    """All that mixing draws, by plain loops. rows: (doc_id, source, tokens)."""
+    uniform = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+    rows = [(i, "n" if s is None else f"s{s}", n) for i, s, n in rows]
+    size = {}
+    for _, s, n in rows:
+        size[s] = size.get(s, 0) + n
+    total = sum(size.values())
+    p = [n / total for n in size.values() if n]
+    budget = int(total * budget_share)
+
+    def bisect(holds):
+        if holds(1.0) or not holds(0.0):
+            return float(holds(1.0))
+        lo, hi = 0.0, 1.0
+        for _ in range(60):
+            lo, hi = ((lo + hi) / 2, hi) if holds((lo + hi) / 2) else (lo, (lo + hi) / 2)
+        return (lo + hi) / 2
+
+    weights = lambda m: [x**m / sum(y**m for y in p) for x in p]
+    flat = bisect(lambda m: -sum(w * log(w) for w in weights(m)) >= entropy_share * log(len(p)) - 1e-12)
+    often = bisect(lambda m: max(w / x for w, x in zip(weights(m), p, strict=True)) * budget / total > max_repeats)
+    m = max(flat, often)
+    z = sum(x**m for x in p)
+    blocks = {}
+    for i, s, n in rows:
+        k = uniform(seed, "doc", "null" if i is None else i) % max(64, -(-size[s] // (1 << 16)))
+        blocks.setdefault(s, {}).setdefault(k, []).append((i, n))
+    out = []
+    for s, own in blocks.items():
+        quota = int((size[s] / total) ** m / z * budget + 1e-6) if size[s] else 0
+        for epoch in range(quota // size[s] + 1 if quota else 0):
+            before = 0
+            for k in sorted(own, key=lambda k: (uniform(seed, epoch, s, k), k)):
+                if before < quota - epoch * size[s]:
+                    out += [(i, epoch, k, n) for i, n in own[k]]
+                before += sum(n for _, n in own[k])
+    return sorted(out, key=str)
+
+
+def test_all_that_is_drawn_against_plain_loops(docs_of):
+    rng = random.Random(8)
+    sources = [rng.choice(["big"] * 12 + ["mid"] * 4 + ["tiny", None]) for _ in range(700)] + ["none"] * 3
+    texts = [" ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 90))) for _ in range(700)] + ["", " ", None]
+    ids = [*range(690), *[5] * 10, 700, 701, None]
+    rows = [(i, s, len((t or "").split())) for i, s, t in zip(ids, sources, texts, strict=True)]
+    for options in ({}, {"entropy_share": 0.9, "max_repeats": 2.0, "budget_share": 2.5}):
+        got = sorted(((r.doc_id, r.epoch, r.block, r.n_tokens) for r in mixing.mixed(docs_of(texts, ids, sources, extra=True), **options).collect()), key=str)
+        assert got == by_hand(rows, **options)
+
+
+def test_stored_token_counts_are_used(docs_of):
+    from pyspark.sql import functions as F
+
+    d = docs_of(["one"] * 40 + ["one two three"] * 40, sources=["a"] * 40 + ["b"] * 40).withColumn("n", F.when(F.col("source") == "a", 30).otherwise(10))
+    weights, _ = mixing.plan(d, tokens="n")
+    assert {r.source: r.tokens for r in weights.collect()} == {"sa": 1200, "sb": 400}
+    assert {r.n_tokens for r in mixing.mixed(d, tokens="n").collect()} == {30, 10}
