@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, and per document what they hold."""
-    return packing.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), vocabulary=50_257, end_id=0)
+    return packing.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
 
 STAGES = [
