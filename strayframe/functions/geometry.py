@@ -110,3 +110,19 @@ def speed_cap(v_target: Column, gap: Column, decel: Column) -> Column:
 def bezier(a: Column, c: Column, b: Column, t: Column) -> Column:
     """A quadratic curve from a to b with control point c, one coordinate."""
     return (1 - t) * (1 - t) * a + 2 * (1 - t) * t * c + t * t * b
+
+
+def lines_meet(px: Column, py: Column, dx: Column, dy: Column, qx: Column, qy: Column, ex: Column, ey: Column) -> tuple[Column, Column]:
+    """Where the line from p along d meets the line from q along e; null if they are parallel."""
+    t = F.try_divide((qx - px) * ey - (qy - py) * ex, dx * ey - dy * ex)
+    return px + dx * t, py + dy * t
+
+
+def fillet(px: Column, py: Column, dx: Column, dy: Column, qx: Column, qy: Column, ex: Column, ey: Column, radius: float, points: int = 25) -> Column:
+    """An array of (x, y): the quadratic curve that turns from direction d (through p) to direction e (through q), both unit
+    vectors, on a fillet of this radius about the place where their lines meet."""
+    x, y = lines_meet(px, py, dx, dy, qx, qy, ex, ey)
+    cosine = F.least(F.greatest(dx * ex + dy * ey, F.lit(-1.0)), F.lit(1.0))
+    reach = F.lit(radius) * F.tan(F.acos(cosine) / 2)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / float(points - 1))
+    return F.transform(steps, lambda t: F.struct(bezier(x - reach * dx, x, x + reach * ex, t).alias("x"), bezier(y - reach * dy, y, y + reach * ey, t).alias("y")))

@@ -98,6 +98,13 @@ def area(points: DataFrame) -> DataFrame:
     return steps.agg(F.sum((F.col("fpr") - F.col("_x")) * (F.col("tpr") + F.col("_y")) / 2).alias("area"))
 
 
+def false_alarms(results: DataFrame, first: str | None = None) -> DataFrame:
+    """series, rate, n of flagged runs without an anomaly: of all of them, or of the one named ``first`` (where thresholds come from
+    leaving one run out). results: series, run, flagged."""
+    own = results if first is None else results.where(F.col("run") == first)
+    return own.groupBy("series").agg(F.avg(F.col("flagged").cast("double")).alias("rate"), F.count("*").alias("n"))
+
+
 def rates_by_group(results: DataFrame) -> DataFrame:
     """Detection rate by type and by type/kind: a run counts in both. results: type, kind, flagged."""
     keys = F.array(F.col("type"), F.when(F.col("kind").isNotNull(), F.concat_ws("/", "type", "kind")))

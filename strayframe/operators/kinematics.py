@@ -224,3 +224,55 @@ def off_route(states: DataFrame, edges: DataFrame, *, every: int = 10, metres: f
     asked = states.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") % every == 0).withColumn("_key", F.struct("run", "tick"))
     far = nearest_segment(asked, edges, "_key").where(F.col("d") > metres)
     return far.groupBy(F.col("_key.run").alias("run")).agg(F.min("_key.tick").alias("tick"))
+
+
+def candidates(rel: DataFrame, *, least_px: int, least_speed: float) -> DataFrame:
+    """run, tick, kind, agent, rank: the agents that could carry out each kind of manoeuvre, nearest first (ties by agent). rel: as
+    :func:`relative` gives it, with px, speed, junction and lead (whether the agent is the ego's lead). An agent may be of
+    several kinds."""
+    ahead, side, c = F.col("rel_x"), F.abs("rel_y"), F.cos("rel_yaw")
+    same, opposite, far = c > 0.9, c < -0.9, F.hypot("rel_x", "rel_y")
+    leading = F.col("lead") & same & (side < 1.8) & (ahead > 6) & (ahead < 25)
+    kinds = {
+        "lead_swerve": leading,
+        "lead_brake": leading,
+        "cut_in": same & (side >= 2) & (side <= 5) & (ahead < 20),
+        "oncoming_drift": opposite & (ahead > 8) & (ahead < 35) & (side > 2) & (side < 9),
+        "random_swerve": (far < 25) & (same | opposite),
+    }
+    fit = rel.where((F.col("px") >= least_px) & (F.col("speed") >= least_speed) & (ahead > 3) & ~F.col("junction"))
+    named = fit.withColumn("kind", F.explode(F.filter(F.array(*(F.when(holds, name) for name, holds in kinds.items())), lambda k: k.isNotNull())))
+    order = Window.partitionBy("run", "tick", "kind").orderBy(far, "agent")
+    return named.select("run", "tick", "kind", "agent", F.row_number().over(order).alias("rank"))
+
+
+def lead_reason(lead: DataFrame) -> DataFrame:
+    """lead with reason: the first gate that an ego's lead fails, or ok. lead: rel_x, rel_y, rel_yaw, off_lane, speed, junction;
+    rel_x is null where there is no lead."""
+    gates = (
+        (F.col("rel_x").isNull(), "no lead"),
+        (~F.col("rel_x").between(8, 30), "distance"),
+        ((F.abs("rel_y") > 1.5) | (F.col("off_lane") > 1.5), "off the lane"),
+        (F.cos("rel_yaw") < 0.9, "not aligned"),
+        (F.col("speed") < 1, "not moving"),
+        (F.coalesce("junction", F.lit(True)), "junction"),
+    )
+    out = F.lit("ok")
+    for fails, name in reversed(gates):
+        out = F.when(fails, name).otherwise(out)
+    return lead.withColumn("reason", out)
+
+
+def best_lead(states: DataFrame, rel: DataFrame, ahead: DataFrame, *, runway: int, floor: int = 0, clear: float | None = None) -> DataFrame:
+    """run, tick, agent, score: the tick and agent ahead in the ego's lane with the least score 3 |aside| + |along - middle|; the first
+    of equal ones. ahead: run, tick, ahead (ticks to the next turn), ``runway`` at least. clear: no agent may be nearer in the
+    lane than that, and the agent is beyond it. Runs without a candidate have no row."""
+    low = 5.0 if clear is None else clear
+    ego = states.where((F.hypot("vx", "vy") >= 3) & (F.col("tick") >= floor)).select("run", "tick").join(ahead.where(F.col("ahead") >= runway).select("run", "tick"), ["run", "tick"])
+    near = rel.where((F.cos("rel_yaw") >= 0.7) & (F.col("rel_x") > 0) & (F.col("rel_x") < 25) & (F.abs("rel_y") < 2)).join(ego, ["run", "tick"])
+    if clear is not None:
+        near = near.join(near.where(F.col("rel_x") < clear).select("run", "tick").distinct(), ["run", "tick"], "left_anti")
+    score = F.abs("rel_y") * 3 + F.abs(F.col("rel_x") - (low + 20) / 2)
+    found = near.where((F.col("rel_x") > low) & (F.col("rel_x") < 20)).select("run", "tick", "agent", score.alias("score"))
+    best = found.groupBy("run").agg(F.min(F.struct("score", "tick", "agent")).alias("b"))
+    return best.select("run", "b.tick", "b.agent", "b.score")

@@ -79,3 +79,12 @@ def votes(matches: DataFrame, most: int) -> DataFrame:
     counted = matches.groupBy("id", "r_id").agg(F.count("*").alias("n_votes"), F.avg("d").alias("mean_d"))
     w = Window.partitionBy("id").orderBy(F.desc("n_votes"), "mean_d", "r_id")
     return counted.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+
+
+def source_positions(frames: DataFrame, nominal: DataFrame, cache: str) -> DataFrame:
+    """frames (id, src: struct of cache, group, idx) with excluded: the position of the nominal frame that a frame was made from,
+    -1 for frames made from none or from another cache's. nominal: idx, position."""
+    own = (F.col("src.cache") == cache) & (F.col("src.group") == "nominal")
+    keyed = frames.withColumn("_idx", F.when(own, F.col("src.idx")))
+    known = nominal.select(F.col("idx").alias("_idx"), F.col("position").alias("excluded"))
+    return keyed.join(known, "_idx", "left").drop("_idx").withColumn("excluded", F.coalesce("excluded", F.lit(-1)))

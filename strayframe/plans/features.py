@@ -229,28 +229,36 @@ def f15_smallest_box_around(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.groupBy("event_id").agg(F.min(F.struct(F.col("ex") * F.col("ey") * F.col("ez"), F.col("obj").alias("obj"))).alias("m")).select("event_id", "m.obj")
 
 
+_CAND = "rich AS (SELECT *, (tick * 29 + agent * 13) % 500 AS px, (tick + agent) % 9 * 0.5::DOUBLE AS speed, tick % 11 = 0 AS junction, agent = 3 AS lead, (tick % 5) * 0.4::DOUBLE AS off_lane FROM rel)"
+
+
+def _rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, k = F.col("tick"), F.col("agent")
+    rel = kin.relative(states(spark, sf_dir), agents(spark, sf_dir))
+    return rel.withColumns({"px": (t * 29 + k * 13) % 500, "speed": (t + k) % 9 * 0.5, "junction": t % 11 == 0, "lead": k == 3, "off_lane": t % 5 * 0.4})
+
+
 @query(f"""
-WITH {STATES}, {AGENTS}, {_REL} SELECT run, tick, agent, kind, CAST(row_number() OVER (PARTITION BY run, tick, kind ORDER BY dist, agent) AS INT) AS rank FROM (
-    SELECT run, tick, agent, dist, unnest(list_filter([CASE WHEN rel_x > 5 AND abs(rel_y) < 3 THEN 'brake' END, CASE WHEN abs(rel_y) BETWEEN 2 AND 6 AND abs(rel_x) < 10 THEN 'cut_in' END, CASE WHEN cos(rel_yaw) < 0 THEN 'oncoming' END], lambda x: x IS NOT NULL)) AS kind FROM rel WHERE dist < 25)
+WITH {STATES}, {AGENTS}, {_REL}, {_CAND}, c AS (SELECT *, sqrt(rel_x ** 2 + rel_y ** 2) AS far, abs(rel_y) AS side, cos(rel_yaw) AS c FROM rich WHERE px >= 100 AND speed >= 1 AND rel_x > 3 AND NOT junction),
+k AS (SELECT run, tick, agent, far, unnest(list_filter([CASE WHEN lead AND c > 0.9 AND side < 1.8 AND rel_x > 6 AND rel_x < 25 THEN 'lead_swerve' END, CASE WHEN lead AND c > 0.9 AND side < 1.8 AND rel_x > 6 AND rel_x < 25 THEN 'lead_brake' END,
+    CASE WHEN c > 0.9 AND side BETWEEN 2 AND 5 AND rel_x < 20 THEN 'cut_in' END, CASE WHEN c < -0.9 AND rel_x > 8 AND rel_x < 35 AND side > 2 AND side < 9 THEN 'oncoming_drift' END, CASE WHEN far < 25 AND (c > 0.9 OR c < -0.9) THEN 'random_swerve' END], lambda x: x IS NOT NULL)) AS kind FROM c)
+SELECT run, tick, kind, agent, CAST(row_number() OVER (PARTITION BY run, tick, kind ORDER BY far, agent) AS INT) AS rank FROM k
 """)
 def f09_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An agent is a candidate of each kind whose condition it meets; the nearest come first."""
-    from pyspark.sql.window import Window
-
-    x, y = F.col("rel_x"), F.abs("rel_y")
-    kinds = F.array(F.when((x > 5) & (y < 3), "brake"), F.when(y.between(2, 6) & (F.abs(x) < 10), "cut_in"), F.when(F.cos("rel_yaw") < 0, "oncoming"))
-    rel = kin.relative(states(spark, sf_dir), agents(spark, sf_dir)).where("dist < 25").withColumn("kind", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
-    return rel.select("run", "tick", "agent", "kind", F.row_number().over(Window.partitionBy("run", "tick", "kind").orderBy("dist", "agent")).alias("rank"))
+    """The agents that could carry out each of five kinds of manoeuvre, the nearest first."""
+    return kin.candidates(_rich(spark, sf_dir), least_px=100, least_speed=1.0)
 
 
 @query(f"""
-WITH {STATES}, {AGENTS}, {_REL} SELECT run, tick, agent, CASE WHEN rel_x < 3 THEN 'behind' WHEN rel_x > 40 THEN 'too far' WHEN abs(rel_y) > 2 THEN 'beside' WHEN rel_vx < -6 THEN 'too slow' ELSE 'ok' END AS reason FROM rel
+WITH {STATES}, {AGENTS}, {_REL}, {_CAND}, {_ROLE} SELECT s.run, s.tick, CASE WHEN rel_x IS NULL THEN 'no lead' WHEN rel_x NOT BETWEEN 8 AND 30 THEN 'distance' WHEN abs(rel_y) > 1.5 OR off_lane > 1.5 THEN 'off the lane' WHEN cos(rel_yaw) < 0.9 THEN 'not aligned'
+    WHEN speed < 1 THEN 'not moving' WHEN junction THEN 'junction' ELSE 'ok' END AS reason FROM states s LEFT JOIN (SELECT r.* FROM rich r JOIN slots l ON r.run = l.run AND r.tick = l.tick AND r.agent = l.agent WHERE l.role = 'lead') x ON s.run = x.run AND s.tick = x.tick
 """)
 def f10_lead_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first gate that an agent fails on the way to being the lead."""
-    rel = kin.relative(states(spark, sf_dir), agents(spark, sf_dir))
-    reason = F.when(F.col("rel_x") < 3, "behind").when(F.col("rel_x") > 40, "too far").when(F.abs("rel_y") > 2, "beside").when(F.col("rel_vx") < -6, "too slow").otherwise("ok")
-    return rel.select("run", "tick", "agent", reason.alias("reason"))
+    """The first gate that a frame's lead fails."""
+    rich = _rich(spark, sf_dir)
+    lead = kin.role_slots(rich).where("role = 'lead'")
+    s = states(spark, sf_dir).select("run", "tick").join(lead, ["run", "tick"], "left")
+    return kin.lead_reason(s).select("run", "tick", "reason")
 
 
 @query(f"""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import geometry as g
 from ..functions import vec
-from ..operators import concepts, density, evaluation, kinematics, knn, scorers
+from ..operators import concepts, density, evaluation, kinematics, knn, scorers, snapshot
 from ..sources.tables import AGENTS, FRAMES, SCORES, STATES, agents, frames, scores, states, table
 from .calibration import _WINDOWS, _windows
-from .features import _ARC, _REL, _edges, _EDGE_SQL, _WRAP
+from .features import _ARC, _EDGE_SQL, _REL, _WRAP, _edges
 from .neighbours import _AWAY, _COS, _MOMENTS, K, POOL
 from .registry import query, r6
 
@@ -234,3 +235,58 @@ def p13_pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All frames on the pool's first two principal components; held against NumPy in the tests."""
     f = knn.unit_frames(frames(spark, sf_dir))
     return density.projected(f, knn.pool_of(f, POOL)).select("run", "tick", r6(F.col("v")[0]).alias("x"), r6(F.col("v")[1]).alias("y"))
+
+
+@query(f"""
+WITH {STATES}, {AGENTS}, {_REL}, {_TURNS}, ends AS (SELECT run, count(*) + 1 AS n FROM states GROUP BY run),
+a AS (SELECT s.run, s.tick, coalesce((SELECT min(start) FROM turns t WHERE t.run = s.run AND t.start > s.tick), n) - s.tick AS ahead FROM states s JOIN ends e ON s.run = e.run WHERE s.tick >= 5 AND sqrt(vx * vx + vy * vy) >= 3),
+c AS (SELECT rel.run, rel.tick, agent, abs(rel_y) * 3 + abs(rel_x - 12.5) AS score FROM rel JOIN a ON rel.run = a.run AND rel.tick = a.tick WHERE ahead >= 3 AND cos(rel_yaw) >= 0.7 AND rel_x > 5 AND rel_x < 20 AND abs(rel_y) < 2)
+SELECT run, tick, agent, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score, tick, agent) AS i FROM c) WHERE i = 1
+""")
+def w06_best_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all ticks and agents of a run, the one best placed ahead in the ego's lane on a straight drive."""
+    s = states(spark, sf_dir)
+    ends = s.groupBy("run").agg((F.count("*") + 1).cast("int").alias("n"))
+    ahead = kinematics.ticks_to_next(s.select("run", "tick"), kinematics.turns(s, step=0.42), ends)
+    return kinematics.best_lead(s, kinematics.relative(s, agents(spark, sf_dir)), ahead, runway=3, floor=5).select("run", "tick", "agent", r6("score").alias("score"))
+
+
+@query(f"""
+WITH {STATES}, d AS (SELECT event_id, x AS px, y AS py, cos(yaw) AS dx, sin(yaw) AS dy, x + 10 AS qx, y + 6 AS qy, cos(yaw + 1.2::DOUBLE) AS ex, sin(yaw + 1.2::DOUBLE) AS ey FROM states),
+m AS (SELECT *, ((qx - px) * ey - (qy - py) * ex) / (dx * ey - dy * ex) AS t, 4.0 * tan(acos(dx * ex + dy * ey) / 2) AS reach FROM d), c AS (SELECT *, px + dx * t AS mx, py + dy * t AS my FROM m)
+SELECT event_id, CAST(i AS INT) AS i, round((1 - i / 24) ** 2 * (mx - reach * dx) + 2 * (1 - i / 24) * (i / 24) * mx + (i / 24) ** 2 * (mx + reach * ex), 5) AS x,
+    round((1 - i / 24) ** 2 * (my - reach * dy) + 2 * (1 - i / 24) * (i / 24) * my + (i / 24) ** 2 * (my + reach * ey), 5) AS y FROM c, range(0, 25) r(i)
+""")
+def e17_turn_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 points of the smooth turn from each state's heading into one 1.2 rad to its right."""
+    s, yaw = states(spark, sf_dir), F.col("yaw")
+    curve = g.fillet(F.col("x"), F.col("y"), F.cos(yaw), F.sin(yaw), F.col("x") + 10, F.col("y") + 6, F.cos(yaw + 1.2), F.sin(yaw + 1.2), 4.0)
+    return s.select("event_id", F.posexplode(curve).alias("i", "p")).select("event_id", "i", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
+
+
+@query("""
+WITH f AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN 'here' ELSE 'there' END AS cache, CASE WHEN o_orderkey % 5 = 0 THEN 'odd' ELSE 'nominal' END AS grp, o_custkey AS idx FROM orders),
+n AS (SELECT c_custkey AS idx, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer)
+SELECT id, coalesce(CASE WHEN cache = 'here' AND grp = 'nominal' THEN position END, -1) AS excluded FROM f LEFT JOIN n ON f.idx = n.idx
+""")
+def j13_source_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The position of the nominal frame that a frame was made from, -1 if none."""
+    from pyspark.sql.window import Window
+
+    key = F.col("o_orderkey")
+    src = F.when(key % 3 != 0, F.struct(F.when(key % 3 == 1, "here").otherwise("there").alias("cache"), F.when(key % 5 == 0, "odd").otherwise("nominal").alias("group"), F.col("o_custkey").alias("idx")))
+    nominal = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), (F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("bigint").alias("position"))
+    return snapshot.source_positions(table(spark, sf_dir, "orders").select(key.alias("id"), src.alias("src")), nominal, "here").select("id", "excluded")
+
+
+_ALARMS = f"{{head}} {SCORES}, f AS (SELECT series, run, avg(CASE WHEN score > 150 THEN 1.0 ELSE 0.0 END) > 0.2 AS flagged FROM scores GROUP BY series, run)"
+
+
+@query(f"{_ALARMS.format(head='WITH')} SELECT 'all' AS rule, series, round(avg(CASE WHEN flagged THEN 1.0 ELSE 0.0 END), 6) AS rate, count(*) AS n FROM f GROUP BY series UNION ALL SELECT 'first', series, CASE WHEN flagged THEN 1.0 ELSE 0.0 END, 1 FROM f WHERE run = (SELECT min(run) FROM scores)")
+def p06_false_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """False alarms over all runs without an anomaly, and of the first one alone."""
+    s = scores(spark, sf_dir)
+    flagged = s.groupBy("series", "run").agg((F.avg((F.col("score") > 150).cast("double")) > 0.2).alias("flagged"))
+    first = s.agg(F.min("run")).first()[0]
+    both = evaluation.false_alarms(flagged).withColumn("rule", F.lit("all")).unionByName(evaluation.false_alarms(flagged, first).withColumn("rule", F.lit("first")))
+    return both.select("rule", "series", r6("rate").alias("rate"), "n")
