@@ -75,8 +75,7 @@ def group(seed, many, size, changes):
     return out
 
 
-@pytest.mark.parametrize(("n", "t"), [(4, Fraction(85, 100)), (5, Fraction(8, 10))])
-@pytest.mark.parametrize(("short", "apart", "rounds"), [(16, 64, 4), (3, 4, 4), (2, 2, 1)])
+@pytest.mark.parametrize(("n", "t", "short", "apart", "rounds"), [(4, Fraction(85, 100), 16, 64, 4), (4, Fraction(85, 100), 3, 4, 4), (5, Fraction(8, 10), 2, 2, 1)])
 def test_long_lists_against_all_pairs(docs_of, monkeypatch, n, t, short, apart, rounds):
     for name, value in (("SHORT", short), ("SHORT_APART", apart), ("ROUNDS", rounds)):
         monkeypatch.setattr(jaccard, name, value)

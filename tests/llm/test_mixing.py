@@ -83,7 +83,7 @@ def by_hand(rows, seed=17, entropy_share=0.98, max_repeats=4.0, budget_share=1.0
         size[s] = size.get(s, 0) + n
     total = sum(size.values())
     p = [n / total for n in size.values() if n]
-    budget = int(total * budget_share)
+    budget = None if budget_share is None else int(total * budget_share)
 
     def bisect(holds):
         if holds(1.0) or not holds(0.0):
@@ -95,20 +95,22 @@ def by_hand(rows, seed=17, entropy_share=0.98, max_repeats=4.0, budget_share=1.0
 
     weights = lambda m: [x**m / sum(y**m for y in p) for x in p]
     flat = bisect(lambda m: -sum(w * log(w) for w in weights(m)) >= entropy_share * log(len(p)) - 1e-12)
-    often = bisect(lambda m: max(w / x for w, x in zip(weights(m), p, strict=True)) * budget / total > max_repeats)
+    share = lambda m: [w / x for w, x in zip(weights(m), p, strict=True)]  # noqa: E731  how often each is shown, up to a factor
+    often = bisect(lambda m: (max(share(m)) * budget / total if budget is not None else max(share(m)) / min(share(m))) > max_repeats)
     m = max(flat, often)
     z = sum(x**m for x in p)
+    whole = budget if budget is not None else total / min(share(m))
     blocks = {}
     for i, s, n in rows:
         k = uniform(seed, "doc", "null" if i is None else i) % max(64, -(-size[s] // (1 << 16)))
         blocks.setdefault(s, {}).setdefault(k, []).append((i, n))
     out = []
     for s, own in blocks.items():
-        quota = int((size[s] / total) ** m / z * budget + 1e-6) if size[s] else 0
-        for epoch in range(quota // size[s] + 1 if quota else 0):
+        quota = int((size[s] / total) ** m / z * whole + 1e-6) if size[s] else 0
+        for epoch in range(quota // size[s] + 1 if quota else int(budget is None)):
             before = 0
             for k in sorted(own, key=lambda k: (uniform(seed, epoch, s, k), k)):
-                if before < quota - epoch * size[s]:
+                if before < quota - epoch * size[s] or (budget is None and epoch == 0):
                     out += [(i, epoch, k, n) for i, n in own[k]]
                 before += sum(n for _, n in own[k])
     return sorted(out, key=str)
@@ -120,7 +122,7 @@ def test_all_that_is_drawn_against_plain_loops(docs_of):
     texts = [" ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 90))) for _ in range(700)] + ["", " ", None]
     ids = [*range(690), *[5] * 10, 700, 701, None]
     rows = [(i, s, len((t or "").split())) for i, s, t in zip(ids, sources, texts, strict=True)]
-    for options in ({}, {"entropy_share": 0.9, "max_repeats": 2.0, "budget_share": 2.5}):
+    for options in ({}, {"budget_share": None, "max_repeats": 1.25}, {"entropy_share": 0.9, "max_repeats": 2.0, "budget_share": 2.5}):
         got = sorted(((r.doc_id, r.epoch, r.block, r.n_tokens) for r in mixing.mixed(docs_of(texts, ids, sources, extra=True), **options).collect()), key=str)
         assert got == by_hand(rows, **options)
 

@@ -251,3 +251,37 @@ def test_repeats_are_found_behind_frequent_tails(docs_of):
     texts = [" ".join(some(60) + passage + some(60)) for _ in range(2)] + [" ".join(some(60) + tail + some(60)) for _ in range(150)]
     found = {r.doc_id: r for r in suffixes.repeats(docs_of(texts)).collect()}
     assert {i: (r.start, r.stop, r.twin_id) for i, r in found.items()} == {0: (60, 110, 1), 1: (60, 110, 0)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_all_words_of_repeats_and_no_others_are_found(docs_of, seed):
+    """Slices of common passages, some of them with a word changed, in every order: spans cover just the windows of 50 words that two
+    documents have."""
+    rng = random.Random(seed)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(n) for n in (70, 90, 160, 300)]
+    split = []
+    for _ in range(70):
+        words_ = []
+        for _ in range(rng.randrange(1, 4)):
+            p = rng.choice(passages)
+            a = rng.randrange(len(p) - 30)
+            part = p[a : a + rng.randrange(30, 130)]
+            if rng.random() < 0.4:
+                part = [*part]
+                part[rng.randrange(len(part))] = fresh(1)[0]
+            words_ += part + fresh(rng.choice([0, 0, 3, 40]))
+        split.append(words_)
+    grams = {}
+    for i, w in enumerate(split):
+        for a in range(len(w) - 49):
+            grams.setdefault(tuple(w[a : a + 50]), set()).add(i)
+    real = [set() for _ in split]
+    for i, w in enumerate(split):
+        for a in range(len(w) - 49):
+            if len(grams[tuple(w[a : a + 50])]) > 1:
+                real[i] |= set(range(a, a + 50))
+    got = [set() for _ in split]
+    for r in suffixes.repeats(docs_of([" ".join(w) for w in split])).collect():
+        got[r.doc_id] |= set(range(r.start, r.stop))
+    assert got == real
