@@ -12,9 +12,10 @@ sampled suffix to either side. Neighbours across two ranges are compared in a la
 that a third of all documents have is a run of equal suffixes, which ranges split anywhere.
 
 Where other suffixes that match less far left come between a suffix and its copy, the neighbours do not show the repeat.
-So each window of ``least`` words belongs to the minimiser of its first WINDOW grams, and those windows of a suffix that the
-neighbours' matches do not cover but whose right part is no longer than the longest match to the right (no copy can
-match further) are hashed; equal hashes in two documents are repeats, too.
+So each window of ``least`` words belongs to the minimiser of its first WINDOW grams, and at a distance from it. Windows of a
+suffix that the neighbours' matches do not cover but whose right part is no longer than the longest match to the right (no
+copy can match further) are open. All suffixes of the gram, covered or not, then hash their windows at the open distances, and
+equal hashes in two documents are repeats, too.
 
 Every span is a real repeat, and all words of a repeat of ``least`` words or more are found. Words are compared by three
 bytes of their hash, so once in 1.7e7 an end of a span may reach a word too far.
@@ -41,6 +42,8 @@ from .common import prepare, shuffle_partitions, stored, text_or_empty
 GRAM, WINDOW = 10, 30
 LEFT, RIGHT = 39, 60
 WIDTH = 3
+#: Grams with open windows are broadcast up to this number of them (about 50 bytes each).
+BROADCAST_GRAMS = 400_000
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -91,8 +94,8 @@ def _common(data: np.ndarray, sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -
 
 
 def _neighbours(rows: dict[str, list], least: int, first: int, last: int) -> list[np.ndarray]:
-    """(owner row, start, stop, twin row, window hash) of the matches of rows first to last - 1 with the nearest rows of
-    another document (hash 0), and of the windows that these leave open (twin row: the row itself)."""
+    """(owner row, start, stop, twin row, 0) of the matches of rows first to last - 1 with the nearest rows of another
+    document, and (row, 0, 0, row, the distances of the windows that these leave open as bits)."""
     dk = np.array(rows["dk"], dtype=np.int64)
     n = len(dk)
     new = np.flatnonzero(np.concatenate([[True], dk[1:] != dk[:-1]]))
@@ -113,15 +116,31 @@ def _neighbours(rows: dict[str, list], least: int, first: int, last: int) -> lis
         covered[i - first] |= (distance <= le[:, None]) & (distance >= least - r[:, None])
     reach = np.array(rows["reach"], dtype=np.int64)[own]
     open_ = ~covered & (distance >= (reach % WINDOW)[:, None]) & (distance <= (reach // WINDOW)[:, None]) & (distance >= least - longest[own][:, None])
-    k, back = np.nonzero(open_)
-    if len(k):
-        i = own[k]
-        one = xxhash.xxh3_64_intdigest
-        hashes = [one(left[0][a, :b][::-1].tobytes() + right[0][a, : least - b].tobytes()) | 1 for a, b in zip(i.tolist(), back.tolist(), strict=True)]
-        out.append(np.stack([i, pos[i] - back, pos[i] - back + least, i, np.array(hashes, dtype=np.uint64).view(np.int64)]))
+    bits = (open_ << distance).sum(axis=1)
+    k = np.flatnonzero(bits)
+    out.append(np.stack([own[k], np.zeros(len(k), np.int64), np.zeros(len(k), np.int64), own[k], bits[k]]))
     return out
 
 
+def _windows(least: int):
+    """(window hash, dk, doc_id, start, stop) of suffixes' windows at the wanted distances (a column of bits)."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for dk, doc_id, pos, reach, right, left, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for b in range(reach % WINDOW, reach // WINDOW + 1):
+                    if wanted >> b & 1 and len(right) >= (least - b) * WIDTH and len(left) >= b * WIDTH:
+                        before = np.frombuffer(left[: b * WIDTH], np.uint8).reshape(b, WIDTH)[::-1].tobytes()
+                        for column, value in zip(out, (one(before + right[: (least - b) * WIDTH]), dk, doc_id, pos - b, pos - b + least), strict=True):
+                            column.append(value)
+            hashes = np.array(out[0], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), *(pa.array(c, pa.int64()) for c in out[1:])], names=["window", "dk", "doc_id", "start", "stop"])
+
+    return windows
+
+
 SORTED = "dk bigint, doc_id bigint, pos int, reach int, right binary, left binary"
 FOUND = "dk bigint, doc_id bigint, start bigint, stop bigint, twin_id bigint, edge boolean, shard int, pos int, reach int, right binary, left binary, window bigint"
 
@@ -130,7 +149,7 @@ def _emit(rows: dict[str, list], found: list[np.ndarray]) -> pa.RecordBatch:
     own, start, stop, twin, window = np.concatenate(found, axis=1)
     dk, ids = np.array(rows["dk"], dtype=np.int64), rows["doc_id"]
     n = len(own)
-    return pa.RecordBatch.from_arrays([pa.array(dk[own]), pa.array([ids[k] for k in own.tolist()], pa.int64()), pa.array(start), pa.array(stop), pa.array([ids[k] for k in twin.tolist()], pa.int64()), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(window, mask=window == 0)], names=[x.split()[0] for x in FOUND.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array(dk[own]), pa.array([ids[k] for k in own.tolist()], pa.int64()), pa.array(start), pa.array(stop), pa.array([ids[k] for k in twin.tolist()], pa.int64()), pa.array(np.zeros(n, bool)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.array([rows["right"][k][: GRAM * WIDTH] if w else None for k, w in zip(own.tolist(), window.tolist(), strict=True)], pa.binary()), pa.nulls(n, pa.binary()), pa.array(window, mask=window == 0)], names=[x.split()[0] for x in FOUND.split(", ")])
 
 
 def _edges(rows: dict[str, list], picked: list[int], shard: int) -> pa.RecordBatch:
@@ -222,13 +241,18 @@ def repeats(docs: DataFrame, *, least: int = 50) -> DataFrame:
     texts = rows.join(wanted.hint("shuffle_hash"), "dk")
     held = texts.select("dk", "doc_id", "text", "places").mapInArrow(contexts, SORTED)
     order = ["right", "left", "dk", "pos"]
-    ranged = stored(held, "suffixes").repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
+    held = stored(held, "suffixes")
+    ranged = held.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     found = stored(ranged.select("dk", "doc_id", "pos", "reach", "right", "left").mapInArrow(_compare(least, True), FOUND), "matches")
     ends = found.where("edge").select("dk", "doc_id", "pos", "reach", "right", "left").repartition(1).sortWithinPartitions(*order).mapInArrow(_compare(least, False), FOUND)
-    matched = stored(found.where("not edge").unionByName(ends).select("dk", "doc_id", "start", "stop", "twin_id", "window"), "matched")
-    windows = matched.where("window is not null").select("window", "dk", "doc_id", "start", "stop")
+    matched = stored(found.where("not edge").unionByName(ends).select("dk", "doc_id", "start", "stop", "twin_id", "window", "right"), "matched")
+    open_ = matched.where("window is not null").groupBy(F.col("right").alias("gram")).agg(F.bit_or("window").alias("wanted"))
+    open_ = stored(open_, "open")
+    open_ = F.broadcast(open_) if open_.count() <= BROADCAST_GRAMS else open_.hint("merge")
+    asked = held.withColumn("gram", F.substring("right", 1, GRAM * WIDTH)).join(open_, "gram").select("dk", "doc_id", "pos", "reach", "right", "left", "wanted")
+    windows = stored(asked.mapInArrow(_windows(least), "window bigint, dk bigint, doc_id bigint, start bigint, stop bigint"), "asked")
     alike = windows.groupBy("window").agg(F.min(F.struct("doc_id", "dk")).alias("one"), F.min("dk").alias("a"), F.max("dk").alias("b")).where("a <> b").select("window", "one")
-    alike = stored(windows.join(alike, "window"), "windows")
+    alike = stored(windows.join(stored(alike, "alike"), "window"), "windows")
     second = alike.where("dk <> one.dk").groupBy("window").agg(F.min("doc_id").alias("next"))
     alike = alike.join(second, "window").select("dk", "doc_id", "start", "stop", F.when(F.col("dk") == F.col("one.dk"), F.col("next")).otherwise(F.col("one.doc_id")).alias("twin_id"))
     spans = matched.where("window is null").select("dk", "doc_id", "start", "stop", "twin_id").unionByName(alike)
