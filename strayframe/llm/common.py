@@ -72,13 +72,11 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def release(spark: SparkSession, *tables: DataFrame, sweep: bool = True) -> None:
-    """Delete stored tables that nothing reads any more, and (``sweep``) have Spark drop the shuffle files of finished plans
-    now; they would stay until the driver's heap happens to fill."""
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and have Spark drop the shuffle files of finished plans now, and the
+    driver the memory of its plans; both would stay until the driver's heap happens to fill, which grows meanwhile."""
     for table in tables:
         remove(spark, table._stored_at)
-    if not sweep:
-        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, stored
+from .common import release, stored
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -31,12 +31,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         last, now = now, stored(_stars(now), "edges")
         after = state(now)
-        remove(now.sparkSession, last._stored_at)
+        release(now.sparkSession, last)
         if after == before:
             break
         before = after
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     out = stored(nodes, "components")
-    remove(now.sparkSession, now._stored_at)
+    release(now.sparkSession, now)
     return out
 

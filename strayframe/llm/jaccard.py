@@ -47,8 +47,8 @@ from pyspark.sql import functions as F
 from .common import prepare, release, stored, text_or_empty
 from .graph import components
 
-#: The most frequent shingles, at most so many (16 bytes each), come last in the order of rarity. The order decides speed alone.
-FREQUENT = 1_000_000
+#: The most frequent shingles, at most so many (12 bytes each), come last in the order of rarity. The order decides speed alone.
+FREQUENT = 300_000
 #: Shingles that a task holds before it hands on those that it saw more than once.
 COUNT_AT = 2_000_000
 #: What a step through an inverted list costs, in subset probes.
@@ -197,7 +197,7 @@ def _ranks(s: np.ndarray, values: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     if not len(s) or not len(values):
         return np.zeros(len(s), np.int64)
     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
-    return np.where(values[at] == s, ranks[at] + 1, 0)
+    return np.where(values[at] == s, ranks[at].astype(np.int64) + 1, 0)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -232,7 +232,7 @@ def light_links(classes: DataFrame, boundary: int, t: Fraction) -> DataFrame:
     first = stored(first, "first")  # a table of its own, so that a frequent key's probes can be split in the join
     other = F.when(F.col("side") == 0, F.col("v0")).when(F.col("side") == 1, F.col("v2")).otherwise(F.col("v1"))
     out = stored(probes.join(first, "key").select("u", other.alias("v")).where("u <> v").distinct(), "links")
-    release(classes.sparkSession, probes, first, sweep=False)
+    release(classes.sparkSession, probes, first)
     return out
 
 
@@ -267,7 +267,7 @@ def _counted(entries: DataFrame, boundary: int) -> DataFrame:
     shared = entries.groupBy("b", "s").agg(F.count("*").cast("int").alias("n"), F.max("size").alias("top"), F.bool_and("core").alias("one"))
     shared = stored(shared.where((F.col("n") > 1) & (F.col("top") > boundary) & ~F.col("one")).select("b", "s", "n"), "shared")
     out = stored(entries.join(shared.hint("merge"), ["b", "s"]), "lists")  # both sides are tables, so a long list can be split
-    release(entries.sparkSession, shared, sweep=False)
+    release(entries.sparkSession, shared)
     return out
 
 
@@ -291,7 +291,7 @@ def _based(long: DataFrame) -> DataFrame:
     """(c, b): the sets of long lists, each list's with its most ordinary set (lowest ``far``) as their base."""
     base = stored(long.groupBy("b", "s").agg(F.min(F.struct("far", "c"))["c"].alias("base")), "bases")
     out = stored(long.join(base.hint("merge"), ["b", "s"]).select("c", F.col("base").alias("b")).distinct(), "based")
-    release(long.sparkSession, base, sweep=False)
+    release(long.sparkSession, base)
     return out
 
 
@@ -329,7 +329,7 @@ def differences(based: DataFrame, sets: DataFrame, known: Broadcast, t: Fraction
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], names=names)
 
     out = stored(pairs.mapInArrow(find, "b bigint, s bigint, c bigint, size bigint, at int, r int, w bigint, core boolean, far int"), "apart")
-    release(based.sparkSession, bases, sweep=False)
+    release(based.sparkSession, bases)
     return out
 
 
@@ -339,7 +339,8 @@ def _classes_joined(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Da
     prepare(spark)
     ranked = frequent_shingles(docs, n)
     order = np.argsort(ranked)
-    known = spark.sparkContext.broadcast((ranked[order], order.astype(np.int64)))  # FREQUENT entries at most
+    release(spark)  # the plans and shuffle files of what ran before
+    known = spark.sparkContext.broadcast((ranked[order], order.astype(np.int32)))  # FREQUENT entries at most
     table = set_table(docs, n, t, known)
     classes = table.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), *(F.first(k).alias(k) for k in ("size", "sign", "odd", "rare")))
     classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # written once, so a class keeps its number
@@ -364,7 +365,7 @@ def _classes_joined(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Da
         if based.isEmpty():
             break
         apart = differences(based, sets, known, t)
-        release(spark, based, sweep=False)
+        release(spark, based)
         links.append(stored(apart.where("s is null and b <> c").select(F.col("b").alias("u"), F.col("c").alias("v")), "links"))
         lists = _counted(apart.where("s is not null"), boundary)
         met = _all_pairs(lists.where(F.col("n") <= SHORT_APART), boundary, t)
@@ -413,7 +414,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     if out.count() == many:
         return out
     once = stored(out.groupBy("c").agg(F.first("shingles").alias("shingles")), "whole")  # rows or doc_ids that repeat
-    release(spark, out, sweep=False)
+    release(spark, out)
     return once
 
 

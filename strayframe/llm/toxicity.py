@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import prepare, stored, text_or_empty
+from .common import prepare, release, stored, text_or_empty
 from .learning import Adam, WordTable, best_threshold, fitted_by, fold_of, sigmoid, training_labels
 
 SAMPLE_ROWS = 6000
@@ -256,6 +256,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMP
     spark = docs.sparkSession
     prepare(spark)
     net = fitted(docs, labels, sample_rows)
+    release(spark)
     model = spark.sparkContext.broadcast(net)
     text, name = docs.columns.index("text"), "score_of_text"
     while name in {c.lower() for c in docs.columns}:
