@@ -30,28 +30,33 @@ def p07_pooled_linear_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conformal.quantile_linear(scores(spark, sf_dir), ["series"], 0.95, name="tau").withColumn("tau", r6("tau"))
 
 
-_FEW = "f AS (SELECT series, run, q_run, row_number() OVER (PARTITION BY series ORDER BY q_run, run) AS i, count(*) OVER (PARTITION BY series) AS n FROM q WHERE run % 40 = 1 OR series = 'view')"
+_ALPHAS = [0.1, 0.0005]
+_AT_ALPHAS = "f AS (SELECT series, run, q_run, row_number() OVER (PARTITION BY series ORDER BY q_run, run) AS i, count(*) OVER (PARTITION BY series) AS n FROM q), w AS (SELECT f.*, alpha, ceil((n + 1) * (1 - alpha)) AS wanted FROM f, (VALUES (0.1::DOUBLE), (0.0005::DOUBLE)) a(alpha))"
+
+
+def _taus(spark: SparkSession, sf_dir: str, beyond: str) -> DataFrame:
+    """Thresholds over all runs for an alpha that they are enough for, and for one that asks for more runs than a small table has."""
+    q = conformal.order_stat(scores(spark, sf_dir), ["series", "run"], 0.95)
+    found = [conformal.conformal_tau(q, ["series"], x, value="q_run", beyond=beyond).withColumn("alpha", F.lit(x)) for x in _ALPHAS]
+    return found[0].unionByName(found[1])
 
 
 @query(f"""
-WITH {SCORES}, {_RANKED}, {_Q}, {_FEW}
-SELECT series, CAST(n AS BIGINT) AS n, ceil((n + 1) * (1 - 0.1::DOUBLE)) > n AS overflow, CASE WHEN ceil((n + 1) * (1 - 0.1::DOUBLE)) > n THEN NULL ELSE round(q_run, 6) END AS tau
-FROM f WHERE i = least(n, ceil((n + 1) * (1 - 0.1::DOUBLE)))
+WITH {SCORES}, {_RANKED}, {_Q}, {_AT_ALPHAS}
+SELECT series, alpha, CAST(n AS BIGINT) AS n, wanted > n AS overflow, CASE WHEN wanted > n THEN NULL ELSE round(q_run, 6) END AS tau FROM w WHERE i = least(n, wanted)
 """)
 def g09_conformal_infinite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few calibration runs leave the threshold infinite (null at the sink)."""
-    q = conformal.order_stat(scores(spark, sf_dir), ["series", "run"], 0.95).where("run % 40 = 1 or series = 'view'")
-    t = conformal.conformal_tau(q, ["series"], 0.1, value="q_run")
-    return t.select("series", "n", "overflow", F.when(F.col("tau") != float("inf"), r6("tau")).alias("tau"))
+    """Too few calibration runs for an alpha leave the threshold infinite (null at the sink)."""
+    t = _taus(spark, sf_dir, "infinite")
+    return t.select("series", "alpha", "n", "overflow", F.when(F.col("tau") != float("inf"), r6("tau")).alias("tau"))
 
 
 @query(f"""
-WITH {SCORES}, {_RANKED}, {_Q}, {_FEW}
-SELECT series, CAST(n AS BIGINT) AS n, ceil((n + 1) * (1 - 0.1::DOUBLE)) > n AS overflow, round(q_run, 6) AS tau FROM f WHERE i = least(n, ceil((n + 1) * (1 - 0.1::DOUBLE)))
+WITH {SCORES}, {_RANKED}, {_Q}, {_AT_ALPHAS}
+SELECT series, alpha, CAST(n AS BIGINT) AS n, wanted > n AS overflow, round(q_run, 6) AS tau FROM w WHERE i = least(n, wanted)
 """)
 def g09_conformal_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = conformal.order_stat(scores(spark, sf_dir), ["series", "run"], 0.95).where("run % 40 = 1 or series = 'view'")
-    return conformal.conformal_tau(q, ["series"], 0.1, value="q_run", beyond="capped").select("series", "n", "overflow", r6("tau").alias("tau"))
+    return _taus(spark, sf_dir, "capped").select("series", "alpha", "n", "overflow", r6("tau").alias("tau"))
 
 
 @query(f"""
