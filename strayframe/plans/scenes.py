@@ -240,7 +240,8 @@ def p13_pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {STATES}, {AGENTS}, {_REL}, {_TURNS}, ends AS (SELECT run, count(*) + 1 AS n FROM states GROUP BY run),
 a AS (SELECT s.run, s.tick, coalesce((SELECT min(start) FROM turns t WHERE t.run = s.run AND t.start > s.tick), n) - s.tick AS ahead FROM states s JOIN ends e ON s.run = e.run WHERE s.tick >= 5 AND sqrt(vx * vx + vy * vy) >= 3),
-c AS (SELECT rel.run, rel.tick, agent, abs(rel_y) * 3 + abs(rel_x - 12.5) AS score FROM rel JOIN a ON rel.run = a.run AND rel.tick = a.tick WHERE ahead >= 3 AND cos(rel_yaw) >= 0.7 AND rel_x > 5 AND rel_x < 20 AND abs(rel_y) < 2)
+near AS (SELECT run, tick, agent, rel_yaw, rel_x + 18 AS rel_x, rel_y + 1 AS rel_y FROM rel),
+c AS (SELECT rel.run, rel.tick, agent, abs(rel_y) * 3 + abs(rel_x - 12.5) AS score FROM near rel JOIN a ON rel.run = a.run AND rel.tick = a.tick WHERE ahead >= 3 AND cos(rel_yaw) >= 0.7 AND rel_x > 5 AND rel_x < 20 AND abs(rel_y) < 2)
 SELECT run, tick, agent, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY score, tick, agent) AS i FROM c) WHERE i = 1
 """)
 def w06_best_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +249,8 @@ def w06_best_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = states(spark, sf_dir)
     ends = s.groupBy("run").agg((F.count("*") + 1).cast("int").alias("n"))
     ahead = kinematics.ticks_to_next(s.select("run", "tick"), kinematics.turns(s, step=0.42), ends)
-    return kinematics.best_lead(s, kinematics.relative(s, agents(spark, sf_dir)), ahead, runway=3, floor=5).select("run", "tick", "agent", r6("score").alias("score"))
+    rel = kinematics.relative(s, agents(spark, sf_dir)).withColumns({"rel_x": F.col("rel_x") + 18, "rel_y": F.col("rel_y") + 1})  # agents that fit
+    return kinematics.best_lead(s, rel, ahead, runway=3, floor=5).select("run", "tick", "agent", r6("score").alias("score"))
 
 
 @query(f"""
