@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import counts, decontamination, jaccard, matroska, mixing, packing, quality, secret_scan, suffixes, toxicity
+from . import counts, decontamination, jaccard, matroska, mixing, packing, pieces, quality, runs, secret_scan, suffixes, toxicity, variants
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -54,7 +54,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_ngram_jaccard, op4_token_counts, op5_decontamination, op6_toxicity, op7_secret_scan, op8_matroska, op9_suffix_repeats, op10_quality)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.periodic_runs(_table(spark, sf_dir, "documents"), least=6, power=4, rewrite=runs.planted))
+
+
+def op12_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digests(pieces.encoded(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), end_id=2, decode=True))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, times=5, change=variants.misspelt)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_source_mixing, op3_ngram_jaccard, op4_token_counts, op5_decontamination, op6_toxicity, op7_secret_scan, op8_matroska, op9_suffix_repeats, op10_quality, op11_periodic_runs, op12_piece_encoding, op13_spelling_variants)}
 
 SQL = {
     "op3_ngram_jaccard": rf"""
