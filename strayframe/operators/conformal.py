@@ -16,20 +16,43 @@ from pyspark.sql.window import Window
 RANGES = 200
 
 
-def ranks(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
-    """keys, value, _n (rows of the value), _lo and _hi (first and last rank), _of (rows of the group), and ``sums`` by value."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"), *(c.alias(k) for k, c in (sums or {}).items()))
+def cumulative(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column], running: list[str] | None = None) -> DataFrame:
+    """keys, value, ``sums`` by value, _range, and for each of ``running`` (all sums) x: x_upto, added up over the group's values up to
+    this one, and x_all, over the whole group."""
+    running = list(sums) if running is None else running
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*(c.alias(k) for k, c in sums.items()))
     at = F.array(*(F.lit(k / RANGES) for k in range(1, RANGES)))
     bounds = counted.agg(F.array_sort(F.array_distinct(F.percentile_approx(F.col(value).cast("double"), at, F.lit(10_000)))).alias("_bounds"))
     dealt = counted.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")  # one row
-    totals = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_sum"))
+    totals = dealt.groupBy(*keys, "_range").agg(*(F.sum(x).alias(f"_sum{i}") for i, x in enumerate(running)))
     w = Window.partitionBy(*keys)
-    totals = totals.withColumn("_before", F.sum("_sum").over(w.orderBy("_range")) - F.col("_sum")).withColumn("_of", F.sum("_sum").over(w)).drop("_sum")
+    for i, x in enumerate(running):
+        totals = totals.withColumn(f"_before{i}", F.sum(f"_sum{i}").over(w.orderBy("_range")) - F.col(f"_sum{i}")).withColumn(f"{x}_all", F.sum(f"_sum{i}").over(w)).drop(f"_sum{i}")
     names = {k: f"_k{i}" for i, k in enumerate([*keys, "_range"])}
     same = [F.col(k).eqNullSafe(F.col(f"t.{v}")) for k, v in names.items()]
-    joined = dealt.join(totals.select(*(F.col(k).alias(v) for k, v in names.items()), "_before", "_of").alias("t"), same).drop(*names.values())
-    hi = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_range").orderBy(value))
-    return joined.withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col("_n") + 1).drop("_before", "_range")
+    found = dealt.join(totals.select(*(F.col(k).alias(v) for k, v in names.items()), *(c for c in totals.columns if c not in names)).alias("t"), same).drop(*names.values())
+    inside = Window.partitionBy(*keys, "_range").orderBy(value)
+    for i, x in enumerate(running):
+        found = found.withColumn(f"{x}_upto", F.col(f"_before{i}") + F.sum(x).over(inside)).drop(f"_before{i}")
+    return found
+
+
+def ranks(rows: DataFrame, keys: list[str], value: str, sums: dict[str, Column] | None = None) -> DataFrame:
+    """keys, value, _n (rows of the value), _lo and _hi (first and last rank), _of (rows of the group), and ``sums`` by value."""
+    found = cumulative(rows, keys, value, {"_n": F.count("*"), **(sums or {})}, ["_n"]).drop("_range")
+    return found.withColumnRenamed("_n_all", "_of").withColumnRenamed("_n_upto", "_hi").withColumn("_lo", F.col("_hi") - F.col("_n") + 1)
+
+
+def quantiles_higher(rows: DataFrame, keys: list[str], steps: int, value: str = "score") -> DataFrame:
+    """keys, p, q: for p = 0, 100 / steps, ..., 100 the value at place ceil(p / 100 (n - 1)), counted from 0. All from one ranking: a value
+    tells by its ranks which p it answers."""
+    p = lambda i: i * (100.0 / steps) / 100
+    around = lambda rank: rank * F.lit(float(steps)) / F.greatest(F.col("_of") - 1, F.lit(1))
+    first, last = F.greatest(F.floor(around(F.col("_lo") - 2)) - 1, F.lit(0)), F.least(F.ceil(around(F.col("_hi") - 1)) + 1, F.lit(steps))
+    last = F.when(F.col("_of") == 1, steps).otherwise(last)
+    place = lambda i: F.ceil(p(i) * (F.col("_of") - 1)) + 1
+    near = F.filter(F.sequence(first.cast("int"), last.cast("int")), lambda i: (F.col("_lo") <= place(i)) & (place(i) <= F.col("_hi")))
+    return ranks(rows, keys, value).select(*keys, F.col(value).alias("q"), F.explode(near).alias("_i")).select(*keys, (F.col("_i") * (100.0 / steps)).alias("p"), "q")
 
 
 def _at(ranked: DataFrame, rank: Column) -> DataFrame:

@@ -42,6 +42,16 @@ def window_metrics(rows: DataFrame, tau: float) -> DataFrame:
     return tpr.crossJoin(fpr).withColumn("tnr", 1 - F.col("fpr")).withColumn("balanced", (F.col("tpr") + F.col("tnr")) / 2)  # one row each
 
 
+def window_rates(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tpr, fpr, balanced, n_windows, n_outside: window metrics by keys, tau among them. rows: keys, run, window, score."""
+    above = (F.col("score") > F.col("tau")).cast("int")
+    peaks = rows.where("window >= 0").groupBy(*keys, "run", "window").agg(F.max(above).alias("hit")).groupBy(*keys).agg(F.count("*").alias("n_windows"), F.sum("hit").alias("hits"))
+    outside = rows.where("window < 0 AND score IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n_outside"), F.sum(above).alias("alarms"))
+    tpr, fpr = F.try_divide(F.col("hits"), F.col("n_windows")), F.try_divide(F.col("alarms"), F.col("n_outside"))
+    both = peaks.join(outside, keys, "full").na.fill(0, ["n_windows", "hits", "n_outside", "alarms"])
+    return both.select(*keys, tpr.alias("tpr"), fpr.alias("fpr"), ((tpr + 1 - fpr) / 2).alias("balanced"), "n_windows", "n_outside")
+
+
 def metrics_by_kind(rows: DataFrame, kinds: DataFrame, tau: float) -> DataFrame:
     """series, kind, tpr, n_windows, fpr, n_outside, tnr, balanced: window metrics of each series for all runs (``total``) and for
     each kind, which has its own runs and all runs without a kind. rows: series, run, tick, score, window; kinds: run, kind.

@@ -5,6 +5,8 @@ States are (run, tick, x, y, yaw, vx, vy) rows of the ego; agents are (run, tick
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -179,6 +181,27 @@ def nearest_segment(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.col("b.d").alias("d"), F.col("b.segment").alias("segment"))
 
 
+def route_cursor(ticks: DataFrame, route: DataFrame, *, ahead: int = 10, off: float) -> DataFrame:
+    """run, tick, k, off: the place on the run's route, searched forward only among the next ``ahead`` points (a route that doubles back
+    would match further on), and the ticks in a row that no such point was within ``off`` metres (k stays). ticks: run, tick, x, y; route:
+    run, seq (from 0), x, y. One fold a recording, with its own route. Runs without a route have no rows."""
+
+    def follow(t: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        t, line = t.sort_values("tick"), r.sort_values("seq")[["x", "y"]].to_numpy()
+        k = away = 0
+        places, misses = [], []
+        for p in t[["x", "y"]].to_numpy() if len(line) else ():
+            d = np.sqrt(((line[k : k + ahead] - p) ** 2).sum(axis=1))
+            j = int(d.argmin())
+            k, away = (k + j, 0) if d[j] < off else (k, away + 1)
+            places.append(k)
+            misses.append(away)
+        t = t if len(line) else t.iloc[:0]
+        return pd.DataFrame({"run": t["run"], "tick": t["tick"], "k": pd.Series(places, index=t.index, dtype="int32"), "off": pd.Series(misses, index=t.index, dtype="int32")})
+
+    return ticks.select("run", "tick", "x", "y").groupBy("run").cogroup(route.select("run", "seq", "x", "y").groupBy("run")).applyInPandas(follow, "run long, tick int, k int, off int")
+
+
 def in_corridor(rel: DataFrame, length: float, half_width: float) -> DataFrame:
     """The agents ahead of the ego, within ``length`` along and ``half_width`` to either side."""
     return rel.where((F.col("rel_x") > 0) & (F.col("rel_x") <= length) & (F.abs("rel_y") <= half_width))

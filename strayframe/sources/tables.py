@@ -62,3 +62,13 @@ def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = states(spark, sf_dir).withColumn("agent", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint")))).where((F.col("event_id") + F.col("agent")) % 4 != 0)
     k, i = F.col("agent"), F.col("event_id")
     return s.select("run", "tick", "agent", (F.col("x") + (k * 9.0 - 20.0) + i % 3).alias("x"), (F.col("y") + (k * 1.7 - 4.0)).alias("y"), (F.col("yaw") + (k * 0.75 - 0.1)).alias("yaw"), (i % (k + 3)).cast("double").alias("vx"), (k * 0.2).alias("vy"))
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """source, run, tick, id, test, window, v (unit): thirds of the labels as runs, the last six of them test runs from two sources."""
+    w = Window.partitionBy("label", F.col("vec_id") % 3).orderBy("vec_id")
+    rec = table(spark, sf_dir, "embeddings").select((F.col("label") * 3 + F.col("vec_id") % 3).cast("int").alias("run"), F.row_number().over(w).alias("tick"), F.col("vec_id").alias("id"), vec.as_vector("embedding").alias("v"))
+    short = F.transform("v", lambda x, i: F.when(i >= 48, 0.0).otherwise(x))
+    both = rec.select(F.lit("gt").alias("source"), "*").unionByName(rec.where("run >= 24").select(F.lit("owl").alias("source"), "run", "tick", "id", short.alias("v")))
+    window = F.when((F.col("run") >= 24) & (F.expr("tick div 10") % 3 == 1), F.expr("tick div 30")).otherwise(-1).cast("int")
+    return both.select("source", "run", "tick", "id", (F.col("run") >= 24).alias("test"), window.alias("window"), vec.unit("v").alias("v"))
