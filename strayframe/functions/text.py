@@ -8,11 +8,19 @@ from pyspark.sql import functions as F
 EMPTY_PROMPT = "nothing in particular"
 
 
+_BETWEEN = "\x01"
+
+
 def clean_labels(items: Column, most_words: int = 5, most: int = 20) -> Column:
-    """Lower-case labels of [a-z0-9 -], first seen order, distinct, short ones only."""
-    tidy = F.transform(items, lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "_", " "), r"[^a-z0-9 \-]", "")))
-    kept = F.filter(tidy, lambda x: (x != "") & (F.size(F.split(x, r"\s+")) <= most_words))
-    return F.slice(F.array_distinct(kept), 1, most)
+    """Lower-case labels of [a-z0-9 -], first seen order, distinct, short ones only. All labels are cleaned as one text, so the expressions
+    run once and not once a label."""
+    text = F.array_join(F.transform(items, lambda x: F.translate(x, _BETWEEN, "")), _BETWEEN)
+    clean = F.regexp_replace(F.translate(F.lower(text), "_", " "), rf"[^a-z0-9 \-{_BETWEEN}]+", "")
+    squeezed = F.regexp_replace(F.regexp_replace(clean, rf" *{_BETWEEN} *", _BETWEEN), " +", " ")
+    words = lambda x: F.length(x) - F.length(F.translate(x, " ", "")) + 1
+    both = F.arrays_zip(F.transform(F.split(clean, _BETWEEN), lambda x: F.trim(x)).alias("label"), F.transform(F.split(squeezed, _BETWEEN), lambda x: F.trim(x)).alias("s"))
+    kept = F.filter(both, lambda x: (x["label"] != "") & (words(x["s"]) <= most_words))
+    return F.slice(F.array_distinct(F.transform(kept, lambda x: x["label"])), 1, most)
 
 
 def label_list(text: Column) -> Column:

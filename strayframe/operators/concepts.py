@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from .conformal import cumulative
 
 
 def instances(pixels: DataFrame, *, least: int = 250) -> DataFrame:
@@ -98,3 +99,12 @@ def label_view(base: DataFrame, corrected: DataFrame, pool: list[int]) -> DataFr
     shown = shown.withColumn("corrected", F.coalesce("corrected", F.array().cast("array<string>"))).withColumn("prompt", text.described(F.col("corrected")))
     counts = shown.where(F.col("run").isin(pool)).groupBy("prompt").agg(F.count("*").alias("same_prompt"))
     return shown.join(counts, "prompt", "left").select("run", "t", "recorded", "corrected", "prompt", F.coalesce("same_prompt", F.lit(0)).alias("same_prompt"))
+
+
+def distinct_so_far(frames: DataFrame, place: str, concepts: str) -> DataFrame:
+    """frames with seen: the number of distinct concepts up to each frame's place (frames of one place together). Only first
+    appearances are counted, and added up by ranges of places."""
+    first = frames.select(F.col(place), F.explode(concepts).alias("_c")).groupBy("_c").agg(F.min(place).alias(place))
+    events = frames.select(place, F.lit(0).alias("_new")).unionByName(first.select(place, F.lit(1).alias("_new")))
+    upto = cumulative(events, [], place, {"_new": F.sum("_new")}).select(place, F.col("_new_upto").alias("seen"))
+    return frames.join(upto, place)

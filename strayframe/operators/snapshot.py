@@ -2,44 +2,97 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import shared_path
 from . import knn
 
 
-def distinct_entries(frames: DataFrame, tolerance: float = 0.0) -> DataFrame:
+#: Frames that are led in one task, and pairs that are compared at once.
+LED, PAIRS = 4_000, 1_000_000
+
+
+def _first_within(points: np.ndarray, leaders: np.ndarray, tolerance: float) -> np.ndarray:
+    """For each point the first leader within the tolerance in every component, -1 if none. Pairs near in the first component are
+    thinned out component by component."""
+    out = np.full(len(points), len(leaders))
+    if len(leaders) and len(points):
+        order = np.argsort(leaders[:, 0], kind="stable")
+        line, slack = leaders[order, 0], 1e-9 * (1 + np.abs(points[:, 0]))
+        lo, hi = np.searchsorted(line, points[:, 0] - tolerance - slack), np.searchsorted(line, points[:, 0] + tolerance + slack, side="right")
+        many, begin = np.cumsum(hi - lo), 0
+        while begin < len(points):
+            end = max(begin + 1, int(np.searchsorted(many, (many[begin - 1] if begin else 0) + PAIRS, side="right")))
+            n = hi[begin:end] - lo[begin:end]
+            i = np.repeat(np.arange(begin, end), n)
+            j = order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[begin:end], n)]
+            for c in range(points.shape[1]):
+                near = np.abs(points[i, c] - leaders[j, c]) <= tolerance
+                i, j = i[near], j[near]
+            np.minimum.at(out, i, j)
+            begin = end
+    return np.where(out < len(leaders), out, -1)
+
+
+def _led(rows: pa.Table, tolerance: float) -> pa.Table:
+    """The leaders among rows (id, v) in the order of ids: each row that no earlier leader is within the tolerance of."""
+    rows = rows.sort_by("id")
+    v = knn._matrix(rows["v"])
+    open_, first = np.ones(len(v), dtype=bool), []
+    for i in range(len(v)):
+        if open_[i]:
+            first.append(i)
+            at = np.flatnonzero(open_[i:]) + i
+            open_[at[(np.abs(v[at] - v[i]) <= tolerance).all(axis=1)]] = False
+            open_[i] = False
+    return rows.take(pa.array(first, pa.int64()))
+
+
+def distinct_entries(frames: DataFrame, tolerance: float = 0.0, led: int = LED) -> DataFrame:
     """Adds entry (the id of the entry's first frame) and copies (frames of the entry). Without a tolerance entries are equal
-    vectors. With one, a frame joins the first entry within it in every component, by id: a sequential rule, which runs apart for
-    each island of occupied cells of the first component, as what one cell has can touch the next cell only."""
+    vectors. With one, a frame joins the first entry within it in every component, by id. The rule is sequential, but only among frames
+    that no entry has: in each round the first ``led`` of these are led in one task, all others meet the new entries (which are as
+    many at most) where they are, and what joins none goes on. So a dense pool ends with the round that finds its entries. Ids are unique."""
     if tolerance == 0:
         w = Window.partitionBy("v")
         return frames.withColumn("entry", F.min("id").over(w)).withColumn("copies", F.count("*").over(w))
-
-    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", kind="stable")
-        leaders, names, own = np.empty((0, 0)), [], []
-        for i, v in zip(pdf["id"], pdf["v"], strict=True):
-            near = np.flatnonzero((np.abs(leaders - v) <= tolerance).all(axis=1)) if len(names) else []
-            if len(near):
-                own.append(names[near[0]])
-            else:
-                leaders = np.vstack([leaders, v]) if len(names) else np.array([v])
-                names.append(i)
-                own.append(i)
-        pdf["entry"] = own
-        pdf["copies"] = pdf.groupby("entry")["entry"].transform("size")
-        return pdf
-
-    kinds = ", ".join(f"{c} {t}" for c, t in frames.dtypes)
-    placed = frames.withColumn("_cell", F.floor(F.col("v")[0] / tolerance))
-    cells = placed.select("_cell").distinct()  # as many as the component's range has cells
-    order = Window.partitionBy(F.lit(0)).orderBy("_cell")
-    cells = cells.withColumn("_new", F.coalesce((F.col("_cell") - F.lag("_cell").over(order) > 1).cast("int"), F.lit(1))).withColumn("_island", F.sum("_new").over(order)).drop("_new")
-    return placed.join(cells, "_cell").drop("_cell").groupBy("_island").applyInPandas(lambda p: lead(p.drop(columns="_island")), f"{kinds}, entry bigint, copies bigint")
+    spark = frames.sparkSession
+
+    def kept(df: DataFrame, tag: str) -> DataFrame:
+        path = shared_path(spark, tag)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    open_, joined = kept(frames.select(F.col("id").cast("bigint").alias("id"), "v"), "frames"), []
+    while True:
+        first = open_.orderBy("id").limit(led).toArrow()  # ``led`` rows
+        if not first.num_rows:
+            break
+        new = spark.sparkContext.broadcast(_led(first, tolerance))
+
+        def meet(batches: Iterator[pa.RecordBatch], new=new) -> Iterator[pa.RecordBatch]:
+            names, leaders = new.value["id"].to_numpy(), knn._matrix(new.value["v"])
+            for batch in batches:
+                at = _first_within(knn._matrix(batch.column(1)), leaders, tolerance)
+                entry = pa.array(names[at] if len(names) else np.zeros(len(at), np.int64), pa.int64(), mask=at < 0)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), entry], names=["id", "v", "entry"])
+
+        met = kept(open_.mapInArrow(meet, "id bigint, v array<double>, entry bigint"), "met")
+        joined.append(met.where("entry IS NOT NULL").select("id", "entry"))
+        open_ = met.where("entry IS NULL").select("id", "v")
+    if not joined:
+        return frames.withColumn("entry", F.lit(None).cast("bigint")).withColumn("copies", F.lit(0).cast("bigint"))
+    entries = joined[0]
+    for more in joined[1:]:
+        entries = entries.unionByName(more)
+    sizes = entries.groupBy("entry").agg(F.count("*").alias("copies"))
+    return frames.join(entries, "id").join(sizes, "entry").select(*frames.columns, "entry", "copies")
 
 
 def entry_scores(nominal: DataFrame, k: int, *, floor: float = 0.05, plain: bool = False) -> DataFrame:

@@ -142,12 +142,9 @@ WITH p AS ({_PROPS}), s AS ({_SETS}), l AS (SELECT user_id, t, unnest(c) AS c FR
 SELECT s.user_id, s.t, CAST(len(s.c) AS INT) AS n_concepts, (SELECT count(*) FROM f WHERE first <= s.user_id * 10 + s.t) AS seen FROM s
 """)
 def g25_distinct_so_far(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts of a frame and how many distinct ones there were up to it. The running count goes over first appearances,
-    which are as many as concepts."""
+    """Concepts of a frame and how many distinct ones there were up to it."""
     s = _sets(spark, sf_dir).withColumn("place", F.col("user_id") * 10 + F.col("t"))
-    first = s.select("place", F.explode("c").alias("c")).groupBy("c").agg(F.min("place").alias("first"))
-    order = first.agg(F.array_sort(F.collect_list("first")).alias("firsts"))
-    return s.crossJoin(F.broadcast(order)).select("user_id", "t", F.size("c").cast("int").alias("n_concepts"), F.size(F.filter("firsts", lambda f: f <= F.col("place"))).cast("bigint").alias("seen"))  # one row
+    return concepts.distinct_so_far(s, "place", "c").select("user_id", "t", F.size("c").cast("int").alias("n_concepts"), "seen")
 
 
 @query("""

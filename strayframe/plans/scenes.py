@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import vec
-from ..operators import concepts, density, evaluation, kinematics, knn, scorers, snapshot
+from ..operators import concepts, conformal, density, evaluation, kinematics, knn, scorers, snapshot
 from ..sources.tables import AGENTS, FRAMES, SCORES, STATES, agents, frames, scores, states, table
 from .calibration import _WINDOWS, _windows
 from .features import _ARC, _EDGE_SQL, _REL, _WRAP, _edges
@@ -273,11 +273,9 @@ SELECT id, coalesce(CASE WHEN cache = 'here' AND grp = 'nominal' THEN position E
 """)
 def j13_source_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The position of the nominal frame that a frame was made from, -1 if none."""
-    from pyspark.sql.window import Window
-
     key = F.col("o_orderkey")
     src = F.when(key % 3 != 0, F.struct(F.when(key % 3 == 1, "here").otherwise("there").alias("cache"), F.when(key % 5 == 0, "odd").otherwise("nominal").alias("group"), F.col("o_custkey").alias("idx")))
-    nominal = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), (F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("bigint").alias("position"))
+    nominal = conformal.ranks(table(spark, sf_dir, "customer").select("c_custkey"), [], "c_custkey").select(F.col("c_custkey").alias("idx"), (F.col("_lo") - 1).cast("bigint").alias("position"))
     return snapshot.source_positions(table(spark, sf_dir, "orders").select(key.alias("id"), src.alias("src")), nominal, "here").select("id", "excluded")
 
 

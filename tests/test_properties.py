@@ -2,9 +2,12 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from strayframe.functions import text
 from strayframe.operators import concepts, conformal, evaluation, kinematics, knn, snapshot
 
 
@@ -107,17 +110,39 @@ def test_a_copy_of_a_frame_does_not_change_its_score(spark):
     assert after[7] == after[40]
 
 
-def test_entries_within_a_tolerance(spark):
-    rng = random.Random(7)
-    rows = [(0, k, k, [round(rng.random() * 3, 2), round(rng.random() / 5, 2)]) for k in range(200)]
-    got = {r.id: (r.entry, r.copies) for r in snapshot.distinct_entries(spark.createDataFrame(rows, "run int, tick int, id long, v array<double>"), 0.045).collect()}
+@pytest.mark.parametrize(("led", "width", "tolerance"), [(4000, 2, 0.045), (7, 2, 0.045), (1, 3, 0.3), (16, 64, 0.97), (5, 2, 9.0)])
+def test_entries_within_a_tolerance(spark, led, width, tolerance):
+    """All in one task, in rounds of a few, over whole vectors, and a pool that is one entry."""
+    rng = random.Random(led)
+    rows = [(0, k, (k * 37) % 200, [round(rng.random() * 3, 2), *(round(rng.random() * (1 if width > 2 else 0.2), 2) for _ in range(width - 1))]) for k in range(200)]
+    got = {r.id: (r.entry, r.copies) for r in snapshot.distinct_entries(spark.createDataFrame(rows, "run int, tick int, id long, v array<double>"), tolerance, led).collect()}
     leaders, own = [], {}
-    for _, _, i, v in rows:
-        lead = next((j for j, w in leaders if max(abs(a - b) for a, b in zip(v, w, strict=True)) <= 0.045), None)
+    for _, _, i, v in sorted(rows, key=lambda r: r[2]):
+        lead = next((j for j, w in leaders if max(abs(a - b) for a, b in zip(v, w, strict=True)) <= tolerance), None)
         if lead is None:
             leaders.append((i, v))
         own[i] = i if lead is None else lead
     assert got == {i: (e, list(own.values()).count(e)) for i, e in own.items()}
+    assert snapshot.distinct_entries(spark.createDataFrame([], "id long, v array<double>"), tolerance, led).collect() == []
+
+
+def test_labels_are_cleaned_as_one_by_one(spark):
+    rng = random.Random(12)
+    parts = ["Hay_Bale", " ", "  ", "x", "ÄÖ", "-", "9", "\x01", "\t", ".", "a b", "one two three", "_", "\n"]
+    lists = [None, [], [None, "a"], ["a b c d e", "a b c d e f", "a  b  c  d  e"], ["ok", "OK", "o\x01k"]]
+    lists += [["".join(rng.choice(parts) for _ in range(rng.randrange(0, 7))) for _ in range(rng.randrange(0, 30))] for _ in range(300)]
+
+    def clean(items):
+        out = []
+        for x in items or []:
+            tidy = re.sub(r"[^a-z0-9 \-]", "", (x or "").lower().replace("_", " ")).strip(" ")
+            if tidy and len(tidy.split()) <= 5 and tidy not in out:
+                out.append(tidy)
+        return out[:20]
+
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, l array<string>")
+    got = {r.i: list(r.c or []) for r in df.select("i", text.clean_labels(F.col("l")).alias("c")).collect()}
+    assert got == {i: clean(x) for i, x in enumerate(lists)}
 
 
 def test_greedy_boxes(spark):
