@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from . import knn
+from .conformal import ranks
 
 
 @dataclass
@@ -192,6 +193,19 @@ def spread(pool: DataFrame, vector: str = "r") -> dict[str, float]:
     return {"participation": float(values.sum() ** 2 / (values**2).sum()), "top2": float(np.sort(values)[::-1][:2].sum() / values.sum()), "mean_distance": 1 - mean_cos}
 
 
+def random_pairs(pool: DataFrame, pairs: int, vector: str = "r", key: str = "r_id") -> DataFrame:
+    """pair, d: cosine distances of pairs of different rows of unit vectors, drawn by arithmetic on the rows' numbers (by key), so both
+    sides are joined by number and no row meets all others."""
+    numbered = ranks(pool.select(key), [], key).select(F.col(key).alias("_key"), (F.col("_lo") - 1).alias("_at"), F.col("_of").alias("_n"))
+    rows = pool.select(F.col(key).alias("_key"), F.col(vector).alias("_v")).join(numbered.select("_key", "_at"), "_key").drop("_key")
+    n = numbered.agg(F.coalesce(F.max("_n"), F.lit(1)).cast("bigint").alias("n"))
+    drawn = pool.sparkSession.range(pairs).withColumnRenamed("id", "pair").crossJoin(F.broadcast(n))  # one row
+    drawn = drawn.select("pair", ((F.col("pair") * 7919 + 13) % F.col("n")).alias("i"), ((F.col("pair") * 104729 + F.expr("pair div 3") + 71) % F.col("n")).alias("j")).where("i <> j")
+    left = drawn.join(rows.select(F.col("_at").alias("i"), F.col("_v").alias("_a")), "i")
+    both = left.join(rows.select(F.col("_at").alias("j"), F.col("_v").alias("_b")), "j")
+    return both.select("pair", (1 - vec.dot("_a", "_b")).alias("d"))
+
+
 def projected(rows: DataFrame, pool: DataFrame, vector: str = "v", components: int = 2) -> DataFrame:
     """rows with their vector on the pool's first principal components; each axis points to where its largest loading is positive."""
     mean, cov, _ = covariance(pool)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from ..operators import concepts
+from ..operators import concepts, dictionary
+from ..sources.shared import shared_path
 from ..sources.tables import table
 from .registry import query, r6
 
@@ -122,6 +123,25 @@ def s11_text_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "key").join(words, "key").select("conv_id", "turn", "n_same")
 
 
+_LETTER = "len(lower(text)) - len(replace(lower(text), chr(CAST(97 + {0} AS INT)), ''))"
+
+
+@query(f"""
+WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'even' ELSE 'odd' END AS side, list_transform(range(26), lambda i: CAST({_LETTER.format("i")} AS DOUBLE)) AS c FROM conversations WHERE text IS NOT NULL),
+n AS (SELECT *, greatest(sqrt(list_dot_product(c, c)), 1e-300) AS norm FROM t)
+SELECT conv_id, turn, round(c[1] / norm, 6) AS a, round(c[5] / norm, 6) AS e, round(c[20] / norm, 6) AS t, (SELECT count(DISTINCT text) FROM conversations WHERE turn % 2 = 0) AS first_new,
+    (SELECT count(DISTINCT text) FROM conversations WHERE text NOT IN (SELECT text FROM conversations WHERE turn % 2 = 0 AND text IS NOT NULL)) AS then_new, CAST(0 AS BIGINT) AS last_new FROM n
+""")
+def s11_encoded_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encoded once: the even turns', then what all others add, then nothing; each row with its text's vector."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    known = dictionary.TextDictionary(shared_path(spark, "dictionary"), "letters")
+    new = [known.update(x, "text") for x in (rows.where("turn % 2 = 0"), rows, rows)]
+    found = known.joined(rows.where("text IS NOT NULL"), "text")
+    counts = [F.lit(n).cast("bigint").alias(name) for n, name in zip(new, ("first_new", "then_new", "last_new"), strict=True)]
+    return found.select("conv_id", "turn", *(r6(F.col("v")[k]).alias(name) for k, name in ((0, "a"), (4, "e"), (19, "t"))), *counts)
+
+
 @query("SELECT DISTINCT event_type || ' ' || k % 40 AS prompt FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE event_type || ' ' || k % 40 NOT IN (SELECT event_type || ' ' || user_id % 40 FROM events WHERE user_id % 40 < 23)")
 def j11_missing_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompts that the dictionary does not have yet."""

@@ -230,6 +230,27 @@ def g26_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(found["participation"], 4), round(found["mean_distance"], 6))], "participation double, mean_distance double")
 
 
+@query(f"""
+WITH {FRAMES}, p AS (SELECT row_number() OVER (ORDER BY id) - 1 AS at, v, count(*) OVER () AS n FROM unit WHERE run <= 5),
+t AS (SELECT i AS pair, (i * 7919 + 13) % n AS i, (i * 104729 + i // 3 + 71) % n AS j FROM range(5000) r(i), (SELECT any_value(n) AS n FROM p)),
+d AS (SELECT 1 - list_dot_product(a.v, b.v) AS d FROM t JOIN p a ON a.at = t.i JOIN p b ON b.at = t.j WHERE t.i <> t.j)
+SELECT count(*) AS pairs, round(avg(d), 6) AS mean_distance, round(quantile_cont(d, 0.5), 6) AS median_distance FROM d
+""")
+def g26_random_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and median distance of drawn pairs of the pool."""
+    pool = knn.pool_of(knn.unit_frames(frames(spark, sf_dir)), POOL)
+    d = density.random_pairs(pool, 5000)
+    median = conformal.quantile_linear(d, [], 0.5, value="d", name="median_distance")
+    return d.agg(F.count("*").alias("pairs"), r6(F.avg("d")).alias("mean_distance")).crossJoin(median).select("pairs", "mean_distance", r6("median_distance").alias("median_distance"))  # a row each
+
+
+@query()
+def g26_top_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many directions the pool spreads in, and the share of the first two; held against NumPy in the tests."""
+    found = density.spread(knn.pool_of(knn.unit_frames(frames(spark, sf_dir)), POOL))
+    return spark.createDataFrame([(round(found["participation"], 6), round(found["top2"], 6))], "participation double, top2 double")
+
+
 @query()
 def p13_pca_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All frames on the pool's first two principal components; held against NumPy in the tests."""
