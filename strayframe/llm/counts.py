@@ -5,9 +5,9 @@ file and library). The only normalisation that keeps every count is null -> empt
 the tokenizer's own normaliser runs inside the encoder. Counts already stored are joined, distinct misses are
 encoded once and appended.
 
-Defined cases: null and empty texts have no tokens and no bytes. Copies share one count. Repeated rows and null
-doc_ids keep a row each. A text that is a third of all rows is encoded once; its rows are joined by a skew-split
-sort-merge join of narrow rows. An empty table gives an empty result. Other columns of the input are ignored.
+Defined cases: null and empty texts have no tokens and no bytes. Copies share one count, also rows of one doc_id or of
+none, which keep a row each. A text that is a third of all rows is encoded once; its rows are joined by a sort-merge
+join of two stored or scanned sides, which Spark splits. An empty table gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -76,22 +76,32 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 4096, cache: s
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
-    missing = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("keeper"), F.count("*").alias("n")).join(known, "digest", "left_anti"), "missing")
-    copies = missing.where("n > 1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # rows of one digest and one doc_id first, so that no row of a frequent text is summed up in one task
+    each = rows.groupBy("digest", "doc_id").agg(F.count("*").alias("same"))
+    kept = each.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "same")).alias("k"), F.sum("same").alias("n"))
+    missing = stored(kept.join(known, "digest", "left_anti").select("digest", F.col("k.doc_id").alias("keeper"), F.col("k.same").alias("same"), "n"), "missing")
+    copies, doubled = missing.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)), F.count_if(F.col("same") > 1)).first()
     if cache is None and copies <= BROADCAST_KEYS:
-        again = rows.select("digest", "doc_id").join(F.broadcast(missing.where("n > 1").withColumnRenamed("digest", "d")), F.col("digest") == F.col("d")).where("doc_id is distinct from keeper").select("digest", "doc_id").distinct()
-        todo = rows.join(F.broadcast(again), ["digest", "doc_id"], "left_anti")
+        again = rows.select("digest", "doc_id").join(F.broadcast(missing.where("n > 1").select(F.col("digest").alias("d"), "keeper")), F.col("digest") == F.col("d")).where("doc_id is distinct from keeper").select("digest", "doc_id").distinct()
+        again = again.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"))
+        todo = rows.join(F.broadcast(again), (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left_anti")
     else:
         keepers = missing.select("digest", "keeper").hint("shuffle_hash")
         todo = rows.join(keepers, (rows["digest"] == keepers["digest"]) & rows["doc_id"].eqNullSafe(keepers["keeper"]), "left_semi")
+    todo = todo.select("digest", "text")
+    if doubled:  # a text's keeper is more than one row: the texts of those alone are shuffled
+        twice = missing.where("same > 1").select("digest")
+        twice = F.broadcast(twice) if doubled <= BROADCAST_KEYS else twice.hint("shuffle_hash")
+        todo = todo.join(twice, "digest", "left_anti").unionByName(todo.join(twice, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = _counter(content.value, kind, version)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counted(batch.column(1).to_pylist()), pa.int64())], names=["digest", "n_tokens"])
 
-    new = todo.select("digest", "text").mapInArrow(count, "digest binary, n_tokens bigint")
+    new = todo.mapInArrow(count, "digest binary, n_tokens bigint")
     new.select(F.lit(version).alias("version"), "digest", "n_tokens").write.mode("append").parquet(path)
     known = spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    known = stored(known, "known")  # a table: a join to an aggregate could not be split
     narrow = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), "digest")
     return narrow.join(known.hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -28,6 +28,22 @@ def test_counts_are_the_library_s(docs_of, tmp_path):
     assert counts.token_counts(docs_of([]), path).collect() == []
 
 
+def test_each_text_is_encoded_once(docs_of, tmp_path, spark, monkeypatch):
+    """Fifty equal rows, fifty of one text without ids and fifty with: three texts, three stored counts."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = docs_of(["one"] * 50 + ["two words"] * 50 + ["three"] * 50 + ["three"], [1] * 50 + [None] * 50 + list(range(50)) + [None])
+    for keys in (counts.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(counts, "BROADCAST_KEYS", keys)
+        for k in range(2):
+            folder = str(tmp_path / f"cache{keys}")
+            assert counts.token_counts(docs, path, cache=folder).count() == 151
+            assert spark.read.parquet(folder).count() == 3
+    seen = []
+    monkeypatch.setattr(counts, "new_path", lambda spark, tag: seen.append(str(tmp_path / f"own{len(seen)}")) or seen[-1])
+    assert counts.token_counts(docs, path).count() == 151
+    assert spark.read.parquet(seen[0]).count() == 3
+
+
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
