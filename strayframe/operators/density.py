@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -98,16 +99,36 @@ def moments(pool: DataFrame, vector: str = "r") -> tuple[Moments, np.ndarray]:
 
 
 def moments_by_run(frames: DataFrame, vector: str = "v") -> tuple[dict, np.ndarray]:
-    """(moments of each run, their origin). A run is a recording of bounded length; a row a run reaches the driver."""
+    """(moments of each run, their origin). Sums are made by task and run, so no run is held whole; a row a run reaches the driver."""
     moved, origin = _less_origin(frames, vector)
     d = len(origin)
 
-    def sums(table: pa.Table) -> pa.Table:
-        x = table[vector].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-        return pa.Table.from_batches([_row(Moments.of(x))]).add_column(0, "run", table["run"].slice(0, 1))
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for run, m in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([run], kind_of[0]), *_row(m).columns], names=["run", *_row(m).schema.names])
+            held.clear()
+
+        kind_of: list = []
+        for batch in batches:
+            kind_of[:] = [batch.schema.field(0).type]
+            coded = batch.column(0).dictionary_encode()
+            codes, x = coded.indices.to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            for k, run in enumerate(coded.dictionary.to_pylist()):
+                held[run] = held[run] + Moments.of(x[codes == k]) if run in held else Moments.of(x[codes == k])
+            if len(held) > 256:
+                yield from given()
+        yield from given()
+
+    def added(table: pa.Table) -> pa.Table:
+        rows = table.drop_columns(["run"]).to_pylist()
+        total = sum((_read(SimpleNamespace(**r)) for r in rows[1:]), start=_read(SimpleNamespace(**rows[0])))
+        return pa.Table.from_batches([_row(total)]).add_column(0, table.schema.field("run"), table["run"].slice(0, 1))
 
     kind = dict(frames.dtypes)["run"]
-    rows = moved.select("run", vector).groupBy("run").applyInArrow(sums, f"run {kind}, {SUMS}").collect()
+    rows = moved.where("run IS NOT NULL").select("run", vector).mapInArrow(parts, f"run {kind}, {SUMS}").groupBy("run").applyInArrow(added, f"run {kind}, {SUMS}").collect()
     return {r.run: _read(r) for r in rows}, origin
 
 

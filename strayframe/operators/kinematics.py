@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions import geometry as g
 from ..functions.vec import padded
+from ..sources.shared import shared_path
 
 POSE = ("x", "y", "yaw", "vx", "vy")
 
@@ -167,18 +168,61 @@ def along(points: DataFrame, places: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, "at", (F.col("_seg.x") + t * F.coalesce(F.col("_seg.x1") - F.col("_seg.x"), F.lit(0.0))).alias("x"), (F.col("_seg.y") + t * F.coalesce(F.col("_seg.y1") - F.col("_seg.y"), F.lit(0.0))).alias("y"))
 
 
+#: Edges up to this number are broadcast; the side of the finest cells and bands in metres.
+EDGES, BAND = 20_000, 4.0
+
+
 def inside(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """(key, polygon) of the points in each polygon (even-odd). edges: polygon, ax, ay, bx, by; broadcast, they are map geometry."""
-    e = F.broadcast(edges)
-    hit = points.join(e, g.crosses(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    """(key, polygon) of the points in each polygon (even-odd). edges: polygon, ax, ay, bx, by. Only edges at a point's height count, so
+    both meet in bands of y: an edge lies in the level whose bands are as high as it is, three bands at most, and a point asks one
+    band of each level that edges have."""
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    placed = edges.withColumn("_level", F.greatest(F.ceil(F.log2(F.greatest(high - low, F.lit(BAND)) / BAND)), F.lit(0)).cast("int")).withColumn("_side", BAND * F.pow(F.lit(2.0), F.col("_level")))
+    levels = placed.select("_level", "_side").distinct()  # doublings of a height: a few
+    banded = placed.withColumn("_band", F.explode(F.sequence(F.floor(low / F.col("_side")), F.floor(high / F.col("_side"))))).drop("_side")
+    asked = points.select(key, "x", "y").join(F.broadcast(levels)).withColumn("_band", F.floor(F.col("y") / F.col("_side"))).drop("_side")
+    hit = asked.join(banded, ["_level", "_band"]).where(g.crosses(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     return hit.groupBy(key, "polygon").agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
 
 
 def nearest_segment(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """key, d, segment: the nearest segment of map geometry (ties: the first)."""
-    joined = points.crossJoin(F.broadcast(edges)).withColumn("d", g.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
-    best = joined.groupBy(key).agg(F.min(F.struct("d", "segment")).alias("b"))
-    return best.select(key, F.col("b.d").alias("d"), F.col("b.segment").alias("segment"))
+    """key, d, segment: the nearest segment of map geometry (ties: the first). A small map is broadcast. On a larger one points ask the cells around
+    their own, whose side doubles from round to round: what lies within a side is found, so a nearest one at most that far is final."""
+    measured = lambda df: df.withColumn("d", g.segment_distance(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    best = lambda df: df.groupBy(key).agg(F.min(F.struct("d", "segment")).alias("b")).select(key, F.col("b.d").alias("d"), F.col("b.segment").alias("segment"))
+    points, known = points.select(key, "x", "y"), edges.limit(EDGES + 1).count()
+    if known <= EDGES:
+        return best(measured(points.crossJoin(F.broadcast(edges))))
+    spark, side, found = points.sparkSession, BAND, []
+    span = edges.agg(F.max(F.greatest("ax", "bx")) - F.min(F.least("ax", "bx")), F.max(F.greatest("ay", "by")) - F.min(F.least("ay", "by"))).first()
+    while True:
+        cell = lambda c, side=side: F.floor(c / side)
+        every = side > max(span)  # far points: each axis has two cells at most, and all segments are asked
+        around = lambda c, side=side: F.explode(F.sequence(cell(F.col(c)) - 1, cell(F.col(c)) + 1))
+        covered = lambda a, b, side=side: F.explode(F.sequence(cell(F.least(a, b)), cell(F.greatest(a, b))))
+        celled = edges.withColumn("_cx", covered("ax", "bx")).withColumn("_cy", covered("ay", "by"))
+        if every:
+            corner = edges.agg(F.min(F.least("ax", "bx")).alias("_l"), F.min(F.least("ay", "by")).alias("_b"), F.max(F.greatest("ax", "bx")).alias("_r"), F.max(F.greatest("ay", "by")).alias("_t"))
+            # a far point's nearest segment lies no further from its clamped place than the map's diagonal
+            moved = points.crossJoin(F.broadcast(corner)).select(key, "x", "y", F.least(F.greatest("x", "_l"), F.col("_r")).alias("_px"), F.least(F.greatest("y", "_b"), F.col("_t")).alias("_py"))  # one row
+            asked = moved.withColumn("_cx", around("_px")).withColumn("_cy", around("_py")).drop("_px", "_py")
+        else:
+            asked = points.withColumn("_cx", around("x")).withColumn("_cy", around("y"))
+        path = shared_path(spark, "nearest")
+        best(measured(asked.join(celled, ["_cx", "_cy"]))).write.parquet(path)
+        near = spark.read.parquet(path)
+        found.append(near if every else near.where(F.col("d") <= side))
+        if every:
+            break
+        path = shared_path(spark, "open")
+        points.join(found[-1].select(key), key, "left_anti").write.parquet(path)
+        points, side = spark.read.parquet(path), side * 2
+        if points.isEmpty():
+            break
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def route_cursor(ticks: DataFrame, route: DataFrame, *, ahead: int = 10, off: float) -> DataFrame:

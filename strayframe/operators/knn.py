@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..functions import vec
+from ..sources.shared import shared_path
 
 #: Pools of up to this many bytes of vectors are broadcast.
 POOL_BYTES = 32 << 20
@@ -151,7 +153,9 @@ def nearest(
 def _found(q: pa.Table, r: pa.Table, search: _Search, apart: tuple[str, str] | None, by: str | None) -> pa.Table:
     """The nearest rows of r, which is in the order of ties."""
     v, w = _matrix(q["v"]), _matrix(r["r"])
-    mark, r_mark = _marks(q[apart[0]] if apart else None, len(v)), _marks(r[apart[1]] if apart else None, len(w))
+    marks = np.concatenate([_marks(q[apart[0]] if apart else None, len(v)), _marks(r[apart[1]] if apart else None, len(w))])
+    codes = pd.factorize(marks)[0]  # compared as numbers; nulls are alike
+    mark, r_mark = codes[: len(v)], codes[len(v) :]
     groups = [np.arange(len(w))]
     if by and len(w):
         names = np.array(r[by].to_pylist(), dtype=object)
@@ -171,7 +175,9 @@ def _nearest_blocked(query: DataFrame, pool: DataFrame, search: _Search, apart:
     """Each query chunk meets each block of the pool in a task of its own; the best of the blocks are ranked."""
     spark = query.sparkSession
     blocks, n_chunks = (max(1, -(-x.count() // block_rows)) for x in (pool, query))
-    left = query.withColumn("_row", F.monotonically_increasing_id())
+    path = shared_path(spark, "numbered")  # a task that runs again would number rows otherwise
+    query.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    left = spark.read.schema(query.withColumn("_row", F.lit(0).cast("bigint")).schema).parquet(path)
     left = left.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(n_chunks))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     chunks = spark.range(n_chunks).withColumnRenamed("id", "_chunk")
     right = pool.withColumn("_block", F.pmod(F.xxhash64(order), F.lit(blocks)).cast("int")).join(F.broadcast(chunks))  # a chunk is a number

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as t
 from ..operators import concepts, dictionary
+from ..sources import files, sinks
 from ..sources.shared import shared_path
 from ..sources.tables import table
 from .registry import query, r6
@@ -62,6 +63,17 @@ def t05_prompt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sets(spark, sf_dir).select("user_id", "t", t.described(F.col("c")).alias("items"))
 
 
+@query(f"WITH p AS ({_PROPS}), s AS ({_SETS}) SELECT user_id AS run, t, array_to_string(c, '|') AS concepts, 'a ' || array_to_string(c, ', a ') AS prompt, CASE WHEN t % 3 = 0 THEN NULL ELSE t / 7 END AS kerb FROM s")
+def k6_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus of points with their concepts and prompts, written as JSON lines by run and read back; what is no number is null."""
+    path = shared_path(spark, "corpus")
+    kerb = F.when(F.col("t") % 3 == 0, float("inf")).otherwise(F.col("t") / 7)
+    points = _sets(spark, sf_dir).select(F.col("user_id").alias("run"), "t", F.array_sort("c").alias("concepts"), kerb.alias("kerb"))
+    sinks.write_corpus(points.withColumn("prompts", F.create_map(F.lit("gt"), t.described(F.col("concepts")))), path)
+    read = files.corpus(spark, path, "t bigint, concepts array<string>, kerb double, prompts map<string, string>")
+    return read.select("run", "t", F.array_join("concepts", "|").alias("concepts"), F.col("prompts")["gt"].alias("prompt"), "kerb")
+
+
 _ART = "CASE WHEN x[1] IN ('a', 'e', 'i', 'o', 'u') THEN 'an ' || x ELSE 'a ' || x END"
 
 

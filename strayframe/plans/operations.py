@@ -37,6 +37,17 @@ def f13_role_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.role_split(c, F.struct("c_mktsegment", "c_nationkey"), 2, 1).select("run", "role")
 
 
+@query("""
+WITH r AS (SELECT c_name AS run, c_mktsegment AS "group", row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name) AS i FROM customer) SELECT "group", run, CASE WHEN i <= 5 THEN 'reference' WHEN i <= 8 THEN 'calibration' ELSE 'negative' END AS role FROM r
+""")
+def k7_role_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Role documents, written and read back."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("run"), F.col("c_mktsegment").alias("group"))
+    path = shared_path(spark, "roles")
+    sinks.write_role_configs(quality.role_split(c, F.col("group"), 5, 3), path)
+    return files.role_configs(spark, path).select("group", "run", "role")
+
+
 @query(f"""
 WITH {_RUNS}, {_STATUS}, h AS (SELECT run % 7 AS kind, count(*) AS have FROM st WHERE problems = '' GROUP BY run % 7), q AS (SELECT CAST(k AS BIGINT) AS kind, CAST(4 * k AS BIGINT) AS wanted FROM range(0, 9) t(k))
 SELECT kind, wanted, coalesce(have, 0) AS have, CAST(greatest(wanted - coalesce(have, 0), 0) AS BIGINT) AS missing FROM q LEFT JOIN h USING (kind)
@@ -122,8 +133,15 @@ def st2_rolling_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online.drained(online.rolling(rows, 10), shared_path(spark, "stream")).select("run", "tick", r6("mean").alias("mean"))
 
 
-@query()
+@query("""
+WITH RECURSIVE f AS (SELECT user_id AS run, CAST(event_id AS INT) AS tick, value > 60 AS hot, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT run, CAST(0 AS BIGINT) AS i, -1 AS tick, 0 AS above, -1 AS quiet, false AS rings FROM (SELECT DISTINCT run FROM f)
+    UNION ALL
+    SELECT run, i, tick, CASE WHEN a >= 2 AND tick > quiet THEN 0 ELSE a END, CASE WHEN a >= 2 AND tick > quiet THEN tick + 5 ELSE quiet END, a >= 2 AND tick > quiet
+    FROM (SELECT r.run, f.i, f.tick, quiet, CASE WHEN NOT coalesce(hot, false) THEN 0 WHEN f.tick = r.tick + 1 THEN above + 1 ELSE 1 END AS a FROM r JOIN f ON f.run = r.run AND f.i = r.i + 1))
+SELECT run, tick FROM r WHERE rings
+""")
 def st4_alarms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A state machine by run: two scores above 120 in a row alarm, then it rests; held against a plain loop in the tests."""
+    """A state machine by run: two scores above 60 in a row alarm, then it rests."""
     rows = _stream(spark, sf_dir).select(F.col("user_id").alias("run"), F.col("event_id").cast("int").alias("tick"), F.col("value").alias("score"))
     return online.drained(online.alarms(rows, 60.0, 2, 5), shared_path(spark, "stream"))

@@ -11,12 +11,12 @@ from ..sources.tables import FRAMES, frames
 from .registry import query, r6
 
 # coarse vectors, so that some are equal
-_COARSE = "coarse AS (SELECT run, tick, id, list_transform(v[1:2], lambda x: round(x * 6) / 6) AS v FROM frames WHERE run <= 5)"
+_COARSE = "coarse AS (SELECT run, tick, id, list_transform(v, lambda x: round(x * 1.6::DOUBLE) / 1.6::DOUBLE) AS v FROM frames WHERE run <= 5)"
 _ENTRIES = "e AS (SELECT *, min(id) OVER (PARTITION BY v) AS entry, count(*) OVER (PARTITION BY v) AS copies FROM coarse)"
 
 
 def _coarse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir, 2).where("run <= 5").withColumn("v", F.transform("v", lambda x: F.round(x * 6) / 6))
+    return frames(spark, sf_dir).where("run <= 5").withColumn("v", F.transform("v", lambda x: F.round(x * 1.6) / 1.6 + 0.0))
 
 
 @query(f"WITH {FRAMES}, {_COARSE}, {_ENTRIES} SELECT id, entry, copies FROM e")
@@ -31,9 +31,10 @@ def g18_tolerance_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FRAMES}, {_COARSE}, {_ENTRIES}, s AS (SELECT greatest(stddev_pop(v[1]), 0.05) AS s1, greatest(stddev_pop(v[2]), 0.05) AS s2 FROM e WHERE id = entry),
-p AS (SELECT a.run, a.tick, a.id, row_number() OVER (PARTITION BY a.id ORDER BY sqrt(((a.v[1] - b.v[1]) / s1) ** 2 + ((a.v[2] - b.v[2]) / s2) ** 2), b.id) AS n, sqrt(((a.v[1] - b.v[1]) / s1) ** 2 + ((a.v[2] - b.v[2]) / s2) ** 2) AS d
-    FROM e a JOIN e b ON b.id = b.entry AND (a.entry <> b.id OR b.copies > 1), s)
+WITH {FRAMES}, {_COARSE}, {_ENTRIES}, l AS (SELECT unnest(range(1, 65)) AS i, unnest(v) AS x FROM e WHERE id = entry), s AS (SELECT list(greatest(s, 0.05) ORDER BY i) AS s FROM (SELECT i, stddev_pop(x) AS s FROM l GROUP BY i)),
+z AS (SELECT run, tick, id, entry, copies, list_transform(v, lambda x, i: x / s.s[i]) AS v FROM e, s),
+d AS (SELECT a.run, a.tick, a.id, b.id AS r_id, list_distance(a.v, b.v) AS d FROM z a JOIN z b ON b.id = b.entry AND (a.entry <> b.id OR b.copies > 1)),
+p AS (SELECT run, tick, id, d, row_number() OVER (PARTITION BY id ORDER BY d, r_id) AS n FROM d)
 SELECT run, tick, id, round(avg(d), 6) AS score FROM p WHERE n <= 5 GROUP BY run, tick, id
 """)
 def c13_snapshot_physics(spark: SparkSession, sf_dir: str) -> DataFrame:

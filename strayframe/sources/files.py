@@ -53,6 +53,18 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).json(path)
 
 
+def corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """run and the points (schema) of a written corpus."""
+    return spark.read.schema(f"{schema}, run bigint").json(f"{path}/frames")
+
+
+def role_configs(spark: SparkSession, path: str) -> DataFrame:
+    """group, role, run of written role documents."""
+    rows = spark.read.schema("group string, reference_runs array<string>, calibration_runs array<string>, negative_runs array<string>").json(path)
+    listed = rows.select("group", F.explode(F.map_from_arrays(F.array(*(F.lit(r) for r in ("reference", "calibration", "negative"))), F.array("reference_runs", "calibration_runs", "negative_runs"))).alias("role", "runs"))
+    return listed.select("group", "role", F.explode("runs").alias("run"))
+
+
 def score_csv(spark: SparkSession, path: str, series: list[str]) -> DataFrame:
     """run, tick, series, score from wide score files; a blank is no score."""
     wide = spark.read.schema("tick int, " + ", ".join(f"`{s}` double" for s in series)).option("header", True).option("nullValue", "").csv(path)

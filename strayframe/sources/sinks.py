@@ -37,6 +37,23 @@ def write_embeddings(df: DataFrame, path: str) -> None:
     df.repartition("encoder", "run").sortWithinPartitions("encoder", "run", "tick").write.partitionBy("encoder", "run").parquet(path)
 
 
+def write_corpus(points: DataFrame, path: str) -> None:
+    """A corpus: JSON lines of each run in the order of t (run, t and whatever a point has: concepts, prompts by source)."""
+    finite_rows(points).repartition("run").sortWithinPartitions("run", "t").write.option("ignoreNullFields", False).partitionBy("run").json(f"{path}/frames")
+
+
+def write_corpus_vectors(vectors: DataFrame, path: str) -> None:
+    """The vectors of a corpus' points (encoder, source, run, t, v), a folder an encoder, source and run, in the order of t."""
+    keys = ["encoder", "source", "run"]
+    vectors.repartition(*keys).sortWithinPartitions(*keys, "t").write.partitionBy(*keys).parquet(f"{path}/vectors")
+
+
+def write_role_configs(runs: DataFrame, path: str) -> None:
+    """A JSON document a group with the sorted runs of each role. runs: group, role, run; a group's runs are a list of names."""
+    of = lambda role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.col("run")))).alias(f"{role}_runs")
+    runs.groupBy("group").agg(*(of(r) for r in ("reference", "calibration", "negative"))).write.json(path)
+
+
 def neighbour_json(found: DataFrame) -> DataFrame:
     """run, tick, knn: the neighbours as JSON, nearest first. found: run, tick, n, r_run, r_tick, d."""
     items = F.transform(F.array_sort(F.collect_list(F.struct("n", "r_run", "r_tick", F.round(1 - F.col("d"), 4).alias("cos")))), lambda x: F.struct(x["r_run"].alias("run"), x["r_tick"].alias("t"), x["cos"].alias("cos")))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from strayframe.functions import text
-from strayframe.operators import concepts, conformal, evaluation, kinematics, knn, snapshot
+from strayframe.operators import concepts, conformal, density, evaluation, kinematics, knn, snapshot
 
 
 def frames(spark, n, d, runs, seed):
@@ -197,3 +197,41 @@ def test_role_history(spark):
                     want += [0.0] * 6
             if tick in known:
                 assert v[76 + 60 * place : 136 + 60 * place] == pytest.approx(want, abs=1e-9), (tick, role)
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_nearest_segments_near_and_far(spark, monkeypatch, most):
+    """By broadcast, and in rounds of cells for a map that is too large for it."""
+    monkeypatch.setattr(kinematics, "EDGES", most)
+    rng = random.Random(13)
+    edges = [(k, x := rng.uniform(-60, 60), y := rng.uniform(-60, 60), x + rng.uniform(-30, 30), y + rng.uniform(-2, 2)) for k in range(40)] + [(40, 1.0, 1.0, 1.0, 1.0)]
+    points = [(k, rng.uniform(-90, 90), rng.uniform(-90, 90)) for k in range(150)] + [(150, 5000.0, 0.0), (151, -4000.0, 7000.0), (152, 1.0, 1.0)]
+
+    def distance(x, y, ax, ay, bx, by):
+        size = (bx - ax) ** 2 + (by - ay) ** 2
+        t = min(max(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / size, 0.0), 1.0) if size else 0.0
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay))
+
+    got = kinematics.nearest_segment(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(edges, "segment int, ax double, ay double, bx double, by double"), "id").collect()
+    want = {i: min((distance(x, y, *e[1:]), e[0]) for e in edges) for i, x, y in points}
+    assert len(got) == len(points)
+    for r in got:
+        assert r.d == pytest.approx(want[r.id][0], abs=1e-9) and r.segment == want[r.id][1]
+
+
+def test_polygons_of_all_sizes(spark):
+    rng = random.Random(14)
+    rings = [[(cx + size * math.cos(a), cy + size * math.sin(a)) for a in sorted(rng.uniform(0, 2 * math.pi) for _ in range(7))] for size in (0.5, 3.0, 40.0, 900.0) for cx, cy in [(rng.uniform(-30, 30), rng.uniform(-30, 30)) for _ in range(4)]]
+    edges = [(k, *a, *b) for k, ring in enumerate(rings) for a, b in zip(ring, [*ring[1:], ring[0]], strict=True)]
+    points = [(k, rng.uniform(-40, 40), rng.uniform(-40, 40)) for k in range(300)]
+    inside = lambda x, y, ring: sum((ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True)) % 2
+    got = kinematics.inside(spark.createDataFrame(points, "id int, x double, y double"), spark.createDataFrame(edges, "polygon int, ax double, ay double, bx double, by double"), "id")
+    assert {(r.id, r.polygon) for r in got.collect()} == {(i, k) for i, x, y in points for k, ring in enumerate(rings) if inside(x, y, ring)}
+
+
+def test_moments_by_run_are_added_up(spark):
+    v, df = frames(spark, 500, 5, 7, 15)
+    found, origin = density.moments_by_run(df.repartition(9))
+    for run, m in found.items():
+        own = v[np.arange(500) % 7 == run]
+        assert m.n == len(own) and np.allclose(origin + m.mean(), own.mean(axis=0)) and np.allclose(m.covariance(True), np.cov(own.T))
