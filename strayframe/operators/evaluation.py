@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,7 +52,7 @@ def window_rates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, tpr.alias("tpr"), fpr.alias("fpr"), ((tpr + 1 - fpr) / 2).alias("balanced"), "n_windows", "n_outside")
 
 
-def metrics_by_kind(rows: DataFrame, kinds: DataFrame, tau: float) -> DataFrame:
+def metrics_by_kind(rows: DataFrame, kinds: DataFrame, tau: float | Column) -> DataFrame:
     """series, kind, tpr, n_windows, fpr, n_outside, tnr, balanced: window metrics of each series for all runs (``total``) and for
     each kind, which has its own runs and all runs without a kind. rows: series, run, tick, score, window; kinds: run, kind.
     Runs are counted once; groups add up counts, so a run in many groups costs no row of its own."""

@@ -132,6 +132,17 @@ def evaluated(scores: DataFrame, keys: list[str], alpha_frame: float, alpha_run:
     return evaluation.window_rates(scores.where("test").join(tau, keys), [*keys, "source", "tau", "capped"])
 
 
+def two_thresholds(scores: DataFrame, keys: list[str], alpha_frame: float, alpha_run: float) -> tuple[DataFrame, DataFrame]:
+    """(scores, stored; keys, rule, tau): the conformal threshold over the pool runs' quantiles, and the pooled one, the linear percentile of all
+    their left-out scores together."""
+    scores = _kept(scores, "scores")  # a ranking reads its rows three times
+    loo = scores.where("NOT test")
+    q = _kept(conformal.quantile_higher(loo, [*keys, "run"], 1 - alpha_frame), "quantiles")
+    by_run = conformal.conformal_tau(q, keys, alpha_run, value="q_run", beyond="capped").select(*keys, F.lit("conformal").alias("rule"), "tau")
+    pooled = conformal.quantile_linear(loo, keys, 1 - alpha_frame, name="tau").select(*keys, F.lit("pooled").alias("rule"), "tau")
+    return scores, _kept(by_run.unionByName(pooled), "thresholds")
+
+
 def sample_place(draw: Column, point: Column) -> Column:
     """A point's place in a draw, the same wherever it is computed: 52 bits of a digest."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", draw.cast("string"), point.cast("string"))), 1, 13), 16, 10).cast("bigint")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import calibration, features, labels, machines, neighbours, operations, places, scenes, snapshots, sweeps  # noqa: F401  they register
+from . import calibration, features, labels, machines, neighbours, operations, places, recordings, scenes, snapshots, sweeps  # noqa: F401  they register
 from .registry import QUERIES, SQL, Query
 
 
