@@ -45,10 +45,8 @@ ROLE_RANGE = {"lead": 40.0, "follower": 25.0, "left": 25.0, "right": 25.0, "onco
 
 
 def role_range(r: Column) -> Column:
-    out = F.lit(None).cast("double")
-    for name, metres in ROLE_RANGE.items():
-        out = F.when(r == name, metres).otherwise(out)
-    return out
+    """Looked up in a constant map, so that the role's expression is there once and not once a role."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in ROLE_RANGE.items() for x in pair)), r)
 
 
 def time_to_collision(rel_x: Column, rel_vx: Column, cap: float = 10.0) -> Column:

@@ -61,30 +61,33 @@ def physics_vector(states: DataFrame, agents: DataFrame, *, most: int = 5, metre
     return joined.select("run", "tick", padded(F.concat(F.array(*POSE, "e_rate"), F.coalesce(flat, F.array().cast("array<double>"))), 6 + 6 * most).alias("v"))
 
 
-def role_slots(rel: DataFrame) -> DataFrame:
-    """run, tick, role, agent, rel_*: the nearest agent of each role within the role's range (ties by agent); lead and follower
-    are the nearest along the lane, the other roles the nearest at all."""
+def _in_roles(rel: DataFrame) -> DataFrame:
+    """rel with role and _near: the agents within their role's range, and what orders those of a role."""
     named = rel.withColumn("role", g.role(F.col("rel_x"), F.col("rel_y"), F.col("rel_yaw"))).where("role is not null").where(F.col("dist") <= g.role_range(F.col("role")))
-    near = F.when(F.col("role").isin("lead", "follower"), F.abs("rel_x")).otherwise(F.col("dist"))
-    w = Window.partitionBy("run", "tick", "role").orderBy(near, "agent")
-    return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return named.withColumn("_near", F.when(F.col("role").isin("lead", "follower"), F.abs("rel_x")).otherwise(F.col("dist")))
 
 
-def _slot(name: str, fields: tuple[str, ...]) -> list[Column]:
-    here = F.max(F.when(F.col("role") == name, 1.0))
-    return [F.coalesce(here, F.lit(0.0)), *(F.coalesce(F.max(F.when(F.col("role") == name, F.col(f))), F.lit(0.0)) for f in fields)]
+def role_slots(rel: DataFrame) -> DataFrame:
+    """run, tick, role, agent, rel_*: the nearest agent of each role within the role's range (ties by agent); lead and follower
+    are the nearest along the lane, the other roles the nearest at all."""
+    w = Window.partitionBy("run", "tick", "role").orderBy("_near", "agent")
+    return _in_roles(rel).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_near")
 
 
 def role_vector(states: DataFrame, agents: DataFrame, *, dt: float = 0.1) -> DataFrame:
     """run, tick, v (36): ego v_long, yaw_rate, a_long, a_lat, jerk; present, rel_x, rel_y, rel_vx, rel_vy of six roles; time to
-    collision with the lead. From the third tick of a run on."""
-    slots = role_slots(relative(states, agents))
-    columns = [c for r in g.ROLES for c in _slot(r, ("rel_x", "rel_y", "rel_vx", "rel_vy"))]
-    ttc = F.coalesce(F.max(F.when(F.col("role") == "lead", g.time_to_collision(F.col("rel_x"), F.col("rel_vx")))), F.lit(10.0))
-    found = slots.groupBy("run", "tick").agg(F.array(*columns).alias("roles"), ttc.alias("ttc"))
+    collision with the lead. From the third tick of a run on. A tick's agents are one list (those around one ego), from which each role
+    takes its nearest, so there is one aggregate by tick and no sort by role."""
+    fields = ("rel_x", "rel_y", "rel_vx", "rel_vy")
+    listed = _in_roles(relative(states, agents)).groupBy("run", "tick").agg(F.collect_list(F.struct("role", F.col("_near").alias("near"), "agent", *fields)).alias("a"))
+    first = lambda r: F.array_min(F.filter("a", lambda x: x["role"] == r))
+    found = listed.select("run", "tick", *(first(r).alias(f"r{k}") for k, r in enumerate(g.ROLES)))
+    empty = F.array_repeat(F.lit(0.0), 5)
+    slot = lambda k: F.when(F.col(f"r{k}").isNull(), empty).otherwise(F.array(F.lit(1.0), *(F.coalesce(F.col(f"r{k}")[f], F.lit(0.0)) for f in fields)))
+    lead = F.col(f"r{g.ROLES.index('lead')}")
+    ttc = F.coalesce(g.time_to_collision(lead["rel_x"], lead["rel_vx"]), F.lit(10.0))
     ego = ego_kinematics(states, dt).where("jerk is not null").join(found, ["run", "tick"], "left")
-    empty = F.array_repeat(F.lit(0.0), 30)
-    return ego.select("run", "tick", F.concat(F.array("v_long", "yaw_rate", "a_long", "a_lat", "jerk"), F.coalesce("roles", empty), F.array(F.coalesce("ttc", F.lit(10.0)))).alias("v"))
+    return ego.select("run", "tick", F.concat(F.array("v_long", "yaw_rate", "a_long", "a_lat", "jerk"), *(slot(k) for k in range(len(g.ROLES))), F.array(ttc)).alias("v"))
 
 
 def role_history(states: DataFrame, agents: DataFrame, *, history: int = 10, dt: float = 0.1) -> DataFrame:
