@@ -56,7 +56,7 @@ def test_retries_stream_in_any_order_and_over_a_restart(rocks, tmp_path):
     want = sorted((run, *x) for run in range(4) for x in looped([r for r in rows if r[0] == run], **RULE))
     machine = machines.retries(**RULE)
     assert sorted(tuple(r) for r in machines.folded(rocks.createDataFrame(rows, SCHEMA), machine).collect()) == want
-    assert len(want) > 15 and any(x[-1] for x in want) and any(a[2] == b[2] for a, b in zip(want, want[1:], strict=False))
+    assert len(want) > 15 and any(x[-1] for x in want) and len({(x[0], x[2]) for x in want}) < len(want)  # some agent is tried again
     order = sorted(rows, key=lambda r: r[1] + rng.randrange(0, 12))  # up to 11 ticks late
     parts = [order[:60], order[60:110], order[110:], [(-1, 10_000, [], [], [])]]
     for k, part in enumerate(parts):  # after each file the stream is stopped and started again
