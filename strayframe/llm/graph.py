@@ -22,21 +22,20 @@ def _tidy(edges: DataFrame) -> DataFrame:
     return edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether all components are stars: no node has two edges upwards, or one upwards and one downwards."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(F.col("up") + F.col("down") * F.signum("up") > 1).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): each node that has an edge with the smallest node of its component. edges: (u, v) of any one
     ordered type. Rounds grow with the logarithm of the longest path; each is written to the shared folder."""
-    state = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     now = stored(_stars(_tidy(edges)), "edges")
-    before = state(now)
-    while True:
+    while not _done(now):
         last, now = now, stored(_stars(now), "edges")
-        after = state(now)
         release(now.sparkSession, last)
-        if after == before:
-            break
-        before = after
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     out = stored(nodes, "components")
     release(now.sparkSession, now)
     return out
-

@@ -18,8 +18,10 @@ differ. So a group is joined by its members' differences from the base, which ar
   in about as many shingles, so a set unlike the base has no longer a list than without one, and the shingles that made
   the list long are none of it.
 
-Lists of differences that are long again get a base of their own, and so on. After ROUNDS of that the rest is compared
-pair by pair. No link between two components is left out and no list is cut.
+A list's least weight and most room tell which of its entries can have a partner there at all; the others leave it before it
+counts as long. Unlike sets that share a passage have heavy differences, so they leave, and a round of differences is enough for most
+data. Lists of differences that are long even so get a base of their own, and so on. After ROUNDS of that the rest is compared
+pair by pair: that is quadratic where a group's members lie around its base at a distance just beyond the threshold. No link between two components is left out and no list is cut.
 
 Shingles are 64-bit hashes; two different ones are equal by chance once in 10^19 pairs.
 
@@ -262,15 +264,36 @@ def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], boundary:
     return fits & ~(x("core") & y("core")) & (behind * (2 * (up + down)) >= x("w") + y("w"))
 
 
-def _counted(entries: DataFrame, boundary: int) -> DataFrame:
-    """The entries of lists (b, s) in which two sets may link, with the list's length n."""
-    shared = entries.groupBy("b", "s").agg(F.count("*").cast("int").alias("n"), F.max("size").alias("top"), F.bool_and("core").alias("one"))
-    shared = stored(shared.where((F.col("n") > 1) & (F.col("top") > boundary) & ~F.col("one")).select("b", "s", "n"), "shared")
-    out = stored(entries.join(shared.hint("merge"), ["b", "s"]), "lists")  # both sides are tables, so a long list can be split
+def _counted(entries: DataFrame, boundary: int, t: Fraction) -> DataFrame:
+    """The entries of lists (b, s) that some other entry of their list may link to, with the list's length n before those went.
+    A partner's w may be as large as the room that an entry leaves, ``2 * (up + down) * (r - at) - w``, and the other way round,
+    so the least w and the most room of a list's sets (those linked to the base apart) tell which entries have no partner."""
+    room = (F.col("r") - F.col("at")) * (2 * (t.numerator + t.denominator)) - F.col("w")
+    kinds = {"linked": F.col("core"), "other": ~F.col("core")}
+    bounds = [x for k, of in kinds.items() for x in (F.min(F.when(of, F.col("w"))).alias(f"{k}_w"), F.max(F.when(of, room)).alias(f"{k}_room"))]
+    shared = entries.groupBy("b", "s").agg(F.count("*").cast("int").alias("n"), F.max("size").alias("top"), *bounds)
+    shared = stored(shared.where((F.col("n") > 1) & (F.col("top") > boundary) & F.col("other_w").isNotNull()).drop("top"), "shared")
+    has = {k: F.coalesce((F.col(f"{k}_w") <= room) & (F.col(f"{k}_room") >= F.col("w")), F.lit(False)) for k in kinds}
+    met = entries.join(shared.hint("merge"), ["b", "s"])  # both sides are tables, so a long list can be split
+    out = stored(met.where(has["other"] | ~F.col("core") & has["linked"]).select(*entries.columns, "n"), "lists")
     release(entries.sparkSession, shared)
     return out
 
 
+def _short_and_long(entries: DataFrame, most: int, boundary: int, t: Fraction) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame]]:
+    """The lists of up to ``most`` entries, those that stay longer (None: there are none), and the tables that hold both. Longer lists are counted
+    again without the entries that have no partner, as long as a tenth of their entries goes."""
+    tables = [_counted(entries, boundary, t)]
+    short, long = [], tables[0].where(F.col("n") > most)
+    before, now = None, long.count()
+    while now and (before is None or now * 10 <= before * 9):
+        short.append(tables[-1].where(F.col("n") <= most))
+        tables.append(_counted(long.drop("n"), boundary, t))
+        long = tables[-1].where(F.col("n") > most)
+        before, now = now, long.count()
+    return [*short, tables[-1].where(F.col("n") <= most)], long if now else None, tables
+
+
 def _all_pairs(short: DataFrame, boundary: int, t: Fraction) -> DataFrame:
     """(u, v) with u > v of lists whose length is bounded."""
     members = short.groupBy("b", "s").agg(F.collect_list(F.struct("c", "size", "at", "r", "w", "core")).alias("m"))
@@ -352,36 +375,39 @@ def _classes_joined(docs: DataFrame, n: int, t: Fraction) -> tuple[DataFrame, Da
     reach = classes.where(F.col("size") * t.denominator > boundary * t.numerator)  # has partners above the boundary
     listing = F.posexplode(F.slice("rare", 1, cut.cast("int"))).alias("at", "s")
     entries = reach.select(F.lit(-1).cast("bigint").alias("b"), "c", "size", F.col("size").cast("int").alias("r"), (F.col("size") * (2 * t.numerator)).alias("w"), F.lit(False).alias("core"), F.col("odd").alias("far"), listing)
-    lists = _counted(entries, boundary)
-    pairs = alike(_all_pairs(lists.where(F.col("n") <= SHORT), boundary, t), classes, t)
-    based = _based(lists.where(F.col("n") > SHORT))
-    release(spark, lists)  # what was shuffled for the lists goes, too
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("c")).unionByName(based.select("c")).distinct()
+    short, long, tables = _short_and_long(entries, SHORT, boundary, t)
+    pairs = alike(_all_pairs(reduce(DataFrame.unionByName, short), boundary, t), classes, t)
+    based = _based(long) if long else None
+    release(spark, *tables)  # what was shuffled for the lists goes, too
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("c"))
+    wanted = (wanted.unionByName(based.select("c")) if based else wanted).distinct()
     wanted = stored(wanted.join(classes.select("c", "digest", "least").hint("merge"), "c"), "wanted")
     sets = _whole_sets(docs, wanted, n)
     links = [light, stored(verified(pairs, sets, t), "links")]
     release(spark, pairs, wanted)
+    parts: list[DataFrame] = []
     for turn in range(ROUNDS):
-        if based.isEmpty():
+        if not based:
             break
         apart = differences(based, sets, known, t)
-        release(spark, based)
-        links.append(stored(apart.where("s is null and b <> c").select(F.col("b").alias("u"), F.col("c").alias("v")), "links"))
-        lists = _counted(apart.where("s is not null"), boundary)
-        met = _all_pairs(lists.where(F.col("n") <= SHORT_APART), boundary, t)
-        long = lists.where(F.col("n") > SHORT_APART)
+        parts.append(apart)
+        links.append(apart.where("s is null and b <> c").select(F.col("b").alias("u"), F.col("c").alias("v")))
+        short, long, tables = _short_and_long(apart.where("s is not null"), SHORT_APART, boundary, t)
+        met = _all_pairs(reduce(DataFrame.unionByName, short), boundary, t)
         last = turn + 1 == ROUNDS
-        links.append(stored(verified(met.unionByName(_rest(long, boundary, t)).distinct() if last else met, sets, t), "links"))
-        based = _based(long.limit(0) if last else long)
-        release(spark, apart, lists)
-    release(spark, based, sets)
+        parts.append(stored(verified(met.unionByName(_rest(long, boundary, t)).distinct() if last and long else met, sets, t), "links"))
+        links.append(parts[-1])
+        release(spark, based)
+        based = _based(long) if long and not last else None
+        release(spark, *tables)
+    release(spark, sets)
 
     joined = components(reduce(DataFrame.unionByName, links))
     named = classes.select("c", "digest", "least").join(joined.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     named = stored(named.select("digest", "least", "root"), "roots")
     smallest = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     out = stored(named.join(smallest.hint("merge"), "root").select("digest", "root", "component_id"), "named")
-    release(spark, classes, named, smallest, joined, *links)
+    release(spark, classes, named, smallest, joined, *links[:2], *parts)
     return table.select("doc_id", "tie", "size", "digest"), out
 
 
