@@ -19,7 +19,7 @@ differ. So a group is joined by its members' differences from the base, which ar
   the list long are none of it.
 
 A list's least weight and most room tell which of its entries can have a partner there at all; the others leave it before it
-counts as long. Unlike sets that share a passage have heavy differences, so they leave, and a round of differences is enough for most
+counts as long, and what is long is cut by size first, as sets of unlike sizes don't link. Unlike sets that share a passage have heavy differences, so they leave, and a round of differences is enough for most
 data. Lists of differences that are long even so get a base of their own, and so on. After ROUNDS of that the rest is compared
 pair by pair: that is quadratic where a group's members lie around its base at a distance just beyond the threshold. No link between two components is left out and no list is cut.
 
@@ -37,7 +37,7 @@ from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import reduce
 from itertools import combinations
-from math import ceil, comb, floor
+from math import ceil, comb, floor, log
 
 import numpy as np
 import pyarrow as pa
@@ -280,18 +280,33 @@ def _counted(entries: DataFrame, boundary: int, t: Fraction) -> DataFrame:
     return out
 
 
+def _by_size(lists: DataFrame, t: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(the entries with their lists cut by size, a table that they are read from). Sets that link have sizes of one band or of two neighbours, as a
+    band is a factor of 1 / t wide. So a list becomes one of each two neighbouring bands that it has, or of a band that has none."""
+    width = max(log(1 / t), 1e-6) * (1 + 1e-9)
+    banded = lists.withColumn("band", F.floor(F.log("size") / width).cast("int"))
+    bands = stored(banded.groupBy("b", "s").agg(F.collect_set("band").alias("bands")), "bands")  # a logarithm of the sizes
+    has = lambda k: F.array_contains("bands", F.col("band") + k)
+    keys = F.array_compact(F.array(F.when(has(-1) | ~has(1), F.col("band")), F.when(has(1), F.col("band") + 1)))
+    cut = banded.join(bands.hint("merge"), ["b", "s"]).withColumn("key", F.explode(keys))
+    return cut.withColumn("s", F.xxhash64("s", "key")).select(*lists.columns), bands
+
+
 def _short_and_long(entries: DataFrame, most: int, boundary: int, t: Fraction) -> tuple[list[DataFrame], DataFrame | None, list[DataFrame]]:
-    """The lists of up to ``most`` entries, those that stay longer (None: there are none), and the tables that hold both. Longer lists are counted
-    again without the entries that have no partner, as long as a tenth of their entries goes."""
+    """The lists of up to ``most`` entries, those that stay longer (None: there are none), and the tables that hold both. Longer lists are cut by
+    size and counted again without the entries that have no partner, as long as a tenth of their entries goes."""
     tables = [_counted(entries, boundary, t)]
-    short, long = [], tables[0].where(F.col("n") > most)
+    short, long = [tables[0].where(F.col("n") <= most)], tables[0].where(F.col("n") > most)
     before, now = None, long.count()
     while now and (before is None or now * 10 <= before * 9):
-        short.append(tables[-1].where(F.col("n") <= most))
-        tables.append(_counted(long.drop("n"), boundary, t))
-        long = tables[-1].where(F.col("n") > most)
+        left = long.drop("n")
+        if before is None:
+            left, bands = _by_size(left, t)
+            tables.append(bands)
+        tables.append(_counted(left, boundary, t))
+        short, long = [*short, tables[-1].where(F.col("n") <= most)], tables[-1].where(F.col("n") > most)
         before, now = now, long.count()
-    return [*short, tables[-1].where(F.col("n") <= most)], long if now else None, tables
+    return short, long if now else None, tables
 
 
 def _all_pairs(short: DataFrame, boundary: int, t: Fraction) -> DataFrame:

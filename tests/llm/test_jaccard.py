@@ -86,6 +86,19 @@ def test_long_lists_against_all_pairs(docs_of, monkeypatch, n, t, short, apart,
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in rows] == brute(texts, n, t)
 
 
+def test_long_lists_are_cut_by_size(spark):
+    rows = [(-1, 5, c, size, 0, size, 2 * 17 * size, False, 0) for c, size in enumerate([20, 23, 24, 90, 100, 400, 1500, 6000, 25000] * 3)]
+    entries = spark.createDataFrame(rows, "b long, s long, c long, size long, at int, r int, w long, core boolean, far int")
+    short, long, _ = jaccard._short_and_long(entries, 16, 0, Fraction(85, 100))
+    assert long is None  # 27 entries, at most 9 of which may link
+    pairs = set()
+    for part in short:
+        met = part.alias("x").join(part.alias("y"), ["b", "s"]).select("x.c", "y.c").collect()
+        pairs |= {(u, v) for u, v in met if u != v}
+    sizes = {r[2]: r[3] for r in rows}
+    assert {(u, v) for u in sizes for v in sizes if u != v and 85 * max(sizes[u], sizes[v]) <= 100 * min(sizes[u], sizes[v])} <= pairs
+
+
 def test_signatures_never_differ_more_than_sets(spark):
     rng = np.random.default_rng(1)
     rows, want = [], []
