@@ -1,6 +1,7 @@
 """Features of an ego vehicle and of the agents around it.
 
-States are (run, tick, x, y, yaw, vx, vy) rows of the ego; agents are (run, tick, agent, x, y, yaw, vx, vy) rows.
+States are (run, tick, x, y, yaw, vx, vy) rows of the ego; agents are (run, tick, agent, x, y, yaw, vx, vy) rows. What is joined by tick grows
+with the recordings and is never broadcast: Spark takes exploded rows for as small as the file that they come from.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ def ego_kinematics(states: DataFrame, dt: float = 0.1) -> DataFrame:
 def relative(states: DataFrame, agents: DataFrame) -> DataFrame:
     """run, tick, agent, rel_x, rel_y, rel_yaw, rel_vx, rel_vy, dist: agents in the ego's frame."""
     e = states.select("run", "tick", *(F.col(c).alias(f"e_{c}") for c in POSE))
-    j = agents.join(e, ["run", "tick"])
+    j = agents.join(e.hint("merge"), ["run", "tick"])
     rx, ry = g.rotated(F.col("x") - F.col("e_x"), F.col("y") - F.col("e_y"), F.col("e_yaw"))
     vx, vy = g.rotated(F.col("vx") - F.col("e_vx"), F.col("vy") - F.col("e_vy"), F.col("e_yaw"))
     return j.select("run", "tick", "agent", rx.alias("rel_x"), ry.alias("rel_y"), g.wrap(F.col("yaw") - F.col("e_yaw")).alias("rel_yaw"), vx.alias("rel_vx"), vy.alias("rel_vy"), F.hypot(F.col("x") - F.col("e_x"), F.col("y") - F.col("e_y")).alias("dist"))
@@ -40,7 +41,7 @@ def relative(states: DataFrame, agents: DataFrame) -> DataFrame:
 def agent_yaw_rate(agents: DataFrame, dt: float = 0.1) -> DataFrame:
     """agents with yaw_rate: against the same agent one tick before, 0 where it was not there (a plain lag would bridge gaps)."""
     before = agents.select("run", "agent", (F.col("tick") + 1).alias("tick"), F.col("yaw").alias("_yaw"))
-    return agents.join(before, ["run", "agent", "tick"], "left").withColumn("yaw_rate", F.coalesce(g.turn_rate(F.col("yaw"), F.col("_yaw"), dt), F.lit(0.0))).drop("_yaw")
+    return agents.join(before.hint("merge"), ["run", "agent", "tick"], "left").withColumn("yaw_rate", F.coalesce(g.turn_rate(F.col("yaw"), F.col("_yaw"), dt), F.lit(0.0))).drop("_yaw")
 
 
 def nearest_agents(rel: DataFrame, most: int = 5, metres: float = 40.0) -> DataFrame:
@@ -54,10 +55,10 @@ def physics_vector(states: DataFrame, agents: DataFrame, *, most: int = 5, metre
     five nearest agents, zero-padded. From the second tick of a run on."""
     w = Window.partitionBy("run").orderBy("tick")
     ego = states.withColumn("_before", F.lag("yaw").over(w)).where("_before is not null").withColumn("e_rate", g.turn_rate(F.col("yaw"), F.col("_before"), dt)).drop("_before")
-    rel = nearest_agents(relative(states, agents), most, metres).join(agent_yaw_rate(agents, dt).select("run", "tick", "agent", "yaw_rate"), ["run", "tick", "agent"])
-    slots = rel.join(ego.select("run", "tick", "e_rate"), ["run", "tick"]).groupBy("run", "tick").agg(F.array_sort(F.collect_list(F.struct("rank", F.array("rel_x", "rel_y", "rel_yaw", "rel_vx", "rel_vy", (F.col("yaw_rate") - F.col("e_rate")).alias("r")).alias("f")))).alias("s"))
+    rel = nearest_agents(relative(states, agents), most, metres).join(agent_yaw_rate(agents, dt).select("run", "tick", "agent", "yaw_rate").hint("merge"), ["run", "tick", "agent"])
+    slots = rel.join(ego.select("run", "tick", "e_rate").hint("merge"), ["run", "tick"]).groupBy("run", "tick").agg(F.array_sort(F.collect_list(F.struct("rank", F.array("rel_x", "rel_y", "rel_yaw", "rel_vx", "rel_vy", (F.col("yaw_rate") - F.col("e_rate")).alias("r")).alias("f")))).alias("s"))
     flat = F.flatten(F.transform("s", lambda s: s["f"]))
-    joined = ego.join(slots, ["run", "tick"], "left")
+    joined = ego.join(slots.hint("merge"), ["run", "tick"], "left")
     return joined.select("run", "tick", padded(F.concat(F.array(*POSE, "e_rate"), F.coalesce(flat, F.array().cast("array<double>"))), 6 + 6 * most).alias("v"))
 
 
@@ -86,7 +87,7 @@ def role_vector(states: DataFrame, agents: DataFrame, *, dt: float = 0.1) -> Dat
     slot = lambda k: F.when(F.col(f"r{k}").isNull(), empty).otherwise(F.array(F.lit(1.0), *(F.coalesce(F.col(f"r{k}")[f], F.lit(0.0)) for f in fields)))
     lead = F.col(f"r{g.ROLES.index('lead')}")
     ttc = F.coalesce(g.time_to_collision(lead["rel_x"], lead["rel_vx"]), F.lit(10.0))
-    ego = ego_kinematics(states, dt).where("jerk is not null").join(found, ["run", "tick"], "left")
+    ego = ego_kinematics(states, dt).where("jerk is not null").join(found.hint("merge"), ["run", "tick"], "left")
     return ego.select("run", "tick", F.concat(F.array("v_long", "yaw_rate", "a_long", "a_lat", "jerk"), *(slot(k) for k in range(len(g.ROLES))), F.array(ttc)).alias("v"))
 
 
@@ -98,15 +99,15 @@ def role_history(states: DataFrame, agents: DataFrame, *, history: int = 10, dt:
     back = F.explode(F.sequence(F.lit(0), F.lit(history - 1))).alias("k")
     now = states.select("run", "tick", F.col("x").alias("n_x"), F.col("y").alias("n_y"), F.col("yaw").alias("n_yaw"))
     past = states.select("run", F.col("tick").alias("p_tick"), *(F.col(c).alias(f"p_{c}") for c in POSE))
-    e = now.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(past, ["run", "p_tick"])
+    e = now.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(past.hint("merge"), ["run", "p_tick"])
     px, py = g.rotated(F.col("p_x") - F.col("n_x"), F.col("p_y") - F.col("n_y"), F.col("n_yaw"))
     e = e.groupBy("run", "tick").agg(F.array_sort(F.collect_list(F.struct("k", F.array(px, py, g.wrap(F.col("p_yaw") - F.col("n_yaw")), g.along_speed(F.col("p_vx"), F.col("p_vy"), F.col("p_yaw"))).alias("f")))).alias("h")).where(F.size("h") == history)
     e = e.select("run", "tick", F.flatten(F.transform("h", lambda h: h["f"])).alias("ego_h"))
     slots = role_slots(relative(states, agents)).select("run", "tick", "role", "agent")
     a = agents.select("run", "agent", F.col("tick").alias("p_tick"), *(F.col(c).alias(f"p_{c}") for c in POSE))
     then = past.select("run", "p_tick", *(F.col(f"p_{c}").alias(f"t_{c}") for c in POSE))
-    r = slots.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(a, ["run", "agent", "p_tick"], "left")
-    r = r.join(then, ["run", "p_tick"], "left").join(now, ["run", "tick"])
+    r = slots.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(a.hint("merge"), ["run", "agent", "p_tick"], "left")
+    r = r.join(then.hint("merge"), ["run", "p_tick"], "left").join(now.hint("merge"), ["run", "tick"])
     rx, ry = g.rotated(F.col("p_x") - F.col("t_x"), F.col("p_y") - F.col("t_y"), F.col("n_yaw"))
     vx, vy = g.rotated(F.col("p_vx") - F.col("t_vx"), F.col("p_vy") - F.col("t_vy"), F.col("n_yaw"))
     zeros = F.array_repeat(F.lit(0.0), 6)
@@ -114,7 +115,7 @@ def role_history(states: DataFrame, agents: DataFrame, *, history: int = 10, dt:
     r = r.groupBy("run", "tick", "role").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", f.alias("f")))), lambda x: x["f"])).alias("v"))
     r = r.groupBy("run", "tick").agg(F.map_from_entries(F.collect_list(F.struct("role", "v"))).alias("m"))
     none = F.array_repeat(F.lit(0.0), 6 * history)
-    joined = base.join(e, ["run", "tick"]).join(r, ["run", "tick"], "left")
+    joined = base.join(e.hint("merge"), ["run", "tick"]).join(r.hint("merge"), ["run", "tick"], "left")
     return joined.select("run", "tick", F.concat("v", "ego_h", *(F.coalesce(F.try_element_at("m", F.lit(name)), none) for name in g.ROLES)).alias("v"))
 
 

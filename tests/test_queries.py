@@ -41,3 +41,13 @@ def test_runs_twice_alike(spark, name):
     first, second = (QUERIES[name](spark, FOLDER) for _ in range(2))
     assert first.schema == second.schema
     assert rows_of(first.toPandas()) == rows_of(second.toPandas())
+
+
+def broadcast_tables(df):
+    """The broadcast exchanges of a plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+@pytest.mark.parametrize("name", ["role_history", "role_vector", "physics_vector", "e04_relative_agents"])
+def test_recordings_are_not_broadcast(spark, name):
+    assert broadcast_tables(QUERIES[name](spark, FOLDER)) == 0
