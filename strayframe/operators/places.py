@@ -6,25 +6,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.shared import shared_path
 
 #: Side of the finest cells in metres; each further level doubles it.
 CELL = 4.0
 
 
+def _kept(df: DataFrame, tag: str) -> DataFrame:
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def boxes_around(points: DataFrame, boxes: DataFrame, keys: list[str], *, margin: float = 1.0) -> DataFrame:
     """keys, box: of each point the smallest box (by volume, then number) that holds it, widened by a margin; points in none have no row.
     points: keys, x, y, z; boxes: box, x, y, z, ex, ey, ez, yaw (centre, half sizes, degrees). A box lies in the level whose cells
-    are as long as its circle, so it covers nine cells at most, and a point asks one cell of each level that boxes have."""
+    are as long as it is wide, or a 32nd of its circle if that is more, in the cells that it reaches; a point asks one cell of each level
+    that boxes have. So a point meets about the boxes around it, however long they are."""
     radius = F.hypot(F.col("ex") + margin, F.col("ey") + margin)
-    placed = boxes.withColumn("_level", F.greatest(F.ceil(F.log2(F.greatest(2 * radius, F.lit(CELL)) / CELL)), F.lit(0)).cast("int")).withColumn("_side", CELL * F.pow(F.lit(2.0), F.col("_level")))
+    across_of = F.greatest(2 * (F.least("ex", "ey") + margin), radius / 16, F.lit(CELL))
+    placed = boxes.withColumn("_level", F.greatest(F.ceil(F.log2(across_of / CELL)), F.lit(0)).cast("int")).withColumn("_side", CELL * F.pow(F.lit(2.0), F.col("_level")))
     cell = lambda c: F.floor(c / F.col("_side")).cast("bigint")
     across = lambda c: F.explode(F.sequence(cell(F.col(c) - radius), cell(F.col(c) + radius)))
     placed = placed.withColumn("_cx", across("x")).withColumn("_cy", across("y"))
+    middle = [(F.col(c) + 0.5) * F.col("_side") for c in ("_cx", "_cy")]
+    reached = {c: F.col(c) for c in ("x", "y", "z", "ex", "ey", "ez", "yaw")}
+    placed = placed.where(g.in_rotated_box(*middle, F.col("z"), reached, margin + 0.75 * F.col("_side")))  # half a cell's diagonal and some
     levels = placed.select("_level", "_side").distinct()  # the doublings from a metre to a planet are few
-    named = placed.select("_level", "_cx", "_cy", "box", *(F.col(c).alias(f"_b{c}") for c in ("x", "y", "z", "ex", "ey", "ez", "yaw")))
+    turned = [F.cos(F.radians("yaw")).alias("_cos"), F.sin(F.radians("yaw")).alias("_sin")]  # once a box and not once a pair
+    named = placed.select("_level", "_cx", "_cy", "box", *turned, *(F.col(c).alias(f"_b{c}") for c in ("x", "y", "z", "ex", "ey", "ez")))
     asked = points.select(*keys, "x", "y", "z").join(F.broadcast(levels)).withColumn("_cx", cell(F.col("x"))).withColumn("_cy", cell(F.col("y")))
-    own = {c: F.col(f"_b{c}") for c in ("x", "y", "z", "ex", "ey", "ez", "yaw")}
-    hit = asked.join(named, ["_level", "_cx", "_cy"]).where(g.in_rotated_box(F.col("x"), F.col("y"), F.col("z"), own, margin))
+    own = {c: F.col(f"_b{c}") for c in ("x", "y", "z", "ex", "ey", "ez")}
+    dx, dy = F.col("x") - own["x"], F.col("y") - own["y"]
+    along, aside = dx * F.col("_cos") + dy * F.col("_sin"), -dx * F.col("_sin") + dy * F.col("_cos")
+    holds = (F.abs(along) <= own["ex"] + margin) & (F.abs(aside) <= own["ey"] + margin) & (F.abs(F.col("z") - own["z"]) <= own["ez"] + margin)
+    hit = asked.join(named.hint("merge"), ["_level", "_cx", "_cy"]).where(holds)
     best = hit.groupBy(*keys).agg(F.min(F.struct((own["ex"] * own["ey"] * own["ez"]).alias("volume"), F.col("box"))).alias("b"))
     return best.select(*keys, F.col("b.box").alias("box"))
 
@@ -32,14 +48,15 @@ def boxes_around(points: DataFrame, boxes: DataFrame, keys: list[str], *, margin
 def named_instances(instances: DataFrame, actors: DataFrame, boxes: DataFrame, keys: list[str], *, margin: float = 1.0) -> DataFrame:
     """keys, object, src: an instance is the actor of its number, else the object whose box holds its foot, else its middle, else what its tag
     says. instances: keys, id, tag, foot and middle (structs x, y, z); actors: id, name; boxes as for :func:`boxes_around` and name."""
-    known = instances.join(actors.select("id", F.col("name").alias("_actor")), "id", "left")
+    known = instances.join(actors.select("id", F.col("name").alias("_actor")).hint("merge"), "id", "left")
     lost = known.where("_actor IS NULL")
     found = lost.select(*keys, "foot", "middle")
     foot = boxes_around(found.select(*keys, "foot.*"), boxes, keys, margin=margin).withColumnRenamed("box", "_foot")
-    rest = found.join(foot, keys, "left_anti")
+    foot = _kept(foot, "feet")  # read twice
+    rest = found.join(foot.hint("merge"), keys, "left_anti")
     middle = boxes_around(rest.select(*keys, "middle.*"), boxes, keys, margin=margin).withColumnRenamed("box", "_middle")
     names = boxes.select(F.col("box").alias("_box"), F.col("name").alias("_place"))
-    placed = known.join(foot, keys, "left").join(middle, keys, "left").withColumn("_box", F.coalesce("_foot", "_middle")).join(names, "_box", "left")
+    placed = known.join(foot.hint("merge"), keys, "left").join(middle.hint("merge"), keys, "left").withColumn("_box", F.coalesce("_foot", "_middle")).join(names.hint("merge"), "_box", "left")
     src = F.when(F.col("_actor").isNotNull(), "actor").when(F.col("_place").isNotNull(), "place").otherwise("tag")
     return placed.select(*keys, F.coalesce("_actor", "_place", "tag").alias("object"), src.alias("src"))
 
