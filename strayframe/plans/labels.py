@@ -65,7 +65,7 @@ def t05_prompt_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH p AS ({_PROPS}), s AS ({_SETS}) SELECT user_id AS run, t, array_to_string(c, '|') AS concepts, 'a ' || array_to_string(c, ', a ') AS prompt, CASE WHEN t % 3 = 0 THEN NULL ELSE t / 7 END AS kerb FROM s")
 def k6_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A corpus of points with their concepts and prompts, written as JSON lines by run and read back; what is no number is null."""
+    """A corpus of points with their concepts and prompts, written as JSON lines of whole runs and read back; what is no number is null."""
     path = shared_path(spark, "corpus")
     kerb = F.when(F.col("t") % 3 == 0, float("inf")).otherwise(F.col("t") / 7)
     points = _sets(spark, sf_dir).select(F.col("user_id").alias("run"), "t", F.array_sort("c").alias("concepts"), kerb.alias("kerb"))

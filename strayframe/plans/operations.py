@@ -65,12 +65,12 @@ def f12_airborne(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SCORES} SELECT CAST(run AS VARCHAR) AS run, tick, round(max(score) FILTER (series = 'click'), 6) AS click, round(max(score) FILTER (series = 'view'), 6) AS view FROM scores WHERE series IN ('click', 'view') GROUP BY run, tick")
 def k1_score_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide CSV a run, written and read again."""
+    """Wide CSV of whole runs, written and read again."""
     path = shared_path(spark, "csv")
     s = scores(spark, sf_dir).where(F.col("series").isin("click", "view"))
     sinks.write_wide_csv(s, path, ["click", "view"])
-    back = files.score_csv(spark, f"{path}/run=*", ["click", "view"])
-    wide = back.withColumn("run", F.regexp_extract("run", r"run=(.*)", 1)).groupBy("run", "tick").pivot("series", ["click", "view"]).agg(F.first("score"))
+    back = files.score_parts(spark, path, ["click", "view"])
+    wide = back.groupBy("run", "tick").pivot("series", ["click", "view"]).agg(F.first("score"))
     return wide.select("run", "tick", r6("click").alias("click"), r6("view").alias("view"))
 
 

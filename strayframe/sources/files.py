@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.vec import number_or_null
 
 AGENT = "struct<id: bigint, x: double, y: double, yaw: double, vx: double, vy: double>"
-STATE_SCHEMA = f"t double, ego {AGENT}, others array<{AGENT}>"
+STATE_SCHEMA = f"run string, t double, ego {AGENT}, others array<{AGENT}>"
 SNAPSHOT_SCHEMA = (
     "name string, plan struct<cache: string, group: string, idx: int, note: string, src: struct<cache: string, group: string, idx: int>>, "
     "history array<struct<tick: int, ego: struct<x: double, y: double, z: double, yaw: double, vx: double, vy: double>, others: array<struct<id: string, x: double, y: double, z: double, yaw: double, vx: double, vy: double, px: int, pred: string>>>>, "
@@ -29,8 +29,8 @@ def _run_of() -> F.Column:
 
 
 def state_runs(spark: SparkSession, path: str) -> DataFrame:
-    """run, tick, t, ego, others of ``<run>/states.jsonl`` files."""
-    return spark.read.schema(STATE_SCHEMA).json(path).select(_run_of().alias("run"), F.round(F.col("t") / TICK_SECONDS).cast("int").alias("tick"), "t", "ego", "others")
+    """run, tick, t, ego, others of ``<run>/states.jsonl`` files, or of files of many runs, whose lines name their run."""
+    return spark.read.schema(STATE_SCHEMA).json(path).select(F.coalesce("run", _run_of()).alias("run"), F.round(F.col("t") / TICK_SECONDS).cast("int").alias("tick"), "t", "ego", "others")
 
 
 def egos(runs: DataFrame) -> DataFrame:
@@ -53,6 +53,11 @@ def snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT_SCHEMA).option("multiLine", True).json(path)
 
 
+def snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshots of files that hold one JSON document a line, of many frames and runs, which can be split."""
+    return spark.read.schema(SNAPSHOT_SCHEMA).json(path)
+
+
 def corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """run and the points (schema) of a written corpus."""
     return spark.read.schema(f"{schema}, run bigint").json(f"{path}/frames")
@@ -67,8 +72,20 @@ def role_configs(spark: SparkSession, path: str) -> DataFrame:
 
 def score_csv(spark: SparkSession, path: str, series: list[str]) -> DataFrame:
     """run, tick, series, score from wide score files; a blank is no score."""
-    wide = spark.read.schema("tick int, " + ", ".join(f"`{s}` double" for s in series)).option("header", True).option("nullValue", "").csv(path)
-    long = wide.select(_run_of().alias("run"), "tick", *series).unpivot(["run", "tick"], series, "series", "score")
+    return _long_scores(_wide_scores(spark, path, "tick int", series).select(_run_of().alias("run"), "tick", *series), series)
+
+
+def score_parts(spark: SparkSession, path: str, series: list[str]) -> DataFrame:
+    """The same of files of many runs, whose rows name their run."""
+    return _long_scores(_wide_scores(spark, path, "run string, tick int", series), series)
+
+
+def _wide_scores(spark: SparkSession, path: str, keys: str, series: list[str]) -> DataFrame:
+    return spark.read.schema(f"{keys}, " + ", ".join(f"`{s}` double" for s in series)).option("header", True).option("nullValue", "").csv(path)
+
+
+def _long_scores(wide: DataFrame, series: list[str]) -> DataFrame:
+    long = wide.unpivot(["run", "tick"], series, "series", "score")
     return long.withColumn("score", number_or_null("score"))
 
 
