@@ -179,13 +179,14 @@ EDGES, BAND = 20_000, 4.0
 def inside(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """(key, polygon) of the points in each polygon (even-odd). edges: polygon, ax, ay, bx, by. Only edges at a point's height count, so
     both meet in bands of y: an edge lies in the level whose bands are as high as it is, three bands at most, and a point asks one
-    band of each level that edges have."""
+    band of each level that edges have. The bands of a small map are broadcast."""
     low, high = F.least("ay", "by"), F.greatest("ay", "by")
     placed = edges.withColumn("_level", F.greatest(F.ceil(F.log2(F.greatest(high - low, F.lit(BAND)) / BAND)), F.lit(0)).cast("int")).withColumn("_side", BAND * F.pow(F.lit(2.0), F.col("_level")))
     levels = placed.select("_level", "_side").distinct()  # doublings of a height: a few
     banded = placed.withColumn("_band", F.explode(F.sequence(F.floor(low / F.col("_side")), F.floor(high / F.col("_side"))))).drop("_side")
     asked = points.select(key, "x", "y").join(F.broadcast(levels)).withColumn("_band", F.floor(F.col("y") / F.col("_side"))).drop("_side")
-    hit = asked.join(banded, ["_level", "_band"]).where(g.crosses(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    small = edges.limit(EDGES + 1).count() <= EDGES  # points of one height would be one task, and need not be where the map is small
+    hit = asked.join(F.broadcast(banded) if small else banded.hint("merge"), ["_level", "_band"]).where(g.crosses(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     return hit.groupBy(key, "polygon").agg(F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n")
 
 

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pandas as pd
 import pytest
+from strayframe.operators import kinematics
 from strayframe.plans import catalog
 
 FOLDER = "/root/testdata/sf0.001"
@@ -51,3 +52,19 @@ def broadcast_tables(df):
 @pytest.mark.parametrize("name", ["role_history", "role_vector", "physics_vector", "e04_relative_agents"])
 def test_recordings_are_not_broadcast(spark, name):
     assert broadcast_tables(QUERIES[name](spark, FOLDER)) == 0
+
+
+def test_boxes_are_not_broadcast(spark):
+    assert broadcast_tables(QUERIES["j10_spatial_fallback"](spark, FOLDER)) <= 1  # the levels of cells
+
+
+def test_points_of_one_height_stay_where_they_are(spark):
+    """Nothing is shuffled by band before the edges are met, whatever the points' estimated size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        edges = spark.createDataFrame([(0, 0, 2.0, -1.0, 30.0, 1.0)], "polygon int, segment int, ax double, ay double, bx double, by double")
+        points = spark.range(100).selectExpr("id", "cast(id as double) as x", "0.5d as y")
+        plan = kinematics.inside(points, edges, "id")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
