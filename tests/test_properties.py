@@ -54,6 +54,39 @@ def test_rows_without_a_direction_have_no_neighbours(spark):
         assert knn.nearest(f, knn.pool_of(f, []), 2, "cosine", **way).collect() == []
 
 
+def shuffled_rows(spark, run):
+    """Rows that Spark's stages shuffle while ``run`` runs."""
+    def total():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return sum(x.shuffleWriteRecords() for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(stages))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_a_large_pool_is_shuffled_in_proportion(spark):
+    """Four times the rows on both sides are four times the shuffled rows, and not sixteen times."""
+    many = []
+    for n in (400, 1600):
+        _, f = frames(spark, n, 5, 4, 1)
+        found = knn.nearest(f, knn.pool_of(f, [0, 1, 2]), 3, "euclidean", by="r_run", pool_bytes=0, block_rows=10)
+        many.append(shuffled_rows(spark, lambda found=found: found.write.format("noop").mode("overwrite").save()))
+    assert 0 < many[1] <= 5 * many[0]
+
+
+@pytest.mark.parametrize("way", [{}, {"pool_bytes": 0, "block_rows": 17}])
+def test_lists_are_the_rows_in_order(spark, way):
+    _, f = frames(spark, 80, 5, 3, 2)
+    pool, how = knn.pool_of(f, [0, 1, 2]), {"apart": ("run", "r_run"), "by": "r_run", **way}
+    want = {}
+    for x in knn.nearest(f, pool, 4, "euclidean", **how).orderBy("n").collect():
+        want.setdefault((x.id, x.r_run), []).append((x.d, x.r_id))
+    got = {(x.id, x.r_run): [tuple(y) for y in x.near] for x in knn.nearest(f, pool, 4, "euclidean", listed=True, **how).collect()}
+    assert got == want
+
+
 def scored(spark, seed, n=300, ties=True):
     rng = random.Random(seed)
     rows = [(rng.choice("ab"), rng.randrange(5), k, float(rng.randrange(12)) if ties else rng.random()) for k in range(n)]
