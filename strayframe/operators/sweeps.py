@@ -1,9 +1,9 @@
 """Sweeps of the whole protocol over draws of the pool, all draws in one plan, from one stored table of nearest neighbours.
 
-The pair table holds for each query row and each reference run the nearest points of that run, and ``bound``: no point of the run that
-is not listed is nearer. It is written once, in buckets of reference runs, so a subset of runs is answered by reading their buckets and a
-subset of points by filtering the lists. What a subset leaves of the lists is the true answer if its k-th distance lies below the bounds
-of all its runs; rows for which it doesn't are searched again with longer lists, until they are answered.
+The pair table holds for each query row and each reference run the nearest points of that run, and ``bound`` and ``next``, the first point of
+the run that is not listed. It is written once, in buckets of reference runs, so a subset of runs is answered by reading their buckets and a
+subset of points by filtering the lists. What a subset leaves of the lists is the true answer if its k-th point comes before the bounds
+of all its runs (by distance, then id, as there may be many copies of a point); rows for which it doesn't are searched again with longer lists, until they are answered.
 """
 
 from __future__ import annotations
@@ -58,10 +58,11 @@ class PairTable:
 
     @staticmethod
     def lists(query: DataFrame, pool: DataFrame, keys: list[str], k: int, **how) -> DataFrame:
-        """keys, r_run, near (by distance, then r_id), bound. query: keys, v; pool: r_id, r_run, r. No row meets points of its own run."""
-        found = knn.nearest(query.select(*keys, "v"), pool.select("r_id", "r_run", "r"), k + 1, "cosine", apart=("run", "r_run"), by="r_run", **how)
-        listed = found.groupBy(*keys, "r_run").agg(F.array_sort(F.collect_list(F.struct("d", "r_id"))).alias("all"))  # k + 1 at most
-        return listed.select(*keys, "r_run", F.slice("all", 1, k).alias("near"), F.when(F.size("all") > k, F.element_at("all", k + 1)["d"]).otherwise(float("inf")).alias("bound"))
+        """keys, r_run, near (by distance, then r_id), bound and next, distance and r_id of the first point that is not listed (infinite, null). query: keys, v;
+        pool: r_id, r_run, r. No row meets points of its own run."""
+        found = knn.nearest(query.select(*keys, "v"), pool.select("r_id", "r_run", "r"), k + 1, "cosine", apart=("run", "r_run"), by="r_run", listed=True, **how)
+        after = F.get("near", F.lit(k))
+        return found.select(*keys, "r_run", F.slice("near", 1, k).alias("near"), F.coalesce(after["d"], F.lit(float("inf"))).alias("bound"), after["r_id"].alias("next"))
 
     @classmethod
     def store(cls, query: DataFrame, pool: DataFrame, keys: list[str], k: int, *, buckets: int = 16, path: str | None = None, **how) -> PairTable:
@@ -83,14 +84,15 @@ class PairTable:
 def _merged(lists: DataFrame, keys: list[str], draws: DataFrame, k: int, points: Mask | None) -> DataFrame:
     """The draw's columns, keys, near (the k nearest of the draw's points that are listed), sure (no other point can be among them)."""
     draw = [c for c in draws.columns if c != "member"]
-    rows = lists.join(F.broadcast(draws.withColumnRenamed("member", "r_run")), "r_run")  # names of recordings, a row a draw
-    own = draws.select(*(F.col(c).alias(f"_{c}") for c in draws.columns))
-    same = [F.col(c) == F.col(f"_{c}") for c in draw]
-    rows = rows.join(F.broadcast(own), [*same, F.col("run") == F.col("_member")], "left").where("test OR _member IS NOT NULL")
-    near = F.filter("near", lambda x: points(x["r_id"])) if points else F.col("near")
-    merged = rows.groupBy(*draw, *keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list(near))), 1, k).alias("near"), F.min("bound").alias("bound"))  # a list a run of the draw
-    last = F.when(F.size("near") == k, F.get("near", F.lit(k - 1))["d"])
-    return merged.withColumn("sure", (F.col("bound") == float("inf")) | F.coalesce(last < F.col("bound"), F.lit(False))).drop("bound")
+    members = draws.groupBy(*draw).agg(F.collect_set("member").alias("members"))  # names of recordings, a row a draw
+    own = lists.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct("r_run", "near", "bound", "next")).alias("runs"))  # a list a run: shuffled once for all draws
+    rows = own.crossJoin(F.broadcast(members)).where("test OR array_contains(members, run)")
+    rows = rows.select(*draw, *keys, F.filter("runs", lambda x: F.array_contains("members", x["r_run"])).alias("held")).where(F.size("held") > 0)
+    near = F.flatten(F.transform("held", lambda x: F.filter(x["near"], lambda y: points(y["r_id"])) if points else x["near"]))
+    bound = F.array_min(F.transform("held", lambda x: F.struct(x["bound"].alias("d"), x["next"].alias("r_id"))))
+    merged = rows.select(*draw, *keys, F.slice(F.array_sort(near), 1, k).alias("near"), bound.alias("bound"))
+    last = F.when(F.size("near") == k, F.get("near", F.lit(k - 1)))
+    return merged.withColumn("sure", (F.col("bound.d") == float("inf")) | F.coalesce(last < F.col("bound"), F.lit(False))).drop("bound")
 
 
 def nearest_of_draws(table: PairTable, query: DataFrame, pool: DataFrame, draws: DataFrame, k: int, points: Mask | None = None, **how) -> DataFrame:

@@ -72,6 +72,22 @@ def test_subsets_of_runs_and_points_are_exact(spark, sides, monkeypatch, listed)
     assert "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:120]
 
 
+def test_copies_of_a_point_need_no_second_search(spark, sides, monkeypatch):
+    """A list of copies of one point ends at a tie, which ids decide."""
+    query, pool, v = sides
+    copied = pool.withColumn("r_id", F.explode(F.sequence(F.col("r_id"), F.col("r_id") + 2000, F.lit(100))))
+    calls = []
+    lists = sweeps.PairTable.lists
+    monkeypatch.setattr(sweeps.PairTable, "lists", staticmethod(lambda *a, **b: calls.append(1) or lists(*a, **b)))
+    table = sweeps.PairTable.store(query, copied, KEYS, 10, buckets=3)
+    frame = spark.createDataFrame([(0, r) for r in range(6)], "draw int, member int")
+    for r in sweeps.nearest_of_draws(table, query, copied, frame, 10).collect():
+        first = min((j for j in range(90) if j % 9 < 6 and j % 9 != r.run), key=lambda j: (round(1 - float(v[r.id] @ v[j]), 9), j))
+        if first not in (3, 40, 50, 51):  # those have equals in other runs
+            assert x_of(r) == [first + 100 * c for c in range(10)]
+    assert len(calls) == 1
+
+
 def test_nested_quantiles_are_numpy_s(spark):
     rng = np.random.default_rng(1)
     groups = {g: rng.choice(rng.normal(size=n), size=n).round(3) for g, n in (("a", 1), ("b", 2), ("c", 57), ("d", 200), ("e", 201))}
