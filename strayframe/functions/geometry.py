@@ -119,8 +119,20 @@ def lines_meet(px: Column, py: Column, dx: Column, dy: Column, qx: Column, qy: C
 def fillet(px: Column, py: Column, dx: Column, dy: Column, qx: Column, qy: Column, ex: Column, ey: Column, radius: float, points: int = 25) -> Column:
     """An array of (x, y): the quadratic curve that turns from direction d (through p) to direction e (through q), both unit
     vectors, on a fillet of this radius about the place where their lines meet."""
+    return F.transform(F.array(fillet_controls(px, py, dx, dy, qx, qy, ex, ey, radius)), lambda c: curve(c, points))[0]
+
+
+def fillet_controls(px: Column, py: Column, dx: Column, dy: Column, qx: Column, qy: Column, ex: Column, ey: Column, radius: float) -> Column:
+    """The three points (ax, ay), (bx, by), (cx, cy) that hold the curve of :func:`fillet`. Select them as a column before :func:`curve` is
+    taken of it: then they are computed once a row and not once a point."""
     x, y = lines_meet(px, py, dx, dy, qx, qy, ex, ey)
     cosine = F.least(F.greatest(dx * ex + dy * ey, F.lit(-1.0)), F.lit(1.0))
     reach = F.lit(radius) * F.tan(F.acos(cosine) / 2)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / float(points - 1))
-    return F.transform(steps, lambda t: F.struct(bezier(x - reach * dx, x, x + reach * ex, t).alias("x"), bezier(y - reach * dy, y, y + reach * ey, t).alias("y")))
+    held = {"ax": x - reach * dx, "ay": y - reach * dy, "bx": x, "by": y, "cx": x + reach * ex, "cy": y + reach * ey}
+    return F.struct(*(v.alias(k) for k, v in held.items()))
+
+
+def curve(c: Column, points: int = 25) -> Column:
+    """An array of (x, y) at even steps along the quadratic curve of three points."""
+    steps = [F.lit(i / float(points - 1)) for i in range(points)]
+    return F.array(*(F.struct(bezier(c["ax"], c["bx"], c["cx"], t).alias("x"), bezier(c["ay"], c["by"], c["cy"], t).alias("y")) for t in steps))

@@ -283,8 +283,8 @@ SELECT event_id, CAST(i AS INT) AS i, round((1 - i / 24) ** 2 * (mx - reach * dx
 def e17_turn_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25 points of the smooth turn from each state's heading into one 1.2 rad to its right."""
     s, yaw = states(spark, sf_dir), F.col("yaw")
-    curve = g.fillet(F.col("x"), F.col("y"), F.cos(yaw), F.sin(yaw), F.col("x") + 10, F.col("y") + 6, F.cos(yaw + 1.2), F.sin(yaw + 1.2), 4.0)
-    return s.select("event_id", F.posexplode(curve).alias("i", "p")).select("event_id", "i", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
+    controls = g.fillet_controls(F.col("x"), F.col("y"), F.cos(yaw), F.sin(yaw), F.col("x") + 10, F.col("y") + 6, F.cos(yaw + 1.2), F.sin(yaw + 1.2), 4.0)
+    return s.select("event_id", controls.alias("c")).select("event_id", F.posexplode(g.curve(F.col("c"))).alias("i", "p")).select("event_id", "i", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
 
 
 @query("""

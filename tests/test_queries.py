@@ -68,3 +68,10 @@ def test_points_of_one_height_stay_where_they_are(spark):
         assert "SortMergeJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_curve_s_angles_are_computed_once_a_row(spark):
+    """The points come of stored controls, so no tangent is part of what is exploded."""
+    plan = QUERIES["e17_turn_curve"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "TAN(" in plan.upper()
+    assert not [line for line in plan.splitlines() if "Generate" in line and "TAN(" in line.upper()]
