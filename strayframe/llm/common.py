@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import hashlib
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +84,31 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What Python workers keep from task to task, by owner: how it is dropped.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    _KEPT[owner] = forget
+
+
+def given_back() -> None:
+    """Return freed memory to the system: a worker lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def drop_kept() -> None:
+    """Drop what a worker keeps from the tasks before: workers outlive a stage, and what they keep would be held beside all that the
+    stages after need."""
+    for forget in _KEPT.values():
+        forget()
+    given_back()
+
+
 def text_or_empty() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 

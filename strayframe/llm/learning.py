@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import pickle
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -13,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import drop_kept, given_back, text_or_empty
 
 #: Entries of a worker's word table; it is emptied when full.
 TABLE_WORDS = 300_000
@@ -21,15 +19,6 @@ TABLE_WORDS = 300_000
 SAMPLE_BYTES = 32_000_000
 
 
-def given_back() -> None:
-    """Return freed memory to the system once a model is trained: the worker lives on."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def fold_of(doc_id):
     """The fold of a document: crc32 of doc_id as text, mod 4 (null: fold 0)."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)), F.lit(0))
@@ -64,6 +53,7 @@ def fitted_by(docs: DataFrame, labels: DataFrame, label: str, rows: int, train:
     taken = sampled(docs, labels, label, rows).repartition(1).sortWithinPartitions("draw", "doc_id")  # ``rows`` rows at most
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         sample: list[tuple[str, int, int]] = []
         size = 0
         for batch in batches:

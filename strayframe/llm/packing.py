@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, prepare, shuffle_partitions, text_or_empty
+from .common import keeps, new_path, prepare, shuffle_partitions, text_or_empty
 
 BLOCK_SCHEMA = "shard int, block int, first bigint, n_ids bigint, bits int, doc_ids array<bigint>, ends array<bigint>, payload binary"
 #: Entries of a worker's piece cache; when it is full, pieces met in one batch alone are dropped.
@@ -207,6 +207,14 @@ class PieceEncoder:
         return [np.array(next(whole).ids, dtype=np.uint32) if i in odd else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
 
+def _forget_pieces() -> None:
+    for encoder in PieceEncoder.held.values():
+        encoder.clear()
+
+
+keeps("packing", _forget_pieces)
+
+
 def write_packed(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int | None = None, end_id: int = 0, block_ids: int = 1 << 16) -> None:
     """Encode every text, append ``end_id`` and write the packed blocks to ``path``. One shuffle, of the
     texts, into ranges of doc_id; a task holds one block of ids at a time. vocabulary: the ids there are; the tokenizer's

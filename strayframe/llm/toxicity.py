@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import prepare, release, stored, text_or_empty
+from .common import drop_kept, keeps, prepare, release, stored, text_or_empty
 from .learning import Adam, WordTable, best_threshold, fitted_by, fold_of, sigmoid, training_labels
 
 SAMPLE_ROWS = 6000
@@ -178,6 +178,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample_rows: int) -> Network | fl
 
 
 _tables: dict[int, tuple[float, WordTable]] = {}
+keeps("toxicity", _tables.clear)
 
 
 def _score(net: Network | float, texts: list[str]) -> np.ndarray:
@@ -240,8 +241,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
     model = spark.sparkContext.broadcast(net)  # (BUCKETS + 1) x FILTERS x 6 floats
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(_score(model.value, batch.column(3).to_pylist()), pa.float64())], names=["doc_id", "held_out", "lang", "score"])
+        drop_kept()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold_of("doc_id") == 2).alias("held_out"), _lang(docs).alias("lang"), text_or_empty().alias("text"))
     scored = stored(rows.mapInArrow(score, "doc_id bigint, held_out boolean, lang string, score double"), "scores")
@@ -263,9 +266,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMP
         name += "_"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept()
         for batch in batches:
             s = _score(model.value, [x or "" for x in batch.column(text).to_pylist()])
             yield batch.append_column(name, pa.array(s, pa.float64()))
+        drop_kept()
 
     scored = stored(docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())])), "scored")
     common, cuts = calibrated(scored.select(F.col("doc_id").cast("bigint").alias("doc_id"), _lang(docs).alias("lang"), F.col(name).alias("score")), labels, net)

@@ -136,3 +136,29 @@ def test_a_rare_language_gets_its_threshold_from_all_labelled_rows(spark):
     assert {k: {x for x, _ in v} for k, v in by.items()} == {("en", "good day"): {False}, ("en", "mild tone"): {False}, ("en", "vile hate"): {True}, ("xx", "good day"): {False}, ("xx", "mild tone"): {True}}
     kept = {r.doc_id for r in toxicity.without_toxic(docs, labels, sample_rows=80).collect()}
     assert kept == {r.doc_id for r in found if not r.rejected}
+
+
+def test_a_stage_drops_what_workers_kept(spark):
+    """Word tables and pieces of a stage are gone when it ends, and do not stay beside the next one's."""
+    from strayframe.llm import common, packing, toxicity
+
+    assert {"toxicity", "packing"} <= set(common._KEPT)
+    encoder = packing.PieceEncoder.__new__(packing.PieceEncoder)
+    encoder.clear()
+    encoder.number["word"]
+    packing.PieceEncoder.held[-1], toxicity._tables[0] = encoder, (0.0, toxicity.WordTable(toxicity.buckets))
+    common.drop_kept()
+    del packing.PieceEncoder.held[-1]
+    assert not toxicity._tables and not encoder.number
+    docs = spark.createDataFrame([(k, "good day" if k % 2 else "bad word", "en") for k in range(80)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(80)], "doc_id bigint, toxic int")
+    toxicity.toxicity(docs, labels).count()
+
+    def sizes(batches):
+        import pyarrow as pa
+        from strayframe.llm import toxicity
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(toxicity._tables)] * batch.num_rows, pa.int64())], names=["id"])
+
+    assert {r.id for r in spark.range(8).repartition(4).mapInArrow(sizes, "id bigint").collect()} == {0}
