@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -57,9 +57,14 @@ agents AS (SELECT run, tick, k AS agent, x + (k * 9.0::DOUBLE - 20.0::DOUBLE) +
     FROM states, (SELECT unnest(range(6)) AS k) WHERE (event_id + k) % 4 <> 0)"""
 
 
+def agents_there(event_id: Column) -> Column:
+    """The agents of a state's tick, in order."""
+    return F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint")), lambda k: (event_id + k) % 4 != 0)
+
+
 def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run, tick, agent, x, y, yaw, vx, vy: up to six agents around the ego, which come and go."""
-    s = states(spark, sf_dir).withColumn("agent", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint")))).where((F.col("event_id") + F.col("agent")) % 4 != 0)
+    s = states(spark, sf_dir).withColumn("agent", F.explode(agents_there(F.col("event_id"))))
     k, i = F.col("agent"), F.col("event_id")
     return s.select("run", "tick", "agent", (F.col("x") + (k * 9.0 - 20.0) + i % 3).alias("x"), (F.col("y") + (k * 1.7 - 4.0)).alias("y"), (F.col("yaw") + (k * 0.75 - 0.1)).alias("yaw"), (i % (k + 3)).cast("double").alias("vx"), (k * 0.2).alias("vy"))
 

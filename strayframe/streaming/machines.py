@@ -1,7 +1,7 @@
 """State machines over ticks: retries with a cooldown and a rest for each agent, a walker's crossing, a swerve out and back.
 
 A machine is a function from (state, row, memory) to (state, output). ``folded`` runs it over stored recordings, ``streamed`` over a stream.
-There, rows are held in map state until the watermark has passed them and are taken in the order of their ticks, so it does not
+There, rows are held in list state until the watermark has passed them and are taken in the order of their ticks, so it does not
 matter in which order they come; what is under way is closed by an event-time timer, also if no row follows. Held rows, states and memories
 live in the state store and its checkpoint. Rows behind the watermark are dropped by Spark.
 """
@@ -9,6 +9,7 @@ live in the state store and its checkpoint. Rows behind the watermark are droppe
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -78,48 +79,52 @@ class _Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.now = handle.getValueState("now", self.machine.state)
-        self.held = handle.getMapState("held", "tick int", self.machine.columns)
+        self.held = handle.getListState("held", "rows binary")  # the rows of a call together: values are converted one by one otherwise
         self.memory = handle.getMapState("memory", "agent long", "tick int")
 
-    def _state(self) -> tuple:
-        return tuple(self.now.get()) if self.now.exists() else self.machine.start
-
-    def _wake(self, state: tuple, ticks: list[int]) -> None:
+    def _wake(self, tick: int) -> None:
         """One timer a run: at the first held row, or where something ends."""
-        due = self.machine.due(state)
-        at = min([*ticks, *([] if due is None else [due])], default=None)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if at is not None:
-            self.handle.registerTimer((at + 1) * self.tick_ms)
+        self.handle.registerTimer((tick + 1) * self.tick_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        names = _names(self.machine.columns)
+        names, first = ["tick", *_names(self.machine.columns)], None
         for pdf in rows:
-            for r in pdf.to_dict("records"):
-                self.held.updateValue((int(r["tick"]),), tuple(list(r[n]) if hasattr(r[n], "tolist") and getattr(r[n], "ndim", 0) else r[n] for n in names))
-        self._wake(self._state(), [k[0] for k in self.held.keys()])
+            taken = [tuple(x.tolist() if hasattr(x, "tolist") else x for x in r) for r in zip(*(pdf[n].tolist() for n in names), strict=True)]
+            self.held.appendValue((pickle.dumps(taken),))
+            first = min([r[0] for r in taken] if first is None else [first, *(r[0] for r in taken)])
+        timers = list(self.handle.listTimers())
+        if first is not None and all((first + 1) * self.tick_ms < timer for timer in timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self._wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         past = int(timerValues.getCurrentWatermarkInMs()) // self.tick_ms - 1
-        held = {k[0]: tuple(v) for k, v in self.held.iterator()}
+        held = {r[0]: r for (rows,) in self.held.get() for r in pickle.loads(rows)}
         known = {k[0]: v[0] for k, v in self.memory.iterator()}
-        state, memory, found = self._state(), dict(known), []
+        now = self.now.get()
+        state, memory, found = tuple(now) if now is not None else self.machine.start, dict(known), []
+        names = ["tick", *_names(self.machine.columns)]
         for tick in sorted(t for t in held if t <= past):
             state, ended = self.machine.advance(state, memory, tick)
-            state, out = self.machine.step(state, dict(zip(_names(self.machine.columns), held.pop(tick), strict=True)) | {"tick": tick}, memory)
+            state, out = self.machine.step(state, dict(zip(names, held.pop(tick), strict=True)), memory)
             found += ended if out is None else [*ended, out]
-            self.held.removeKey((tick,))
         state, ended = self.machine.advance(state, memory, past)
         found += ended
+        if held:
+            self.held.put([(pickle.dumps(list(held.values())),)])
+        else:
+            self.held.clear()
         self.now.update(state)
         for agent in known.keys() - memory.keys():
             self.memory.removeKey((agent,))
         for agent, tick in memory.items():
             if known.get(agent) != tick:
                 self.memory.updateValue((agent,), (tick,))
-        self._wake(state, list(held))
+        due = self.machine.due(state)
+        if held or due is not None:  # the timer that has expired goes by itself
+            self._wake(min([*held, *([] if due is None else [due])]))
         if not found:
             return iter(())
         return iter([pd.DataFrame({"run": [key[0]] * len(found)} | {n: [x[k] for x in found] for k, n in enumerate(_names(self.machine.output))})])

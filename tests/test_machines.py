@@ -3,9 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from strayframe.operators import kinematics
+from strayframe.plans import machines as plans
 from strayframe.streaming import machines, online
 
 RULE = {"trigger": 2, "give_up": 45, "cooldown": 2, "rest": 8}
@@ -103,3 +106,47 @@ def test_route_is_searched_forward_only(spark):
     k = [r.k for r in rows]
     assert k == sorted(k) and k[14] == 28 and k[29] > 50 and [r.off for r in rows[-2:]] == [1, 2] and {r.run for r in rows} == {1}
     assert all(math.isclose(r.off, 0) for r in rows[:-2])
+
+
+class _Store:
+    """A handle and its states, which counts the calls that would go to the state store."""
+
+    def __init__(self):
+        self.calls, self.rows, self.timers, self.value = 0, [], [], None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls, self.timers = self.calls + 1, [*self.timers, at]
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls, self.timers = self.calls + 1, [t for t in self.timers if t != at]
+
+    def listTimers(self):  # noqa: N802
+        self.calls += 1
+        return iter(self.timers)
+
+    def __getattr__(self, name):  # whatever else a state is asked
+        if name.startswith("get") and name.endswith("State"):
+            return lambda *a, **b: self
+
+        def call(*a):
+            self.calls += 1
+            return iter([x[:1] for x in self.rows]) if name == "keys" else self.rows.append(a[0])
+
+        return call
+
+
+def test_rows_of_a_run_are_held_by_one_call():
+    calls = []
+    for n in (1, 60):
+        held = machines._Ordered(machines.retries(**RULE), 100)
+        store = _Store()
+        held.init(store)
+        rows = pd.DataFrame({"run": [3] * n, "tick": range(5, 5 + n), "agents": [np.array([1, 2])] * n, "lengths": [np.array([2, 2])] * n, "wins": [np.array([True, False])] * n})
+        assert not list(held.handleInputRows((3,), iter([rows]), None)) and store.timers == [600]
+        calls.append(store.calls)
+    assert calls[0] == calls[1]
+
+
+def test_candidates_need_no_join(spark):
+    plan = plans._candidates(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
