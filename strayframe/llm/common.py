@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.java_gateway import JavaClass, JavaObject
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,9 +74,32 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    trim_driver(spark)
     return out
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Have the driver's JVM return what it has freed outside its heap (compilers, codecs): the C library keeps it in an arena a thread, which
+    adds up over many plans. False where the JVM has no such command."""
+    jvm, java = spark.sparkContext._jvm, spark.sparkContext._jvm.java.lang
+
+    def array(kind: JavaClass, *items: object) -> JavaObject:
+        out = spark.sparkContext._gateway.new_array(kind, len(items))
+        for k, x in enumerate(items):
+            out[k] = x
+        return out
+
+    texts = "[Ljava.lang.String;"
+    kinds = array(java.Class, *map(java.Class.forName, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", texts)))
+    command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    given = array(java.Object, command, "systemTrimNativeHeap", array(java.Object, array(java.String)), array(java.String, texts))
+    try:  # by the interface, as the class behind it is not open to others
+        java.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(java.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete stored tables that nothing reads any more, and have Spark drop the shuffle files of finished plans now, and the
     driver the memory of its plans; both would stay until the driver's heap happens to fill, which grows meanwhile."""
@@ -82,6 +107,7 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         remove(spark, table._stored_at)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
 
 
 #: What Python workers keep from task to task, by owner: how it is dropped.

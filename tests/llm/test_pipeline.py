@@ -4,7 +4,7 @@ from fractions import Fraction
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from strayframe.llm import entries, toxicity
+from strayframe.llm import common, entries, toxicity
 from tokenizers import Tokenizer
 
 from test_jaccard import brute
@@ -100,3 +100,13 @@ def test_empty_documents(spark, small):
 
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in entries.QUERIES) == list(range(1, 11))
+
+
+def test_stored_tables_leave_no_freed_memory_in_the_driver(spark, monkeypatch):
+    assert common.trim_driver(spark)
+    calls = []
+    monkeypatch.setattr(common, "trim_driver", lambda session: calls.append(session) or True)
+    table = common.stored(spark.range(3), "few")
+    assert table.count() == 3 and len(calls) == 1
+    common.release(spark, table)
+    assert len(calls) == 2
