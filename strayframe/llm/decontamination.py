@@ -12,13 +12,18 @@ or document table gives zero hits or an empty result. Other columns are ignored,
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, stored, text_or_empty
 
-#: Java's form of "everything but ASCII that is neither a digit nor a small letter".
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Digits, letters of either case and all beyond ASCII. Single characters are looked up in a table; ranges and negations would be a call each, for
+#: every character of a text.
+_IN_WORDS = string.digits + string.ascii_letters
+WORD = rf"[{_IN_WORDS}\x80-\x{{10FFFF}}]+"
+BETWEEN = "[" + "".join(rf"\x{c:02X}" for c in range(128) if chr(c) not in _IN_WORDS) + "]+"
 #: The hash set is broadcast up to this number of grams (of at most 2 n words); beyond, it is joined by a shuffle.
 BROADCAST_GRAMS = 200_000
 GRAM = 4
@@ -28,10 +33,10 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
 
 
-def _around(words: str, at: Column, gram: int, reach: int) -> list[Column]:
-    """The gram at a place, what is left of it (nearest first) and right of it, up to ``reach`` words."""
+def _around(words: str, at: Column, reach: int, length: int) -> list[Column]:
+    """What is left of a place (nearest first), up to ``reach`` words, and what is right of it, up to ``length``."""
     w = F.col(words)
-    return [F.slice(w, at + 1, gram).alias("gram"), F.reverse(F.slice(w, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)))).alias("left"), F.slice(w, at + gram + 1, reach).alias("right")]
+    return [F.reverse(F.slice(w, F.greatest(at - reach, F.lit(0)) + 1, F.least(at, F.lit(reach)))).alias("left"), F.slice(w, at + 1, length).alias("right")]
 
 
 def _agree(a: str, b: str) -> Column:
@@ -49,15 +54,17 @@ def spans(docs: DataFrame, benchmark: DataFrame, *, n: int = 13) -> DataFrame:
     for length in lengths:
         gram = min(GRAM, length)
         reach = length - gram
-        of_length = items.where(F.col("n") == length).withColumn("q", F.explode(F.sequence(F.lit(0), F.size("words") - gram)))
-        grams = of_length.select("item_id", *(c.alias(k) for c, k in zip(_around("words", F.col("q"), gram, reach), ("i_gram", "i_left", "i_right"), strict=True))).withColumn("key", F.xxhash64("i_gram"))
+        gram_key = F.xxhash64(F.slice("words", F.col("p") + 1, gram)).alias("key")
+        of_length = items.where(F.col("n") == length).withColumn("p", F.explode(F.sequence(F.lit(0), F.size("words") - gram)))
+        grams = of_length.select("item_id", gram_key, *(c.alias(k) for c, k in zip(_around("words", F.col("p"), reach, length), ("i_left", "i_right"), strict=True)))
         grams = stored(grams.distinct(), "grams")
         if grams.count() <= BROADCAST_GRAMS:
             grams = F.broadcast(grams)
-        places = F.transform(F.sequence(F.lit(0), F.size("words") - gram, F.lit(reach + 1)), lambda p: F.struct(p.alias("p"), *_around("words", p, gram, reach)))  # noqa: B023
-        found = rows.where(F.size("words") >= length).select("doc_id", "tie", F.explode(places).alias("at")).select("doc_id", "tie", "at.*").withColumn("key", F.xxhash64("gram"))
-        found = found.join(grams, "key").where(F.col("gram") == F.col("i_gram")).select("doc_id", "tie", "item_id", "p", _agree("left", "i_left").alias("l"), _agree("right", "i_right").alias("r"))
-        found = found.where(F.col("l") + F.col("r") + gram >= length).select("doc_id", "tie", "item_id", (F.col("p") - F.col("l")).alias("start"), (F.col("p") + gram + F.col("r")).alias("stop"))
+        # No filter by size, which would split each text twice. The agreements are a generator's, or they would be a condition of the join, and words were copied for each place.
+        places = F.when(F.size("words") >= length, F.sequence(F.lit(0), F.size("words") - gram, F.lit(reach + 1)))
+        found = rows.select("doc_id", "tie", "words", F.explode(places).alias("p")).select("doc_id", "tie", "p", gram_key, *_around("words", F.col("p"), reach, length))
+        found = found.join(grams, "key").select("doc_id", "tie", "item_id", "p", F.inline(F.array(F.struct(_agree("left", "i_left").alias("l"), _agree("right", "i_right").alias("r")))))
+        found = found.where((F.col("r") >= gram) & (F.col("l") + F.col("r") >= length)).select("doc_id", "tie", "item_id", (F.col("p") - F.col("l")).alias("start"), (F.col("p") + F.col("r")).alias("stop"))
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = rows.limit(0).select("doc_id", "tie", F.lit(None).cast(dict(benchmark.dtypes)["item_id"]).alias("item_id"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("stop"))
@@ -68,7 +75,7 @@ def _judged(docs: DataFrame, benchmark: DataFrame, n: int, least_share: tuple[in
     hit = spans(docs, benchmark, n=n).withColumn("at", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)))
     hit = hit.groupBy("doc_id", "tie").agg(F.count_distinct("at").alias("n_hit"), F.count_distinct("item_id").alias("n_items"), F.array_join(F.sort_array(F.collect_set(F.col("item_id").cast("string"))), ",").alias("items"))
     hit = hit.select(F.col("doc_id").alias("h_id"), F.col("tie").alias("h_tie"), "n_hit", "n_items", "items")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("tie"), F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD)).cast("bigint").alias("n_words"))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("tie"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("n_words"))
     zero = F.lit(0).cast("bigint")
     joined = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")), "left")
     n_hit = F.coalesce("n_hit", zero)
@@ -95,10 +102,9 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, *, n: int = 13) -> Data
     """(doc_id, text): each text without the words inside a window; what stands between words stays."""
     hit = spans(docs, benchmark, n=n).withColumn("at", F.explode(F.sequence(F.col("start"), F.col("stop") - 1)))
     hit = hit.groupBy("doc_id", "tie").agg(F.collect_set("at").alias("hits")).select(F.col("doc_id").alias("h_id"), F.col("tie").alias("h_tie"), "hits")
-    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("tie") == F.col("h_tie")), "left")
-    pieces = F.regexp_extract_all("text", F.lit(f"{word}|{word.replace('[^', '[')}"), F.lit(0))
-    first = F.when(F.col("text").rlike(f"^{word}"), 0).otherwise(1)
+    pieces = F.regexp_extract_all("text", F.lit(f"{WORD}|{BETWEEN}"), F.lit(0))
+    first = F.when(F.col("text").rlike(f"^{WORD}"), 0).otherwise(1)
     kept = F.filter(pieces, lambda _, i: ((i + first) % 2 == 1) | ~F.array_contains("hits", F.floor((i - first) / 2).cast("bigint")))
     return rows.select("doc_id", F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(kept, "")).alias("text"))

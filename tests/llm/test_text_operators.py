@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from strayframe.llm import automaton, counts, decontamination, matroska, secret_scan, suffixes
 
 ODD = [None, "", " ", "a", "A b\tc\n d", "ünïcödé ÄÖ ß", "日本語のテキスト", "<s> </s> <unk> x", "x" * 20_000, "  lead and  trail  ", "nul\x00byte", "😀 emoji"]
@@ -95,6 +96,16 @@ def test_spans_are_cut_out(spark, docs_of):
     assert words(got[0]) == ["keep", "this", "and", "that"] and got[1] == "clean one" and got[2] == ""
 
 
+def test_a_text_is_split_once_and_each_character_is_looked_up(spark, docs_of):
+    bench = spark.createDataFrame([(1, " ".join(f"q{k}" for k in range(13)))], "item_id long, text string")
+    plan = decontamination.spans(docs_of(["some text"]), bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    assert "^" not in decontamination.WORD and not re.search("0-9|a-z|A-Z", decontamination.WORD)
+    texts = [f"a{chr(c)}b" for c in [*range(0x300), 0xD7FF, 0xE000, 0xFFFF, 0x10000, 0x10FFFF]]
+    rows = docs_of(texts).select("doc_id", decontamination.words_of(F.col("text")).alias("words")).collect()
+    assert all(r.words == words(texts[r.doc_id]) for r in rows)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
