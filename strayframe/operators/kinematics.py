@@ -19,14 +19,19 @@ from ..sources.shared import shared_path
 POSE = ("x", "y", "yaw", "vx", "vy")
 
 
-def ego_kinematics(states: DataFrame, dt: float = 0.1) -> DataFrame:
-    """run, tick, v_long, yaw_rate, a_long, a_lat, jerk from a state and the two before it; null until there are two."""
+def _moving(states: DataFrame, dt: float) -> DataFrame:
+    """states with v_long, yaw_rate, a_long, a_lat, jerk."""
     w = Window.partitionBy("run").orderBy("tick")
     v = states.withColumn("v_long", g.along_speed(F.col("vx"), F.col("vy"), F.col("yaw"))).withColumn("_yaw", F.lag("yaw").over(w))
     v = v.withColumn("_v1", F.lag("v_long", 1).over(w)).withColumn("_v2", F.lag("v_long", 2).over(w))
     rate = g.turn_rate(F.col("yaw"), F.col("_yaw"), dt)
     a1, a0 = (F.col("v_long") - F.col("_v1")) / dt, (F.col("_v1") - F.col("_v2")) / dt
-    return v.select("run", "tick", "v_long", rate.alias("yaw_rate"), a1.alias("a_long"), (F.col("v_long") * rate).alias("a_lat"), ((a1 - a0) / dt).alias("jerk"))
+    return v.select(*states.columns, "v_long", rate.alias("yaw_rate"), a1.alias("a_long"), (F.col("v_long") * rate).alias("a_lat"), ((a1 - a0) / dt).alias("jerk"))
+
+
+def ego_kinematics(states: DataFrame, dt: float = 0.1) -> DataFrame:
+    """run, tick, v_long, yaw_rate, a_long, a_lat, jerk from a state and the two before it; null until there are two."""
+    return _moving(states, dt).select("run", "tick", "v_long", "yaw_rate", "a_long", "a_lat", "jerk")
 
 
 def relative(states: DataFrame, agents: DataFrame) -> DataFrame:
@@ -62,61 +67,84 @@ def physics_vector(states: DataFrame, agents: DataFrame, *, most: int = 5, metre
     return joined.select("run", "tick", padded(F.concat(F.array(*POSE, "e_rate"), F.coalesce(flat, F.array().cast("array<double>"))), 6 + 6 * most).alias("v"))
 
 
-def _in_roles(rel: DataFrame) -> DataFrame:
-    """rel with role and _near: the agents within their role's range, and what orders those of a role."""
-    named = rel.withColumn("role", g.role(F.col("rel_x"), F.col("rel_y"), F.col("rel_yaw"))).where("role is not null").where(F.col("dist") <= g.role_range(F.col("role")))
-    return named.withColumn("_near", F.when(F.col("role").isin("lead", "follower"), F.abs("rel_x")).otherwise(F.col("dist")))
-
-
 def role_slots(rel: DataFrame) -> DataFrame:
     """run, tick, role, agent, rel_*: the nearest agent of each role within the role's range (ties by agent); lead and follower
     are the nearest along the lane, the other roles the nearest at all."""
+    named = rel.withColumn("role", g.role(F.col("rel_x"), F.col("rel_y"), F.col("rel_yaw"))).where("role is not null").where(F.col("dist") <= g.role_range(F.col("role")))
+    named = named.withColumn("_near", F.when(F.col("role").isin("lead", "follower"), F.abs("rel_x")).otherwise(F.col("dist")))
     w = Window.partitionBy("run", "tick", "role").orderBy("_near", "agent")
-    return _in_roles(rel).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_near")
+    return named.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_near")
 
 
-def role_vector(states: DataFrame, agents: DataFrame, *, dt: float = 0.1) -> DataFrame:
-    """run, tick, v (36): ego v_long, yaw_rate, a_long, a_lat, jerk; present, rel_x, rel_y, rel_vx, rel_vy of six roles; time to
-    collision with the lead. From the third tick of a run on. A tick's agents are one list (those around one ego), from which each role
-    takes its nearest, so there is one aggregate by tick and no sort by role."""
+def _scenes(states: DataFrame, agents: DataFrame) -> DataFrame:
+    """A row a state: run, tick, x, y, yaw, vx, vy, and o, its tick's agents as (agent, dx, dy, turn, dvx, dvy) against the ego along the world's axes.
+    Both sides are put together and not joined, so what is dealt by run stays where it is, and windows over a run need no more."""
+    ego, other = F.struct(*POSE), F.struct("agent", *POSE)
+    null = lambda df, c: F.lit(None).cast(df.select(c.alias("s")).schema[0].dataType)
+    sides = states.select("run", "tick", ego.alias("e"), null(agents, other).alias("o")).unionByName(agents.select("run", "tick", null(states, ego).alias("e"), other.alias("o")))
+    met = sides.groupBy("run", "tick").agg(F.first("e", ignorenulls=True).alias("e"), F.collect_list("o").alias("o")).where("e IS NOT NULL")  # a tick's agents are around one ego
+    e = F.col("e")
+    apart = lambda o: F.struct(o["agent"].alias("agent"), (o["x"] - e["x"]).alias("dx"), (o["y"] - e["y"]).alias("dy"), g.wrap(o["yaw"] - e["yaw"]).alias("turn"), (o["vx"] - e["vx"]).alias("dvx"), (o["vy"] - e["vy"]).alias("dvy"))
+    return met.select("run", "tick", "e.*", F.transform("o", apart).alias("o"))
+
+
+def _turned(dx: Column, dy: Column) -> tuple[Column, Column]:
+    """:func:`geometry.rotated` by the row's yaw, of which cosine and sine are columns."""
+    return dx * F.col("_cos") + dy * F.col("_sin"), -dx * F.col("_sin") + dy * F.col("_cos")
+
+
+def _with_roles(scenes: DataFrame, dt: float) -> DataFrame:
+    """scenes of :func:`_scenes` with the ego's motion, _cos and _sin of its yaw, v (36), the role vector, and r0 to r5, the nearest agent of
+    each role as (role, near, agent, ...) or null."""
     fields = ("rel_x", "rel_y", "rel_vx", "rel_vy")
-    listed = _in_roles(relative(states, agents)).groupBy("run", "tick").agg(F.collect_list(F.struct("role", F.col("_near").alias("near"), "agent", *fields)).alias("a"))
-    first = lambda r: F.array_min(F.filter("a", lambda x: x["role"] == r))
-    found = listed.select("run", "tick", *(first(r).alias(f"r{k}") for k, r in enumerate(g.ROLES)))
+    moving = _moving(scenes, dt).withColumn("_cos", F.cos("yaw")).withColumn("_sin", F.sin("yaw"))
+
+    def seen(o: Column) -> Column:
+        x, y = _turned(o["dx"], o["dy"])
+        vx, vy = _turned(o["dvx"], o["dvy"])
+        return F.struct(o["agent"].alias("agent"), o["turn"].alias("rel_yaw"), x.alias("rel_x"), y.alias("rel_y"), vx.alias("rel_vx"), vy.alias("rel_vy"), F.hypot(o["dx"], o["dy"]).alias("dist"))
+
+    def named(o: Column) -> Column:
+        return F.struct(g.role(o["rel_x"], o["rel_y"], o["rel_yaw"]).alias("role"), o["dist"].alias("dist"), o["agent"].alias("agent"), *(o[f].alias(f) for f in fields))
+
+    def ranked(o: Column) -> Column:
+        near = F.when(o["role"].isin("lead", "follower"), F.abs(o["rel_x"])).otherwise(o["dist"])
+        return F.struct(o["role"].alias("role"), near.alias("near"), o["agent"].alias("agent"), *(o[f].alias(f) for f in fields))
+
+    there = F.filter(F.transform(F.transform("o", seen), named), lambda o: o["role"].isNotNull() & (o["dist"] <= g.role_range(o["role"])))
+    listed = moving.withColumn("_in", F.transform(there, ranked))
+    first = lambda r: F.array_min(F.filter("_in", lambda x: x["role"] == r))
+    found = listed.select("*", *(first(r).alias(f"r{k}") for k, r in enumerate(g.ROLES))).drop("_in")
     empty = F.array_repeat(F.lit(0.0), 5)
     slot = lambda k: F.when(F.col(f"r{k}").isNull(), empty).otherwise(F.array(F.lit(1.0), *(F.coalesce(F.col(f"r{k}")[f], F.lit(0.0)) for f in fields)))
     lead = F.col(f"r{g.ROLES.index('lead')}")
     ttc = F.coalesce(g.time_to_collision(lead["rel_x"], lead["rel_vx"]), F.lit(10.0))
-    ego = ego_kinematics(states, dt).where("jerk is not null").join(found.hint("merge"), ["run", "tick"], "left")
-    return ego.select("run", "tick", F.concat(F.array("v_long", "yaw_rate", "a_long", "a_lat", "jerk"), *(slot(k) for k in range(len(g.ROLES))), F.array(ttc)).alias("v"))
+    return found.withColumn("v", F.concat(F.array("v_long", "yaw_rate", "a_long", "a_lat", "jerk"), *(slot(k) for k in range(len(g.ROLES))), F.array(ttc)))
+
+
+def role_vector(states: DataFrame, agents: DataFrame, *, dt: float = 0.1) -> DataFrame:
+    """run, tick, v (36): ego v_long, yaw_rate, a_long, a_lat, jerk; present, rel_x, rel_y, rel_vx, rel_vy of six roles; time to
+    collision with the lead. From the third tick of a run on. A tick's agents are one list (those around one ego), from which each role
+    takes its nearest (ties by agent), so there is no join and no sort by role."""
+    return _with_roles(_scenes(states, agents), dt).where("jerk IS NOT NULL").select("run", "tick", "v")
 
 
 def role_history(states: DataFrame, agents: DataFrame, *, history: int = 10, dt: float = 0.1) -> DataFrame:
     """run, tick, v (36 + 4 H + 36 H): the role vector; ego x, y, yaw, v_long of the last H ticks in the present ego frame; of
     each role's present agent, present, rel_x, rel_y, rel_yaw, rel_vx, rel_vy at those ticks (zeros where it was not there), each
-    relative to the ego of its tick and rotated by the present yaw."""
-    base = role_vector(states, agents, dt=dt)
-    back = F.explode(F.sequence(F.lit(0), F.lit(history - 1))).alias("k")
-    now = states.select("run", "tick", F.col("x").alias("n_x"), F.col("y").alias("n_y"), F.col("yaw").alias("n_yaw"))
-    past = states.select("run", F.col("tick").alias("p_tick"), *(F.col(c).alias(f"p_{c}") for c in POSE))
-    e = now.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(past.hint("merge"), ["run", "p_tick"])
-    px, py = g.rotated(F.col("p_x") - F.col("n_x"), F.col("p_y") - F.col("n_y"), F.col("n_yaw"))
-    e = e.groupBy("run", "tick").agg(F.array_sort(F.collect_list(F.struct("k", F.array(px, py, g.wrap(F.col("p_yaw") - F.col("n_yaw")), g.along_speed(F.col("p_vx"), F.col("p_vy"), F.col("p_yaw"))).alias("f")))).alias("h")).where(F.size("h") == history)
-    e = e.select("run", "tick", F.flatten(F.transform("h", lambda h: h["f"])).alias("ego_h"))
-    slots = role_slots(relative(states, agents)).select("run", "tick", "role", "agent")
-    a = agents.select("run", "agent", F.col("tick").alias("p_tick"), *(F.col(c).alias(f"p_{c}") for c in POSE))
-    then = past.select("run", "p_tick", *(F.col(f"p_{c}").alias(f"t_{c}") for c in POSE))
-    r = slots.select("*", back).withColumn("p_tick", F.col("tick") - F.lit(history - 1) + F.col("k")).join(a.hint("merge"), ["run", "agent", "p_tick"], "left")
-    r = r.join(then.hint("merge"), ["run", "p_tick"], "left").join(now.hint("merge"), ["run", "tick"])
-    rx, ry = g.rotated(F.col("p_x") - F.col("t_x"), F.col("p_y") - F.col("t_y"), F.col("n_yaw"))
-    vx, vy = g.rotated(F.col("p_vx") - F.col("t_vx"), F.col("p_vy") - F.col("t_vy"), F.col("n_yaw"))
-    zeros = F.array_repeat(F.lit(0.0), 6)
-    f = F.when(F.col("p_x").isNull(), zeros).otherwise(F.array(F.lit(1.0), rx, ry, g.wrap(F.col("p_yaw") - F.col("t_yaw")), vx, vy))
-    r = r.groupBy("run", "tick", "role").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", f.alias("f")))), lambda x: x["f"])).alias("v"))
-    r = r.groupBy("run", "tick").agg(F.map_from_entries(F.collect_list(F.struct("role", "v"))).alias("m"))
-    none = F.array_repeat(F.lit(0.0), 6 * history)
-    joined = base.join(e.hint("merge"), ["run", "tick"]).join(r.hint("merge"), ["run", "tick"], "left")
-    return joined.select("run", "tick", F.concat("v", "ego_h", *(F.coalesce(F.try_element_at("m", F.lit(name)), none) for name in g.ROLES)).alias("v"))
+    relative to the ego of its tick and rotated by the present yaw. The last H scenes are a window over the run, held a row at a time:
+    a state's history is never dealt out, whatever H is."""
+    rows = _with_roles(_scenes(states, agents), dt)
+    last = Window.partitionBy("run").orderBy("tick").rangeBetween(1 - history, 0)
+    past = F.collect_list(F.struct("x", "y", "yaw", "v_long", "o")).over(last)
+    rows = rows.select("run", "tick", "x", "y", "yaw", "jerk", "_cos", "_sin", "v", *(F.col(f"r{k}.agent").alias(f"r{k}") for k in range(len(g.ROLES))), past.alias("h"))
+    rows = rows.where((F.size("h") == history) & F.col("jerk").isNotNull())
+    ego = F.flatten(F.transform("h", lambda p: F.array(*_turned(p["x"] - F.col("x"), p["y"] - F.col("y")), g.wrap(p["yaw"] - F.col("yaw")), p["v_long"])))
+    zeros, none = F.array_repeat(F.lit(0.0), 6), F.array_repeat(F.lit(0.0), 6 * history)
+    then = lambda o: F.array(F.lit(1.0), *_turned(o["dx"], o["dy"]), o["turn"], *_turned(o["dvx"], o["dvy"]))
+    at = lambda p, r: F.coalesce(F.get(F.transform(F.filter(p["o"], lambda o: o["agent"] == r), then), F.lit(0)), zeros)
+    role = lambda r: F.when(r.isNull(), none).otherwise(F.flatten(F.transform("h", lambda p: at(p, r))))
+    return rows.select("run", "tick", F.concat("v", ego, *(role(F.col(f"r{k}")) for k in range(len(g.ROLES)))).alias("v"))
 
 
 def turns(states: DataFrame, *, step: float = 0.05, gap: int = 2) -> DataFrame:

@@ -75,6 +75,12 @@ def physics_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kin.physics_vector(states(spark, sf_dir), agents(spark, sf_dir)).select("run", "tick", *_show("v"))
 
 
+def _dealt(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """States and agents that stay where they are once their events are dealt by run."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return states(spark, sf_dir, parts), agents(spark, sf_dir, parts)
+
+
 _SLOT = "CASE WHEN role = '{0}' THEN [1, rel_x, rel_y, rel_vx, rel_vy] END"
 
 
@@ -86,13 +92,13 @@ v AS (SELECT k.run, k.tick, [v_long, yaw_rate, a_long, v_long * yaw_rate, jerk]
 SELECT run, tick, CAST(len(v) AS INT) AS width, round(list_sum(v), 3) AS total, round(list_sum(list_transform(v, lambda x, i: x * i)), 2) AS moment FROM v
 """)
 def role_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kin.role_vector(states(spark, sf_dir), agents(spark, sf_dir)).select("run", "tick", *_show("v"))
+    return kin.role_vector(*_dealt(spark, sf_dir)).select("run", "tick", *_show("v"))
 
 
 @query()
 def role_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """436 numbers a frame from ten ticks; held against a plain loop in the tests."""
-    return kin.role_history(states(spark, sf_dir), agents(spark, sf_dir)).select("run", "tick", *_show("v"))
+    return kin.role_history(*_dealt(spark, sf_dir)).select("run", "tick", *_show("v"))
 
 
 @query(f"""

@@ -43,10 +43,12 @@ states AS (SELECT user_id AS run, CAST(row_number() OVER (PARTITION BY user_id O
     (event_id % 13 - 6) * 0.05::DOUBLE AS yaw, 4.0::DOUBLE + (event_id % 11) * 0.5::DOUBLE AS vx, (event_id % 5) * 0.1::DOUBLE AS vy FROM events)"""
 
 
-def states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """run, tick, event_id, x, y, yaw, vx, vy of an ego vehicle, a user being a run."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.row_number().over(w).alias("tick"), "event_id")
+def states(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """run, tick, event_id, x, y, yaw, vx, vy of an ego vehicle, a user being a run. parts: into so many parts by run, whatever their size, as what
+    is made of a few bytes may be much."""
+    w = Window.partitionBy("run").orderBy("ts", "event_id")  # named first, so that rows count as dealt by run
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "ts", "event_id")
+    e = (e.repartition(parts, "run") if parts else e).withColumn("tick", F.row_number().over(w)).drop("ts")
     i = F.col("event_id")
     return e.select("run", "tick", "event_id", (F.col("tick") * 0.8 + i % 3 * 0.1).alias("x"), (i % 7 * 0.3).alias("y"), ((i % 13 - 6) * 0.05).alias("yaw"), (4.0 + i % 11 * 0.5).alias("vx"), (i % 5 * 0.1).alias("vy"))
 
@@ -62,9 +64,9 @@ def agents_there(event_id: Column) -> Column:
     return F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint")), lambda k: (event_id + k) % 4 != 0)
 
 
-def agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agents(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """run, tick, agent, x, y, yaw, vx, vy: up to six agents around the ego, which come and go."""
-    s = states(spark, sf_dir).withColumn("agent", F.explode(agents_there(F.col("event_id"))))
+    s = states(spark, sf_dir, parts).withColumn("agent", F.explode(agents_there(F.col("event_id"))))
     k, i = F.col("agent"), F.col("event_id")
     return s.select("run", "tick", "agent", (F.col("x") + (k * 9.0 - 20.0) + i % 3).alias("x"), (F.col("y") + (k * 1.7 - 4.0)).alias("y"), (F.col("yaw") + (k * 0.75 - 0.1)).alias("yaw"), (i % (k + 3)).cast("double").alias("vx"), (k * 0.2).alias("vy"))
 

@@ -75,3 +75,10 @@ def test_a_curve_s_angles_are_computed_once_a_row(spark):
     plan = QUERIES["e17_turn_curve"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "TAN(" in plan.upper()
     assert not [line for line in plan.splitlines() if "Generate" in line and "TAN(" in line.upper()]
+
+
+@pytest.mark.parametrize("name", ["role_history", "role_vector"])
+def test_scenes_are_dealt_once(spark, name):
+    """States and agents are put together where their run is: nothing is joined, or dealt again by tick."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") <= 2  # of states, and of those that agents are made of
