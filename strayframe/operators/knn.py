@@ -143,18 +143,19 @@ def _codes(values: pa.ChunkedArray | pa.Array, known: dict, grow: bool) -> np.nd
 @dataclass
 class _Shape:
     """What is given of what is found: the columns that are kept apart, grouped by and that break ties; listed: a row a query row, with
-    its nearest as an array, instead of a row a neighbour; width: of the vectors."""
+    its nearest as an array, instead of a row a neighbour; width: of the vectors; carried: further columns of the pool in that array."""
 
     apart: tuple[str, str] | None
     by: str | None
     order: str
     listed: bool
     width: int
+    carried: tuple[str, ...] = ()
 
     def schema(self, query: DataFrame, pool: DataFrame) -> StructType:
         kept = [f for f in query.schema.fields if f.name != "v"]
         if self.listed:
-            near = ArrayType(StructType([StructField("d", DoubleType()), StructField(self.order, pool.schema[self.order].dataType)]))
+            near = ArrayType(StructType([StructField("d", DoubleType()), *(StructField(c, pool.schema[c].dataType) for c in (self.order, *self.carried))]))
             return StructType([*kept, pool.schema[self.by], StructField("near", near)])
         return StructType([*kept, *(f for f in pool.schema.fields if f.name != "r"), StructField("d", DoubleType()), StructField("n", IntegerType())])
 
@@ -162,7 +163,8 @@ class _Shape:
         i, j, d, n = found
         if self.listed:
             first = np.flatnonzero(n == 1)
-            near = pa.StructArray.from_arrays([pa.array(d, pa.float64()), r[self.order].take(pa.array(j)).combine_chunks()], names=["d", self.order])
+            told = [self.order, *self.carried]
+            near = pa.StructArray.from_arrays([pa.array(d, pa.float64()), *(r[c].take(pa.array(j)).combine_chunks() for c in told)], names=["d", *told])
             out = q.take(pa.array(i[first])).append_column(self.by, r[self.by].take(pa.array(j[first])))
             return out.append_column("near", pa.ListArray.from_arrays(pa.array(np.append(first, len(i)), pa.int32()), near))
         left, right = q.take(pa.array(i)), r.take(pa.array(j))
@@ -172,14 +174,14 @@ class _Shape:
 
 def nearest(
     query: DataFrame, pool: DataFrame, k: int, kind: str, *, apart: tuple[str, str] | None = None, by: str | None = None, snap: float | None = None,
-    order: str = "r_id", listed: bool = False, pool_bytes: int = POOL_BYTES, block_rows: int = BLOCK_ROWS,
+    order: str = "r_id", listed: bool = False, carried: tuple[str, ...] = (), pool_bytes: int = POOL_BYTES, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The columns of query (but v) and of pool (but r), d, n (rank from 1): the k nearest of each query row, ties by
     ``order``. A pool of fewer rows gives all.
 
     kind: cosine (of unit vectors), euclidean or kl. apart: columns of query and pool that may not be equal. by: a pool column;
     the k nearest of each of its values. snap: smaller distances count as 0. Rows with a null in their vector have no distance.
-    listed (with by): the columns of query, by and near instead, the k nearest as an array of (d, order), in their order."""
+    listed (with by): the columns of query, by and near instead, the k nearest as an array of (d, order, carried), in their order."""
     if kind not in KINDS:
         raise ValueError(f"no distance {kind}")
     if listed and not by:
@@ -187,7 +189,7 @@ def nearest(
     width = pool.select(F.max(F.size("r")).alias("w")).first()[0] or 0
     if width < 1:
         pool, width = pool.limit(0), 1  # no vectors, no distances
-    search, shape = _Search(kind, k, snap, apart is not None), _Shape(apart, by, order, listed, width)
+    search, shape = _Search(kind, k, snap, apart is not None), _Shape(apart, by, order, listed, width, carried)
     fits = max(1, pool_bytes // (8 * width))
     held = pool.limit(fits + 1).toArrow()  # pool_bytes and a row at most
     if held.num_rows > fits:

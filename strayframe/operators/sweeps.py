@@ -117,6 +117,41 @@ def nearest_of_draws(table: PairTable, query: DataFrame, pool: DataFrame, draws:
     return out
 
 
+def nearest_of_shares(query: DataFrame, pool: DataFrame, keys: list[str], thresholds: DataFrame, k: int, *, listed: int | None = None, **how) -> DataFrame:
+    """share, draw, keys, near: of each query row its k nearest points among those of each draw of :func:`share_draws`, by distance, then id. As every
+    draw has all runs, a row needs one list of its nearest points at all, of whatever run but its own: long enough to hold k points of the
+    least share (three times the length that it takes on average, or ``listed``). Rows whose list holds fewer are searched again with a longer one. A point's
+    places in the draws are digested once, and its list entries carry, for each draw, how many thresholds lie below its place."""
+    rows = [(r.share, r.draw, r.threshold) for r in thresholds.select("share", "draw", "threshold").collect()]  # a row a share and draw
+    of = {d: sorted(t for _, x, t in rows if x == d) for d in {d for _, d, _ in rows}}
+    if not rows:
+        raise ValueError("no draws")
+    marks = {d: f"_m{n}" for n, d in enumerate(sorted(of))}
+    below = lambda d: sum((sample_place(F.lit(d), F.col("r_id")) > t).cast("int") for t in of[d]).cast("byte")
+    marked = _kept(pool.select("r_id", "r_run", "r", F.lit(0).alias("_all"), *(below(d).alias(m) for d, m in marks.items())), "marked")
+    length, found, asked = listed or -int(-3 * k // min(s for s, _, _ in rows)), [], query
+    while True:
+        lists = knn.nearest(asked.select(*keys, "v"), marked, length, "cosine", apart=("run", "r_run"), by="_all", listed=True, carried=tuple(marks.values()), **how)
+        lists = _kept(lists.select(*keys, "near"), "lists")
+        enough = F.size("near") < length
+        enough = enough | F.forall(F.array(*(F.size(_held("near", m, 0)) >= k for m in marks.values())), lambda x: x)  # the least share of each draw
+        found.append(lists.where(enough))
+        wanted = lists.where(~enough).select(*keys)
+        if wanted.isEmpty():
+            break
+        asked, length = query.join(wanted, keys, "left_semi"), length * LONGER
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    drawn = [F.struct(F.lit(s).alias("share"), F.lit(d).alias("draw"), F.slice(_held("near", marks[d], sum(x < t for x in of[d])), 1, k).alias("near")) for s, d, t in rows]
+    return out.select(*keys, F.explode(F.array(*drawn)).alias("x")).select("x.share", "x.draw", *keys, F.transform("x.near", lambda x: F.struct(x["d"].alias("d"), x["r_id"].alias("r_id"))).alias("near"))
+
+
+def _held(near: str, mark: str, most: int) -> Column:
+    """The entries whose mark is at most so much."""
+    return F.filter(near, lambda x: x[mark] <= most)
+
+
 def mean_scores(near: DataFrame, ks: list[int], digits: int = 9) -> DataFrame:
     """Adds k and score: the mean of the k smallest distances, for each of ks."""
     mean = F.aggregate(F.slice("near", 1, F.col("k")), F.lit(0.0), lambda a, x: a + x["d"]) / F.least(F.size("near"), F.col("k"))

@@ -91,13 +91,12 @@ SELECT share, CAST(draw AS INT) AS draw, round(coverage, 6) AS coverage, {_RESUL
 def p10_whole_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole protocol for random shares of the pool's points, with the share of the pool's concepts that they hold."""
     q, pool = _sides(spark, sf_dir)
-    thresholds = sweeps.share_draws(pool.select("r_id"), SHARES, DRAWS)
-    draws = thresholds.crossJoin(spark.createDataFrame([(r,) for r in POOL_RUNS], "member int"))  # names of runs
+    thresholds = sweeps._kept(sweeps.share_draws(pool.select("r_id"), SHARES, DRAWS), "shares")
     i = F.col("r_id")
     words = F.array(F.concat(F.lit("near "), i % 13), F.concat(F.lit("far "), i % 57), F.concat(F.lit("odd "), F.expr("r_id div 20")))
     cover = sweeps.coverage(pool.select("r_id", F.explode(words).alias("concept")), thresholds)
-    near = sweeps.nearest_of_draws(sweeps.PairTable.store(q, pool, KEYS, LISTED), q, pool, draws, max(KS), lambda x: sweeps.sample_place(F.col("draw"), x) <= F.col("threshold"))
-    found = sweeps.evaluated(sweeps.mean_scores(near, KS), ["share", "draw", "k"], ALPHA_FRAME, ALPHA_RUN)
+    near = sweeps.nearest_of_shares(q, pool, KEYS, thresholds, max(KS))
+    found = sweeps.evaluated(sweeps.mean_scores(near, KS).drop("tick", "id"), ["share", "draw", "k"], ALPHA_FRAME, ALPHA_RUN)
     return _shown(found.join(cover.select("share", "draw", r6("coverage").alias("coverage")), ["share", "draw"]), "share", "draw", "coverage")
 
 

@@ -88,6 +88,21 @@ def test_copies_of_a_point_need_no_second_search(spark, sides, monkeypatch):
     assert len(calls) == 1
 
 
+@pytest.mark.parametrize(("listed", "way"), [(1, {}), (None, {"pool_bytes": 0, "block_rows": 60})])
+def test_shares_of_points_are_exact(spark, sides, monkeypatch, listed, way):
+    """From one list a row: as long as it takes at first where its length isn't given, and searched again where it is short."""
+    query, pool, v = sides
+    places = {(x.draw, x.r_id): x.place for x in pool.select("r_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("draw")).withColumn("place", sweeps.sample_place(F.col("draw"), F.col("r_id"))).collect()}
+    rows = [(s, d, sorted(p for (x, _), p in places.items() if x == d)[round(60 * s) - 1]) for s, d in ((0.3, 0), (0.6, 0), (1.0, 0), (0.3, 1), (0.6, 1))]
+    thresholds = spark.createDataFrame(rows, "share double, draw int, threshold bigint")
+    held = {(s, d): {i for (x, i), p in places.items() if x == d and p <= t} for s, d, t in rows}
+    calls, nearest = [], sweeps.knn.nearest
+    monkeypatch.setattr(sweeps.knn, "nearest", lambda *a, **b: calls.append(b["by"]) or nearest(*a, **b))
+    got = {(r.share, r.draw, r.id): x_of(r) for r in sweeps.nearest_of_shares(query, pool, KEYS, thresholds, 4, listed=listed, **way).collect() if x_of(r)}
+    assert got == wanted(v, {key: range(6) for key in held}, 4, lambda key, j: j in held[key])
+    assert "r_run" not in calls and (len(calls) > 1 if listed == 1 else len(calls) <= 2)
+
+
 def test_nested_quantiles_are_numpy_s(spark):
     rng = np.random.default_rng(1)
     groups = {g: rng.choice(rng.normal(size=n), size=n).round(3) for g, n in (("a", 1), ("b", 2), ("c", 57), ("d", 200), ("e", 201))}
